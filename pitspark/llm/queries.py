@@ -2,18 +2,62 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, pii
 from .common import table
+from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard
+from .quality_rules import quality_rules
+from .url_filter import url_filter
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.bpe_decode(encoded, vocabulary, public_tokenizers.PATTERN))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are the documents' sources."""
+    kept = line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_pii": op6_pii,
+    "op7_url_filter": op7_url_filter,
 }
 
 ORACLES = {
@@ -41,4 +85,43 @@ ORACLES = {
         SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, CASE WHEN len(g.g) = 0 THEN g.doc_id ELSE c.c END AS component_id
         FROM g LEFT JOIN s ON list_sort(g.g) = s.g LEFT JOIN c ON c.a = s.doc_id
     """,
+    "op4_mixing": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS pos FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
+        ), o AS (
+            SELECT *, 3.0::DOUBLE * source_size AS cap,
+                (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0))::DOUBLE / sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+                row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST) AS place
+            FROM s WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), f AS (
+            SELECT min(place) AS place, arg_min(level, place) AS level FROM o WHERE level * weight <= cap
+        ), t AS (
+            SELECT o.source, o.source_size, CASE WHEN o.place < f.place THEN o.cap ELSE least(f.level * o.weight, o.cap) END AS target FROM o, f
+        ), p AS (
+            SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
+                coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY pos, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+            (size * (whole + CASE WHEN size > 0 AND before + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM p
+    """,
+    "op5_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
+        ), c AS (
+            SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY source, line
+        ), t AS (
+            SELECT source, count(*) AS pages FROM documents GROUP BY source
+        ), b AS (
+            SELECT c.source, c.line FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.1 * pages
+        ), k AS (
+            SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (b.line IS NOT NULL) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (b.line IS NULL), '') AS text
+            FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line GROUP BY l.doc_id
+        )
+        SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_dropped, 0)::BIGINT AS n_dropped, length(k.text)::BIGINT AS n_chars_kept, sha256(k.text) AS text_sha256
+        FROM documents d LEFT JOIN k USING (doc_id)
+    """,
 }
