@@ -107,12 +107,12 @@ def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts: first and last byte (exclusive), text and 64-bit hash of each, in order."""
 
-    def __init__(self, text: pa.Array, lower: bool = False):
+    def __init__(self, text: pa.Array, lower: bool = False, blank: np.ndarray = _BLANK):
         self.data, self.offsets = utf8(text)
         if lower:
             self.data = _LOWER[self.data]
         n = len(self.data)
-        inside = ~_BLANK[self.data]
+        inside = ~blank[self.data]
         first, last = inside.copy(), inside.copy()
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
