@@ -1,4 +1,12 @@
 """Every registered query and its oracle, by name."""
 
+from __future__ import annotations
+
+import importlib
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _name in ("pit_queries", "function_queries"):
+    _module = importlib.import_module(f"{__name__}.{_name}")
+    QUERIES |= _module.query.queries
+    ORACLES |= _module.query.oracles
