@@ -4,13 +4,14 @@ Every text becomes the set of its word n-grams. Two texts link when
 ``den * |intersection| >= num * |union|``. The join is exact:
 
 1. Equal sets are one node (128-bit fingerprint), so copies cost one row each.
-2. Nodes are partitioned into groups of similar sets: those with the same two
-   smallest n-gram hashes, cut into blocks of bounded size.
-3. Candidate groups: sets that link differ in at most D n-grams, D from their
-   sizes. Splitting the hash range into D + 1 parts, one part must be equal in
-   both. Each group stores the signatures of its sets' parts; only groups that
-   share a signature are compared. A passage, even one in most texts, gives no
-   candidates unless a whole part agrees.
+2. Candidates: sets that link differ in at most D n-grams, D from their sizes.
+   Splitting the hash range into D + 1 parts, one part must be equal in both, so
+   only sets that share a part's signature can link. A passage, even one in most
+   texts, gives no candidates unless a whole part agrees.
+3. Sets are partitioned into groups of similar ones: each goes to the smallest
+   leader of its signatures' sets; large groups are cut into blocks of bounded
+   size. Groups with a signature in common are compared, by those of their sets that
+   have one in common with a set of about their size in the other.
 4. The matrix row of a group is its n-grams' union. For a candidate pair, the
    overlap of each set with the other group's union bounds its similarity; only
    sets that can still reach the threshold open the group and are compared.
@@ -19,7 +20,8 @@ Every text becomes the set of its word n-grams. Two texts link when
 
 Nulls, texts without words and blank texts have an empty set: n_shingles 0, no
 links, their own component. Rows with the same id keep a row each; ids may be null
-(a component's id is its smallest non-null one). N-grams are told apart by 64-bit hashes.
+(a component's id is its smallest non-null one). N-grams are told apart by 64-bit hashes, where sets are
+compared by their upper 48 bits.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import Words, cut, mix, per_text, pieces, small
 
 #: A block of a group holds about so many sets and n-grams; larger groups are cut, none is left out.
-BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 17
+BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
+#: The list of sets to open has about 100 bytes a row: up to so many it is broadcast, else joined by a shuffle.
+OPEN_ROWS = 300_000
 
 
 # ---------------------------------------------------------------- sets and signatures
@@ -106,7 +110,7 @@ def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-BASE = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("key", pa.int64()), ("sigs", pa.binary())])
+BASE = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("node", pa.int64()), ("sigs", pa.binary())])
 
 
 def _describe(n: int, num: int, den: int):
@@ -116,12 +120,10 @@ def _describe(n: int, num: int, den: int):
             for piece in pieces(batch):
                 words = Words(piece.column("text"), lower=True)
                 tokens, bounds = token_sets(words, n)
-                second = mix(tokens, 12)
-                keys, sigs = [], []
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    keys.append(int((mix(tokens[a : a + 1], 13) ^ second[a:b].min())[0].view(np.int64)) if b > a else None)
-                    sigs.append(signatures(tokens[a:b], levels).tobytes())
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(fingerprints(tokens, bounds), pa.binary()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], schema=BASE)
+                fps = fingerprints(tokens, bounds)
+                sigs = [signatures(tokens[a:b], levels).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                node = np.frombuffer(b"".join(fps), np.int64)[::2]
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(fps, pa.binary()), pa.array(node), pa.array(sigs, pa.binary())], schema=BASE)
 
     return run
 
@@ -130,68 +132,111 @@ def _describe(n: int, num: int, den: int):
 
 
 def _explode(batches):
-    """(signature, group) once for each batch, however many copies it holds."""
+    """(signature, node) once for each batch, however many copies it holds."""
     for batch in batches:
         for piece in pieces(batch, "sigs", 4 << 20):
             sig = np.frombuffer(b"".join(piece.column("sigs").to_pylist()), np.int64)
-            size = np.asarray(piece.column("size"), np.int64)
-            gid = np.repeat(np.asarray(piece.column("gid"), np.int64), size)
-            _, first = np.unique(sig.view(np.uint64) ^ mix(gid.view(np.uint64)), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(gid[first])], names=["sig", "gid"])
+            node = np.repeat(np.asarray(piece.column("node"), np.int64), np.asarray(piece.column("size"), np.int64))
+            _, first = np.unique(sig.view(np.uint64) ^ mix(node.view(np.uint64)), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(node[first])], names=["sig", "node"])
 
 
-def _pair_groups(batches):
-    """Rows come sorted by signature: the pairs of groups that share one, each once for a task."""
-    seen: set = set()
-    rest = np.zeros((0, 2), np.int64)
+def _runs(batches):
+    """Rows of longs, sorted by the first, as arrays in which no value of it is cut, and where its runs begin."""
+    rest = None
+    for batch in batches:
+        rows = np.stack([np.asarray(c) for c in batch.columns], 1)
+        rows = rows if rest is None else np.concatenate([rest, rows])
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
+        rest = rows[last:]
+        if last:
+            yield rows[:last], np.flatnonzero(np.concatenate([[True], rows[1:last, 0] != rows[: last - 1, 0], [True]]))
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
 
-    def pairs(rows):
-        edge = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+def _shared(batches):
+    """(signature, node, leader) where a signature has several nodes; the leader is the smallest."""
+    for rows, edge in _runs(batches):
         low, high = np.minimum.reduceat(rows[:, 1], edge[:-1]), np.maximum.reduceat(rows[:, 1], edge[:-1])
-        for i in np.flatnonzero(low < high):
-            groups = np.unique(rows[edge[i] : edge[i + 1], 1])
-            for k in range(len(groups) - 1):
-                a = int(groups[k])
-                for b in groups[k + 1 :].tolist():
-                    if (a, b) not in seen:
-                        seen.add((a, b))
-                        yield a, b
-
-    def out(found):
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["ga", "gb"])
+        size = np.diff(edge)
+        keep = np.repeat(low < high, size)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[keep, 0]), pa.array(rows[keep, 1]), pa.array(np.repeat(low, size)[keep])], names=["sig", "node", "leader"])
 
-    for batch in batches:
-        rows = np.concatenate([rest, np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], 1)])
-        if not len(rows):
-            continue
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        yield out(list(pairs(rows[:last])) if last else [])
-        rest = rows[last:]
-        if len(seen) > 2_000_000:
-            seen.clear()
-    if len(rest):
-        yield out(list(pairs(rest)))
+
+def _pair_groups(num: int, den: int):
+    """Rows (signature, group, node, size) come sorted by signature: (group, group, node) for the sets to compare, most of them once for a task."""
+
+    def near(n: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """How many of others have a size that can link with n."""
+        return np.searchsorted(others, n * den // num, "right") - np.searchsorted(others, -(-n * num // den), "left")
+
+    def run(batches):
+        seen: set = set()
+        for rows, edge in _runs(batches):
+            found = []
+            low, high = np.minimum.reduceat(rows[:, 2], edge[:-1]), np.maximum.reduceat(rows[:, 2], edge[:-1])
+            for i in np.flatnonzero(low < high):
+                part = rows[edge[i] : edge[i + 1], 1:]
+                part = part[np.unique(part[:, 1], return_index=True)[1]]
+                part = part[np.lexsort((part[:, 2], part[:, 0]))]
+                groups, at = np.unique(part[:, 0], return_index=True)
+                at = [*at.tolist(), len(part)]
+                for j, a in enumerate(groups.tolist()):
+                    mine = part[at[j] : at[j + 1]]
+                    for k in range(j, len(groups)):
+                        b, theirs = int(groups[k]), part[at[k] : at[k + 1]]
+                        if j == k:
+                            nodes = mine[near(mine[:, 2], mine[:, 2]) > 1, 1]
+                        else:
+                            nodes = np.concatenate([mine[near(mine[:, 2], theirs[:, 2]) > 0, 1], theirs[near(theirs[:, 2], mine[:, 2]) > 0, 1]])
+                        new = {(a, b, node) for node in nodes.tolist()} - seen
+                        seen |= new
+                        found += new
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["ga", "gb", "node"])
+            if len(seen) > 1_000_000:
+                seen.clear()
+
+    return run
 
 
 # ---------------------------------------------------------------- opening groups
 
-OPEN = pa.schema([("gid", pa.int64()), ("fp", pa.binary()), ("tokens", pa.binary())])
+OPEN = pa.schema([("ga", pa.int64()), ("gb", pa.int64()), ("gid", pa.int64()), ("fp", pa.binary()), ("tokens", pa.binary())])
 
 
 def _open(n: int):
-    """The wanted sets' n-grams, made again from the text; a row whose id fits but whose set doesn't is left."""
+    """The wanted sets' n-grams, made again from the text; a row whose id fits but whose set doesn't is left.
+
+    The rows of a text for several pairs of groups follow each other: its n-grams are made once.
+    """
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
-                tokens, bounds = token_sets(Words(piece.column("text"), lower=True), n)
-                fps, gids = piece.column("fp").to_pylist(), piece.column("gid").to_pylist()
-                keep = [i for i, fp in enumerate(fingerprints(tokens, bounds)) if fp == fps[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([gids[i] for i in keep], pa.int64()), pa.array([fps[i] for i in keep], pa.binary()), pa.array([tokens[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], schema=OPEN)
+                fps = piece.column("fp").to_pylist()
+                text = piece.column("text").to_pylist()
+                new = np.array([i == 0 or fps[i] != fps[i - 1] or text[i] != text[i - 1] for i in range(len(fps))], bool)
+                tokens, bounds = token_sets(Words(piece.column("text").filter(pa.array(new)), lower=True), n)
+                made, of = fingerprints(tokens, bounds), np.cumsum(new) - 1
+                keep = pa.array([i for i, fp in enumerate(fps) if made[of[i]] == fp], pa.int64())
+                sets = [_packed(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(keep) for c in ("ga", "gb", "gid", "fp")), pa.array([sets[of[i]] for i in keep.to_pylist()], pa.binary())], schema=OPEN)
 
     return run
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, in six bytes."""
+    return (tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 class Group:
     """A row of the matrix: the sets of a group and their union."""
 
@@ -228,11 +273,11 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         return np.array([[int(_member(x, y).sum())]])
     union_a, union_b = np.unique(np.concatenate(a)), np.unique(np.concatenate(b))
     columns = union_a[_member(union_a, union_b)]
-    out = np.zeros((len(a), len(b)))
+    out = np.zeros((len(a), len(b)), np.float32)
     for i in range(0, len(columns), 4096):
         part = columns[i : i + 4096]
         out += _dense(a, part) @ _dense(b, part).T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def linked(a: Group, b: Group | None, num: int, den: int) -> list[tuple[bytes, bytes]]:
@@ -274,7 +319,7 @@ def _verify(num: int, den: int):
     def close(key, rows):
         sides = {g: {} for g in key}
         for g, fp, tokens in rows:
-            sides[g][fp] = np.frombuffer(tokens, np.uint64)
+            sides[g][fp] = _unpacked(tokens)
         if not all(sides.values()):
             return []
         a, b = (Group(list(sides[g]), list(sides[g].values())) for g in key)
@@ -332,28 +377,23 @@ def components(edges: DataFrame) -> DataFrame:
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of docs: the id, ``n_shingles`` and ``component_id``, the smallest id reached by links."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = cut(source.mapInArrow(_describe(n, num, den), "id long, n long, fp binary, key long, sigs binary"), "sets")
-
-    nodes = cut(base.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("key").alias("key")), "nodes")
-    heavy = nodes.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    heavy = heavy.select("key", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks")).where("blocks > 1")
-    heavy = small(cut(heavy, "heavy"))
-    gid = F.when(F.col("blocks") > 1, F.xxhash64("key", F.pmod(F.xxhash64("fp"), F.col("blocks")))).otherwise(F.col("key")).alias("gid")
-
-    grouped = nodes.join(heavy, "key", "left").select("fp", "id", gid)
-    signed = base.where("length(sigs) > 0").join(heavy, "key", "left").select("sigs", (F.length("sigs") / 8).cast("long").alias("size"), gid)
-    rows = signed.mapInArrow(_explode, "sig long, gid long")
-    rows = rows.repartition("sig").sortWithinPartitions("sig")
-    between = rows.mapInArrow(_pair_groups, "ga long, gb long")
-    inside = grouped.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    pairs = cut(between.unionByName(inside).distinct(), "pairs")
-
-    ends = pairs.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("gid"))
-    wanted = grouped.join(ends.select("gid").distinct(), "gid", "left_semi")
-    wanted = cut(wanted, "wanted")
-    opened = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("text", "fp", "gid").mapInArrow(_open(n), "gid long, fp binary, tokens binary")
-    opened = cut(opened, "opened")
-    members = ends.join(opened, "gid").select("ga", "gb", "gid", "fp", "tokens")
+    base = cut(source.mapInArrow(_describe(n, num, den), "id long, n long, fp binary, node long, sigs binary"), "sets")
+    nodes = cut(base.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("node").alias("node")), "nodes")
+
+    signed = base.where("length(sigs) > 0").select("sigs", (F.length("sigs") / 8).cast("long").alias("size"), "node")
+    rows = signed.mapInArrow(_explode, "sig long, node long").repartition("sig").sortWithinPartitions("sig")
+    shared = cut(rows.mapInArrow(_shared, "sig long, node long, leader long"), "shared")
+    leaders = shared.groupBy("node").agg(F.min("leader").alias("leader"))
+    led = cut(nodes.join(leaders, "node"), "led")
+    heavy = led.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    heavy = heavy.select("leader", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks")).where("blocks > 1")
+    gid = F.when(F.col("blocks") > 1, F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("blocks")))).otherwise(F.col("leader")).alias("gid")
+    grouped = small(cut(led.join(small(cut(heavy, "heavy")), "leader", "left").select("fp", "id", "node", "n", gid), "grouped"), OPEN_ROWS)
+    rows = shared.select("sig", "node").join(grouped, "node").select("sig", "gid", "node", "n")
+    pairs = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pair_groups(num, den), "ga long, gb long, node long").distinct()
+    wanted = small(cut(pairs.join(grouped, "node").select("ga", "gb", "gid", "id", "fp"), "wanted"), OPEN_ROWS)
+    texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("text", "ga", "gb", "gid", "fp")
+    members = texts.mapInArrow(_open(n), "ga long, gb long, gid long, fp binary, tokens binary")
     members = members.repartition("ga", "gb").sortWithinPartitions("ga", "gb")
     edges = members.mapInArrow(_verify(num, den), "a binary, b binary")
 
