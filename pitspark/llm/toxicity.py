@@ -9,7 +9,8 @@ both alone. Pairs are scaled by the number of features, so long texts don't drow
 
 It is fitted by mini-batches with adaptive steps on at most ``SAMPLE`` labelled rows
 (the first in the order of a hash of the id, so the bound does not depend on the
-table), in one task. Its parameters have a fixed size and go to every executor;
+table), in one task; both classes weigh the same, and weights that little depends on shrink to
+nothing. Its parameters have a fixed size and go to every executor;
 scoring reads every whole text. Buckets in fewer than ``LEAST_TEXTS`` of the fitted texts
 stay without weight.
 
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import Words, cut, mix, pieces, span_hashes
 
 BITS, FACTORS = 18, 8
-SAMPLE, LEAST_TEXTS = 12_000, 3
-EPOCHS, BATCH, STEP, DECAY = 6, 128, 0.08, 2e-5
+SAMPLE, LEAST_TEXTS, LEAST_SHARE = 12_000, 3, 0.002
+#: Passes over the fitted rows (more of them where rows are few), rows in a step, its size, and what shrinks weights.
+EPOCHS, LEAST_STEPS, BATCH, STEP, START = 8, 300, 128, 0.3, 0.1
+SHRINK, DECAY = 2e-3, 1e-5
 
 _APART = np.zeros(256, bool)
 _APART[:128] = [not chr(i).isalnum() for i in range(128)]
@@ -83,14 +86,16 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Machine:
     if not len(y):
         return Machine()
     random = np.random.default_rng(seed)
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) if rows else np.zeros(1 << BITS, int)
-    rows = [r[seen[r] >= LEAST_TEXTS] for r in rows]
+    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+    least = max(LEAST_TEXTS, int(LEAST_SHARE * len(y)))
+    rows = [r[seen[r] >= least] for r in rows]
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    m = Machine(float(np.log(rate / (1 - rate))))
+    weigh = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate))
+    m = Machine(0.0)
     m.v = random.normal(0, 0.05, m.v.shape).astype(np.float32)
-    m.v[seen < LEAST_TEXTS] = 0
-    gw, gv, gb = np.full(len(m.w), 1e-4, np.float32), np.full(m.v.shape, 1e-4, np.float32), 1e-4
-    for _ in range(EPOCHS):
+    m.v[seen < least] = 0
+    gw, gv, gb = np.full(len(m.w), START, np.float32), np.full(m.v.shape, START, np.float32), START
+    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // len(y))):
         order = random.permutation(len(y))
         for at in range(0, len(y), BATCH):
             pick = order[at : at + BATCH]
@@ -98,16 +103,18 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Machine:
             bounds = np.concatenate([[0], np.cumsum(size)])
             bucket = np.concatenate([rows[i] for i in pick])
             z = m.logits(bucket, bounds)
-            g = ((1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[pick]) / len(pick)).astype(np.float32)
+            g = (weigh[pick] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[pick]) / len(pick)).astype(np.float32)
             gb += float(g.sum()) ** 2
             m.bias -= STEP * float(g.sum()) / gb**0.5
             if not len(bucket):
                 continue
             used, to = np.unique(bucket, return_inverse=True)
             each = np.repeat(g, size)
-            dw = np.bincount(to, each, len(used)).astype(np.float32) + DECAY * m.w[used]
+            dw = np.bincount(to, each, len(used)).astype(np.float32)
             gw[used] += dw * dw
-            m.w[used] -= STEP * dw / np.sqrt(gw[used])
+            rate = STEP / np.sqrt(gw[used])
+            w = m.w[used] - rate * dw
+            m.w[used] = np.sign(w) * np.maximum(np.abs(w) - rate * SHRINK, 0)
             v = m.v[bucket]
             pull = (np.repeat(_sums(v, bounds), size, axis=0) - v) * (each / np.repeat(np.maximum(size, 1), size))[:, None]
             dv = np.stack([np.bincount(to, pull[:, f], len(used)) for f in range(FACTORS)], 1).astype(np.float32) + DECAY * m.v[used]
@@ -124,7 +131,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits a machine on labelled rows; leave out of ``labels`` what is held out."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     chosen = cut(known.orderBy(F.xxhash64(id_col), id_col).limit(sample), "sample").withColumnRenamed(id_col, "_id")
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("y", F.xxhash64("_id").alias("at"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("y", F.xxhash64("_id").alias("at"), "text")
 
     def describe(batches):
         for batch in batches:
