@@ -16,32 +16,58 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces
 
-#: Entries that a worker remembers of each kind before it starts again.
-MEMO = 1 << 18
+#: Entries that a worker remembers of each kind; the recently used half stays when it is full.
+MEMO = 3 << 17
+#: Bytes up to which the encoding of a part, of a window and of a whole match is remembered.
+PART, WINDOW, MATCH = 5, 12, 64
+
+
+class Memo(dict):
+    """Remembers what ``make`` gives for a key, for the most recent keys at least."""
+
+    def __init__(self, make, most: int = MEMO):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.token = ranks, {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.short: dict[bytes, list[int]] = {}
-        self.borders: dict[tuple[int, int], bool] = {}
-        self.matches: dict[str, list[int]] = {}
+        self.parts = Memo(lambda data: self.join(*map(self.encode_bytes, (data[: len(data) // 2], data[len(data) // 2 :]))))
+        self.pairs = Memo(lambda pair: self.merge(self.token[pair[0]] + self.token[pair[1]]))
+        self.windows = Memo(self.merge)
+        self.matches = Memo(lambda match: self.encode_bytes(match.encode()))
+
+    def window(self, data: bytes) -> tuple[int, ...]:
+        return self.windows[data] if len(data) <= WINDOW else self.merge(data)
 
-    def window(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes) -> tuple[int, ...]:
         """The lowest-ranked pair is merged first, the leftmost of equals, until none has a rank."""
         ranks = self.ranks
         if data in ranks:
-            return [ranks[data]]
+            return (ranks[data],)
         part: list = [data[i : i + 1] for i in range(len(data))]
         after = list(range(1, len(data) + 1))
         before = list(range(-1, len(data) - 1))
@@ -61,25 +87,19 @@ class Bpe:
                     heappush(heap, (r, i))
             if (h := before[i]) >= 0 and (r := ranks.get(part[h] + part[i])) is not None:
                 heappush(heap, (r, h))
-        return [ranks[p] for p in part if p is not None]
+        return tuple(ranks[p] for p in part if p is not None)
 
     def stays(self, a: int, b: int) -> bool:
         """Whether two tokens, encoded together, come out as they are."""
-        known = self.borders.get((a, b))
-        if known is None:
-            known = self.window(self.token[a] + self.token[b]) == [a, b]
-            if len(self.borders) >= MEMO:
-                self.borders.clear()
-            self.borders[a, b] = known
-        return known
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+        return self.pairs[a, b] == (a, b)
+
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of two neighbours' bytes from their encodings."""
-        if self.stays(left[-1], right[0]):
-            return left + right
         i = j = 1
+        middle = self.pairs[left[-1], right[0]]
+        if middle == (left[-1], right[0]):
+            return left + right
         while True:
-            middle = self.window(self.decode(left[len(left) - i :]) + self.decode(right[:j]))
             fits_left = i == len(left) or self.stays(left[-i - 1], middle[0])
             fits_right = j == len(right) or self.stays(middle[-1], right[j])
             if fits_left and fits_right:
@@ -88,40 +108,34 @@ class Bpe:
                 i = min(2 * i, len(left))
             if not fits_right:
                 j = min(2 * j, len(right))
+            middle = self.window(self.decode(left[len(left) - i :] + right[:j]))
 
-    def encode_bytes(self, data: bytes) -> list[int]:
+    def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         if len(data) == 1:
-            return [self.ranks[data]]
-        if len(data) > 32:
-            return self.join(self.encode_bytes(data[: len(data) // 2]), self.encode_bytes(data[len(data) // 2 :]))
-        known = self.short.get(data)
-        if known is None:
-            known = self.join(self.encode_bytes(data[: len(data) // 2]), self.encode_bytes(data[len(data) // 2 :]))
-            if len(self.short) >= MEMO:
-                self.short.clear()
-            self.short[data] = known
-        return known
+            return (self.ranks[data],)
+        if len(data) <= PART:
+            return self.parts[data]
+        return self.join(self.encode_bytes(data[: len(data) // 2]), self.encode_bytes(data[len(data) // 2 :]))
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known = self.matches
-        for match in self.pattern.findall(text):
-            found = known.get(match)
-            if found is None:
-                found = self.encode_bytes(match.encode())
-                if len(match) <= 64:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    known[match] = found
-            ids += found
-        return ids
-
-    def decode(self, ids: list[int]) -> bytes:
+        matches = self.pattern.findall(text)
+        if max(map(len, matches), default=0) > MATCH:
+            return [i for m in matches for i in (self.matches[m] if len(m) <= MATCH else self.encode_bytes(m.encode()))]
+        return list(chain.from_iterable(map(self.matches.__getitem__, matches)))
+
+    def decode(self, ids) -> bytes:
         if len(ids) <= 4096:
             return b"".join(map(self.token.__getitem__, ids))
         return self.decode(ids[: len(ids) // 2]) + self.decode(ids[len(ids) // 2 :])
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of a column as Python lists (null: empty), made from its flat values at once."""
+    flat = np.asarray(column.flatten()).tolist()
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0))).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 _loaded: dict[tuple[str, str], Bpe] = {}
 
 
@@ -144,7 +158,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                 ids = [bpe.encode(text) if text else [] for text in piece.column("text").to_pylist()]
                 bounds = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=bounds[1:])
-                flat = np.fromiter((i for x in ids for i in x), np.int32, bounds[-1])
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, bounds[-1])
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -160,7 +174,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = part.column("ids")
-                decoded = [bpe.decode(x or []) for x in ids.to_pylist()]
+                decoded = [bpe.decode(x) for x in _lists(ids)]
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
 
     source = encoded.select(F.col(id_col).cast("long").alias("id"), "ids")
@@ -171,15 +185,16 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of (id, ids, decoded)."""
 
     def run(batches):
+        decimal = Memo(str)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [x or [] for x in part.column("ids").to_pylist()]
+                ids = _lists(part.column("ids"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]),
+                        pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids]),
                         pa.array([hashlib.sha256(x or b"").hexdigest() for x in part.column("decoded").to_pylist()]),
                     ],
                     names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
