@@ -70,7 +70,7 @@ def resolve_entities(raw: DataFrame, known: DataFrame, id_col: str, raw_col: str
     return best.select(id_col, F.when(F.col("_best.c") >= least, F.col("_best.n")).alias("entity"))
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df, cut off from its lineage by a table in the shared checkpoint folder."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -90,14 +90,14 @@ def components(pairs: DataFrame) -> DataFrame:
     Labels spread along edges and then jump to their label's label, so that long chains
     take few rounds; each round is written, so it is not computed again.
     """
-    edges = _written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    edges = written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     labels = edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        step = _written(step)
+        step = written(step)
         jump = step.select(F.col("node").alias("c"), F.col("c").alias("next"))
-        new = _written(step.join(jump, "c").select("node", "old", F.least("c", "next").alias("component")))
+        new = written(step.join(jump, "c").select("node", "old", F.least("c", "next").alias("component")))
         if not new.where("old <> component").take(1):
             return new.select("node", "component")
         labels = new.select("node", "component")
