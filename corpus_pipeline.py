@@ -22,10 +22,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id (null too) is in ids."""
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     verdict = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi").select(*COLUMNS)
+    return _of(docs, verdict)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +42,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each component whose id names it."""
-    kept = ngram_jaccard(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    kept = ngram_jaccard(docs).where("component_id <=> doc_id").select("doc_id").distinct()
+    return _of(docs, kept)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mix_sources(docs).select("doc_id", "copies").where("copies > 0")
-    taken = docs.join(mixed, "doc_id")
+    mixed = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"]))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
