@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 REFERENCE_RATE = 1.35  # goals per side and 90 minutes
 
@@ -199,3 +202,20 @@ def z_of(confidence: float) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if math.erf(mid / math.sqrt(2)) < confidence else (low, mid)
     return low
+
+
+def beta_interval(p: Column, n_eff: float = 150.0, alpha: float = 0.05) -> Column:
+    """(low, high): the Beta interval of a probability worth n_eff observations, by bisection of a numeric integral in Arrow batches."""
+    @pandas_udf("struct<low: double, high: double>")
+    def interval(x: pd.Series) -> pd.DataFrame:
+        grid = np.linspace(0, 1, 4001)[1:-1]
+        out = np.full((len(x), 2), np.nan)
+        for i, q in enumerate(x.to_numpy(float)):
+            if not np.isnan(q):
+                q = min(max(q, 1e-9), 1 - 1e-9)
+                log = (q * n_eff - 1) * np.log(grid) + ((1 - q) * n_eff - 1) * np.log1p(-grid)
+                cdf = np.cumsum(np.exp(log - log.max()))
+                out[i] = np.interp([alpha / 2, 1 - alpha / 2], cdf / cdf[-1], grid)
+        return pd.DataFrame(out, columns=["low", "high"])
+
+    return interval(p)

@@ -279,3 +279,10 @@ def prj20(spark, sf_dir):
 def str4(spark, sf_dir):
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select("l_orderkey", "l_linenumber", (seconds(F.col("l_shipdate")) > seconds(F.col("o_orderdate")) + 30 * 86_400).alias("stale"))
+
+
+@query("fun9_beta_interval")
+def fun9(spark, sf_dir):
+    """Beta intervals of shares; the test compares them with sampled ones."""
+    share = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 97 + 1) / 100.0).alias("p"))
+    return share.withColumn("b", P.beta_interval(F.col("p"))).select("c_custkey", "p", F.round("b.low", 4).alias("low"), F.round("b.high", 4).alias("high"))

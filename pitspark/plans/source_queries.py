@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..sources import nested as N
 from ..sources import readers as S
 from ..sources.tables import CLOCKED_SQL, clocked, table
 from ..streaming import ledger as L
@@ -119,3 +120,29 @@ def str9(spark, sf_dir):
     p = [F.col(c) for c in ("pa", "pd", "pb")]
     rows = L.frozen_rows(forecasts(spark, sf_dir), {"raw": p, "blend": [0.75 * c + 0.25 / 3 for c in p]}, ["l_orderkey", "l_linenumber"])
     return rows.select("l_orderkey", "l_linenumber", "model", "pa")
+
+
+@query("src13_nested_odds", "SELECT l_orderkey, CASE WHEN l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS book, max(1 + l_quantity) AS home, max(1 + l_discount) AS draw, CASE WHEN count(*) > 1 THEN max(1 + l_tax) END AS away FROM lineitem GROUP BY ALL")
+def src13(spark, sf_dir):
+    """Odds payloads, made from the lines of an order, flattened to a row a book."""
+    book = F.when(F.col("l_suppkey") % 2 == 0, "even").otherwise("odd")
+    each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", book.alias("book")).agg(F.max(1 + F.col("l_quantity")).alias("h"), F.max(1 + F.col("l_discount")).alias("d"), F.max(1 + F.col("l_tax")).alias("a"), F.count("*").alias("n"))
+
+    def price(name, c):
+        return F.struct(F.lit(name).alias("name"), c.alias("price"))
+
+    outcomes = F.array_compact(F.array(price("H", F.col("h")), price("D", F.col("d")), F.when(F.col("n") > 1, price("A", F.col("a")))))
+    markets = F.array(F.struct(F.lit("1x2").alias("market"), outcomes.alias("outcomes")), F.struct(F.lit("total").alias("market"), F.array(price("over", F.lit(1.9))).alias("outcomes")))
+    payloads = each.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(F.struct("book", markets.alias("markets"))).alias("books"))).alias("payload"))
+    return N.flatten_odds(payloads, "l_orderkey", F.col("payload"), "1x2", ("H", "D", "A"))
+
+
+@query("src15_src16_lineups", "SELECT l_orderkey, o_custkey AS team, l_suppkey AS player, l_returnflag AS pos, l_linenumber <= 3 AS starts FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def src15(spark, sf_dir):
+    """Lineup payloads, made from orders, flattened to starters and bench."""
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    one = F.struct(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("pos"))
+    starts = F.col("l_linenumber") <= 3
+    p = j.groupBy("l_orderkey", "o_custkey").agg(F.collect_list(F.when(starts, one)).alias("startXI"), F.collect_list(F.when(~starts, one)).alias("substitutes"))
+    p = p.select("l_orderkey", F.to_json(F.struct(F.col("o_custkey").alias("team"), "startXI", "substitutes")).alias("payload"))
+    return N.lineup_players(p, "l_orderkey", F.col("payload"))

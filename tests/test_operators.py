@@ -108,3 +108,15 @@ def test_csv_with_bad_dates(spark, tmp_path):
     (tmp_path / "m.csv").write_text("id,when\n1,2024-01-02 03:04:05\n2,never\n")
     rows = readers.read_csv(spark, str(tmp_path / "m.csv"), "id int, when string", ["when"]).collect()
     assert rows[0].when is not None and rows[1].when is None
+
+
+def test_beta_interval_matches_samples(spark):
+    from pitspark.functions import probs as P
+
+    df = spark.createDataFrame([(0.1,), (0.5,), (None,)], "p double")
+    rows = [r[0] for r in df.select(P.beta_interval(F.col("p"))).collect()]
+    rng = np.random.default_rng(0)
+    for p, r in zip((0.1, 0.5), rows):
+        want = np.quantile(rng.beta(p * 150, (1 - p) * 150, 400_000), [0.025, 0.975])
+        assert np.allclose([r.low, r.high], want, atol=2e-3)
+    assert rows[2].low is None or np.isnan(rows[2].low)
