@@ -55,9 +55,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, decoded again to check them."""
-    vocabulary = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.bpe_encode(docs, vocabulary, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.bpe_decode(encoded, vocabulary, public_tokenizers.PATTERN))
+    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 STAGES = [

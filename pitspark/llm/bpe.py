@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import in_small_batches, pieces
 
 #: Entries that a worker remembers of each kind; the recently used half stays when it is full.
 MEMO = 3 << 17
@@ -60,6 +60,12 @@ class Bpe:
         self.windows = Memo(self.merge)
         self.matches = Memo(lambda match: self.encode_bytes(match.encode()))
 
+    def forget(self) -> None:
+        """Gives back what was remembered, for whatever the worker does next."""
+        for memo in (self.parts, self.pairs, self.windows, self.matches):
+            memo.clear()
+            memo.old = {}
+
     def window(self, data: bytes) -> tuple[int, ...]:
         return self.windows[data] if len(data) <= WINDOW else self.merge(data)
 
@@ -148,8 +154,8 @@ def tokenizer(vocabulary: str, pattern: str) -> Bpe:
     return _loaded[vocabulary, pattern]
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) for every row."""
+def _encode(vocabulary: str, pattern: str):
+    """(id, text) to (id, ids)."""
 
     def run(batches):
         bpe = tokenizer(vocabulary, pattern)
@@ -160,13 +166,13 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                 np.cumsum([len(x) for x in ids], out=bounds[1:])
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, bounds[-1])
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["id", "ids"])
+        bpe.forget()
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return run
 
 
-def bpe_decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids, decoded binary) for every row of (id, ids); null ids decode to no bytes."""
+def _decode(vocabulary: str, pattern: str):
+    """(id, ids) to (id, ids, decoded)."""
 
     def run(batches):
         bpe = tokenizer(vocabulary, pattern)
@@ -174,31 +180,54 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = part.column("ids")
-                decoded = [bpe.decode(x) for x in _lists(ids)]
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([bpe.decode(x) for x in _lists(ids)], pa.binary())], names=["id", "ids", "decoded"])
+
+    return run
+
+
+def _digest(batches):
+    """(id, ids, decoded) to the digests."""
+    decimal = Memo(str)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            ids = _lists(part.column("ids"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(x or b"").hexdigest() for x in part.column("decoded").to_pylist()], pa.string()),
+                ],
+                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+
+DIGESTS = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
 
+def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>) for every row."""
+    return _texts(docs, id_col, text_col).mapInArrow(_encode(vocabulary, pattern), "id long, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def bpe_decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, ids, decoded binary) for every row of (id, ids); null ids decode to no bytes."""
     source = encoded.select(F.col(id_col).cast("long").alias("id"), "ids")
-    return source.mapInArrow(run, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return source.mapInArrow(_decode(vocabulary, pattern), "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of (id, ids, decoded)."""
+    source = decoded.select(F.col(id_col).cast("long").alias("id"), "ids", "decoded")
+    return source.mapInArrow(_digest, DIGESTS).withColumnRenamed("id", id_col)
 
-    def run(batches):
-        decimal = Memo(str)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = _lists(part.column("ids"))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(x or b"").hexdigest() for x in part.column("decoded").to_pylist()]),
-                    ],
-                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
 
-    source = decoded.select(F.col(id_col).cast("long").alias("id"), "ids", "decoded")
-    return source.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digests of bpe_encode, then bpe_decode, for every row: the three steps in one worker, piece by piece."""
+    encode, decode = _encode(vocabulary, pattern), _decode(vocabulary, pattern)
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: _digest(decode(encode(batches))), DIGESTS).withColumnRenamed("id", id_col)

@@ -48,6 +48,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of text that Spark hands to a Python worker at once; whole texts can be long.
+BATCH_ROWS = 2_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, from whose session Python workers get at most BATCH_ROWS rows at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 # ---------------------------------------------------------------- words of Arrow text
 
 _BLANK = np.zeros(256, bool)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix, per_text, pieces, small
+from .common import Words, cut, in_small_batches, mix, per_text, pieces, small
 
 #: A block of a group holds about so many sets and n-grams; larger groups are cut, none is left out.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
@@ -194,7 +194,7 @@ def _pair_groups(num: int, den: int):
                         seen |= new
                         found += new
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["ga", "gb", "node"])
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
 
     return run
@@ -376,7 +376,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of docs: the id, ``n_shingles`` and ``component_id``, the smallest id reached by links."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = cut(source.mapInArrow(_describe(n, num, den), "id long, n long, fp binary, node long, sigs binary"), "sets")
     nodes = cut(base.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("node").alias("node")), "nodes")
 

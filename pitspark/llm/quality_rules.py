@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, pieces
+from .common import WORD, cut, in_small_batches, pieces
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 #: Posterior probability from which a text is kept; rounds of estimation.
@@ -74,7 +74,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                 yield pa.RecordBatch.from_arrays([piece.column("id"), *(pa.array(c) for c in rows.T), *kept], names=["id", *MEASURES, *keep])
 
     types = dict(docs.dtypes)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
     return source.mapInArrow(run, "id long, " + ", ".join(f"{m} long" for m in MEASURES) + "".join(f", `{c}` {types[c]}" for c in keep))
 
 

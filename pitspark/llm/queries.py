@@ -24,9 +24,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.bpe_decode(encoded, vocabulary, public_tokenizers.PATTERN))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,7 @@ def test_round_trip_and_digests(docs, own):
     texts = ["Hello  world, don't!", "", None, "ünï çødé \n\n tabs\t", "hello hello", "hello hello", "w " * 5000]
     df = docs(texts)
     out = {r.doc_id: r for r in bpe.digests(bpe.bpe_decode(bpe.bpe_encode(df, PATH, P.PATTERN), PATH, P.PATTERN)).collect()}
+    assert sorted(bpe.round_trip(df, PATH, P.PATTERN).collect()) == sorted(out.values())
     for i, t in enumerate(texts):
         ids = own.encode_ordinary(t or "")
         assert out[i].n_tokens == len(ids)
