@@ -20,6 +20,8 @@ from pitspark.llm.quality_rules import quality_rules
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Near copies share this part of their word n-grams at least; op1's own query has 3 words and 0.9.
+NEAR = {"n": 5, "num": 80, "den": 100}
 
 
 def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -41,8 +43,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component whose id names it."""
-    kept = ngram_jaccard(docs).where("component_id <=> doc_id").select("doc_id").distinct()
+    """The document of each component of near copies (five-word Jaccard of 0.8 or more) whose id names it."""
+    kept = ngram_jaccard(docs, **NEAR).where("component_id <=> doc_id").select("doc_id").distinct()
     return _of(docs, kept)
 
 

@@ -6,7 +6,8 @@ Every text becomes the set of its word n-grams. Two texts link when
 1. Equal sets are one node (128-bit fingerprint), so copies cost one row each.
 2. Candidates: sets that link differ in at most D n-grams, D from their sizes.
    Splitting the hash range into D + 1 parts, one part must be equal in both, so
-   only sets that share a part's signature can link. A passage, even one in most
+   only sets that share a part's signature can link. Of a set with D + 1 parts that
+   hold n-grams or more, the empty ones are no signatures. A passage, even one in most
    texts, gives no candidates unless a whole part agrees.
 3. Sets are partitioned into groups of similar ones: each goes to the smallest
    leader of its signatures' sets; large groups are cut into blocks of bounded
@@ -26,6 +27,7 @@ compared by their upper 48 bits.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import numpy as np
@@ -83,9 +85,22 @@ class Levels:
         while self.low[-1] < 1 << 40:
             self.low.append(max(self.low[-1] + 1, self.low[-1] * 3 // 2))
 
-    def parts(self, level: int) -> int:
+    def least(self, level: int) -> int:
+        """One more than the n-grams in which linked sets differ at most."""
         return (self.den - self.num) * 2 * (self.low[level + 1] - 1) // (self.den + self.num) + 1
 
+    def parts(self, level: int) -> int:
+        """As many as ``least`` and, where these are short (under six n-grams in a set), so many more that those left empty can be spared."""
+        m = least = self.least(level)
+        size = self.low[level] * self.num / self.den  # of the smallest sets
+        if 18 * (self.den - self.num) > self.den + self.num:
+            for _ in range(9):
+                empty = m * math.exp(-size / m)
+                m = least + math.ceil(empty + 3 * empty**0.5)
+                if m > 0.9 * self.low[level]:
+                    return least
+        return m
+
     def of(self, n: int) -> list[int]:
         """Its own band, and the next if a set in there can link."""
         level = bisect_right(self.low, n) - 1
@@ -106,7 +121,10 @@ def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
             width = (1 << 64) // m
             at = np.searchsorted(tokens, np.arange(1, m, dtype=np.uint64) * np.uint64(width))
             at = np.concatenate([[0], at, [len(tokens)]])
-            out.append(mix((total[at[1:]] - total[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64), 1000 + level)))
+            sig = mix((total[at[1:]] - total[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64), 1000 + level))
+            full = at[1:] > at[:-1]
+            # with as many full parts as that, one that is full in both sets agrees
+            out.append(sig[full] if full.sum() >= levels.least(level) else sig)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

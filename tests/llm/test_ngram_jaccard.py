@@ -94,6 +94,20 @@ def test_linked_sets_share_a_signature():
                 assert set(N.signatures(a, levels).tolist()) & set(N.signatures(b, levels).tolist())
 
 
+def test_empty_parts_make_no_candidates():
+    rng = np.random.default_rng(1)
+    levels = N.Levels(80, 100)
+    for n in (150, 500, 2000):
+        sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for _ in range(100)]
+        sigs = np.concatenate([np.unique(N.signatures(x, levels)) for x in sets])
+        assert len(sigs) - len(np.unique(sigs)) < 0.001 * len(sigs)
+        for x in sets[:20]:
+            cut = n // 9 - 1
+            for y in (x[np.sort(rng.permutation(len(x))[cut:])], np.unique(np.concatenate([x[cut:], rng.integers(0, 2**63, cut // 9).astype(np.uint64)]))):
+                both = len(np.intersect1d(x, y))
+                assert 100 * both >= 80 * (len(x) + len(y) - both) and set(N.signatures(x, levels).tolist()) & set(N.signatures(y, levels).tolist())
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (502, 500)], "a long, b long")
     roots = {r.node: r.root for r in N.components(edges).collect()}

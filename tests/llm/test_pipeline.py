@@ -36,6 +36,32 @@ def test_duplicates_and_junk_leave(docs, spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
 
 
+def jaccard(a, b, n):
+    x, y = ({tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_between_the_thresholds_leave(docs, spark):
+    rng = random.Random(1)
+    words, texts = [f"w{i}" for i in range(3000)], []
+    for size in (60, 100, 200, 201):
+        base = rng.sample(words, size)
+        for edits in range(7):
+            copy = list(base)
+            for at in rng.sample(range(2, size - 2), edits):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    low = list(range(len(texts)))
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if jaccard(texts[a], texts[b], 5) >= 0.8]
+    assert sum(jaccard(texts[a], texts[b], 3) < 0.9 for a, b in pairs) >= 5
+    for _ in texts:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    kept = C.near_duplicates(spark, docs(texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, c in enumerate(low) if c == i]
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_oracles_agree(spark, name):
     import duckdb
