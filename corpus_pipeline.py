@@ -22,6 +22,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Near copies share this part of their word n-grams at least; op1's own query has 3 words and 0.9.
 NEAR = {"n": 5, "num": 80, "den": 100}
+#: A line on more than this share of a source's pages is boilerplate: between chance repeats (24 of 500 pages of
+#: sf0.1 at most) and real boilerplate (43 of 500 at least); op5's own query has 0.1, as its SQL.
+LINE_RATIO = 0.06
 
 
 def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source."""
-    out = line_dedup(docs.select(*COLUMNS))
+    out = line_dedup(docs.select(*COLUMNS), ratio=LINE_RATIO)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

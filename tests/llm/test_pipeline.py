@@ -62,6 +62,14 @@ def test_near_copies_between_the_thresholds_leave(docs, spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, c in enumerate(low) if c == i]
 
 
+@pytest.mark.parametrize("pages", [16, 18, 20])
+def test_boilerplate_on_a_twelfth_of_a_site_leaves(docs, spark, pages):
+    rows = [(i, f"text {i} of site {s}" + "\nCookie notice" * (i % 200 < pages) + "\nchance repeat" * (i % 200 < 9), s) for i, s in ((i, f"s{i // 200}") for i in range(600))]
+    out = [r.text for r in C.dedup_lines(spark, docs(rows), "").collect()]
+    assert len(out) == 600 and not any("Cookie" in t for t in out)
+    assert sum("chance repeat" in t for t in out) == 27
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_oracles_agree(spark, name):
     import duckdb
