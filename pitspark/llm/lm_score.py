@@ -4,33 +4,46 @@ Words are tokens: the ``COMMON`` most frequent words of the corpus (counted over
 texts) have one each, all others share ``RARE`` tokens by hash. A small network predicts
 each token from two tokens on either side: their embeddings pass a tanh layer, which
 gives the token's class and, within it, the token (two softmaxes of about the square
-root of the vocabulary each). A text's score is the sum over its tokens of the log
-probability given both sides, each token masked in its turn.
+root of the vocabulary each). Within a shared token, a word has its share of the corpus'
+counts, and words that the corpus does not have count as one word that occurs once. A
+text's score is the sum over its words of the log probability given both sides, each
+masked in its turn.
+
+The counts of all words stay a table. Those from a frequency on, as many as fit in
+``NEAR``, are sent to the tasks; the other words of the texts are joined to the table.
 
 The network is trained in numpy where the data lies. In each of ``ROUNDS`` rounds every
 task goes through its share of the corpus with the current weights, learning from the
-positions that a hash assigns to the round (``1 / EVERY`` of all, other ones each round),
-and the tasks' weights are averaged by the number of positions. All texts take part;
-the driver sees the vocabulary and the averaged weights only, both of fixed size.
+positions that a hash assigns to the round (``1 / EVERY`` of all, other ones each round,
+so that ``ROUNDS`` rounds learn from every position once), and the tasks' weights are
+averaged by the number of positions. The driver sees the frequent words, how many words
+have each frequency, and the averaged weights only.
 
 Null and blank texts have no tokens and score 0. With no words at all nothing is learnt.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces
+from .common import Words, cut, mix, per_text, pieces
 
 SIDE = 32
 SIZE = SIDE * SIDE  # tokens, classes times members
 RARE = 128
 COMMON = SIZE - RARE - 1  # the last token is the empty place beyond a text's ends
 AROUND, WIDTH, HIDDEN = 2, 16, 16
-ROUNDS, EVERY = 2, 8
+ROUNDS, EVERY = 4, 4
+#: Words whose counts are sent to the tasks, 16 bytes each; the counts of others are joined.
+NEAR = 1 << 17
+#: Logarithms of counts are added up as whole numbers of this part, in any order alike.
+UNIT = 2.0**-32
 BATCH, STEP = 2048, 0.05
 CHUNK = 1 << 15
 PIECE = 512  # weights in a row when they are averaged
@@ -63,48 +76,55 @@ class Network:
         return net
 
     def forward(self, context: np.ndarray):
+        """Inputs, hidden values and, a column for each position, the log probability of each class."""
         x = self.w["embed"][context].reshape(len(context), -1)
         h = np.tanh(x @ self.w["inner"] + self.w["inner_b"])
-        return x, h, _log_softmax(h @ self.w["class"] + self.w["class_b"])
-
-    def _by_class(self, target: np.ndarray):
-        """Positions in the order of their class, and where each class begins."""
-        order = np.argsort(target // SIDE, kind="stable")
-        return order, np.searchsorted((target // SIDE)[order], np.arange(SIDE + 1))
+        return x, h, _log_softmax(self.w["class"].T @ h.T + self.w["class_b"][:, None])
+
+    def _members(self, h: np.ndarray, target: np.ndarray):
+        """Positions in the order of their class, where each class begins, their hidden values and, by columns, the log probability of each member."""
+        kind = (target // SIDE).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        begin = np.searchsorted(kind[order], np.arange(SIDE + 1))
+        h, z = h[order], np.empty((SIDE, len(target)), h.dtype)
+        for c in range(SIDE):
+            a, b = begin[c], begin[c + 1]
+            if a < b:
+                z[:, a:b] = self.w["member"][c].T @ h[a:b].T + self.w["member_b"][c][:, None]
+        return order, begin, h, _log_softmax(z)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         _, h, classes = self.forward(context)
-        out = classes[np.arange(len(target)), target // SIDE].astype(np.float64)
-        order, begin = self._by_class(target)
-        for c in range(SIDE):
-            at = order[begin[c] : begin[c + 1]]
-            if len(at):
-                members = _log_softmax(h[at] @ self.w["member"][c] + self.w["member_b"][c])
-                out[at] += members[np.arange(len(at)), target[at] % SIDE]
+        every = np.arange(len(target))
+        out = classes[target // SIDE, every].astype(np.float64)
+        order, _, _, members = self._members(h, target)
+        out[order] += members[target[order] % SIDE, every]
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        n = len(target)
+        n, every = len(target), np.arange(len(target))
         g = Network(np.zeros(self.size(), np.float32))
         x, h, classes = self.forward(context)
         d = np.exp(classes)
-        d[np.arange(n), target // SIDE] -= 1
+        d[target // SIDE, every] -= 1
+        d /= n
+        g.w["class"][:], g.w["class_b"][:] = h.T @ d.T, d.sum(1)
+        dh = d.T @ self.w["class"].T
+        order, begin, sorted_h, members = self._members(h, target)
+        d = np.exp(members)
+        d[target[order] % SIDE, every] -= 1
         d /= n
-        g.w["class"][:], g.w["class_b"][:] = h.T @ d, d.sum(0)
-        dh = d @ self.w["class"].T
-        order, begin = self._by_class(target)
+        part = np.empty_like(sorted_h)
         for c in range(SIDE):
-            at = order[begin[c] : begin[c + 1]]
-            if len(at):
-                d = np.exp(_log_softmax(h[at] @ self.w["member"][c] + self.w["member_b"][c]))
-                d[np.arange(len(at)), target[at] % SIDE] -= 1
-                d /= n
-                g.w["member"][c], g.w["member_b"][c] = h[at].T @ d, d.sum(0)
-                dh[at] += d @ self.w["member"][c].T
+            a, b = begin[c], begin[c + 1]
+            if a < b:
+                g.w["member"][c], g.w["member_b"][c] = (d[:, a:b] @ sorted_h[a:b]).T, d[:, a:b].sum(1)
+                part[a:b] = (self.w["member"][c] @ d[:, a:b]).T
+        dh[order] += part
         dh *= 1 - h * h
         g.w["inner"][:], g.w["inner_b"][:] = x.T @ dh, dh.sum(0)
         dx = (dh @ self.w["inner"].T).reshape(-1, WIDTH)
-        to = context.ravel()
+        to = context.ravel().astype(np.int16)
         order = np.argsort(to, kind="stable")
         used, first = np.unique(to[order], return_index=True)
         g.w["embed"][used] = np.add.reduceat(dx[order], first)
@@ -112,8 +132,10 @@ class Network:
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    """z, which is changed, as log probabilities of each column."""
+    z -= z.max(0)
+    z -= np.log(np.exp(z).sum(0))
+    return z
 
 
 def tokens(words: Words, known: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -137,8 +159,17 @@ def contexts(ids: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def vocabulary(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words' hashes, sorted, and their tokens (0: most frequent)."""
+class Counts(NamedTuple):
+    """How often words occur: sorted hashes and log counts of frequent ones, the table (word, n) of the others that occur twice or more, and the log count of each shared token, with one for words not seen."""
+
+    near: np.ndarray
+    log_n: np.ndarray
+    far: DataFrame
+    shared: np.ndarray
+
+
+def vocabulary(source: DataFrame) -> tuple[np.ndarray, np.ndarray, Counts]:
+    """The most frequent words' hashes, sorted, their tokens (0: most frequent), and the counts of all words."""
 
     def run(batches):
         for batch in batches:
@@ -151,10 +182,26 @@ def vocabulary(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 n = np.bincount(to, np.concatenate([n for _, n in all_h]), len(h)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    counts = source.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = np.array([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()], np.int64).view(np.uint64)
-    order = np.argsort(top)
-    return top[order], order.astype(np.int64)
+    counts = cut(source.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    top = np.array([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()], np.int64)
+    # frequencies, of which there are about as many as the root of the number of words
+    least, room = 2, NEAR
+    for row in counts.where("n > 1").groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        room -= row["words"]
+        if room < 0:
+            least = row["n"] + 1
+            break
+    near = np.array([tuple(r) for r in counts.where(F.col("n") >= least).collect()], np.int64).reshape(-1, 2)
+    near = near[np.argsort(near[:, 0].view(np.uint64))]
+    total = np.zeros(RARE, np.int64)
+    for row in counts.groupBy(F.col("word").bitwiseAND(RARE - 1).alias("token")).agg(F.sum("n").alias("n")).collect():
+        total[row["token"]] = row["n"]
+    for row in counts.where(F.col("word").isin(top.tolist())).collect() if len(top) else []:
+        total[row["word"] & (RARE - 1)] -= row["n"]
+    far = counts.where((F.col("n") > 1) & (F.col("n") < least))
+    known = top.view(np.uint64)
+    order = np.argsort(known)
+    return known[order], order.astype(np.int64), Counts(near[:, 0].copy().view(np.uint64), np.log(near[:, 1]), far, np.log1p(total))
 
 
 def _train(weights: np.ndarray, known: np.ndarray, token: np.ndarray, round_: int):
@@ -205,9 +252,9 @@ def _add(rows):
     return rows.head(1).assign(n=n, sum=[total.tobytes()])
 
 
-def train(source: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, sorted hashes of the known words and their tokens, from all texts of (.., text)."""
-    known, token = vocabulary(source)
+def train(source: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, Counts]:
+    """Weights, sorted hashes of the known words, their tokens and the counts of all words, from all texts of (.., text)."""
+    known, token, counts = vocabulary(source)
     weights = Network.fresh().flat
     spark = source.sparkSession
     for r in range(rounds):
@@ -220,16 +267,20 @@ def train(source: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
         parts = sums.groupBy("part").applyInPandas(_add, "part int, n long, sum binary").orderBy("part").collect()
         if parts:
             weights = np.concatenate([np.frombuffer(p["sum"]) / p["n"] for p in parts]).astype(np.float32)
-    return weights, known, token
+    return weights, known, token, counts
+
 
+SCORED = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("network", pa.float64()), ("near", pa.int64()), ("far", pa.binary())])
 
-def score(source: DataFrame, weights: np.ndarray, known: np.ndarray, token: np.ndarray) -> DataFrame:
+
+def score(source: DataFrame, weights: np.ndarray, known: np.ndarray, token: np.ndarray, counts: Counts) -> DataFrame:
     """(id, n_tokens, log_likelihood) for every row of (id, text)."""
-    shared = source.sparkSession.sparkContext.broadcast((weights, known, token))
+    shared = source.sparkSession.sparkContext.broadcast((weights, known, token, counts.near, counts.log_n, counts.shared))
 
     def run(batches):
-        weights, known, token = shared.value
-        net = Network(weights.copy())
+        weights, known, token, near, log_n, log_shared = shared.value
+        net, row = Network(weights.copy()), TaskContext.get().partitionId() << 40
+        units = np.rint(log_n / UNIT).astype(np.int64)
         for batch in batches:
             for piece in pieces(batch):
                 words = Words(piece.column("text"), lower=True)
@@ -237,12 +288,38 @@ def score(source: DataFrame, weights: np.ndarray, known: np.ndarray, token: np.n
                 each = np.zeros(len(ids) + 1)
                 for i in range(0, len(ids), CHUNK):
                     at = np.arange(i, min(i + CHUNK, len(ids)))
-                    each[at + 1] = net.log_probability(contexts(ids, words.bounds, at), ids[at])
-                total = np.cumsum(each)
-                sums = total[words.bounds[1:]] - total[words.bounds[:-1]]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(np.diff(words.bounds), pa.int64()), pa.array(np.where(np.diff(words.bounds) > 0, sums, 0.0))], names=["id", "n_tokens", "log_likelihood"])
-
-    return source.select("id", "text").mapInArrow(run, "id long, n_tokens long, log_likelihood double")
+                    each[at] = net.log_probability(contexts(ids, words.bounds, at), ids[at])
+                rare = np.flatnonzero((ids >= COMMON) & (ids < COMMON + RARE))
+                each[rare] -= log_shared[ids[rare] - COMMON]
+                h, doc = words.hashes()[rare], words.doc[rare]
+                n = len(piece)
+                add, here = np.zeros(len(ids), np.int64), np.zeros(len(rare), bool)
+                if len(near):
+                    at = np.minimum(np.searchsorted(near, h), len(near) - 1)
+                    here = near[at] == h
+                    add[rare[here]] = units[at[here]]
+                h, begin = h[~here], np.searchsorted(doc[~here], np.arange(n + 1))
+                some = np.diff(words.bounds) > 0
+                sums = np.where(some, np.add.reduceat(each, words.bounds[:-1]), 0.0)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(row + np.arange(n)), piece.column("id"), pa.array(np.diff(words.bounds), pa.int64()), pa.array(sums), pa.array(per_text(add, words.bounds)),
+                    pa.array([h[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary()),
+                ], schema=SCORED)
+                row += n
+
+    def explode(batches):
+        for batch in batches:
+            for piece in pieces(batch, "far", 4 << 20):
+                words = np.frombuffer(b"".join(piece.column("far").to_pylist()), np.int64)
+                row = np.repeat(np.asarray(piece.column("row"), np.int64), np.asarray(piece.column("size"), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(words)], names=["row", "word"])
+
+    scored = cut(source.select("id", "text").mapInArrow(run, "row long, id long, n_tokens long, network double, near long, far binary"), "scored")
+    rest = scored.where("length(far) > 0").select("row", "far", (F.length("far") / 8).cast("long").alias("size"))
+    rest = rest.mapInArrow(explode, "row long, word long").join(counts.far, "word")
+    rest = rest.groupBy(F.col("row").alias("_row")).agg(F.sum(F.rint(F.log("n") / UNIT).cast("long")).alias("_more"))
+    whole = F.col("near") + F.coalesce("_more", F.lit(0))
+    return scored.join(rest, scored["row"] == rest["_row"], "left").select("id", "n_tokens", (F.col("network") + whole * UNIT).alias("log_likelihood"))
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from pitspark.llm import lm_score as L
@@ -66,3 +67,34 @@ def test_edge_cases(docs):
     assert [out[i].n_tokens for i in range(7)] == [0, 0, 0, 1, 40_000, 2, 2] and out[5].log_likelihood == out[6].log_likelihood
     assert all(out[i].log_likelihood == 0 and out[i].per_token is None for i in range(3))
     assert L.lm_score(docs([])).count() == 0 and L.lm_score(docs([None])).count() == 1
+
+
+def test_every_position_is_learnt_from_once():
+    texts = pa.array([" ".join(f"w{i * k % 97}" for i in range(300)) for k in range(1, 40)])
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    n = 0
+    for r in range(L.ROUNDS):
+        parts = [b for b in L._train(L.Network.fresh().flat, *none, r)([pa.RecordBatch.from_arrays([texts], ["text"])])]
+        n += sum(b.column("n")[0].as_py() for b in parts)
+    assert n == 39 * 300
+
+
+@pytest.mark.parametrize("near", [L.NEAR, 0, 930])
+def test_rare_words_have_their_share_of_the_counts(docs, monkeypatch, near):
+    monkeypatch.setattr(L, "NEAR", near)
+    token = lambda w: int(Words(pa.array([w])).hashes()[0]) % L.RARE
+    same = [w for w in (f"r{i}" for i in range(9000)) if token(w) == 7][:4]
+    rng = random.Random(0)
+    common = [f"c{i}" for i in range(L.COMMON)] * 8
+    others = [f"o{i}" for i in range(40) if token(f"o{i}") != 7] * 4
+    rare = [same[0]] * 5 + [same[1]] * 2 + [same[2]]
+    words = common + others + rare
+    rng.shuffle(words)
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    model = L.train(docs(texts).select(F.col("doc_id").alias("id"), "text"))
+    test = docs([f"c1 c2 {w} c3 c4" for w in same] + [f"c1 {w} c3 {w} c4" for w in same[:2]])
+    got = [r.log_likelihood for r in sorted(L.score(test.select(F.col("doc_id").alias("id"), "text"), *model).collect())]
+    for i, n in enumerate([5, 2, 1, 1]):
+        assert abs(got[i] - got[3] - np.log(n)) < 1e-6
+    assert abs(got[4] - got[5] - 2 * np.log(5 / 2)) < 1e-6
+    assert abs(model[3].shared[7] - np.log(9)) < 1e-12
