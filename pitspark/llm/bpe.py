@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, pieces
+from .common import pieces
 
 #: Entries that a worker remembers of each kind; the recently used half stays when it is full.
 MEMO = 3 << 17
@@ -207,7 +207,7 @@ DIGESTS = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,29 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+#: What Spark hands to a Python worker at once, while an operator's own tables are written: whole texts can be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Bounds the rows and bytes of Arrow batches of what runs inside; the session's own settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
+    """Write df in small batches to the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,16 +67,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-#: Rows of text that Spark hands to a Python worker at once; whole texts can be long.
-BATCH_ROWS = 2_000
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, from whose session Python workers get at most BATCH_ROWS rows at once."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
-
-
 # ---------------------------------------------------------------- words of Arrow text
 
 _BLANK = np.zeros(256, bool)

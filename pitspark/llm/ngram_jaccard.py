@@ -9,20 +9,26 @@ Every text becomes the set of its word n-grams. Two texts link when
    only sets that share a part's signature can link. Of a set with D + 1 parts that
    hold n-grams or more, the empty ones are no signatures. A passage, even one in most
    texts, gives no candidates unless a whole part agrees.
-3. Sets are partitioned into groups of similar ones: each goes to the smallest
-   leader of its signatures' sets; large groups are cut into blocks of bounded
-   size. Groups with a signature in common are compared, by those of their sets that
-   have one in common with a set of about their size in the other.
-4. The matrix row of a group is its n-grams' union. For a candidate pair, the
-   overlap of each set with the other group's union bounds its similarity; only
-   sets that can still reach the threshold open the group and are compared.
-5. A pair of groups returns links that span its linked sets, not all pairs.
-   Components follow by alternating star contraction.
+3. Sets are partitioned into groups of similar ones: each goes to the set among those
+   with a signature of its own that shares most signatures with others, the hub of
+   what they vary. Large groups are cut into blocks of bounded size, the hub in each.
+   A group's sets are compared within it, and its row of the matrix, the union of their
+   n-grams, is stored.
+4. Sets that are linked so far are contracted. Where a signature still has sets of
+   several components, each of its sets asks the later groups: its overlap with a
+   group's union bounds its similarity to all that the group holds. Only groups that
+   it can still reach are opened and compared set by set.
+5. Comparisons return links that span the linked sets, not all pairs. Components
+   follow by alternating star contraction.
+
+A group of near copies of any size thus costs one comparison with its hub a set and a
+block's own comparisons, not all pairs of its blocks. No worker holds a signature's sets
+or a group's askers whole: they come in sorted runs, and askers are dealt in chunks.
 
 Nulls, texts without words and blank texts have an empty set: n_shingles 0, no
 links, their own component. Rows with the same id keep a row each; ids may be null
-(a component's id is its smallest non-null one). N-grams are told apart by 64-bit hashes, where sets are
-compared by their upper 48 bits.
+(a component's id is its smallest non-null one). N-grams are told apart by 64-bit
+hashes, texts as long as they are.
 """
 
 from __future__ import annotations
@@ -35,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, in_small_batches, mix, per_text, pieces, small
+from .common import Words, cut, mix, per_text, pieces, small
 
-#: A block of a group holds about so many sets and n-grams; larger groups are cut, none is left out.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
-#: The list of sets to open has about 100 bytes a row: up to so many it is broadcast, else joined by a shuffle.
+#: A block of a group holds about so many sets and n-grams, a chunk of askers so many sets; larger ones are cut, none is left out.
+BLOCK_SETS, BLOCK_TOKENS, CHUNK = 1024, 1 << 20, 1024
+#: The list of texts to read again has about 100 bytes a row: up to so many it is broadcast, else joined by a shuffle.
 OPEN_ROWS = 300_000
 
 
@@ -128,7 +134,7 @@ def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-BASE = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("node", pa.int64()), ("sigs", pa.binary())])
+BASE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("node", pa.int64()), ("sigs", pa.binary())])
 
 
 def _describe(n: int, num: int, den: int):
@@ -141,92 +147,63 @@ def _describe(n: int, num: int, den: int):
                 fps = fingerprints(tokens, bounds)
                 sigs = [signatures(tokens[a:b], levels).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 node = np.frombuffer(b"".join(fps), np.int64)[::2]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(fps, pa.binary()), pa.array(node), pa.array(sigs, pa.binary())], schema=BASE)
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), pa.array(np.diff(bounds), pa.int64()), pa.array(fps, pa.binary()), pa.array(node), pa.array(sigs, pa.binary())], schema=BASE)
 
     return run
 
 
-# ---------------------------------------------------------------- candidate groups
+# ---------------------------------------------------------------- candidates
+
+#: Nodes that a task remembers, so that copies give their signatures once.
+SEEN = 1 << 19
 
 
 def _explode(batches):
-    """(signature, node) once for each batch, however many copies it holds."""
+    """(signature, node) once for each node of a task, however many copies it holds."""
+    seen: set[int] = set()
     for batch in batches:
         for piece in pieces(batch, "sigs", 4 << 20):
-            sig = np.frombuffer(b"".join(piece.column("sigs").to_pylist()), np.int64)
-            node = np.repeat(np.asarray(piece.column("node"), np.int64), np.asarray(piece.column("size"), np.int64))
-            _, first = np.unique(sig.view(np.uint64) ^ mix(node.view(np.uint64)), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(node[first])], names=["sig", "node"])
-
-
-def _runs(batches):
-    """Rows of longs, sorted by the first, as arrays in which no value of it is cut, and where its runs begin."""
-    rest = None
-    for batch in batches:
-        rows = np.stack([np.asarray(c) for c in batch.columns], 1)
-        rows = rows if rest is None else np.concatenate([rest, rows])
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
-        rest = rows[last:]
-        if last:
-            yield rows[:last], np.flatnonzero(np.concatenate([[True], rows[1:last, 0] != rows[: last - 1, 0], [True]]))
-    if rest is not None and len(rest):
-        yield rest, np.array([0, len(rest)])
+            node = np.asarray(piece.column("node"), np.int64)
+            new = np.array([i for i in np.unique(node, return_index=True)[1].tolist() if int(node[i]) not in seen], np.int64)
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(node[new].tolist())
+            packed = piece.column("sigs").take(pa.array(new)).to_pylist()
+            sig = np.frombuffer(b"".join(packed), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(node[new], [len(x) // 8 for x in packed]).astype(np.int64))], names=["sig", "node"])
 
 
 def _shared(batches):
-    """(signature, node, leader) where a signature has several nodes; the leader is the smallest."""
-    for rows, edge in _runs(batches):
-        low, high = np.minimum.reduceat(rows[:, 1], edge[:-1]), np.maximum.reduceat(rows[:, 1], edge[:-1])
-        size = np.diff(edge)
-        keep = np.repeat(low < high, size)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[keep, 0]), pa.array(rows[keep, 1]), pa.array(np.repeat(low, size)[keep])], names=["sig", "node", "leader"])
-
-
-def _pair_groups(num: int, den: int):
-    """Rows (signature, group, node, size) come sorted by signature: (group, group, node) for the sets to compare, most of them once for a task."""
-
-    def near(n: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """How many of others have a size that can link with n."""
-        return np.searchsorted(others, n * den // num, "right") - np.searchsorted(others, -(-n * num // den), "left")
-
-    def run(batches):
-        seen: set = set()
-        for rows, edge in _runs(batches):
-            found = []
-            low, high = np.minimum.reduceat(rows[:, 2], edge[:-1]), np.maximum.reduceat(rows[:, 2], edge[:-1])
-            for i in np.flatnonzero(low < high):
-                part = rows[edge[i] : edge[i + 1], 1:]
-                part = part[np.unique(part[:, 1], return_index=True)[1]]
-                part = part[np.lexsort((part[:, 2], part[:, 0]))]
-                groups, at = np.unique(part[:, 0], return_index=True)
-                at = [*at.tolist(), len(part)]
-                for j, a in enumerate(groups.tolist()):
-                    mine = part[at[j] : at[j + 1]]
-                    for k in range(j, len(groups)):
-                        b, theirs = int(groups[k]), part[at[k] : at[k + 1]]
-                        if j == k:
-                            nodes = mine[near(mine[:, 2], mine[:, 2]) > 1, 1]
-                        else:
-                            nodes = np.concatenate([mine[near(mine[:, 2], theirs[:, 2]) > 0, 1], theirs[near(theirs[:, 2], mine[:, 2]) > 0, 1]])
-                        new = {(a, b, node) for node in nodes.tolist()} - seen
-                        seen |= new
-                        found += new
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["ga", "gb", "node"])
-            if len(seen) > 200_000:
-                seen.clear()
-
-    return run
+    """Rows (signature, node) come sorted: those whose signature has several nodes, once each. Only the last row is held."""
+    last = None  # and whether it went out
+    for batch in batches:
+        sig, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        if not len(sig):
+            continue
+        if last is not None:
+            sig, node = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], node])
+        out = last is not None and last[2]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[new], node[new]
+        same = sig[1:] == sig[:-1]
+        keep = np.zeros(len(sig), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        last = sig[-1], node[-1], bool(keep[-1]) or (out and len(sig) == 1)
+        keep[0] &= not out
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], names=["sig", "node"])
 
 
-# ---------------------------------------------------------------- opening groups
+# ---------------------------------------------------------------- groups
 
-OPEN = pa.schema([("ga", pa.int64()), ("gb", pa.int64()), ("gid", pa.int64()), ("fp", pa.binary()), ("tokens", pa.binary())])
+SETS = pa.schema([("gid", pa.int64()), ("node", pa.int64()), ("fp", pa.binary()), ("tokens", pa.binary())])
 
 
-def _open(n: int):
-    """The wanted sets' n-grams, made again from the text; a row whose id fits but whose set doesn't is left.
+def _read(n: int):
+    """The wanted sets' n-grams, made again from the text; a row whose key fits but whose set doesn't is left.
 
-    The rows of a text for several pairs of groups follow each other: its n-grams are made once.
+    The rows of a text for several groups follow each other: its n-grams are made once.
     """
 
     def run(batches):
@@ -238,35 +215,21 @@ def _open(n: int):
                 tokens, bounds = token_sets(Words(piece.column("text").filter(pa.array(new)), lower=True), n)
                 made, of = fingerprints(tokens, bounds), np.cumsum(new) - 1
                 keep = pa.array([i for i, fp in enumerate(fps) if made[of[i]] == fp], pa.int64())
-                sets = [_packed(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(keep) for c in ("ga", "gb", "gid", "fp")), pa.array([sets[of[i]] for i in keep.to_pylist()], pa.binary())], schema=OPEN)
+                sets = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(keep) for c in ("gid", "node", "fp")), pa.array([sets[of[i]] for i in keep.to_pylist()], pa.binary())], schema=SETS)
 
     return run
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, in six bytes."""
-    return (tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 class Group:
     """A row of the matrix: the sets of a group and their union."""
 
-    def __init__(self, fps: list[bytes], sets: list[np.ndarray]):
-        self.fps, self.sets, self.size = fps, sets, np.array([len(x) for x in sets])
-        self.flat = np.concatenate(sets)
-        self.bounds = np.concatenate([[0], np.cumsum(self.size)])
-        self.union = self.flat if len(sets) == 1 else np.unique(self.flat)
+    def __init__(self, sets: dict[bytes, np.ndarray]):
+        self.fps, self.sets = list(sets), list(sets.values())
+        self.size = np.array([len(x) for x in self.sets])
 
-    def overlap(self, other: Group) -> np.ndarray:
-        """How many n-grams of each set are in the other group's union."""
-        return per_text(_member(self.flat, other.union).astype(np.int64), self.bounds)
+    def union(self) -> np.ndarray:
+        return self.sets[0] if len(self.sets) == 1 else np.unique(np.concatenate(self.sets))
 
 
 def _member(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -300,63 +263,86 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def linked(a: Group, b: Group | None, num: int, den: int) -> list[tuple[bytes, bytes]]:
     """Links that span the linked sets of two groups, or of one (b: None)."""
-    if b is None:
-        qa = qb = np.arange(len(a.sets))
-    else:
-        qa, qb = np.flatnonzero(den * a.overlap(b) >= num * a.size), np.flatnonzero(den * b.overlap(a) >= num * b.size)
-    if not len(qa) or not len(qb):
-        return []
     other = b or a
-    sets_a, sets_b = [a.sets[i] for i in qa], [other.sets[i] for i in qb]
-    both = shared_counts(sets_a, sets_b)
-    union = a.size[qa][:, None] + other.size[qb][None, :] - both
-    link = den * both >= num * union
-    todo_a, todo_b, out = np.ones(len(qa), bool), np.ones(len(qb), bool), []
+    both = shared_counts(a.sets, other.sets)
+    link = den * both >= num * (a.size[:, None] + other.size[None, :] - both)
     if b is None:
         np.fill_diagonal(link, False)
-    for i in range(len(qa)):
+    todo_a, todo_b, out = np.ones(len(a.sets), bool), np.ones(len(other.sets), bool), []
+    for i in range(len(a.sets)):
         if not todo_a[i]:
             continue
         todo_a[i] = False
-        root, front = a.fps[qa[i]], np.array([i])
+        root, front = a.fps[i], np.array([i])
         while len(front):
             new_b = link[front].any(0) & todo_b
-            out += [(root, other.fps[qb[j]]) for j in np.flatnonzero(new_b)]
+            out += [(root, other.fps[j]) for j in np.flatnonzero(new_b)]
             todo_b &= ~new_b
             new_a = (new_b if b is None else link[:, new_b].any(1)) & todo_a
             if b is not None:
-                out += [(root, a.fps[qa[j]]) for j in np.flatnonzero(new_a)]
+                out += [(root, a.fps[j]) for j in np.flatnonzero(new_a)]
             todo_a &= ~new_a
             front = np.flatnonzero(new_a)
     return out
 
 
-def _verify(num: int, den: int):
-    """Rows come sorted by pair of groups."""
+def _runs(batches, keys: int):
+    """(key, rows) for the runs of rows, as lists, that agree in their first columns; a run may come in several batches."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield key, rows
+
+
+MATRIX = pa.schema([("gid", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("tokens", pa.binary())])
+
 
-    def close(key, rows):
-        sides = {g: {} for g in key}
-        for g, fp, tokens in rows:
-            sides[g][fp] = _unpacked(tokens)
-        if not all(sides.values()):
-            return []
-        a, b = (Group(list(sides[g]), list(sides[g].values())) for g in key)
-        return linked(a, b if key[0] != key[1] else None, num, den)
+def _inside(num: int, den: int):
+    """Rows (group, fp, n-grams) come sorted by group: the links within it, and its union."""
 
     def run(batches):
-        key, rows, found = None, [], []
+        for (gid,), rows in _runs(batches, 1):
+            group = Group({fp: np.frombuffer(tokens, np.uint64) for fp, tokens in rows})
+            links = linked(group, None, num, den)
+            a, b = [a for a, _ in links] + [None], [b for _, b in links] + [None]
+            yield pa.RecordBatch.from_arrays([pa.array([gid] * len(a)), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([None] * len(links) + [group.union().tobytes()], pa.binary())], schema=MATRIX)
+
+    return run
+
+
+def _bound(num: int, den: int):
+    """Rows (group, chunk, asks, node, n-grams) come sorted, the union first: the askers whose overlap with it can reach the threshold."""
+
+    def run(batches):
+        key = union = None
         for batch in batches:
-            ga, gb, gid, fp, tokens = (batch.column(i) for i in range(5))
-            for row in zip(ga.to_pylist(), gb.to_pylist(), gid.to_pylist(), fp.to_pylist(), tokens.to_pylist()):
-                if row[:2] != key:
-                    found += close(key, rows) if key else []
-                    key, rows = row[:2], []
-                rows.append(row[2:])
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
             found = []
-        if key:
-            found = close(key, rows)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+            for gid, chunk, asks, node, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if not asks:
+                    key, union = (gid, chunk), np.frombuffer(tokens, np.uint64)
+                elif key == (gid, chunk):
+                    x = np.frombuffer(tokens, np.uint64)
+                    if den * int(_member(x, union).sum()) >= num * len(x):
+                        found.append((gid, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(2)], names=["gid", "node"])
+
+    return run
+
+
+def _across(num: int, den: int):
+    """Rows (group, chunk, asks, fp, n-grams) come sorted by group and chunk: links of the askers with the group's sets."""
+
+    def run(batches):
+        for _, rows in _runs(batches, 2):
+            sides = [{fp: np.frombuffer(tokens, np.uint64) for asks, fp, tokens in rows if asks == side} for side in (True, False)]
+            links = linked(*map(Group, sides), num, den) if all(sides) else []
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.binary()) for c in range(2)], names=["a", "b"])
 
     return run
 
@@ -392,30 +378,73 @@ def components(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
+def _led(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fp, node, key, n, leader): for each set with company the one, of those with a signature of its own, that shares most signatures."""
+    ranks = shared.groupBy("node").agg(F.count("*").alias("rank"))
+    ranked = shared.join(ranks, "node").select("sig", "node", F.struct("rank", "node").alias("who"))
+    first = ranked.groupBy("sig").agg(F.max("who").alias("first"))
+    leaders = shared.join(first, "sig").groupBy("node").agg(F.max("first").alias("first"))
+    return nodes.join(leaders, "node").select("fp", "node", "key", "n", F.col("first.node").alias("leader"))
+
+
+def _grouped(led: DataFrame) -> DataFrame:
+    """led with the block of its leader's group that each set is in."""
+    heavy = led.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    heavy = small(cut(heavy.select("leader", blocks.alias("blocks")).where("blocks > 1"), "heavy"))
+    gid = F.when(F.col("blocks") > 1, F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("blocks")))).otherwise(F.col("leader"))
+    return led.join(heavy, "leader", "left").select("fp", "node", "key", "n", "leader", gid.alias("gid"))
+
+
+def _asked(shared: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(gid, node): the groups that a set must ask. Where a signature's sets have one component nothing is left to ask.
+
+    A set asks groups after its own only: of two linked sets in two groups, one asks.
+    """
+    rows = shared.join(placed.select("node", "n", "gid", "root"), "node")
+    several = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
+    rows = cut(rows.join(several, "sig"), "several")
+    groups = rows.groupBy("sig", F.col("gid").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    fits = (F.col("n") * den >= F.col("least") * num) & (F.col("most") * den >= F.col("n") * num)
+    new = (F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))
+    return rows.join(groups, "sig").where((F.col("gid") < F.col("g")) & fits & new).select(F.col("g").alias("gid"), "node").distinct()
+
+
+def _chunked(asked: DataFrame, sets: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    """What each group holds, and its askers, both dealt and sorted by group and chunk, what is held first."""
+    chunks = asked.groupBy("gid").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    asks = asked.join(chunks, "gid").join(sets.drop("gid").dropDuplicates(["node", "fp"]), "node")
+    asks = asks.select("gid", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"), *columns)
+    held = held.join(chunks, "gid").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    held = held.select("gid", "chunk", F.lit(False).alias("asks"), *columns)
+    return held.unionByName(asks).repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "asks")
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of docs: the id, ``n_shingles`` and ``component_id``, the smallest id reached by links."""
-    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = cut(source.mapInArrow(_describe(n, num, den), "id long, n long, fp binary, node long, sigs binary"), "sets")
-    nodes = cut(base.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("node").alias("node")), "nodes")
-
-    signed = base.where("length(sigs) > 0").select("sigs", (F.length("sigs") / 8).cast("long").alias("size"), "node")
-    rows = signed.mapInArrow(_explode, "sig long, node long").repartition("sig").sortWithinPartitions("sig")
-    shared = cut(rows.mapInArrow(_shared, "sig long, node long, leader long"), "shared")
-    leaders = shared.groupBy("node").agg(F.min("leader").alias("leader"))
-    led = cut(nodes.join(leaders, "node"), "led")
-    heavy = led.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    heavy = heavy.select("leader", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks")).where("blocks > 1")
-    gid = F.when(F.col("blocks") > 1, F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("blocks")))).otherwise(F.col("leader")).alias("gid")
-    grouped = small(cut(led.join(small(cut(heavy, "heavy")), "leader", "left").select("fp", "id", "node", "n", gid), "grouped"), OPEN_ROWS)
-    rows = shared.select("sig", "node").join(grouped, "node").select("sig", "gid", "node", "n")
-    pairs = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pair_groups(num, den), "ga long, gb long, node long").distinct()
-    wanted = small(cut(pairs.join(grouped, "node").select("ga", "gb", "gid", "id", "fp"), "wanted"), OPEN_ROWS)
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("text", "ga", "gb", "gid", "fp")
-    members = texts.mapInArrow(_open(n), "ga long, gb long, gid long, fp binary, tokens binary")
-    members = members.repartition("ga", "gb").sortWithinPartitions("ga", "gb")
-    edges = members.mapInArrow(_verify(num, den), "a binary, b binary")
-
-    roots = components(edges)
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    base = cut(source.mapInArrow(_describe(n, num, den), "id long, key long, n long, fp binary, node long, sigs binary"), "sets")
+    nodes = cut(base.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("node").alias("node")), "nodes")
+
+    rows = base.where("length(sigs) > 0").select("sigs", "node").mapInArrow(_explode, "sig long, node long")
+    shared = cut(rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "shared")
+    grouped = cut(_grouped(cut(_led(shared, nodes), "led")), "grouped")
+    # a leader's own group may be another's: it joins each block of its own
+    heads = grouped.select(F.col("leader").alias("node"), "gid").distinct().join(nodes.select("node", "fp", "key"), "node")
+    wanted = small(cut(grouped.select("gid", "node", "fp", "key").unionByName(heads.select("gid", "node", "fp", "key")).distinct(), "wanted"), OPEN_ROWS)
+    sets = cut(source.select("key", "text").join(wanted, "key").select("text", "gid", "node", "fp").mapInArrow(_read(n), "gid long, node long, fp binary, tokens binary"), "members")
+    inside = sets.select("gid", "fp", "tokens").repartition("gid").sortWithinPartitions("gid")
+    matrix = cut(inside.mapInArrow(_inside(num, den), "gid long, a binary, b binary, tokens binary"), "matrix")
+    roots = components(matrix.where("a is not null").select("a", "b"))
+
+    placed = cut(grouped.join(roots, grouped["fp"] == roots["node"], "left").select(grouped["node"], "n", "gid", F.coalesce("root", "fp").alias("root")), "placed")
+    asked = cut(_asked(shared, placed, num, den), "asked")
+    unions = matrix.where("a is null").select("gid", F.lit(0).cast("long").alias("node"), "tokens")
+    reach = cut(_chunked(asked, sets, unions, ["node", "tokens"]).mapInArrow(_bound(num, den), "gid long, node long"), "reach")
+    opened = _chunked(reach, sets, sets, ["fp", "tokens"]).mapInArrow(_across(num, den), "a binary, b binary")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(opened))
+
     named = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = cut(named.join(cut(lowest, "lowest"), "root").select("fp", "component_id"), "labels")
