@@ -12,8 +12,10 @@ Every text becomes the set of its word n-grams. Two texts link when
 3. Sets are partitioned into groups of similar ones: each goes to the set among those
    with a signature of its own that shares most signatures with others, the hub of
    what they vary. Large groups are cut into blocks of bounded size, the hub in each.
-   A group's sets are compared within it, and its row of the matrix, the union of their
-   n-grams, is stored.
+   A group's row of the matrix, the union of its n-grams, is stored; a fixed part of the
+   hash range does, as linked sets miss few n-grams of each other in any part. By that
+   part, sets of a group that can't link to any other in it drop out; the others are
+   opened and compared.
 4. Sets that are linked so far are contracted. Where a signature still has sets of
    several components, each of its sets asks the later groups: its overlap with a
    group's union bounds its similarity to all that the group holds. Only groups that
@@ -38,7 +40,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cut, mix, per_text, pieces, small
@@ -134,20 +136,17 @@ def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-BASE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("node", pa.int64()), ("sigs", pa.binary())])
+BASE = pa.schema([("id", pa.int64()), ("row", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("node", pa.int64())])
 
 
-def _describe(n: int, num: int, den: int):
+def _describe(n: int):
     def run(batches):
-        levels = Levels(num, den)
         for batch in batches:
             for piece in pieces(batch):
-                words = Words(piece.column("text"), lower=True)
-                tokens, bounds = token_sets(words, n)
+                tokens, bounds = token_sets(Words(piece.column("text"), lower=True), n)
                 fps = fingerprints(tokens, bounds)
-                sigs = [signatures(tokens[a:b], levels).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 node = np.frombuffer(b"".join(fps), np.int64)[::2]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), pa.array(np.diff(bounds), pa.int64()), pa.array(fps, pa.binary()), pa.array(node), pa.array(sigs, pa.binary())], schema=BASE)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("id", "row", "key")), pa.array(np.diff(bounds), pa.int64()), pa.array(fps, pa.binary()), pa.array(node)], schema=BASE)
 
     return run
 
@@ -158,19 +157,23 @@ def _describe(n: int, num: int, den: int):
 SEEN = 1 << 19
 
 
-def _explode(batches):
-    """(signature, node) once for each node of a task, however many copies it holds."""
-    seen: set[int] = set()
-    for batch in batches:
-        for piece in pieces(batch, "sigs", 4 << 20):
-            node = np.asarray(piece.column("node"), np.int64)
-            new = np.array([i for i in np.unique(node, return_index=True)[1].tolist() if int(node[i]) not in seen], np.int64)
-            if len(seen) > SEEN:
-                seen.clear()
-            seen.update(node[new].tolist())
-            packed = piece.column("sigs").take(pa.array(new)).to_pylist()
-            sig = np.frombuffer(b"".join(packed), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(node[new], [len(x) // 8 for x in packed]).astype(np.int64))], names=["sig", "node"])
+def _signed(n: int, num: int, den: int):
+    """Texts to (signature, node), once for each node of a task, however many copies it holds."""
+
+    def run(batches):
+        levels, seen = Levels(num, den), set()
+        for batch in batches:
+            for piece in pieces(batch):
+                tokens, bounds = token_sets(Words(piece.column("text"), lower=True), n)
+                node = np.frombuffer(b"".join(fingerprints(tokens, bounds)), np.int64)[::2].tolist()
+                sigs = {x: signatures(tokens[a:b], levels) for x, a, b in zip(node, bounds[:-1], bounds[1:]) if a < b and x not in seen}
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(sigs)
+                sig = np.concatenate([np.zeros(0, np.uint64), *sigs.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.fromiter(sigs, np.int64, len(sigs)), np.array([len(x) for x in sigs.values()], np.int64)))], names=["sig", "node"])
+
+    return run
 
 
 def _shared(batches):
@@ -197,11 +200,13 @@ def _shared(batches):
 
 # ---------------------------------------------------------------- groups
 
-SETS = pa.schema([("gid", pa.int64()), ("node", pa.int64()), ("fp", pa.binary()), ("tokens", pa.binary())])
+def _limit(num: int, den: int) -> np.uint64:
+    """The end of the part of the hash range that bounds are taken from: sets that link agree in half of it at least."""
+    return np.uint64(min((1 << 64) - 1, (1 << 65) * (den - num) // den))
 
 
-def _read(n: int):
-    """The wanted sets' n-grams, made again from the text; a row whose key fits but whose set doesn't is left.
+def _read(n: int, keys: list[str], limit: np.uint64 | None = None):
+    """The wanted sets' sizes and n-grams (below the limit), made again from the text; a row whose key fits but whose set doesn't is left.
 
     The rows of a text for several groups follow each other: its n-grams are made once.
     """
@@ -215,8 +220,12 @@ def _read(n: int):
                 tokens, bounds = token_sets(Words(piece.column("text").filter(pa.array(new)), lower=True), n)
                 made, of = fingerprints(tokens, bounds), np.cumsum(new) - 1
                 keep = pa.array([i for i, fp in enumerate(fps) if made[of[i]] == fp], pa.int64())
-                sets = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(keep) for c in ("gid", "node", "fp")), pa.array([sets[of[i]] for i in keep.to_pylist()], pa.binary())], schema=SETS)
+                sets = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+                if limit is not None:
+                    sets = [x[: np.searchsorted(x, limit)] for x in sets]
+                packed, size = [x.tobytes() for x in sets], np.diff(bounds)
+                of = of[np.asarray(keep)]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(keep) for c in keys), pa.array(size[of], pa.int64()), pa.array([packed[i] for i in of.tolist()], pa.binary())], names=[*keys, "n", "tokens"])
 
     return run
 
@@ -228,9 +237,6 @@ class Group:
         self.fps, self.sets = list(sets), list(sets.values())
         self.size = np.array([len(x) for x in self.sets])
 
-    def union(self) -> np.ndarray:
-        return self.sets[0] if len(self.sets) == 1 else np.unique(np.concatenate(self.sets))
-
 
 def _member(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     at = np.searchsorted(sorted_set, x)
@@ -251,9 +257,9 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """The intersection size of each set of a with each of b."""
     if len(a) == 1 and len(b) == 1:
         x, y = (a[0], b[0]) if len(a[0]) <= len(b[0]) else (b[0], a[0])
-        return np.array([[int(_member(x, y).sum())]])
+        return np.array([[int(_member(x, y).sum()) if len(y) else 0]])
     union_a, union_b = np.unique(np.concatenate(a)), np.unique(np.concatenate(b))
-    columns = union_a[_member(union_a, union_b)]
+    columns = union_a[_member(union_a, union_b)] if len(union_b) else union_b
     out = np.zeros((len(a), len(b)), np.float32)
     for i in range(0, len(columns), 4096):
         part = columns[i : i + 4096]
@@ -300,41 +306,56 @@ def _runs(batches, keys: int):
         yield key, rows
 
 
-MATRIX = pa.schema([("gid", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("tokens", pa.binary())])
+MATRIX = pa.schema([("gid", pa.int64()), ("node", pa.int64()), ("tokens", pa.binary())])
 
 
-def _inside(num: int, den: int):
-    """Rows (group, fp, n-grams) come sorted by group: the links within it, and its union."""
+def _matrix(num: int, den: int):
+    """Rows (group, node, size, n-grams of the part) come sorted by group: its union, and the sets that may link to another in it."""
 
     def run(batches):
         for (gid,), rows in _runs(batches, 1):
-            group = Group({fp: np.frombuffer(tokens, np.uint64) for fp, tokens in rows})
-            links = linked(group, None, num, den)
-            a, b = [a for a, _ in links] + [None], [b for _, b in links] + [None]
-            yield pa.RecordBatch.from_arrays([pa.array([gid] * len(a)), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([None] * len(links) + [group.union().tobytes()], pa.binary())], schema=MATRIX)
+            sets = {node: (n, np.frombuffer(tokens, np.uint64)) for node, n, tokens in rows}
+            part = [x for _, x in sets.values()]
+            whole, size = np.array([n for n, _ in sets.values()]), np.array([len(x) for x in part])
+            apart = size[:, None] + size[None, :] - 2 * shared_counts(part, part)
+            near = (den + num) * apart <= (den - num) * (whole[:, None] + whole[None, :])
+            node = [x for x, ok in zip(sets, near.sum(1) > 1) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array([gid] * (len(node) + 1)), pa.array([None, *node], pa.int64()), pa.array([np.unique(np.concatenate(part)).tobytes()] + [None] * len(node), pa.binary())], schema=MATRIX)
 
     return run
 
 
 def _bound(num: int, den: int):
-    """Rows (group, chunk, asks, node, n-grams) come sorted, the union first: the askers whose overlap with it can reach the threshold."""
+    """Rows (group, chunk, asks, node, size, n-grams of the part) come sorted, the union first: the askers that miss few enough of theirs in it."""
 
     def run(batches):
         key = union = None
         for batch in batches:
             found = []
-            for gid, chunk, asks, node, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for gid, chunk, asks, node, n, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if not asks:
                     key, union = (gid, chunk), np.frombuffer(tokens, np.uint64)
                 elif key == (gid, chunk):
                     x = np.frombuffer(tokens, np.uint64)
-                    if den * int(_member(x, union).sum()) >= num * len(x):
+                    missing = len(x) - (int(_member(x, union).sum()) if len(union) else 0)
+                    if den * missing <= (den - num) * n:
                         found.append((gid, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(2)], names=["gid", "node"])
 
     return run
 
 
+def _inside(num: int, den: int):
+    """Rows (group, fp, n-grams) come sorted by group: the links within it."""
+
+    def run(batches):
+        for _, rows in _runs(batches, 1):
+            links = linked(Group({fp: np.frombuffer(tokens, np.uint64) for fp, tokens in rows}), None, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.binary()) for c in range(2)], names=["a", "b"])
+
+    return run
+
+
 def _across(num: int, den: int):
     """Rows (group, chunk, asks, fp, n-grams) come sorted by group and chunk: links of the askers with the group's sets."""
 
@@ -410,43 +431,80 @@ def _asked(shared: DataFrame, placed: DataFrame, num: int, den: int) -> DataFram
     return rows.join(groups, "sig").where((F.col("gid") < F.col("g")) & fits & new).select(F.col("g").alias("gid"), "node").distinct()
 
 
-def _chunked(asked: DataFrame, sets: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
-    """What each group holds, and its askers, both dealt and sorted by group and chunk, what is held first."""
-    chunks = asked.groupBy("gid").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    asks = asked.join(chunks, "gid").join(sets.drop("gid").dropDuplicates(["node", "fp"]), "node")
-    asks = asks.select("gid", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"), *columns)
-    held = held.join(chunks, "gid").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    held = held.select("gid", "chunk", F.lit(False).alias("asks"), *columns)
-    return held.unionByName(asks).repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "asks")
+def _chunks(asked: DataFrame) -> DataFrame:
+    """(gid, chunks): into how many chunks a group's askers are dealt."""
+    return small(cut(asked.groupBy("gid").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks"))
+
 
+def _asker(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    return asked.join(chunks, "gid").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("asks", F.lit(True)).drop("chunks")
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One row per row of docs: the id, ``n_shingles`` and ``component_id``, the smallest id reached by links."""
+
+def _held(chunks: DataFrame, groups: DataFrame) -> DataFrame:
+    """What groups hold, once for each chunk of their askers."""
+    held = groups.join(chunks, "gid").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return held.withColumn("asks", F.lit(False)).drop("chunks")
+
+
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, row: Column | None = None) -> DataFrame:
+    """One row per row of docs: the id, ``n_shingles`` and ``component_id``, the smallest id reached by links.
+
+    ``row``: a binary key of a row, carried along as column ``row``, with ``first``, true on one row of each component
+    (of the smallest id, nulls last, then of the smallest key) and on every row without words; equal keys are one row.
+    """
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text"))
-    base = cut(source.mapInArrow(_describe(n, num, den), "id long, key long, n long, fp binary, node long, sigs binary"), "sets")
+    own = F.lit(None).cast("binary") if row is None else row
+    source = docs.select(F.col(id_col).cast("long").alias("id"), own.alias("row"), key.alias("key"), F.col(text_col).alias("text"))
+    base = cut(source.mapInArrow(_describe(n), "id long, row binary, key long, n long, fp binary, node long"), "sets")
     nodes = cut(base.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("node").alias("node")), "nodes")
 
-    rows = base.where("length(sigs) > 0").select("sigs", "node").mapInArrow(_explode, "sig long, node long")
+    # made from the texts again: written down, they would be longer than these
+    rows = source.select("text").mapInArrow(_signed(n, num, den), "sig long, node long")
     shared = cut(rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "shared")
     grouped = cut(_grouped(cut(_led(shared, nodes), "led")), "grouped")
     # a leader's own group may be another's: it joins each block of its own
     heads = grouped.select(F.col("leader").alias("node"), "gid").distinct().join(nodes.select("node", "fp", "key"), "node")
-    wanted = small(cut(grouped.select("gid", "node", "fp", "key").unionByName(heads.select("gid", "node", "fp", "key")).distinct(), "wanted"), OPEN_ROWS)
-    sets = cut(source.select("key", "text").join(wanted, "key").select("text", "gid", "node", "fp").mapInArrow(_read(n), "gid long, node long, fp binary, tokens binary"), "members")
-    inside = sets.select("gid", "fp", "tokens").repartition("gid").sortWithinPartitions("gid")
-    matrix = cut(inside.mapInArrow(_inside(num, den), "gid long, a binary, b binary, tokens binary"), "matrix")
-    roots = components(matrix.where("a is not null").select("a", "b"))
-
+    heads = heads.join(grouped.select("gid", "node"), ["gid", "node"], "left_anti").select("gid", "node", "fp", "key", F.lit(False).alias("home"))
+    members = cut(grouped.select("gid", "node", "fp", "key", F.lit(True).alias("home")).unionByName(heads), "members")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        return source.select("key", "text").join(small(wanted, OPEN_ROWS), "key")
+
+    # the matrix, and links within groups
+    part = texts(members).mapInArrow(_read(n, ["gid", "node", "home"], _limit(num, den)), "gid long, node long, home boolean, n long, tokens binary")
+    part = cut(part, "part")
+    dealt = part.select("gid", "node", "n", "tokens").repartition("gid").sortWithinPartitions("gid")
+    matrix = cut(dealt.mapInArrow(_matrix(num, den), "gid long, node long, tokens binary"), "matrix")
+    opened = cut(members.join(matrix.where("node is not null").select("gid", "node"), ["gid", "node"], "left_semi").select("gid", "fp", "key"), "opened")
+    sets = texts(opened).mapInArrow(_read(n, ["gid", "fp"]), "gid long, fp binary, n long, tokens binary").drop("n")
+    links = sets.repartition("gid").sortWithinPartitions("gid").mapInArrow(_inside(num, den), "a binary, b binary")
+    roots = components(links)
+
+    # links across groups
     placed = cut(grouped.join(roots, grouped["fp"] == roots["node"], "left").select(grouped["node"], "n", "gid", F.coalesce("root", "fp").alias("root")), "placed")
     asked = cut(_asked(shared, placed, num, den), "asked")
-    unions = matrix.where("a is null").select("gid", F.lit(0).cast("long").alias("node"), "tokens")
-    reach = cut(_chunked(asked, sets, unions, ["node", "tokens"]).mapInArrow(_bound(num, den), "gid long, node long"), "reach")
-    opened = _chunked(reach, sets, sets, ["fp", "tokens"]).mapInArrow(_across(num, den), "a binary, b binary")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(opened))
+    chunks = _chunks(asked)
+    asks = part.where("home").drop("gid", "home").join(small(asked, OPEN_ROWS), "node")
+    unions = matrix.where("node is null").select("gid", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), "tokens")
+    rows = _held(chunks, unions).unionByName(_asker(chunks, asks)).select("gid", "chunk", "asks", "node", "n", "tokens")
+    rows = rows.repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "asks")
+    reach = cut(rows.mapInArrow(_bound(num, den), "gid long, node long"), "reach")
+    chunks = _chunks(reach)
+    asks = _asker(chunks, reach).join(members.where("home").select("node", "fp", "key"), "node")
+    opened = cut(_held(chunks, members).unionByName(asks, allowMissingColumns=True).select("gid", "chunk", "asks", "fp", "key"), "opened")
+    sets = texts(opened).mapInArrow(_read(n, ["gid", "chunk", "asks", "fp"]), "gid long, chunk long, asks boolean, fp binary, n long, tokens binary").drop("n")
+    links = sets.repartition("gid", "chunk").sortWithinPartitions("gid", "chunk").mapInArrow(_across(num, den), "a binary, b binary")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
     named = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = cut(named.join(cut(lowest, "lowest"), "root").select("fp", "component_id"), "labels")
-    out = base.select("id", "n", "fp").join(labels, "fp", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = cut(named.join(cut(lowest, "lowest"), "root").select("fp", "component_id", "root"), "labels")
+    out = base.select("id", "row", "n", "fp").join(labels, "fp", "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    told = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component]
+    if row is None:
+        return out.select(*told)
+    out = cut(out.select(*told, "row", "root"), "rows")
+    leads = out.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "row")).alias("lead"))
+    leads = leads.select(F.col("lead.row").alias("_row")).distinct()
+    return out.join(leads, out["row"] == leads["_row"], "left").select(id_col, "n_shingles", "component_id", "row", (F.col("root").isNull() | F.col("_row").isNotNull()).alias("first"))
