@@ -8,7 +8,9 @@ encoded together, come out unchanged, so it is enough that the window's first an
 last token leave theirs alone. Encodings of short byte strings and the verdicts on
 neighbours are remembered, within a bound. Decoding concatenates up the same tree.
 
-Null and empty texts have no tokens. Whole texts are read, however long.
+Null and empty texts have no tokens. Whole texts are read, however long. Every row is
+encoded by itself: repeated rows and ids (null ones too) have a row each, an empty table
+gives an empty result, columns of any other name don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import cut, pieces
 
 #: Entries that a worker remembers of each kind; the recently used half stays when it is full.
 MEMO = 3 << 17
@@ -230,4 +232,4 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The digests of bpe_encode, then bpe_decode, for every row: the three steps in one worker, piece by piece."""
     encode, decode = _encode(vocabulary, pattern), _decode(vocabulary, pattern)
-    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: _digest(decode(encode(batches))), DIGESTS).withColumnRenamed("id", id_col)
+    return cut(_texts(docs, id_col, text_col).mapInArrow(lambda batches: _digest(decode(encode(batches))), DIGESTS), "digests").withColumnRenamed("id", id_col)

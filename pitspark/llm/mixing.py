@@ -9,22 +9,27 @@ rows that come first in a seeded order, as far as the rest reaches (the last row
 is in if more than half of it fits).
 
 A running sum in the seeded order takes no source into one task: rows fall into
-buckets of that order, buckets are summed first, and each bucket is ordered by itself.
+buckets of that order, as many as the table's rows call for, buckets are summed first,
+and each bucket is ordered by itself. Sources are few: their fixed point is found in one
+task, from one row each.
 
 Sources are ordered by code point, null last, and weigh 1, 2, 3, repeating. Null
-and blank texts have size 0. Rows with equal ids are ordered by size; equal rows are
-as good as each other. An empty table gives an empty result.
+and blank texts have size 0. Rows with equal ids are ordered by size, rows without id by
+a hash of their text; equal rows are as good as each other. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, small
 
-#: Buckets of the seeded order in each source: 16 to this power.
-BUCKET_DIGITS = 2
+#: About so many rows of a source of the whole table's size fall into a bucket of the seeded order.
+BUCKET_ROWS = 1 << 14
 
 
 def water_fill(sizes: DataFrame, max_epochs: float = 3.0) -> DataFrame:
@@ -42,16 +47,19 @@ def water_fill(sizes: DataFrame, max_epochs: float = 3.0) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: float = 3.0, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, copies (how often the mix takes it) and taken (words); with ``keep``, those columns too."""
+    """One row per row of docs: id, size, source_size, target, copies (how often the mix takes it) and taken (words); with ``keep``, those columns instead of the id."""
+    place = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("at"),
+        F.md5(F.concat(F.lit(f"{seed}:"), place)).alias("at"),
         *(F.struct(*keep).alias("kept") for _ in keep[:1]),
-    ).withColumn("bucket", F.substring("at", 1, BUCKET_DIGITS))
+    )
     if not keep:
         rows = cut(rows, "sizes")
+    digits = math.ceil(math.log(max(rows.count() / BUCKET_ROWS, 1), 16))
+    rows = rows.withColumn("bucket", F.substring("at", 1, digits))
     buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     targets = cut(water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs), "targets")
     start = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -66,4 +74,5 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     more = F.when((F.col("size") > 0) & (F.col("start") + F.col("before") + F.col("size") / 2 <= rest), 1).otherwise(0)
     mixed = mixed.withColumn("copies", (F.col("whole") + more).cast("long"))
-    return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["kept.*"] if keep else []))
+    own = [F.col(f"kept.`{c}`") for c in keep] or [F.col("id").alias(id_col)]
+    return mixed.select(*own, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

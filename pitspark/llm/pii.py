@@ -7,8 +7,10 @@ context words within ``window`` code points before or after raise it, words that
 speak for another meaning lower it. The base kinds (email, ip, card, phone) are
 reported once confirmed, whatever their score; the others from ``least`` on.
 
-Spans are in code points, the end exclusive; those of one kind don't overlap. Null
-and empty texts have none. Every pattern reads a text in linear time.
+Spans are in code points, the end exclusive; those of one kind don't overlap, those of
+different kinds may. Null and empty texts have none. Every row is read by itself:
+repeated rows and ids have a row each, an empty table gives an empty result, columns of
+any other name don't matter. Every pattern reads a text in linear time.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import cut, pieces
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
@@ -108,7 +110,8 @@ def _matches(pattern: re.Pattern, check):
     return lambda text: ((m.start(), m.end()) for m in pattern.finditer(text) if check(m.group()))
 
 
-_HAS_DIGIT = re.compile("[0-9]")
+#: No kind matches a text without any of these.
+_SOME = re.compile("[0-9@]|AKIA|[a-f]{16}")
 PROPOSE = {
     "email": emails,
     "ip": _matches(_IP, _octets),
@@ -129,7 +132,7 @@ def score(kind: str, text: str, start: int, end: int, window: int = WINDOW) -> f
 
 def find(text: str | None, least: float = LEAST) -> list[dict]:
     """The spans of a text, by kind and start."""
-    if not text or ("@" not in text and not _HAS_DIGIT.search(text)):
+    if not text or not _SOME.search(text):
         return []
     out = []
     for kind in KINDS:
@@ -145,7 +148,7 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(id, spans) for every row."""
+    """(id, spans) for every row, written to the shared folder."""
 
     def run(batches):
         for batch in batches:
@@ -154,11 +157,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(spans, _ARROW)], names=["id", "spans"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id long, spans {SPANS}").withColumnRenamed("id", id_col)
+    return cut(source.mapInArrow(run, f"id long, spans {SPANS}"), "spans").withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the hash of their spans and all spans as text."""
+    """Counts of the base kinds, the hash of their spans, all spans as text, their number, and counts of the other kinds."""
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -167,4 +170,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select(id_col, *map(count, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(id_col, *map(count, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *(count(k) for k in KINDS if k not in BASE_KINDS))

@@ -1,15 +1,19 @@
 """Quality rules as weak supervision.
 
-Each rule votes good or bad on a text or abstains. Expectation-maximisation over how
-often each combination of votes occurs estimates, for each rule and class, how likely
-each vote is, and the share of good texts. A text's verdict is its posterior
-probability of being good, given its votes; texts that fail the base checks go anyway.
-
+Each rule votes good or bad on a text or abstains; rules may contradict each other.
+Expectation-maximisation over how often each combination of votes occurs estimates, for
+each rule and class, how likely each vote is, and the share of good texts. A text's
+verdict is its posterior probability of being good, given its votes, so a rule that errs
+often is outvoted by those that don't. Texts that fail the base checks go anyway, and
+nothing is learnt from them.
+
+What is believed beforehand weighs as much as ``TEXTS`` texts, whatever the table's size.
 There are at most 3 ** len(rules()) combinations of votes, so their table is bounded and
 the estimation runs on it alone; the counts behind it cover all texts.
 
-Null and blank texts have no words, fail the base and abstain on every rule. Equal
-texts get equal verdicts. With no texts nothing is estimated.
+Null and blank texts have no words, fail the base and abstain on every rule that needs
+some. Every row is judged by itself: equal texts get equal verdicts, repeated ids have a
+row each. With no texts nothing is estimated and the result is empty.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +31,14 @@ from .common import WORD, cut, pieces
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 #: Posterior probability from which a text is kept; rounds of estimation.
-KEEP, ROUNDS = 0.5, 100
-#: Share of good texts believed in beforehand, and the weight of what is believed.
-SHARE, BELIEF = 0.8, 0.5
+KEEP, ROUNDS = 0.5, 200
+#: What is believed beforehand: the share of good texts, how likely a vote is bad in bad and in good texts, and how many texts that weighs.
+SHARE, BAD_VOTES, TEXTS = 0.8, (0.5, 0.05), 20
 
 _WORD = re.compile(WORD)
 _SYMBOL = re.compile(r"[#*$%&|<>]")
-_LETTER = re.compile(r"[^\W\d_]")
+#: What stands in words and is neither a letter nor a mark upon one; capital letters.
+_OTHER, _UPPER = regex.compile(r"[^\p{L}\p{M}\x20\x09-\x0D]"), regex.compile(r"\p{Lu}")
 SPAN = 8
 
 
@@ -51,95 +57,92 @@ def repeated(words: list[str], span: int = SPAN) -> int:
 
 
 def measure(text: str | None) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_distinct, n_letters, n_upper, n_shouts."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_distinct, n_letters, n_upper."""
     text = text or ""
     words = _WORD.findall(text)
     lines = [x for x in text.split("\n") if _WORD.search(x)]
-    letters = _LETTER.findall(text)
+    chars = sum(map(len, words))
     return (
-        len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated(words),
-        len(lines), len(set(words)), len(letters), sum(map(str.isupper, letters)), text.count("!"),
+        len(words), chars, len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated(words),
+        len(lines), len(set(words)), chars - len(_OTHER.findall(text)), len(_UPPER.findall(text)),
     )
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_letters", "n_upper", "n_shouts")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_letters", "n_upper")
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id and the measures of every row; with ``keep``, those columns too, in a struct ``kept``, but the text as ``text``."""
+    other = [c for c in keep if c != text_col]
+    names = ["id", *MEASURES, *(["text"] if text_col in keep else []), *(["kept"] if other else [])]
+
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
                 rows = np.array([measure(text) for text in piece.column("text").to_pylist()], np.int64).reshape(-1, len(MEASURES))
-                kept = [piece.column(c) for c in piece.schema.names if c not in ("id", "text")]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), *(pa.array(c) for c in rows.T), *kept], names=["id", *MEASURES, *keep])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), *(pa.array(c) for c in rows.T), *(piece.column(c) for c in names[1 + len(MEASURES) :])], names=names)
 
-    types = dict(docs.dtypes)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
-    return source.mapInArrow(run, "id long, " + ", ".join(f"{m} long" for m in MEASURES) + "".join(f", `{c}` {types[c]}" for c in keep))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.struct(*other).alias("kept") for _ in other[:1]))
+    kinds = dict(source.dtypes) | dict.fromkeys(MEASURES, "long")
+    return source.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
-def _share(part: str, whole: str, good: float, bad: float) -> Column:
-    """Good up to one share, bad from another, else abstains."""
+def _share(part: str, whole: str, good: float, bad: float, least: int = 1) -> Column:
+    """Good up to one share, bad from another, else abstains; abstains on a whole of less than ``least``."""
     ratio = F.col(part) / F.col(whole)
-    return F.when(F.col(whole) == 0, ABSTAIN).when(ratio <= good, GOOD).when(ratio >= bad, BAD).otherwise(ABSTAIN)
-
-
+    return F.when(F.col(whole) < least, ABSTAIN).when(ratio <= good, GOOD).when(ratio >= bad, BAD).otherwise(ABSTAIN)
 
 
 def rules() -> dict[str, Column]:
     """The votes, from the measures of a text. Short texts are too small a sample for some."""
-    mean = F.col("word_chars") / F.col("n_words")
-    enough = F.col("n_words") >= 50
-    distinct = F.col("n_distinct") / F.col("n_words")
-    letters = F.col("n_letters") / F.col("word_chars")
+    words, mean = F.col("n_words"), F.col("word_chars") / F.col("n_words")
+    distinct, letters = F.col("n_distinct") / F.col("n_words"), F.col("n_letters") / F.col("word_chars")
     return {
         "symbols": _share("n_symbols", "n_words", 0.02, 0.1),
-        "repeated_lines": F.when(F.col("n_dup_lines") >= 3, _share("n_dup_lines", "n_lines", 0.1, 0.5)).otherwise(ABSTAIN),
-        "letters": F.when(~enough, ABSTAIN).when(letters >= 0.95, GOOD).when(letters < 0.85, BAD).otherwise(ABSTAIN),
-        "upper_case": _share("n_upper", "n_letters", 0.2, 0.5),
-        "shouts": _share("n_shouts", "n_words", 0.05, 0.3),
-        "word_length": F.when(~enough, ABSTAIN).when(mean.between(3, 6.5), GOOD).when((mean < 2) | (mean > 12), BAD).otherwise(ABSTAIN),
-        "variety": F.when(~enough, ABSTAIN).when(distinct >= 0.45, GOOD).when((distinct < 0.3) & (F.col("n_words") < 5000), BAD).otherwise(ABSTAIN),
-        "length": F.when(enough, GOOD).otherwise(ABSTAIN),
+        "repeated_lines": _share("n_dup_lines", "n_lines", 0.0, 0.1, least=3),
+        "repeated_words": _share("n_repeat_words", "n_words", 0.0, 0.1),
+        "letters": F.when(words == 0, ABSTAIN).when(letters >= 0.95, GOOD).when(letters < 0.9, BAD).otherwise(ABSTAIN),
+        "upper_case": _share("n_upper", "n_letters", 0.04, 0.2),
+        "word_length": F.when(words < 50, ABSTAIN).when(mean.between(4.4, 6), GOOD).when((mean < 4.3) | (mean > 6.5), BAD).otherwise(ABSTAIN),
+        "variety": F.when((words < 50) | (words >= 5000), ABSTAIN).when(distinct >= 0.6, GOOD).when(distinct < 0.55, BAD).otherwise(ABSTAIN),
+        "length": F.when(words < 50, BAD).when(words >= 100, GOOD).otherwise(ABSTAIN),
     }
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
     """Posterior of good for each row of votes, the share of good, and P(vote | class) as [rule, class, vote].
 
-    Estimates are pulled towards what rules are made for: in good texts one vote in
-    two hundred is wrongly bad, in bad texts (which break one rule or another, seldom
-    all) a quarter of the votes are bad; whether a rule abstains tells nothing.
-    That belief weighs as much as ``BELIEF`` times the texts, so it settles which class
-    is which, and the votes settle the rest.
+    ``counts``: how many texts vote like that. Whether a rule abstains tells nothing. The
+    rounds start from what is believed, which settles which class is which.
     """
-    total = max(float(counts.sum()), 1.0)
     vote = np.stack([votes == v for v in (BAD, GOOD)], 2).astype(float)  # row, rule, vote
     belief = np.empty((votes.shape[1], 2, 2))
-    for k, bad, good in ((GOOD, 0.005, 0.995), (BAD, 0.25, 0.75)):
-        belief[:, k] = bad, good
+    for k in (BAD, GOOD):
+        belief[:, k] = BAD_VOTES[k], 1 - BAD_VOTES[k]
     likely, share = belief, SHARE
     for _ in range(rounds):
-        likely = np.clip(likely, 1e-6, 1)
         odds = np.log(share) - np.log1p(-share) + np.einsum("rjv,jv->r", vote, np.log(likely[:, GOOD]) - np.log(likely[:, BAD]))
         good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        share = float(np.clip(((counts * good).sum() + BELIEF * total * SHARE) / (total * (1 + BELIEF)), 0.01, 0.99))
+        share = float(((counts * good).sum() + TEXTS * SHARE) / (counts.sum() + TEXTS))
         likely = np.empty_like(belief)
-        for k, weight, part in ((GOOD, counts * good, SHARE), (BAD, counts * (1 - good), 1 - SHARE)):
-            sums = np.einsum("r,rjv->jv", weight, vote) + BELIEF * total * part * belief[:, k]
+        for k, weight in ((GOOD, counts * good), (BAD, counts * (1 - good))):
+            sums = np.einsum("r,rjv->jv", weight, vote) + TEXTS * belief[:, k]
             likely[:, k] = sums / sums.sum(1, keepdims=True)
     return good, share, likely
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The measures of every row, base_failed, quality (posterior) and kept; with ``keep``, those columns too."""
+    """The measures of every row, base_failed, quality (posterior) and kept; with ``keep``, those columns of the row instead of the measures."""
     measured = cut(measures(docs, id_col, text_col, keep), "measures")
-    voted = measured.withColumn("votes", F.concat(*(v.cast("string") for v in rules().values())))
-    seen = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()  # one row a combination
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    voted = measured.withColumns({"votes": F.concat(*(v.cast("string") for v in rules().values())), "base_failed": failed})
+    seen = voted.groupBy("votes").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()  # one row a combination
     votes = np.array([[int(c) for c in row["votes"]] for row in seen], int).reshape(-1, len(rules()))
     posterior, _, _ = estimate(votes, np.array([row["n"] for row in seen], float)) if seen else (np.zeros(0), 0, None)
     table = docs.sparkSession.createDataFrame([(row["votes"], float(p)) for row, p in zip(seen, posterior)], "votes string, quality double")
     out = voted.join(F.broadcast(table), "votes", "left")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("quality", F.lit(0.0)) >= KEEP))
-    return out.drop("votes").withColumnRenamed("id", id_col)
+    out = out.withColumn("kept_", ~F.col("base_failed") & (F.coalesce("quality", F.lit(0.0)) >= KEEP))
+    if not keep:
+        return out.select(F.col("id").alias(id_col), *MEASURES, "base_failed", "quality", F.col("kept_").alias("kept"))
+    own = [F.col("text").alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in keep]
+    return out.select(*own, "base_failed", "quality", F.col("kept_").alias("kept"))

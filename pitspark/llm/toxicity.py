@@ -11,12 +11,15 @@ It is fitted by mini-batches with adaptive steps on at most ``SAMPLE`` labelled
 (the first in the order of a hash of the id, so the bound does not depend on the
 table), in one task; both classes weigh the same, and weights that little depends on shrink to
 nothing. Its parameters have a fixed size and go to every executor;
-scoring reads every whole text. Buckets in fewer than ``LEAST_TEXTS`` of the fitted texts
-stay without weight.
+scoring reads every whole text. Buckets in fewer than ``LEAST_TEXTS`` of the fitted texts, or
+in less than ``LEAST_SHARE`` of them (24 of 12,000), stay without weight: they are learnt by
+heart otherwise.
 
 Labels are learnt only from rows that the caller does not hold out. Null and empty
 texts have no features and get the score of the bias alone. Labels that are null or
-whose text is missing are not used; with none, every score is 0.
+whose text is missing are not used; with none, every score is 0. An id stands for one
+labelled row: of several labels the greatest counts, of several texts the least. Every row
+is scored by itself, repeated ones alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -132,7 +135,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     chosen = cut(known.orderBy(F.xxhash64(id_col), id_col).limit(sample), "sample").withColumnRenamed(id_col, "_id")
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("y", F.xxhash64("_id").alias("at"), "text")
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "y").agg(F.min("text").alias("text"))
+    rows = rows.select("y", F.xxhash64("_id").alias("at"), "text")
 
     def describe(batches):
         for batch in batches:
@@ -161,4 +165,4 @@ def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(m.scores(piece.column("text")))], names=["id", "score"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return cut(source.mapInArrow(run, "id long, score double"), "scores").withColumnRenamed("id", id_col)

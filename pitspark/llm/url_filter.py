@@ -8,13 +8,15 @@ path starts with the prefix; the longest rule wins.
 Where none fits, mined rules judge: pages with labels are baskets of url tokens
 (host labels with their depth, path parts, query keys) and, for bad ones (quality 0
 or toxic), an item for that. FP-growth finds token combinations that go with it;
-those with enough support, confidence and lift block a url that holds them all. They
-are matched by an inverted index from token to rules: a rule fires when as many of
-its tokens are found as it has. Mining thresholds bound the number of rules: each
-holds for ``least_pages`` labelled pages at least and ``min_support`` of them.
-
-Null urls have empty host and path and are allowed, urls may repeat, labels may be
-missing or repeat (a page is bad if any of its labels is). With no labels none is mined.
+those with enough support, confidence and lift, and that hold no shorter such one, block
+a url that holds them all. They are matched by an inverted index: a rule stands under
+its rarest token, so a token of most urls has few rules or none, and fires if the url has all
+its tokens. Mining thresholds bound the number of rules: each holds for ``least_pages``
+labelled pages at least and ``min_support`` of them.
+
+Null urls have empty host and path and are allowed, urls and page ids may repeat or be
+null (a row each), labels may be missing or repeat (a page is bad if any of its labels
+is). With no labels none is mined; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,16 +72,26 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     support = max(min_support, min(1.0, least_pages / n))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
-    return cut(rules.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", "lift", "support"), "rules")
+    return pruned(cut(rules.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", "lift", "support"), "rules"))
+
+
+def pruned(rules: DataFrame) -> DataFrame:
+    """Rules without those that hold all tokens of a shorter one."""
+    one = rules.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
+    other = one.select(F.col("rule_id").alias("longer"), F.col("need").alias("has"), "token")
+    inside = one.join(other, "token").where("need < has").groupBy("rule_id", "need", "longer").agg(F.count("*").alias("found")).where("found = need")
+    return rules.join(inside.select(F.col("longer").alias("rule_id")).distinct(), "rule_id", "left_anti")
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct urls on which a mined rule fires, by an inverted index of its tokens."""
-    index = small(cut(rules.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("token")), "index"))
-    urls = pages.where("url is not null").select("url", tokens_of(F.col("url")).alias("tokens")).select("url", F.explode("tokens").alias("token"))
-    hits = urls.join(index, "token").select("url", "rule_id", "need", "token").distinct()
-    fired = hits.groupBy("url", "rule_id", "need").agg(F.count("*").alias("found")).where("found = need")
-    return fired.select("url").distinct()
+    """Distinct urls on which a mined rule fires, by an inverted index of each rule's rarest token."""
+    urls = pages.where("url is not null").select("url").distinct().withColumn("tokens", tokens_of(F.col("url")))
+    listed = rules.select("rule_id", F.col("tokens").alias("needs"), F.explode("tokens").alias("token"))
+    often = urls.select(F.explode("tokens").alias("token")).join(small(cut(listed.select("token").distinct(), "tokens")), "token", "left_semi").groupBy("token").count()
+    rarest = listed.join(often, "token").groupBy("rule_id").agg(F.min(F.struct("count", "token")).alias("key"), F.first("needs").alias("needs"))
+    index = small(cut(rarest.select(F.col("key.token").alias("token"), "needs"), "index"))
+    hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return hits.where(F.size(F.array_except("needs", "tokens")) == 0).select("url").distinct()
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, **thresholds) -> DataFrame:

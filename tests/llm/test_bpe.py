@@ -58,3 +58,10 @@ def test_round_trip_and_digests(docs, own):
         assert out[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert out[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.bpe_encode(docs([]), PATH, P.PATTERN).count() == 0
+
+
+def test_repeated_rows_and_clashing_names(docs):
+    df = docs([(1, "same text", "s")] * 3 + [(None, "same text", "s"), (None, None, None)]).selectExpr("*", "1 as id", "2 as ids", "3 as decoded", "4 as n_tokens")
+    rows = bpe.round_trip(df, PATH, P.PATTERN).collect()
+    assert sorted((r.doc_id or 0) for r in rows) == [0, 0, 1, 1, 1] and len({r.ids_sha256 for r in rows}) == 2
+    assert len(bpe.bpe_decode(bpe.bpe_encode(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()) == 5

@@ -32,10 +32,21 @@ def test_probabilities_sum_to_one():
 
 
 def test_contexts_stay_in_their_text():
-    words = Words(pa.array(["a b c", None, "d"]))
-    ids = np.arange(4)
+    row, at = L.padded(np.arange(4), np.array([0, 3, 3, 4]))
     end = L.SIZE - 1
-    assert L.contexts(ids, words.bounds, np.arange(4)).tolist() == [[end, end, 1, 2], [end, 0, 2, end], [0, 1, end, end], [end] * 4]
+    assert L.contexts(row, at).tolist() == [[end, end, 1, 2], [end, 0, 2, end], [0, 1, end, end], [end] * 4]
+    assert row[at].tolist() == [0, 1, 2, 3]
+
+
+def model(df, rounds=L.ROUNDS):
+    source = df.select(F.col("doc_id").alias("id"), "text")
+    known, token, counts = L.vocabulary(source)
+    return L.train(L.units(L.tokenised(source, known, token, counts)), rounds), known, token, counts
+
+
+def scores(df, weights, known, token, counts):
+    source = df.select(F.col("doc_id").alias("id"), "text")
+    return {r.id: r for r in L.score(L.tokenised(source, known, token, counts), weights, counts).collect()}
 
 
 def ordered(rng, n):
@@ -54,13 +65,51 @@ def test_scores_order_above_shuffles(docs):
     rng = random.Random(0)
     texts = ordered(rng, 400)
     shuffled = [" ".join(rng.sample(t.split(), 120)) for t in texts[:20]]
-    source = docs(texts).select(F.col("doc_id").alias("id"), "text")
-    model = L.train(source, rounds=6)
-    test = docs(ordered(rng, 20) + shuffled).select(F.col("doc_id").alias("id"), "text")
-    mean = np.array([r.log_likelihood / r.n_tokens for r in sorted(L.score(test, *model).collect())])
+    out = scores(docs(ordered(rng, 20) + shuffled), *model(docs(texts)))
+    mean = np.array([out[i].log_likelihood / out[i].n_tokens for i in range(40)])
     assert mean[:20].min() > mean[20:].max() and mean[:20].mean() > -np.log(50)
 
 
+def test_scores_match_brute_force(docs):
+    """Every word by a plain softmax over the whole vocabulary, a shared token by its words' counts."""
+    rng = random.Random(4)
+    texts = [" ".join(f"v{rng.randrange(9000)}" for _ in range(rng.randint(1, 90))) for _ in range(150)]
+    weights, known, token, counts = model(docs(texts))
+    out, net = scores(docs(texts), weights, known, token, counts), L.Network(weights)
+    names = {w: int(h) for t in texts for w, h in zip(t.split(), Words(pa.array([t])).hashes())}
+    number, n = dict(zip(known.tolist(), token.tolist())), {}
+    for t in texts:
+        for w in t.split():
+            n[w] = n.get(w, 0) + 1
+    ids = {w: number.get(h, L.COMMON + h % L.RARE) for w, h in names.items()}
+    seldom = {w for w in ids if names[w] not in number}
+    assert len(seldom) > 50
+    for i, t in enumerate(texts):
+        row, total = [ids[w] for w in t.split()], 0.0
+        for at, w in enumerate(t.split()):
+            around = [row[k] if 0 <= k < len(row) else L.SIZE - 1 for k in (at - 2, at - 1, at + 1, at + 2)]
+            h = np.tanh(np.concatenate([net.w["embed"][k] for k in around]) @ net.w["inner"] + net.w["inner_b"])
+            kind = np.exp(h @ net.w["class"][:-1] + net.w["class"][-1])
+            c = row[at] // L.SIDE
+            member = np.exp(h @ net.w["member"][c][:-1] + net.w["member"][c][-1])
+            total += np.log(kind[c] / kind.sum()) + np.log(member[row[at] % L.SIDE] / member.sum())
+            if w in seldom:
+                total += np.log(n[w] / (1 + sum(n[x] for x in seldom if ids[x] == ids[w])))
+        assert abs(out[i].log_likelihood - total) < 1e-3 * max(1, abs(total)) and out[i].n_tokens == len(row)
+
+
+@pytest.mark.parametrize("tokens", [L.UNIT_TOKENS, 500])
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch, tokens):
+    monkeypatch.setattr(L, "UNIT_TOKENS", tokens)
+    monkeypatch.setattr(L, "FAN", 3)
+    df = docs(ordered(random.Random(1), 60) + ["same text"] * 5)
+    one, five = (model(df.repartition(k)) for k in (1, 5))
+    assert np.array_equal(one[0], five[0])
+    # single precision rounds by the order in a batch
+    one, five = ({r.doc_id: r.log_likelihood for r in L.lm_score(df.repartition(k)).collect()} for k in (1, 5))
+    assert all(abs(one[i] - five[i]) < 1e-5 * abs(one[i]) for i in one)
+
+
 def test_edge_cases(docs):
     df = docs([None, "", " \n", "one", "x y " * 20_000, "x y", "x y"]).withColumn("id", F.lit(1)).withColumn("n_tokens", F.lit(1))
     out = {r.doc_id: r for r in L.lm_score(df).collect()}
@@ -69,17 +118,19 @@ def test_edge_cases(docs):
     assert L.lm_score(docs([])).count() == 0 and L.lm_score(docs([None])).count() == 1
 
 
-def test_every_position_is_learnt_from_once():
-    texts = pa.array([" ".join(f"w{i * k % 97}" for i in range(300)) for k in range(1, 40)])
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    n = 0
-    for r in range(L.ROUNDS):
-        parts = [b for b in L._train(L.Network.fresh().flat, *none, r)([pa.RecordBatch.from_arrays([texts], ["text"])])]
-        n += sum(b.column("n")[0].as_py() for b in parts)
-    assert n == 39 * 300
+def test_every_position_is_learnt_from_once(docs, monkeypatch):
+    monkeypatch.setattr(L, "UNIT_TOKENS", 700)
+    df = docs([" ".join(f"w{i * k % 97}" for i in range(300)) for k in range(1, 40)])
+    source = df.select(F.col("doc_id").alias("id"), "text")
+    rows = L.units(L.tokenised(source, *L.vocabulary(source))).collect()
+    assert len(rows) > 5 and len({r.unit for r in rows}) == len(rows)
+    state = np.stack([L.Network.fresh().flat, np.ones(L.Network.size(), np.float32)])
+    at = [np.arange(len(r.ids) // 2)[k :: L.ROUNDS] for r in rows for k in range(L.ROUNDS)]
+    n = [L.learn(state, np.frombuffer(r.ids, np.uint16), np.frombuffer(r.bounds, np.int64), k)[1] for r in rows for k in range(L.ROUNDS)]
+    assert n == list(map(len, at)) and sum(n) == 39 * 300
 
 
-@pytest.mark.parametrize("near", [L.NEAR, 0, 930])
+@pytest.mark.parametrize("near", [L.NEAR, 0, L.COMMON + 35])
 def test_rare_words_have_their_share_of_the_counts(docs, monkeypatch, near):
     monkeypatch.setattr(L, "NEAR", near)
     token = lambda w: int(Words(pa.array([w])).hashes()[0]) % L.RARE
@@ -91,10 +142,10 @@ def test_rare_words_have_their_share_of_the_counts(docs, monkeypatch, near):
     words = common + others + rare
     rng.shuffle(words)
     texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
-    model = L.train(docs(texts).select(F.col("doc_id").alias("id"), "text"))
-    test = docs([f"c1 c2 {w} c3 c4" for w in same] + [f"c1 {w} c3 {w} c4" for w in same[:2]])
-    got = [r.log_likelihood for r in sorted(L.score(test.select(F.col("doc_id").alias("id"), "text"), *model).collect())]
+    fitted = model(docs(texts))
+    out = scores(docs([f"c1 c2 {w} c3 c4" for w in same] + [f"c1 {w} c3 {w} c4" for w in same[:2]]), *fitted)
+    got = [out[i].log_likelihood for i in range(6)]
     for i, n in enumerate([5, 2, 1, 1]):
         assert abs(got[i] - got[3] - np.log(n)) < 1e-6
     assert abs(got[4] - got[5] - 2 * np.log(5 / 2)) < 1e-6
-    assert abs(model[3].shared[7] - np.log(9)) < 1e-12
+    assert abs(fitted[3].shared[7] - np.log(9)) < 1e-12

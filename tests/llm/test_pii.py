@@ -45,6 +45,17 @@ def test_long_runs_take_linear_time():
         pii.find(text)
 
 
+def test_secrets_without_digits():
+    assert [x["kind"] for x in pii.find("aws AKIA" + "QWERTZUIOPASDFGH")] == ["secret"]
+    assert [x["kind"] for x in pii.find("password abcdefabcdefabcdef")] == ["secret"]
+
+
+def test_repeated_rows_and_clashing_names(docs):
+    df = docs([(1, "a@b.cd", "s")] * 3 + [(None, "ssn 123-45-6789", "s")]).selectExpr("*", "1 as id", "2 as spans", "3 as n_spans")
+    out = sorted((r.doc_id or 0, r.spans, r.n_spans, r.n_email, r.n_ssn) for r in pii.digest(pii.find_pii(df)).collect())
+    assert out == [(0, "ssn:4:15", 1, 0, 1)] + [(1, "email:0:6", 1, 1, 0)] * 3
+
+
 def test_digest(docs):
     rows = [None, "", "plain text", "x 4111 1111 1111 1111 y a@b.cd", "1.2.3.4 +49 30 1234567", "1.2.3.4 +49 30 1234567"]
     out = {r.doc_id: r for r in pii.digest(pii.find_pii(docs(rows))).collect()}

@@ -56,8 +56,89 @@ def test_base_failures_and_edge_cases(docs):
 
 
 def test_keeps_columns_and_clashing_names(docs):
-    df = docs(["a " * 30]).withColumn("votes", F.lit("x")).withColumn("quality", F.lit(1))
-    assert Q.quality_rules(df, keep=("lang",)).columns.count("lang") == 1
+    text = " ".join(f"word{i}" for i in range(30))
+    df = docs([text, None]).selectExpr("*", "'x' as votes", "1 as quality", "2 as id", "3 as n_words")
+    kept = Q.quality_rules(df, keep=("doc_id", "text", "lang")).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in kept) == [(0, text, "en"), (1, None, "en")]
+    assert len(Q.quality_rules(df).collect()) == 2
+
+
+def test_repeated_and_null_ids_have_a_row_each(docs):
+    text = " ".join(f"word{i}" for i in range(120))
+    out = Q.quality_rules(docs([(1, text, "s"), (1, text, "s"), (1, "### " * 30, "s"), (None, text, None)])).collect()
+    assert sorted((r.doc_id is None, r.n_words) for r in out) == [(False, 30), (False, 120), (False, 120), (True, 120)]
+
+
+def test_accents_made_of_marks_are_letters():
+    text = "e\u0301te\u0301 " * 30
+    measured = dict(zip(Q.MEASURES, Q.measure(text)))
+    assert measured["n_letters"] == measured["word_chars"]
+
+
+def test_a_noisy_rule_is_outvoted():
+    """One rule votes bad on every third text whatever its worth; the others agree with it on bad texts only."""
+    rng = np.random.default_rng(3)
+    good = rng.random(6000) < 0.9
+    p_bad = np.where(good[:, None], 0.01, 0.7) * np.ones(6)
+    p_bad[:, 0] = 1 / 3
+    votes = np.where(rng.random((6000, 6)) < p_bad, Q.BAD, Q.GOOD)
+    rows, counts = np.unique(votes, axis=0, return_counts=True)
+    posterior, _, likely = Q.estimate(rows, counts)
+    verdict = {tuple(r): p >= 0.5 for r, p in zip(rows.tolist(), posterior)}
+    alone = [Q.BAD] + [Q.GOOD] * 5
+    assert verdict[tuple(alone)] and abs(likely[0, Q.GOOD, Q.BAD] - 1 / 3) < 0.05
+    kept = np.array([verdict[tuple(v)] for v in votes.tolist()])
+    assert (kept == good).mean() > 0.98 and (kept & (votes[:, 0] == Q.BAD)).sum() > 1500
+
+
+def brute_estimate(texts):
+    """The same estimation by plain loops over texts."""
+    likely = [{k: {Q.BAD: Q.BAD_VOTES[k], Q.GOOD: 1 - Q.BAD_VOTES[k]} for k in (Q.BAD, Q.GOOD)} for _ in texts[0]]
+    share, posterior = Q.SHARE, []
+    for _ in range(Q.ROUNDS):
+        posterior = []
+        for text in texts:
+            p = {Q.GOOD: share, Q.BAD: 1 - share}
+            for rule, vote in zip(likely, text):
+                for k in p:
+                    p[k] *= rule[k][vote] if vote != Q.ABSTAIN else 1
+            posterior.append(p[Q.GOOD] / (p[Q.GOOD] + p[Q.BAD]))
+        share = (sum(posterior) + Q.TEXTS * Q.SHARE) / (len(texts) + Q.TEXTS)
+        for j, rule in enumerate(likely):
+            for k in rule:
+                weight = {v: Q.TEXTS * (Q.BAD_VOTES[k] if v == Q.BAD else 1 - Q.BAD_VOTES[k]) for v in (Q.BAD, Q.GOOD)}
+                for p, text in zip(posterior, texts):
+                    if text[j] != Q.ABSTAIN:
+                        weight[text[j]] += p if k == Q.GOOD else 1 - p
+                for v in weight:
+                    rule[k][v] = weight[v] / sum(weight.values())
+    return posterior
+
+
+def test_verdicts_match_a_brute_force_estimation(docs):
+    clean, junk = corpus()
+    short = [" ".join(t.split()[:30]) for t in clean[:15]]
+    rows = Q.quality_rules(docs(clean + junk + short + ["too short", None])).collect()
+    want = [r for r in rows if not r.base_failed]
+
+    def votes(r):
+        mean, distinct, letters = r.word_chars / r.n_words, r.n_distinct / r.n_words, r.n_letters / r.word_chars
+
+        def part(x, whole, good, bad, least=1):
+            return Q.ABSTAIN if whole < least else Q.GOOD if x / whole <= good else Q.BAD if x / whole >= bad else Q.ABSTAIN
+
+        few = r.n_words < 50
+        return [
+            part(r.n_symbols, r.n_words, 0.02, 0.1), part(r.n_dup_lines, r.n_lines, 0, 0.1, 3), part(r.n_repeat_words, r.n_words, 0, 0.1),
+            Q.GOOD if letters >= 0.95 else Q.BAD if letters < 0.9 else Q.ABSTAIN, part(r.n_upper, r.n_letters, 0.04, 0.2),
+            Q.ABSTAIN if few else Q.GOOD if 4.4 <= mean <= 6 else Q.BAD if mean < 4.3 or mean > 6.5 else Q.ABSTAIN,
+            Q.ABSTAIN if few or r.n_words >= 5000 else Q.GOOD if distinct >= 0.6 else Q.BAD if distinct < 0.55 else Q.ABSTAIN,
+            Q.BAD if few else Q.GOOD if r.n_words >= 100 else Q.ABSTAIN,
+        ]
+
+    posterior = brute_estimate([votes(r) for r in want])
+    assert all(abs(r.quality - p) < 1e-6 and r.kept == (p >= Q.KEEP) for r, p in zip(want, posterior))
+    assert any(r.kept and Q.BAD in votes(r) for r in want)
 
 
 def test_estimation_finds_the_good_class():

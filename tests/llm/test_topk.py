@@ -7,10 +7,11 @@ from pitspark.llm import topk
 
 
 def brute(rows, k=10):
-    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in (i for i in whole if i % 100 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:k]
+    for q in {i for i, _ in whole if i % 100 == 0}:
+        asks = min(v for i, v in whole if i == q)
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(asks, v)))), i) for i, v in whole if i != q)[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
@@ -24,7 +25,18 @@ def test_matches_brute_force_in_blocks(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in np.float32(rng.normal(0, 0.2, 16))]) for i in range(900)]
     rows += [(1000 + i, rows[3][1]) for i in range(30)]  # ties
-    assert run(spark, rows, block_rows=250) == brute(rows)
+    assert run(spark, rows, block_rows=250, chunk_queries=3) == brute(rows)
+
+
+def test_large_components_are_exact(spark):
+    rows = [(0, [2.0**41, 1.0]), (1, [1.0, 2.0**30]), (2, [2.0**41, 1.0]), (3, [-(2.0**60), 0.5]), (4, [3e38, -1.0]), (100, [0.25, -0.75]), (5, [0.1, 0.2])]
+    assert run(spark, rows) == brute(rows)
+    assert (100, 3, 2, 2**59 - 768 * 1024) in run(spark, rows)
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [0.5, 0.5])] * 25 + [(2, [0.25, 1.0]), (2, [0.75, 1.0])] + [(100, [0.0, 1.0])] * 3 + [(200, [-1.0, 0.5]), (200, [1.0, 0.5])]
+    assert run(spark, rows) == brute(rows)
 
 
 def test_edge_cases(spark):
@@ -41,6 +53,6 @@ def test_stops_on_proof_only():
     rows[:40] *= 3
     index = topk.Index(np.arange(3000), rows)
     for q in rows[rng.integers(0, 3000, 25)]:
-        ids, scores = index.search(-1, q, 7)
+        ids, scores, _ = index.search(-1, q, 7)
         want = sorted(zip(-(rows @ q), range(3000)))[:7]
         assert [(-s, i) for i, s in zip(ids, scores)] == want

@@ -43,6 +43,27 @@ def test_pairs_carry_weight():
     assert T.Machine.unpack(m.pack()).bias == m.bias
 
 
+def test_scores_match_the_double_sum(docs):
+    """Bias, weights and every pair's inner product over the number of features, feature by feature."""
+    rng = np.random.default_rng(1)
+    m = T.Machine(-0.3, rng.normal(0, 0.2, 1 << T.BITS).astype(np.float32), rng.normal(0, 0.1, (1 << T.BITS, T.FACTORS)).astype(np.float32))
+    texts = [t for _, t, _ in corpus(40)] + ["", "one"]
+    got = {r.doc_id: r.score for r in T.toxicity(docs(texts), m).collect()}
+    for i, t in enumerate(texts):
+        x, _ = T.features(pa.array([t]))
+        z = m.bias + sum(float(m.w[a]) for a in x)
+        z += sum(float(m.v[a].astype(float) @ m.v[b].astype(float)) for k, a in enumerate(x) for b in x[:k]) / max(len(x), 1)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_repeated_ids_are_one_labelled_row(docs, spark):
+    rows = corpus(300)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    one = T.learn(docs([(i, t, "s") for i, t, _ in rows]), labels)
+    many = T.learn(docs([(i, t, "s") for i, t, _ in rows] + [(0, rows[0][1], "s")] * 500 + [(None, "x", "s")] * 3), labels.union(labels))
+    assert one.bias == many.bias and np.array_equal(one.w, many.w)
+
+
 def test_edge_cases(docs, spark):
     df = docs([None, "", "   ", "vile " * 20_000, "vile", "vile"]).withColumn("score", F.lit(3)).withColumn("y", F.lit(3))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -1,3 +1,8 @@
+import itertools
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from pitspark.llm import url_filter as U
@@ -34,5 +39,40 @@ def test_matching_is_the_subset_test(spark):
     assert {r.url for r in U.matched(pages, rules).collect()} == {"http://a.b.c/x", "http://b.c/x/y", "http://c/y"}
 
 
+def brute_tokens(url):
+    host, path, query = re.fullmatch(r"(?s).*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?.*", url).groups()
+    parts = [f"h:{x}" for x in host.lower().split(".") if x] + [f"p:{x.lower()}" for x in re.split("[/._-]", path) if re.search("[a-zA-Z]", x)]
+    return set(parts + [f"q:{x.split('=')[0]}" for x in (query or "").split("&") if x])
+
+
+def test_mining_matches_brute_force(spark):
+    """All token combinations are counted; those with enough support, confidence and lift that hold no shorter one block."""
+    rng = random.Random(5)
+    urls = [f"http://{rng.choice(['win', 'blog', 'm'])}.{rng.choice('abc')}.com/{rng.choice(['buy', 'news', 'x'])}/{i}?{rng.choice(['ref', 'page'])}=1" for i in range(300)]
+    bad = [("win" in u and "buy" in u) or ("ref" in u and "://m.b" in u) or rng.random() < 0.05 for u in urls]
+    labels = [(i, int(not bad[i]), 0) for i in range(240)]
+    counts, hits = Counter(), Counter()
+    for u, b in list(zip(urls, bad))[:240]:
+        for n in range(1, 8):
+            for c in itertools.combinations(sorted(brute_tokens(u)), n):
+                counts[c] += 1
+                hits[c] += b
+    rate = sum(bad[:240]) / 240
+    rules = [set(c) for c in counts if hits[c] >= 5 and hits[c] / counts[c] >= 0.7 and hits[c] / counts[c] / rate >= U.MIN_LIFT]
+    rules = [r for r in rules if not any(s < r for s in rules)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    mined = U.mine(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), min_confidence=0.7, least_pages=5).collect()
+    assert rules and sorted(sorted(r.tokens) for r in mined) == sorted(map(sorted, rules))
+    out = judge(spark, urls, labels, min_confidence=0.7, least_pages=5)
+    assert [out[i].verdict == "block" for i in range(300)] == [any(r <= brute_tokens(u) for r in rules) for u in urls]
+
+
+def test_repeated_and_null_rows(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (None, None), (None, "http://b.com/")], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = U.url_filter(pages, labels).collect()
+    assert sorted((r.page_id or 0, r.host, r.verdict) for r in rows) == [(0, "", "allow"), (0, "b.com", "allow"), (1, "a.net", "block"), (1, "a.net", "block")]
+
+
 def test_empty_tables(spark):
     assert judge(spark, []) == {}
