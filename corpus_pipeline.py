@@ -22,44 +22,38 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Near copies share this part of their word n-grams at least; op1's own query has 3 words and 0.9.
 NEAR = {"n": 5, "num": 80, "den": 100}
-#: A line on more than this share of a source's pages is boilerplate: between chance repeats (24 of 500 pages of
-#: sf0.1 at most) and real boilerplate (43 of 500 at least); op5's own query has 0.1, as its SQL.
-LINE_RATIO = 0.06
-
-
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id (null too) is in ids."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    verdict = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return _of(docs, verdict)
+    """Rows that the rules keep, each by itself: equal rows share their verdict, null and blank texts go."""
+    return quality_rules(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source."""
-    out = line_dedup(docs.select(*COLUMNS), ratio=LINE_RATIO)
+    """All rows, without the boilerplate lines of their source. Null texts stay null; texts of boilerplate only are empty."""
+    out = line_dedup(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component of near copies (five-word Jaccard of 0.8 or more) whose id names it."""
-    kept = ngram_jaccard(docs, **NEAR).where("component_id <=> doc_id").select("doc_id").distinct()
-    return _of(docs, kept)
+    """One row of each component of near copies (five-word Jaccard of 0.8 or more): that of the smallest id, nulls last.
+
+    Rows that agree in every column count as one, with or without an id; texts without words have no other copies.
+    """
+    row = F.unhex(F.md5(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})))
+    kept = ngram_jaccard(docs, row=row, **NEAR).where("first").select(F.col("row").alias("_kept")).distinct()
+    keyed = docs.select(*COLUMNS, row.alias("_row"))
+    return keyed.join(kept, keyed["_row"] == kept["_kept"], "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"]))
+    """Each row as often as the mix takes it; rows without words are never taken."""
+    taken = mix_sources(docs, keep=COLUMNS).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, decoded again to check them."""
+    """Digests of each row's token ids and of their decoding; null and empty texts have no tokens."""
     return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
@@ -71,7 +65,7 @@ STAGES = [
     ("byte-level BPE", encoding),
 ]
 
-#: SQL can't express the first and last stage; the tests compare run() with a brute-force version.
+#: SQL can't express the first and last stage; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 

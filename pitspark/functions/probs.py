@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -27,18 +27,22 @@ def normalize(*p: Column, eps: float = 1e-12) -> list[Column]:
 # ---------------------------------------------------------------- ratings
 
 
+# The rating scale of 400 points, the tie weight 0.4, the draw's peak 0.30 and width 240.
+
+
 def expected_score(delta: Column, scale: float = 400.0) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), -delta / scale))
 
 
 def ternary_probs(delta: Column, r: float = 0.4, home: float = 0.0) -> list[Column]:
-    """Win, draw, loss from a rating difference: weights 10^(d/800), 2r and 10^(-d/800), normalised."""
-    up, down = F.pow(F.lit(10.0), (delta + home) / 800.0), F.pow(F.lit(10.0), -(delta + home) / 800.0)
-    total = up + down + 2 * r
-    return normalize(up / total, F.lit(2 * r) / total, down / total, eps=1e-9)
+    """Win, draw, loss from a rating difference: of the expected score p, each side wins its square and r times p (1 - p)."""
+    p = expected_score(delta + home)
+    tie = r * p * (1 - p)
+    win, loss = p * p + tie, (1 - p) * (1 - p) + tie
+    return [clip(x, 1e-9, 1.0) for x in (win, 1 - win - loss, loss)]
 
 
-def gaussian_draw(delta: Column, peak: float = 0.3, width: float = 250.0) -> Column:
+def gaussian_draw(delta: Column, peak: float = 0.30, width: float = 240.0) -> Column:
     return peak * F.exp(-delta * delta / (2 * width * width))
 
 
@@ -66,12 +70,26 @@ def kelly(p: Column, odds: Column, fraction: float = 1.0) -> Column:
     return F.when(odds > 1, F.greatest(F.lit(0.0), (p * odds - 1) / (odds - 1)) * fraction).otherwise(0.0)
 
 
+def bet_risk(p: Column, odds: Column) -> dict[str, Column]:
+    """Mean, variance and deviation of the profit per unit staked (odds - 1 if it comes, else -1), and their ratio, 0 without spread."""
+    q = clip(p, 1e-9, 1 - 1e-9)
+    ev = q * (odds - 1) - (1 - q)
+    var = F.greatest(F.lit(0.0), q * (odds - 1) * (odds - 1) + (1 - q) - ev * ev)
+    return {"ev": ev, "var": var, "sd": F.sqrt(var), "sharpe": F.when(var > 0, ev / F.sqrt(var)).otherwise(0.0)}
+
+
 # ---------------------------------------------------------------- uncertainty
 
 
 def entropy(*p: Column) -> Column:
-    terms = [F.when(x > 0, -x * F.log(x)).otherwise(0.0) for x in p]
-    return sum(terms[1:], terms[0])
+    """Entropy of normalised probabilities, 1 at most."""
+    q = normalize(*p)
+    return -sum((x * F.log(F.greatest(x, F.lit(1e-12))) for x in q[1:]), q[0] * F.log(F.greatest(q[0], F.lit(1e-12)))) / math.log(len(p))
+
+
+def risk_band(top: Column, entropy_: Column) -> Column:
+    """Low from a top probability of 0.68 and entropy up to 0.55, medium from 0.55 and up to 0.75, else high."""
+    return F.when((top >= 0.68) & (entropy_ <= 0.55), "low").when((top >= 0.55) & (entropy_ <= 0.75), "medium").otherwise("high")
 
 
 def standard_error(p: Column, n_eff: float = 150.0, eps: float = 1e-9) -> Column:
@@ -96,25 +114,88 @@ def poisson_pmf(rate: Column, k: Column) -> Column:
     return F.exp(-rate) * F.pow(rate, k) / F.factorial(k)
 
 
+def poisson_array(rate: Column, most: int) -> Column:
+    """Probabilities of 0 .. most goals; what lies beyond is left out."""
+    return F.array(*(F.exp(-rate) * F.pow(rate, F.lit(k)) / math.factorial(k) for k in range(most + 1)))
+
+
 def poisson_vector(rate: Column, most: int) -> Column:
     """Probabilities of 0 .. most goals, the tail in the last."""
-    body = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: poisson_pmf(rate, k))
+    body = poisson_array(rate, most - 1)
     return F.concat(body, F.array(1 - F.aggregate(body, F.lit(0.0), lambda a, x: a + x)))
 
 
-def wdl_from_rates(home: Column, away: Column, diff: Column | None = None, most: int = 8) -> list[Column]:
-    """Win, draw, loss when home and away goals still to come are Poisson and the score differs by diff."""
-    h = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: poisson_pmf(home, k))
-    a = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: poisson_pmf(away, k))
+def with_wdl(df: DataFrame, home: Column, away: Column, diff: Column | None = None, most: int = 8, names: tuple[str, str, str] = ("win", "draw", "loss")) -> DataFrame:
+    """df with win, draw, loss when home and away goals still to come (0 .. most) are Poisson and the score differs by diff.
+
+    With the running sums of the away side's probabilities, each outcome is a sum over the home side's goals.
+    """
     now = diff if diff is not None else F.lit(0)
+    df = df.withColumns({"_h": poisson_array(home, most), "_a": poisson_array(away, most), "_d": now.cast("int")})
+    below = [F.lit(0.0)]  # fewer than k away goals
+    for k in range(most + 1):
+        below.append(below[-1] + F.col("_a")[k])
+    df = df.withColumn("_below", F.array(*below))
+
+    def at(i: int) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(most + 1), F.col("_d") + i))
+
+    goals = range(most + 1)
+    win = sum((F.col("_h")[i] * F.get("_below", at(i)) for i in goals[1:]), F.col("_h")[0] * F.get("_below", at(0)))
+    draw = sum((F.col("_h")[i] * (F.get("_below", at(i + 1)) - F.get("_below", at(i))) for i in goals[1:]), F.col("_h")[0] * (F.get("_below", at(1)) - F.get("_below", at(0))))
+    total = sum((F.col("_h")[i] for i in goals[1:]), F.col("_h")[0]) * F.col("_below")[most + 1]
+    df = df.withColumns({"_w": win, "_x": draw, "_t": total})
+    out = {names[0]: F.col("_w") / F.col("_t"), names[1]: F.col("_x") / F.col("_t"), names[2]: 1 - (F.col("_w") + F.col("_x")) / F.col("_t")}
+    return df.withColumns(out).drop("_h", "_a", "_d", "_below", "_w", "_x", "_t")
+
+
+def score_grid(home: Column, away: Column, rho: float = 0.0, inflation: float = 0.0, most: int = 8) -> Column:
+    """Scores (i, j, p) of 0 .. most goals each: what lies beyond goes to the last row and column, the four lowest scores are corrected (by no less than 0.001) and draws weigh 1 + inflation."""
 
-    def mass(test) -> Column:
-        over = F.transform(h, lambda x, i: x * F.aggregate(F.transform(a, lambda y, j: F.when(test(i - j + now), y).otherwise(0.0)), F.lit(0.0), lambda s, y: s + y))
-        return F.aggregate(over, F.lit(0.0), lambda s, x: s + x)
+    def cell(i, j) -> Column:
+        h, a = F.get("_h", i), F.get("_a", j)
+        last_h, last_a = F.when(i == most, F.col("_th")).otherwise(0.0), F.when(j == most, F.col("_ta")).otherwise(0.0)
+        tau = F.greatest(F.lit(0.001), dixon_coles(i, j, home, away, rho)) if rho else F.lit(1.0)
+        return (h * a + last_h * a + last_a * h) * tau * F.when(i == j, 1 + inflation).otherwise(1.0)
 
-    win, draw, loss = mass(lambda d: d > 0), mass(lambda d: d == 0), mass(lambda d: d < 0)
-    total = win + draw + loss
-    return [win / total, draw / total, loss / total]
+    goals = F.sequence(F.lit(0), F.lit(most))
+    return F.flatten(F.transform(goals, lambda i: F.transform(goals, lambda j: F.struct(i.alias("i"), j.alias("j"), cell(i, j).alias("p")))))
+
+
+def with_score_grid(df: DataFrame, home: Column, away: Column, rho: float = 0.0, inflation: float = 0.0, most: int = 8, name: str = "grid") -> DataFrame:
+    """df with the normalised score grid, an array of (i, j, p)."""
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    df = df.withColumns({"_h": poisson_array(home, most), "_a": poisson_array(away, most)})
+    df = df.withColumns({"_th": F.greatest(F.lit(0.0), 1 - add(F.col("_h"))), "_ta": F.greatest(F.lit(0.0), 1 - add(F.col("_a")))})
+    df = df.withColumn("_g", score_grid(home, away, rho, inflation, most))
+    df = df.withColumn("_t", F.aggregate("_g", F.lit(0.0), lambda s, c: s + c["p"]))
+    out = F.transform("_g", lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (c["p"] / F.col("_t")).alias("p")))
+    return df.withColumn(name, out).drop("_h", "_a", "_th", "_ta", "_g", "_t")
+
+
+def grid_mass(grid: str, test) -> Column:
+    """The probability of the scores (i, j) that pass a test."""
+    return F.aggregate(F.filter(grid, lambda c: test(c["i"], c["j"])), F.lit(0.0), lambda s, c: s + c["p"])
+
+
+#: Fixed values of the in-play update: what a red card takes from a side and gives to the other, what each goal
+#: behind adds and each goal ahead takes, how much surprising chances count, and the rates that are possible.
+RED_COST, RED_GAIN, BEHIND, AHEAD, XG_WEIGHT, LOWEST_RATE, HIGHEST_RATE = 0.30, 0.18, 0.14, 0.05, 0.35, 0.01, 5.0
+
+
+def remaining_rates(rate_a: Column, rate_b: Column, minute: Column, diff: Column, reds_a: Column, reds_b: Column, xg_a: Column, xg_b: Column) -> list[Column]:
+    """Rates of both sides for the rest of ninety minutes, from those before the match and the state: score, red cards and chances so far (null: unknown)."""
+    played = clip(minute, 0.0, 120.0)
+    left = F.greatest(F.lit(0.0), (90.0 - played) / 90.0)
+
+    def one(rate: Column, lead: Column, reds: Column, theirs: Column, xg: Column) -> Column:
+        score = F.when(lead < 0, 1 - BEHIND * lead).when(lead > 0, F.greatest(F.lit(0.2), 1 - AHEAD * lead)).otherwise(1.0)
+        cards = F.pow(F.lit(max(0.05, 1 - RED_COST)), reds) * F.pow(F.lit(1 + RED_GAIN), theirs)
+        surprise = clip(xg - rate * F.greatest(F.lit(1e-6), played / 90.0), -2.0, 2.0)
+        chances = F.when(xg.isNull(), 1.0).otherwise(F.exp(XG_WEIGHT * surprise / F.greatest(F.lit(0.5), rate)))
+        return clip(rate * left * score * cards * chances, LOWEST_RATE, HIGHEST_RATE)
+
+    return [one(rate_a, diff, reds_a, reds_b, xg_a), one(rate_b, -diff, reds_b, reds_a, xg_b)]
 
 
 def dixon_coles(i: Column, j: Column, home: Column, away: Column, rho: float) -> Column:
@@ -204,18 +285,47 @@ def z_of(confidence: float) -> float:
     return low
 
 
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    return gamma(a) + gamma(b) - gamma(a + b)
+
+
+def _beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, terms: int = 200) -> np.ndarray:
+    """The regularised incomplete beta function, by its continued fraction from the side where that is fast."""
+    turn = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(turn, 1 - x, x), np.where(turn, b, a), np.where(turn, a, b)
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    value = d.copy()
+    for m in range(1, terms):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + top * d, 1 + top / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            step = d * c
+            value = value * step
+        if np.all(np.abs(step - 1) < 1e-13):
+            break
+    with np.errstate(divide="ignore"):
+        out = np.exp(a * np.log(x) + b * np.log1p(-x) - _log_beta(a, b)) / a * value
+    return np.where(turn, 1 - out, out)
+
+
 def beta_interval(p: Column, n_eff: float = 150.0, alpha: float = 0.05) -> Column:
-    """(low, high): the Beta interval of a probability worth n_eff observations, by bisection of a numeric integral in Arrow batches."""
+    """(low, high): the interval of Beta(1 + p n_eff, 1 + (1 - p) n_eff), by bisection of whole Arrow batches at once."""
     @pandas_udf("struct<low: double, high: double>")
     def interval(x: pd.Series) -> pd.DataFrame:
-        grid = np.linspace(0, 1, 4001)[1:-1]
+        value = x.to_numpy(float)
+        q, to = np.unique(np.clip(value[~np.isnan(value)], 1e-9, 1 - 1e-9), return_inverse=True)
+        a, b = 1 + q * max(n_eff, 1.0), 1 + (1 - q) * max(n_eff, 1.0)
         out = np.full((len(x), 2), np.nan)
-        for i, q in enumerate(x.to_numpy(float)):
-            if not np.isnan(q):
-                q = min(max(q, 1e-9), 1 - 1e-9)
-                log = (q * n_eff - 1) * np.log(grid) + ((1 - q) * n_eff - 1) * np.log1p(-grid)
-                cdf = np.cumsum(np.exp(log - log.max()))
-                out[i] = np.interp([alpha / 2, 1 - alpha / 2], cdf / cdf[-1], grid)
+        for side, level in enumerate((alpha / 2, 1 - alpha / 2)):
+            low, high = np.zeros_like(q), np.ones_like(q)
+            for _ in range(50):
+                mid = (low + high) / 2
+                under = _beta_cdf(mid, a, b) < level
+                low, high = np.where(under, mid, low), np.where(under, high, mid)
+            out[~np.isnan(value), side] = low[to]
         return pd.DataFrame(out, columns=["low", "high"])
 
     return interval(p)

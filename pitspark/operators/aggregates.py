@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import probs as P
+from .joins import written
 
 
 def rate_by(df: DataFrame, keys: Sequence[str], event: Column) -> DataFrame:
@@ -52,7 +56,7 @@ def ece(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def interval_coverage(table: DataFrame, z: float = 1.645, least: int = 5) -> DataFrame:
     """Share of bins of at least ``least`` rows whose observed rate lies in the binomial band around the predicted one."""
-    band = z * F.sqrt(F.col("pred") * (1 - F.col("pred")) / F.col("n"))
+    band = z * F.sqrt(F.greatest(F.col("pred") * (1 - F.col("pred")), F.lit(1e-9)) / F.col("n"))
     return table.where(F.col("n") >= least).agg(F.avg((F.abs(F.col("actual") - F.col("pred")) <= band).cast("double")).alias("coverage"), F.count("*").alias("bins"))
 
 
@@ -65,11 +69,12 @@ def slices(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def calibration_line(df: DataFrame, p: str, hit: Column, rounds: int = 12) -> tuple[float, float]:
     """Intercept and slope of the logistic regression of hits on logit(p), by Newton steps over aggregated sums."""
     q = P.clip(F.col(p), 1e-6, 1 - 1e-6)
-    rows = df.select(F.log(q / (1 - q)).alias("x"), hit.cast("double").alias("y"))
+    # rows of equal forecasts count as one, so that the steps run over far fewer
+    rows = written(df.groupBy(F.log(q / (1 - q)).alias("x")).agg(F.sum(hit.cast("double")).alias("y"), F.count("*").alias("n")))
     a, b = 0.0, 1.0
     for _ in range(rounds):
         m = 1 / (1 + F.exp(-(a + b * F.col("x"))))
-        w, r, x = m * (1 - m), F.col("y") - m, F.col("x")
+        w, r, x = F.col("n") * m * (1 - m), F.col("y") - F.col("n") * m, F.col("x")
         s = rows.agg(F.sum(r).alias("g0"), F.sum(r * x).alias("g1"), F.sum(w).alias("h00"), F.sum(w * x).alias("h01"), F.sum(w * x * x).alias("h11")).first()
         det = s.h00 * s.h11 - s.h01 * s.h01
         if not det:
@@ -81,28 +86,40 @@ def calibration_line(df: DataFrame, p: str, hit: Column, rounds: int = 12) -> tu
     return a, b
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, resamples: int = 200, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, resamples: int = 2000, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Mean and percentile interval of the clusters' means, clusters resampled with Poisson(1) weights.
 
-    Rows become one mean a cluster first; the weight of a cluster in a resample comes
-    from a hash of both, so it needs no order and repeats exactly.
+    Rows become one mean a cluster first; the weight of a cluster in a resample comes from a hash of both, so it needs
+    no order and repeats exactly. A task adds up the weights of its clusters in all resamples, and gives one row a resample.
     """
     means = df.groupBy(cluster).agg(F.avg(value).alias("m"))
-    draws = means.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("b")), F.lit(1 << 30)) / float(1 << 30)
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(9):
-        total += term
-        steps.append((total, k))
-        term /= k + 1
-    weight = F.lit(9)
-    for top, k in reversed(steps):
-        weight = F.when(u < top, k).otherwise(weight)
-    sums = draws.withColumn("w", weight).groupBy("b").agg(F.sum(F.col("w") * F.col("m")).alias("s"), F.sum("w").alias("w")).where("w > 0")
-    interval = sums.agg(F.percentile(F.col("s") / F.col("w"), F.lit(low)).alias("low"), F.percentile(F.col("s") / F.col("w"), F.lit(high)).alias("high"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+
+    def sums(batches):
+        w, s = np.zeros(resamples), np.zeros(resamples)
+        each = _spread(np.arange(resamples, dtype=np.uint64))
+        for rows in batches:
+            for at in range(0, len(rows), 256):
+                part = rows.iloc[at : at + 256]
+                u = (_spread(part["h"].to_numpy(np.int64).view(np.uint64)[:, None] ^ each) >> np.uint64(11)) / float(1 << 53)
+                weight = np.searchsorted(steps, u, "right")
+                w += weight.sum(0)
+                s += part["m"].to_numpy(float) @ weight
+        yield pd.DataFrame({"b": np.arange(resamples), "s": s, "w": w})
+
+    drawn = means.where("m is not null").select(F.xxhash64(F.lit(seed), cluster).alias("h"), "m").mapInPandas(sums, "b long, s double, w double")
+    drawn = drawn.groupBy("b").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).where("w > 0")
+    interval = drawn.agg(F.percentile(F.col("s") / F.col("w"), F.lit(low)).alias("low"), F.percentile(F.col("s") / F.col("w"), F.lit(high)).alias("high"))
     return means.agg(F.avg("m").alias("mean"), F.count("*").alias("clusters")).join(interval)
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them evenly."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, present): the share of rows in which a column has a value, all from one pass."""
     row = df.agg(*(F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns))

@@ -20,12 +20,16 @@ def bridge(a: DataFrame, b: DataFrame, keys: Sequence[str], id_col: str, score:
 
 
 def mapping_cascade(left: DataFrame, right: DataFrame, id_col: str, name: str, other_id: str, other_name: str) -> DataFrame:
-    """Ids by exact name, else by the only lower-cased one, else ambiguous or missing."""
-    exact = right.select(F.col(other_id).alias("_e"), F.col(other_name).alias("_n"))
+    """Ids by exact name, else by the only lower-cased one, else ambiguous or missing; a row of left stays one row.
+
+    A name that several ids bear exactly is ambiguous too.
+    """
+    exact = right.groupBy(F.col(other_name).alias("_n")).agg(F.min(other_id).alias("_e"), F.count("*").alias("_m"))
     low = right.groupBy(F.lower(other_name).alias("_l")).agg(F.min(other_id).alias("_u"), F.count("*").alias("_c"))
     j = left.join(exact, left[name] == exact["_n"], "left").join(low, F.lower(left[name]) == low["_l"], "left")
-    how = F.when(F.col("_e").isNotNull(), "exact").when(F.col("_c") == 1, "normalised").when(F.col("_c") > 1, "ambiguous").otherwise("missing")
-    return j.withColumns({other_id: F.coalesce("_e", F.when(F.col("_c") == 1, F.col("_u"))), "how": how})
+    how = F.when(F.col("_m") == 1, "exact").when(F.col("_m") > 1, "ambiguous").when(F.col("_c") == 1, "normalised").when(F.col("_c") > 1, "ambiguous").otherwise("missing")
+    j = j.withColumn("how", how)
+    return j.withColumn(other_id, F.when(F.col("how") == "exact", F.col("_e")).when(F.col("how") == "normalised", F.col("_u"))).drop("_n", "_e", "_m", "_l", "_u", "_c")
 
 
 def band_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, width: int) -> DataFrame:
@@ -55,26 +59,64 @@ def resolve_aliases(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame
     return df.join(known, df[column] == known["_alias"], "left").drop("_alias")
 
 
-def confidence(pairs: DataFrame, same_type: Column, same_team: Column, gap: Column, width: float) -> DataFrame:
-    """0.4 for the type, 0.3 for the team, 0.3 for the clock, falling to 0 at the width."""
-    c = 0.4 * same_type.cast("int") + 0.3 * same_team.cast("int") + 0.3 * F.greatest(F.lit(0.0), 1 - gap / float(width))
-    return pairs.withColumn("confidence", c).withColumn("class", F.when(F.col("confidence") >= 0.7, "aligned").when(F.col("confidence") >= 0.4, "weak").otherwise("rejected"))
+def confidence(pairs: DataFrame, same_type: Column, same_team: Column, gap: Column, width: float, corrected: Column | None = None, live_safe: Column | None = None) -> DataFrame:
+    """0.4 for the type, 0.3 for the team, 0.3 for the clock, falling to 0 at the width; fixed values: high from 0.75, medium from 0.5."""
+
+    def yes(x: Column) -> Column:
+        return F.coalesce(x, F.lit(False)).cast("int")
+
+    clock = F.coalesce(F.greatest(F.lit(0.0), 1 - gap / float(width)), F.lit(0.0))
+    pairs = pairs.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.4 * yes(same_type) + 0.3 * yes(same_team) + 0.3 * clock), 3))
+    c = F.col("confidence")
+    flags = F.when(F.lit(False) if corrected is None else corrected, "correction_or_duplicate").when(F.lit(False) if live_safe is None else ~live_safe, "timing_not_safe_for_live_use")
+    kind = flags.when(c >= 0.75, "high_confidence_event_alignment").when(c >= 0.5, "medium_confidence_event_alignment").when(c > 0, "low_confidence_event_alignment")
+    return pairs.withColumn("class", kind.otherwise("unaligned"))
+
+
+def plain_name(name: Column) -> Column:
+    """Lower case, letters, digits and blanks only."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N} ]", ""))
 
 
 def resolve_entities(raw: DataFrame, known: DataFrame, id_col: str, raw_col: str, name: str, least: float) -> DataFrame:
-    """The known name nearest by edit distance among those with the same first letter."""
-    block = F.substring(raw_col, 1, 1)
-    pairs = raw.withColumn("_b", block).join(known.withColumn("_b", F.substring(name, 1, 1)), "_b", "left")
-    conf = 1 - F.levenshtein(raw_col, name) / F.greatest(F.length(raw_col), F.length(name))
-    best = pairs.groupBy(id_col).agg(F.max(F.struct(conf.alias("c"), F.col(name).alias("n"))).alias("_best"))
-    return best.select(id_col, F.when(F.col("_best.c") >= least, F.col("_best.n")).alias("entity"))
+    """(id, entity): the known name whose plain form is nearest by edit distance, if similar enough; ties to the greatest name.
+
+    Two names of lengths up to n with a similarity of ``least`` differ in at most d = (1 - least) n places. Cut into
+    d + 1 parts of even length, one part of the shorter-or-equal known name is found in the raw one, moved by d at most:
+    an exact filter, so only known names with a part in common are compared. Equal plain names are one.
+    """
+    known = known.select(F.col(name).alias("_name"), plain_name(F.col(name)).alias("_k")).groupBy("_k").agg(F.max("_name").alias("_name")).where("_k <> ''")
+    left = raw.select(id_col, plain_name(F.col(raw_col)).alias("_r"))
+    asked = left.select("_r").distinct().where("_r <> ''")
+
+    def most(length: Column) -> Column:
+        """The edits that a match with the longest name that fits can have."""
+        return F.floor((1 - least) * F.floor(length / least + 1e-9) + 1e-9).cast("int")
+
+    # the parts of a known name, by their number, place and how many there are
+    k = known.withColumn("_d", F.least(most(F.length("_k")) + 1, F.length("_k")))
+    start = lambda i: F.floor(i * F.length("_k") / F.col("_d")).cast("int")
+    whole = lambda i: F.col("_k").substr(start(i) + 1, start(i + 1) - start(i))
+    parts = k.select("_k", "_name", F.explode(F.transform(F.sequence(F.lit(0), F.col("_d") - 1), whole)).alias("_part"))
+    parts = parts.withColumn("_n", F.length("_part")).where("_n > 0")
+    sizes = [r["_n"] for r in parts.select("_n").distinct().collect()]  # as many as parts have lengths
+    grams = asked.select("_r", F.explode(F.array(*(F.lit(x) for x in sizes)) if sizes else F.array().cast("array<int>")).alias("_n"))
+    spans = F.sequence(F.lit(1), F.length("_r") - F.col("_n") + 1)
+    grams = grams.where(F.length("_r") >= F.col("_n")).select("_r", "_n", F.explode(F.array_distinct(F.transform(spans, lambda i: F.col("_r").substr(i, F.col("_n"))))).alias("_part"))
+    pairs = grams.join(parts, ["_n", "_part"]).select("_r", "_k", "_name").distinct()
+    conf = 1 - F.levenshtein("_r", "_k") / F.greatest(F.length("_r"), F.length("_k"))
+    best = pairs.groupBy("_r").agg(F.max(F.struct(conf.alias("c"), F.col("_name").alias("n"))).alias("_best"))
+    out = left.join(best.withColumnRenamed("_r", "_q"), F.col("_r") == F.col("_q"), "left")
+    return out.select(id_col, F.when(F.col("_best.c") >= least, F.col("_best.n")).alias("entity"))
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, cut off from its lineage by a table in the shared checkpoint folder."""
+    """df, cut off from its lineage by a table in the folder that all executors share; a local one only where the cluster names none."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="spark-")

@@ -44,8 +44,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
 
 
 def latest_before(facts: DataFrame, decisions: DataFrame, on: str, fact_ts: str, decision_ts: str, values: Sequence[str]) -> DataFrame:
-    """One row per decision key: the latest fact at or before its decision (an aggregate, where a key has one decision)."""
-    joined = decisions.join(facts, on, "left").where(F.col(fact_ts).isNull() | (F.col(fact_ts) <= F.col(decision_ts)))
+    """One row per decision key: the latest fact at or before its decision (an aggregate, where a key has one decision), nulls if there is none."""
+    joined = decisions.join(facts.withColumnRenamed(on, "_on"), (F.col(on) == F.col("_on")) & (F.col(fact_ts) <= F.col(decision_ts)), "left")
     found = joined.groupBy(*decisions.columns).agg(F.max_by(F.struct(*values), F.struct(fact_ts, *values)).alias("_v"))
     return found.select(*decisions.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
 
@@ -77,35 +77,38 @@ def snapshot_schedule(events: DataFrame, triggers: Sequence[str], step: int) ->
 
 
 def state_at(events: DataFrame, snapshots: DataFrame, kinds: Sequence[str], widths: Sequence[int], goal: str, horizons: Sequence[int], strict: bool = False) -> DataFrame:
-    """Causal state and look-ahead labels at each snapshot, all from one shuffle and sort of each match.
+    """Causal state and look-ahead labels at each snapshot, all from one shuffle of each match and running sums over it.
 
     n_<kind>: events so far. x_sum, x_seen: quality so far and whether any was known.
     n_last_<w>: events in the last w seconds, (t - w, t], or [t - w, t) if strict. since_goal: seconds since the last
-    goal, null before it. next_goal: seconds to the next one after t; goal_in_<h>: one in (t, t + h].
+    goal, null before it. next_goal: seconds to the next one after t; goal_in_<h>: one in (t, t + h], or [t, t + h).
     An event at the clock of a snapshot counts as seen unless strict.
+
+    A match may be long: an event enters a window at its clock and leaves it by a row of its own w seconds later, and
+    what lies ahead is what has been seen in reverse order, so no row looks at more than its neighbours.
     """
     tag = 0 if strict else 2
-    rows = events.select("match", "t", "kind", "x", F.lit(1).alias("tag"), F.lit(None).cast("string").alias("reason"))
-    rows = rows.unionByName(snapshots.select("match", "t", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("x"), F.lit(tag).alias("tag"), "reason"))
+    empty = {"kind": F.lit(None).cast("string"), "x": F.lit(None).cast("double"), "reason": F.lit(None).cast("string")}
+    rows = events.select("match", "t", "kind", "x", F.lit(1).alias("tag"), empty["reason"].alias("reason"), F.lit(0).alias("left"))
+    rows = rows.unionByName(snapshots.select("match", "t", empty["kind"].alias("kind"), empty["x"].alias("x"), F.lit(tag).alias("tag"), "reason", F.lit(0).alias("left")))
+    for w in widths:
+        rows = rows.unionByName(events.select("match", (F.col("t") + w).alias("t"), empty["kind"].alias("kind"), empty["x"].alias("x"), F.lit(1).alias("tag"), empty["reason"].alias("reason"), F.lit(w).alias("left")))
     by = Window.partitionBy("match")
     # four times the clock, the tag in the last bits: range frames see what was known and nothing else
     rows = rows.withColumn("c", F.col("t") * 4 + F.col("tag"))
     past = by.orderBy("c").rangeBetween(Window.unboundedPreceding, 0)
-    is_event, is_goal = F.col("tag") == 1, F.col("kind") == goal
-    ahead = by.orderBy("c").rangeBetween(1, Window.unboundedFollowing)
+    ahead = by.orderBy(F.desc("c")).rangeBetween(Window.unboundedPreceding, -1)
+    is_event, is_goal = (F.col("tag") == 1) & (F.col("left") == 0), F.col("kind") == goal
     columns: dict[str, Column] = {f"n_{k}": F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).over(past) for k in kinds}
     columns["x_sum"] = F.coalesce(F.sum("x").over(past), F.lit(0.0))
     columns["x_seen"] = F.max(F.when(F.col("x").isNotNull(), 1).otherwise(0)).over(past)
     for w in widths:
-        recent = by.orderBy("c").rangeBetween(-4 * w + (1 if strict else 0), 0)
-        columns[f"n_last_{w}"] = F.sum(F.when(is_event, 1).otherwise(0)).over(recent)
+        columns[f"n_last_{w}"] = F.sum(F.when(is_event, 1).when(F.col("left") == w, -1).otherwise(0)).over(past)
     columns["since_goal"] = F.col("t") - F.max(F.when(is_goal, F.col("t"))).over(past)
     columns["next_goal"] = F.min(F.when(is_goal, F.col("t"))).over(ahead) - F.col("t")
-    for h in horizons:
-        columns[f"goal_in_{h}"] = F.max(F.when(is_goal, 1).otherwise(0)).over(by.orderBy("c").rangeBetween(1, 4 * h))
     out = rows.withColumns(columns).where("tag <> 1")
-    filled = {f"goal_in_{h}": F.coalesce(F.col(f"goal_in_{h}"), F.lit(0)) for h in horizons}
-    return out.withColumns(filled).select("match", "t", "reason", *columns)
+    soon = {f"goal_in_{h}": F.coalesce((F.col("next_goal") < h) if strict else (F.col("next_goal") <= h), F.lit(False)).cast("int") for h in horizons}
+    return out.withColumns(soon).select("match", "t", "reason", *columns, *soon)
 
 
 def prior_state(rows: DataFrame, keys: Sequence[str], ts: str, sums: dict[str, Column]) -> DataFrame:
@@ -125,3 +128,39 @@ def out_of_order(rows: DataFrame, key: str, order: str, clock: str) -> DataFrame
     """(key, n): how often the clock goes back from one row to the next."""
     back = F.lag(clock).over(Window.partitionBy(key).orderBy(order)) > F.col(clock)
     return rows.withColumn("_back", back).groupBy(key).agg(F.coalesce(F.sum(F.col("_back").cast("int")), F.lit(0)).cast("long").alias("n"))
+
+
+SIDES = ("home", "away")
+
+
+def side_panel(events: DataFrame, snapshots: DataFrame, measures: dict[str, Column], goal: Column, horizons: Sequence[int], rolling: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """State and labels of both sides at each snapshot (match, t), from running sums over one shuffle of each match.
+
+    events: (match, t, side, ...) with side home or away (else null: nobody's). For each measure, a column over events
+    that says what an event adds (null: nothing), <measure>_<side> is its sum up to the snapshot, and
+    <measure>_last_<w>_<side>, for each (measure, w) of rolling, over the last w seconds. ``goal``: which events are goals
+    that count (those of regulation time): next_goal_side and next_goal (seconds) strictly after t, goals of one clock
+    going to home first; goal_in_<h>_<side> in (t, t + h]; remaining_<side>: goals still to come.
+    """
+    own = {f"{m}_{s}": F.coalesce(F.when(F.col("side") == s, value.cast("double")), F.lit(0.0)) for m, value in measures.items() for s in SIDES}
+    goals = {f"_goal_{s}": F.coalesce((F.col("side") == s) & goal, F.lit(False)).cast("int") for s in SIDES}
+    e = events.select("match", "t", *(c.alias(n) for n, c in (own | goals).items()), F.lit(1).alias("tag"))
+    rows = e.unionByName(snapshots.select("match", "t", F.lit(2).alias("tag")).distinct(), allowMissingColumns=True)
+    windows = {f"{m}_last_{w}_{s}": (f"{m}_{s}", w) for m, w in rolling for s in SIDES}
+    if windows:
+        rows = rows.withColumns({name: F.col(source) for name, (source, _) in windows.items()})
+    for w in sorted({w for _, w in rolling}):
+        gone = [F.negative(source).alias(name) for name, (source, width) in windows.items() if width == w]
+        rows = rows.unionByName(e.select("match", (F.col("t") + w).alias("t"), F.lit(1).alias("tag"), *gone), allowMissingColumns=True)
+    by = Window.partitionBy("match")
+    rows = rows.withColumn("c", F.col("t") * 4 + F.col("tag"))
+    past = by.orderBy("c").rangeBetween(Window.unboundedPreceding, 0)
+    ahead = by.orderBy(F.desc("c")).rangeBetween(Window.unboundedPreceding, -1)
+    sums = {n: F.coalesce(F.sum(n).over(past), F.lit(0.0)) for n in [*own, *windows]}
+    nexts = {f"_next_{s}": F.min(F.when(F.col(f"_goal_{s}") == 1, F.col("t"))).over(ahead) for s in SIDES}
+    left = {f"remaining_{s}": F.coalesce(F.sum(f"_goal_{s}").over(ahead), F.lit(0)) for s in SIDES}
+    out = rows.select("match", "t", "tag", *(c.alias(n) for n, c in (sums | nexts | left).items())).where("tag = 2")
+    first = F.least("_next_home", "_next_away")
+    labels = {"next_goal": first - F.col("t"), "next_goal_side": F.when(F.col("_next_home") == first, "home").when(F.col("_next_away") == first, "away").otherwise("none")}
+    labels |= {f"goal_in_{h}_{s}": F.coalesce(F.col(f"_next_{s}") - F.col("t") <= h, F.lit(False)).cast("int") for h in horizons for s in SIDES}
+    return out.withColumns(labels).drop("tag", "_next_home", "_next_away")

@@ -60,9 +60,9 @@ def agg5_ece(spark, sf_dir):
     return A.ece(agg5(spark, sf_dir))
 
 
-@query("agg6_interval_coverage", f"WITH b AS ({_bins('right')}) SELECT avg((abs(actual - pred) <= 1.645 * sqrt(pred * (1 - pred) / n))::INT) AS coverage, count(*) AS bins FROM b WHERE n >= 5")
+@query("agg6_interval_coverage", f"WITH b AS ({_bins('left')}) SELECT avg((abs(actual - pred) <= 1.645 * sqrt(greatest(pred * (1 - pred), 1e-9) / n))::INT) AS coverage, count(*) AS bins FROM b WHERE n >= 5")
 def agg6(spark, sf_dir):
-    return A.interval_coverage(agg5(spark, sf_dir))
+    return A.interval_coverage(agg5_left(spark, sf_dir))
 
 
 @query("agg7_sliced_reliability", f"""

@@ -26,11 +26,11 @@ def forecasts(spark, sf_dir):
     return f.select("l_orderkey", "l_linenumber", "l_suppkey", "outcome", pa.alias("pa"), pd.alias("pd"), pb.alias("pb"))
 
 
-@query("fun1_text_normal_hash", r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\n]+', ' ', 'g'))) AS content_hash, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) < 200 THEN 'short' ELSE 'ok' END AS status FROM documents WHERE lang = 'en'")
+@query("fun1_text_normal_hash", r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\n]+', ' ', 'g'))) AS content_hash, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) < 200 THEN 'short' ELSE 'ok' END AS status FROM documents")
 def fun1(spark, sf_dir):
     text = F.trim(F.regexp_replace(F.lower("text"), "[ \t\n]+", " "))
     status = F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty").when(F.length("text") < 200, "short").otherwise("ok")
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(text, 256).alias("content_hash"), status.alias("status"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("content_hash"), status.alias("status"))
 
 
 @query("fun1_duplicate_texts", r"WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL), g AS (SELECT h, min(doc_id) AS first_id, count(*) AS n FROM h GROUP BY h) SELECT doc_id, first_id, n FROM h JOIN g USING (h) WHERE n > 1")
@@ -57,8 +57,8 @@ def fun4(spark, sf_dir):
 
 
 @query("fun5_ratings", """
-    WITH d AS (SELECT c_custkey, c_acctbal / 10.0 - 400 AS d FROM customer), u AS (SELECT *, pow(10.0, d / 800) AS up, pow(10.0, -d / 800) AS dn FROM d)
-    SELECT c_custkey, 1 / (1 + pow(10.0, -d / 400)) AS expected, up / (up + dn + 0.8) AS p_win, 0.8 / (up + dn + 0.8) AS p_draw, 0.3 * exp(-d * d / 125000) AS g_draw FROM u""")
+    WITH d AS (SELECT c_custkey, c_acctbal / 10.0 - 400 AS d FROM customer), e AS (SELECT *, 1 / (1 + pow(10.0, -d / 400)) AS p FROM d)
+    SELECT c_custkey, p AS expected, p * p + 0.4 * p * (1 - p) AS p_win, 1 - p * p - (1 - p) * (1 - p) - 0.8 * p * (1 - p) AS p_draw, 0.3 * exp(-d * d / 115200) AS g_draw FROM e""")
 def fun5(spark, sf_dir):
     d = F.col("c_acctbal") / 10.0 - 400
     win, draw, _ = P.ternary_probs(d)
@@ -75,15 +75,16 @@ def fun6(spark, sf_dir):
 
 
 @query("fun7_fun8_uncertainty", f"""
-    WITH {FORECAST_SQL} SELECT l_orderkey, l_linenumber, -(pa * ln(pa) + pd * ln(pd) + pb * ln(pb)) AS entropy, sqrt(pd * (1 - pd) / 150) AS se,
-        CASE WHEN greatest(pa, pd, pb) >= 0.6 THEN 'low' WHEN greatest(pa, pd, pb) >= 0.45 THEN 'medium' ELSE 'high' END AS band, pa * (1 - pa) AS var_a, -pa * pd AS cov_ad FROM p""")
+    WITH {FORECAST_SQL}, e AS (SELECT *, -(pa * ln(pa) + pd * ln(pd) + pb * ln(pb)) / ln(3) AS entropy, greatest(pa, pd, pb) AS top, 2.5 + l_linenumber AS odds FROM p),
+    x AS (SELECT *, pd * (odds - 1) - (1 - pd) AS ev FROM e), v AS (SELECT *, pd * (odds - 1) * (odds - 1) + (1 - pd) - ev * ev AS var FROM x)
+    SELECT l_orderkey, l_linenumber, entropy, sqrt(pd * (1 - pd) / 150) AS se, CASE WHEN top >= 0.68 AND entropy <= 0.55 THEN 'low' WHEN top >= 0.55 AND entropy <= 0.75 THEN 'medium' ELSE 'high' END AS band,
+        pa * (1 - pa) AS var_a, -pa * pd AS cov_ad, ev AS bet_ev, sqrt(var) AS bet_sd, ev / sqrt(var) AS bet_sharpe FROM v""")
 def fun8(spark, sf_dir):
     f = forecasts(spark, sf_dir)
     p = [F.col("pa"), F.col("pd"), F.col("pb")]
-    top = F.greatest(*p)
-    cov = P.categorical_covariance(*p)
-    band = F.when(top >= 0.6, "low").when(top >= 0.45, "medium").otherwise("high")
-    return f.select("l_orderkey", "l_linenumber", P.entropy(*p).alias("entropy"), P.standard_error(F.col("pd")).alias("se"), band.alias("band"), cov[0][0].alias("var_a"), cov[0][1].alias("cov_ad"))
+    f = f.withColumns({"entropy": P.entropy(*p), "top": F.greatest(*p)})
+    cov, bet = P.categorical_covariance(*p), P.bet_risk(F.col("pd"), 2.5 + F.col("l_linenumber"))
+    return f.select("l_orderkey", "l_linenumber", "entropy", P.standard_error(F.col("pd")).alias("se"), P.risk_band(F.col("top"), F.col("entropy")).alias("band"), cov[0][0].alias("var_a"), cov[0][1].alias("cov_ad"), *(bet[k].alias(f"bet_{k}") for k in ("ev", "sd", "sharpe")))
 
 
 @query("fun7_blend_resplit", f"WITH {FORECAST_SQL} SELECT l_orderkey, l_linenumber, 0.75 * pa + 0.25 / 3 AS pa, (pa * (1 - least(0.9, pd * 1.1)) / (pa + pb)) AS split_a, least(0.9, pd * 1.1) AS split_d FROM p")
@@ -97,44 +98,41 @@ GRID = "SELECT i, j FROM range(9) a(i), range(9) b(j)"
 
 
 @query("fun10_score_grid", f"""
-    WITH r AS (SELECT c_custkey, 0.5 + c_acctbal / 5000 AS h, 1.0 + c_nationkey / 25.0 AS a FROM customer), g AS ({GRID}),
-    m AS (SELECT c_custkey, i, j, exp(-h) * pow(h, i) / factorial(i::INT) * exp(-a) * pow(a, j) / factorial(j::INT) * CASE WHEN i = 0 AND j = 0 THEN 1 + 0.1 * h * a WHEN i = 0 AND j = 1 THEN 1 - 0.1 * h WHEN i = 1 AND j = 0 THEN 1 - 0.1 * a WHEN i = 1 AND j = 1 THEN 1.1 ELSE 1 END AS p FROM r, g)
+    WITH r AS (SELECT c_custkey, 0.5 + (c_acctbal + 1000) / 2500 AS h, 1.0 + c_nationkey / 12.0 AS a FROM customer), g AS ({GRID}),
+    q AS (SELECT *, exp(-h) * pow(h, i) / factorial(i::INT) AS x, exp(-a) * pow(a, j) / factorial(j::INT) AS y FROM r, g),
+    t AS (SELECT *, 1 - sum(x) FILTER (j = 0) OVER w AS tx, 1 - sum(y) FILTER (i = 0) OVER w AS ty FROM q WINDOW w AS (PARTITION BY c_custkey)),
+    m AS (SELECT c_custkey, i, j, (x * y + CASE WHEN i = 8 THEN tx * y ELSE 0 END + CASE WHEN j = 8 THEN ty * x ELSE 0 END) * CASE WHEN i = j THEN 1.05 ELSE 1 END
+        * CASE WHEN i = 0 AND j = 0 THEN greatest(0.001, 1 - 0.25 * h * a) WHEN i = 0 AND j = 1 THEN greatest(0.001, 1 + 0.25 * h) WHEN i = 1 AND j = 0 THEN greatest(0.001, 1 + 0.25 * a) WHEN i = 1 AND j = 1 THEN 0.75 ELSE 1 END AS p FROM t)
     SELECT c_custkey, sum(p) FILTER (i > j) / sum(p) AS win, sum(p) FILTER (i = j) / sum(p) AS draw, sum(p) FILTER (i + j <= 2) / sum(p) AS under FROM m GROUP BY c_custkey""")
 def fun10(spark, sf_dir):
-    """1X2 and a cluster from the score grid with corrected low scores, as arrays within the row."""
-    h, a = F.col("h"), F.col("a")
-    r = table(spark, sf_dir, "customer").select("c_custkey", (0.5 + F.col("c_acctbal") / 5000).alias("h"), (1.0 + F.col("c_nationkey") / 25.0).alias("a"))
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda j: F.struct(i.alias("i"), j.alias("j"), (P.poisson_pmf(h, i) * P.poisson_pmf(a, j) * P.dixon_coles(i, j, h, a, -0.1)).alias("p")))))
-    r = r.withColumn("g", cells)
-
-    def mass(test):
-        return F.aggregate(F.filter("g", test) if test else F.col("g"), F.lit(0.0), lambda s, c: s + c["p"])
-
-    total = mass(None)
-    return r.select("c_custkey", (mass(lambda c: c["i"] > c["j"]) / total).alias("win"), (mass(lambda c: c["i"] == c["j"]) / total).alias("draw"), (mass(lambda c: c["i"] + c["j"] <= 2) / total).alias("under"))
+    """1X2 and a cluster from the score grid: tails in the last row and column, low scores corrected, draws inflated."""
+    r = table(spark, sf_dir, "customer").select("c_custkey", (0.5 + (F.col("c_acctbal") + 1000) / 2500).alias("h"), (1.0 + F.col("c_nationkey") / 12.0).alias("a"))
+    r = P.with_score_grid(r, F.col("h"), F.col("a"), rho=0.25, inflation=0.05)
+    tests = {"win": lambda i, j: i > j, "draw": lambda i, j: i == j, "under": lambda i, j: i + j <= 2}
+    return r.select("c_custkey", *(P.grid_mass("grid", t).alias(n) for n, t in tests.items()))
 
 
 @query("fun11_remaining_wdl", f"""
-    WITH r AS (SELECT o_orderkey, 1.35 * (o_orderkey % 90) / 90.0 AS h, 1.35 * (o_orderkey % 90) / 90.0 * 0.8 AS a, (o_custkey % 5 - 2) AS d FROM orders WHERE o_orderkey % 90 > 0), g AS ({GRID}),
+    WITH r AS (SELECT o_orderkey, 1.35 * (o_orderkey % 90) / 90.0 AS h, 1.35 * (o_orderkey % 90) / 90.0 * 0.8 AS a, (o_custkey % 5 - 2) AS d FROM orders), g AS ({GRID}),
     m AS (SELECT o_orderkey, i - j + d AS x, exp(-h) * pow(h, i) / factorial(i::INT) * exp(-a) * pow(a, j) / factorial(j::INT) AS p FROM r, g)
     SELECT o_orderkey, coalesce(sum(p) FILTER (x > 0), 0) / sum(p) AS win, coalesce(sum(p) FILTER (x = 0), 0) / sum(p) AS draw, coalesce(sum(p) FILTER (x < 0), 0) / sum(p) AS loss FROM m GROUP BY o_orderkey""")
 def fun11(spark, sf_dir):
-    rate = P.remaining_rate((F.col("o_orderkey") % 90).cast("double"))
-    win, draw, loss = P.wdl_from_rates(rate, rate * 0.8, F.col("o_custkey") % 5 - 2)
-    return table(spark, sf_dir, "orders").where("o_orderkey % 90 > 0").select("o_orderkey", win.alias("win"), draw.alias("draw"), loss.alias("loss"))
+    o = table(spark, sf_dir, "orders").withColumn("rate", P.remaining_rate((F.col("o_orderkey") % 90).cast("double")))
+    return P.with_wdl(o, F.col("rate"), F.col("rate") * 0.8, F.col("o_custkey") % 5 - 2).select("o_orderkey", "win", "draw", "loss")
 
 
 @query("fun12_inplay_update", """
-    WITH r AS (SELECT o_orderkey, 1.2 + (o_custkey % 7) * 0.1 AS la, 1.0 + (o_custkey % 5) * 0.1 AS lb, o_orderkey % 91 AS minute, o_custkey % 3 - 1 AS diff, o_custkey % 2 AS reds_a FROM orders)
-    SELECT o_orderkey, la * (90 - minute) / 90.0 * CASE WHEN diff < 0 THEN 1.08 WHEN diff > 0 THEN 0.95 ELSE 1 END * pow(0.72, reds_a) AS ra, lb * (90 - minute) / 90.0 * CASE WHEN diff > 0 THEN 1.08 WHEN diff < 0 THEN 0.95 ELSE 1 END * pow(1.25, reds_a) AS rb FROM r""")
+    WITH r AS (SELECT o_orderkey, 1.2 + (o_custkey % 7) * 0.1 AS la, 1.0 + (o_custkey % 5) * 0.1 AS lb, o_orderkey % 131 AS minute, o_custkey % 5 - 2 AS diff, o_custkey % 3 AS ka, o_orderkey % 2 AS kb, CASE WHEN o_custkey % 4 > 0 THEN o_totalprice / 100000 END AS xa, CASE WHEN o_custkey % 6 > 0 THEN o_totalprice / 200000 END AS xb FROM orders),
+    t AS (SELECT *, greatest(0, 90 - least(120, minute)) / 90.0 AS left_share, greatest(1e-6, least(120, minute) / 90.0) AS gone FROM r)
+    SELECT o_orderkey,
+        least(5, greatest(0.01, la * left_share * CASE WHEN diff < 0 THEN 1 + 0.14 * abs(diff) WHEN diff > 0 THEN greatest(0.2, 1 - 0.05 * diff) ELSE 1 END * pow(0.7, ka) * pow(1.18, kb) * CASE WHEN xa IS NULL THEN 1 ELSE exp(0.35 * least(2, greatest(-2, xa - la * gone)) / greatest(0.5, la)) END)) AS ra,
+        least(5, greatest(0.01, lb * left_share * CASE WHEN diff > 0 THEN 1 + 0.14 * diff WHEN diff < 0 THEN greatest(0.2, 1 - 0.05 * abs(diff)) ELSE 1 END * pow(0.7, kb) * pow(1.18, ka) * CASE WHEN xb IS NULL THEN 1 ELSE exp(0.35 * least(2, greatest(-2, xb - lb * gone)) / greatest(0.5, lb)) END)) AS rb FROM t""")
 def fun12(spark, sf_dir):
-    """Rates that are left: time, score state (the side behind presses) and red cards."""
-    o = table(spark, sf_dir, "orders")
-    share, diff, reds = (90 - F.col("o_orderkey") % 91) / 90.0, F.col("o_custkey") % 3 - 1, F.col("o_custkey") % 2
-    behind, ahead = F.lit(1.08), F.lit(0.95)
-    ra = (1.2 + (F.col("o_custkey") % 7) * 0.1) * share * F.when(diff < 0, behind).when(diff > 0, ahead).otherwise(1.0) * F.pow(F.lit(0.72), reds)
-    rb = (1.0 + (F.col("o_custkey") % 5) * 0.1) * share * F.when(diff > 0, behind).when(diff < 0, ahead).otherwise(1.0) * F.pow(F.lit(1.25), reds)
-    return o.select("o_orderkey", ra.alias("ra"), rb.alias("rb"))
+    """Rates for the rest of the match: time, score state, red cards and chances so far."""
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    xg = [F.when(c % 4 > 0, F.col("o_totalprice") / 100_000), F.when(c % 6 > 0, F.col("o_totalprice") / 200_000)]
+    ra, rb = P.remaining_rates(1.2 + (c % 7) * 0.1, 1.0 + (c % 5) * 0.1, (o % 131).cast("double"), c % 5 - 2, c % 3, o % 2, *xg)
+    return table(spark, sf_dir, "orders").select("o_orderkey", ra.alias("ra"), rb.alias("rb"))
 
 
 @query("fun13_horizon_probability", "SELECT o_orderkey, 1 - exp(-1.35 * least(15, 90 - o_orderkey % 91) / 90.0) AS p_goal, 1 - exp(-2.7 * least(15, 90 - o_orderkey % 91) / 90.0) AS p_any FROM orders")
@@ -190,10 +188,10 @@ def prj5(spark, sf_dir):
 
 @query("prj6_locked_holdout", "SELECT count(*) AS n, count(*) FILTER (o_orderdate >= TIMESTAMP '2001-01-01') AS locked FROM orders")
 def prj6(spark, sf_dir):
-    """What a locked hold-out takes away from a table."""
-    o = table(spark, sf_dir, "orders")
-    free = R.exclude_locked(o, F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    return o.agg(F.count("*").alias("n")).select("n", (F.col("n") - F.lit(free.count())).alias("locked"))
+    """What a locked hold-out takes away from a table: all rows, less those that stay."""
+    o = table(spark, sf_dir, "orders").select("o_orderdate", F.lit(1).alias("all"))
+    free = R.exclude_locked(o, F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz")).withColumn("all", F.lit(0))
+    return o.unionByName(free).agg(F.count_if(F.col("all") == 1).alias("n"), (F.count_if(F.col("all") == 1) - F.count_if(F.col("all") == 0)).alias("locked"))
 
 
 @query("prj7_time_gates", "SELECT l_linestatus, count(*) AS n, count(*) FILTER (l_shipdate > o_orderdate)::BIGINT AS violations FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_linestatus")

@@ -29,15 +29,15 @@ def top2(spark, sf_dir):
     return S.first_by(table(spark, sf_dir, "orders"), ["o_custkey"], rank, F.desc("o_orderdate"), F.col("o_orderkey")).select("o_custkey", "o_orderkey")
 
 
-SIDES_SQL = """m AS (SELECT o_orderkey AS id, o_orderkey % 60 AS g, o_custkey % 4 AS a, (o_custkey % 4 + 1 + o_orderkey % 3) % 4 AS b, floor(o_totalprice)::BIGINT % 3 AS ga, floor(o_totalprice)::BIGINT // 3 % 3 AS gb FROM orders WHERE o_orderkey < 1200),
+SIDES_SQL = """m AS (SELECT o_orderkey AS id, o_orderkey // 20 AS g, o_custkey % 4 AS a, (o_custkey % 4 + 1 + o_orderkey % 3) % 4 AS b, floor(o_totalprice)::BIGINT % 3 AS ga, floor(o_totalprice)::BIGINT // 3 % 3 AS gb FROM orders),
     sd AS (SELECT g, a AS team, b AS opponent, ga AS scored, gb AS conceded FROM m UNION ALL SELECT g, b, a, gb, ga FROM m)"""
 
 
 def sides(spark, sf_dir):
-    """Matches of 60 groups of four teams, a row for each side."""
+    """Matches of groups of four teams, twenty orders a group, a row for each side."""
     price = F.floor("o_totalprice").cast("long")
-    m = table(spark, sf_dir, "orders").where("o_orderkey < 1200").select(
-        (F.col("o_orderkey") % 60).alias("g"), (F.col("o_custkey") % 4).alias("a"), ((F.col("o_custkey") % 4 + 1 + F.col("o_orderkey") % 3) % 4).alias("b"), (price % 3).alias("ga"), (F.floor(price / 3) % 3).alias("gb"))
+    m = table(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_orderkey") / 20).alias("g"), (F.col("o_custkey") % 4).alias("a"), ((F.col("o_custkey") % 4 + 1 + F.col("o_orderkey") % 3) % 4).alias("b"), (price % 3).alias("ga"), (F.floor(price / 3) % 3).alias("gb"))
     names = ["g", "team", "opponent", "scored", "conceded"]
     return m.select("g", "a", "b", "ga", "gb").toDF(*names).unionByName(m.select("g", "b", "a", "gb", "ga").toDF(*names))
 
@@ -169,15 +169,18 @@ def set7_keys(spark, sf_dir):
     return S.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("set8_disagreements", "WITH g AS (SELECT o_custkey AS key, count(DISTINCT o_orderstatus) AS st, count(DISTINCT o_orderpriority) AS pr FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) SELECT key, 'st' AS field, st AS n FROM g WHERE st > 1 UNION ALL SELECT key, 'pr', pr FROM g WHERE pr > 1")
+@query("set8_disagreements", "WITH g AS (SELECT o_custkey AS key, count(DISTINCT o_orderstatus) AS st, count(DISTINCT o_orderpriority) AS pr FROM orders GROUP BY 1) SELECT key, 'st' AS field, st AS n FROM g WHERE st > 1 UNION ALL SELECT key, 'pr', pr FROM g WHERE pr > 1")
 def set8(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
     return S.disagreements(o, "key", ["st", "pr"])
 
 
-@query("set9_no_future_in_state", f"WITH {CLOCKED_SQL} SELECT 0::BIGINT AS differences")
+@query("set9_no_future_in_state", f"""
+    WITH {CLOCKED_SQL}, k AS (SELECT * FROM e WHERE t <= 1705320000), a AS (SELECT match, count(*) FILTER (kind = 'purchase' AND t <= 1705320000) AS n, coalesce(max((x IS NOT NULL AND t <= 1705320000)::INT), 0) AS seen, max(t) FILTER (kind = 'purchase' AND t <= 1705320000) AS goal FROM e GROUP BY match),
+    b AS (SELECT m.match, count(k.idx) FILTER (k.kind = 'purchase') AS n, coalesce(max((k.x IS NOT NULL)::INT), 0) AS seen, max(k.t) FILTER (k.kind = 'purchase') AS goal FROM (SELECT DISTINCT match FROM e) m LEFT JOIN k ON k.match = m.match GROUP BY m.match)
+    SELECT count(*) AS rows, count(*) FILTER (a.n IS DISTINCT FROM b.n OR a.seen IS DISTINCT FROM b.seen OR a.goal IS DISTINCT FROM b.goal) AS differences, sum(a.n)::BIGINT AS purchases FROM a FULL JOIN b ON a.match = b.match""")
 def set9(spark, sf_dir):
-    """State at midday of day 15 from all events and from those known by then: rows in which they differ."""
+    """State at midday of day 15 from all events and from those known by then: matches, those in which they differ, and purchases by then."""
     from ..operators import pit
 
     e = clocked(spark, sf_dir)
@@ -186,23 +189,25 @@ def set9(spark, sf_dir):
     known = ["match", "n_purchase", "x_seen", "since_goal"]
     a = pit.state_at(e, s, ["purchase"], [], "purchase", []).select(known)
     b = pit.state_at(e.where(F.col("t") <= cut), s, ["purchase"], [], "purchase", []).select(known)
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differences"))
+    both = a.withColumnsRenamed({c: f"a_{c}" for c in known[1:]}).join(b, "match", "full_outer")
+    same = [F.col(f"a_{c}").eqNullSafe(F.col(c)) for c in known[1:]]
+    return both.agg(F.count("*").alias("rows"), F.count_if(~(same[0] & same[1] & same[2])).alias("differences"), F.sum("a_n_purchase").alias("purchases"))
 
 
 # ---------------------------------------------------------------- joins of sources
 
 
 @query("jon5_strict_bridge", """
-    WITH a AS (SELECT o_orderkey AS id, o_orderdate AS d, o_custkey % 10 AS h, o_custkey % 9 + 10 AS v, floor(o_totalprice)::BIGINT % 5 AS s FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey < 4000),
-    b AS (SELECT o_orderkey + 1 AS id, o_orderdate AS d, o_custkey % 9 + 10 AS h, o_custkey % 10 AS v, floor(o_totalprice)::BIGINT % 5 + (o_orderkey % 7 = 0)::INT AS s FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey < 4000),
+    WITH a AS (SELECT 2 * o_orderkey AS id, o_orderdate AS d, o_custkey % 10 AS h, o_custkey % 9 + 10 AS v, floor(o_totalprice)::BIGINT % 5 AS s FROM orders),
+    b AS (SELECT 2 * o_orderkey + 1 AS id, o_orderdate AS d, o_custkey % 9 + 10 AS h, o_custkey % 10 AS v, floor(o_totalprice)::BIGINT % 5 + (o_orderkey % 7 = 0)::INT AS s FROM orders),
     j AS (SELECT a.id AS a, b.id AS b, a.s = b.s AS same, count(*) OVER (PARTITION BY a.id) AS na, count(*) OVER (PARTITION BY b.id) AS nb FROM a LEFT JOIN b ON a.d = b.d AND least(a.h, a.v) = least(b.h, b.v) AND greatest(a.h, a.v) = greatest(b.h, b.v))
     SELECT a, min(CASE WHEN b IS NULL THEN 'no_partner' WHEN na > 1 OR nb > 1 THEN 'ambiguous' WHEN NOT same THEN 'score_differs' ELSE 'matched' END) AS status FROM j GROUP BY a""")
 def jon5(spark, sf_dir):
     """Fixtures of two sources by date and unordered pair, one to one; else the reason why not."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0 AND o_orderkey < 4000")
+    o = table(spark, sf_dir, "orders")
     s = F.floor("o_totalprice") % 5
-    a = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("d"), F.array_sort(F.array(F.col("o_custkey") % 10, F.col("o_custkey") % 9 + 10)).alias("pair"), s.alias("s"))
-    b = o.select((F.col("o_orderkey") + 1).alias("id"), F.col("o_orderdate").alias("d"), F.array_sort(F.array(F.col("o_custkey") % 10, F.col("o_custkey") % 9 + 10)).alias("pair"), (s + (F.col("o_orderkey") % 7 == 0).cast("int")).alias("s"))
+    a = o.select((2 * F.col("o_orderkey")).alias("id"), F.col("o_orderdate").alias("d"), F.array_sort(F.array(F.col("o_custkey") % 10, F.col("o_custkey") % 9 + 10)).alias("pair"), s.alias("s"))
+    b = o.select((2 * F.col("o_orderkey") + 1).alias("id"), F.col("o_orderdate").alias("d"), F.array_sort(F.array(F.col("o_custkey") % 10, F.col("o_custkey") % 9 + 10)).alias("pair"), (s + (F.col("o_orderkey") % 7 == 0).cast("int")).alias("s"))
     return J.bridge(a, b, ["d", "pair"], "id", "s").select("a", "status")
 
 
@@ -227,12 +232,12 @@ def jon7(spark, sf_dir):
     return J.band_join(p, e.where("kind = 'view'").select("match", F.col("idx").alias("other"), F.col("t").alias("ot")), ["match"], "t", "ot", "other", 3600).select("match", "idx", "hits", "nearest")
 
 
-@query("jon8_median_offset", f"WITH {CLOCKED_SQL}, d AS (SELECT b.t - a.t AS dt FROM e a JOIN e b ON b.match = a.match AND b.kind = 'view' AND abs(b.t - a.t) <= 3600 WHERE a.kind = 'purchase' AND a.match % 2 = 0) SELECT median(dt)::DOUBLE AS offset_s, count(*) AS n FROM d")
+@query("jon8_median_offset", f"WITH {CLOCKED_SQL} SELECT a.match % 2 AS fold, median(b.t - a.t)::DOUBLE AS offset_s, count(*) AS n FROM e a JOIN e b ON b.match = a.match AND b.kind = 'view' AND abs(b.t - a.t) <= 3600 WHERE a.kind = 'purchase' GROUP BY 1")
 def jon8(spark, sf_dir):
-    """The median offset on the training half of the matches."""
-    e = clocked(spark, sf_dir).where("match % 2 = 0")
+    """The median offset on each fold of the matches, to be used on the other."""
+    e = clocked(spark, sf_dir)
     pairs = J.band_pairs(e.where("kind = 'purchase'").select("match", "t"), e.where("kind = 'view'").select("match", F.col("t").alias("ot")), ["match"], "t", "ot", 3600)
-    return pairs.agg(F.percentile((F.col("ot") - F.col("t")).cast("double"), F.lit(0.5)).alias("offset_s"), F.count("*").alias("n"))
+    return pairs.groupBy((F.col("match") % 2).alias("fold")).agg(F.percentile((F.col("ot") - F.col("t")).cast("double"), F.lit(0.5)).alias("offset_s"), F.count("*").alias("n"))
 
 
 @query("jon9_cross_provider", f"""
@@ -285,30 +290,35 @@ def jon14(spark, sf_dir):
 
 
 @query("jon15_alignment_confidence", f"""
-    WITH {CLOCKED_SQL}, j AS (SELECT a.match, a.idx, b.idx AS other, 0.4 * (a.kind = b.kind)::INT + 0.3 * (a.k % 2 = b.k % 2)::INT + 0.3 * greatest(0, 1 - abs(a.t - b.t) / 1800.0) AS c FROM e a JOIN e b ON a.match = b.match AND a.idx < b.idx AND abs(a.t - b.t) <= 1800)
-    SELECT match, idx, other, c AS confidence, CASE WHEN c >= 0.7 THEN 'aligned' WHEN c >= 0.4 THEN 'weak' ELSE 'rejected' END AS class FROM j""")
+    WITH {CLOCKED_SQL}, j AS (SELECT a.match, a.idx, b.idx AS other, b.k % 10 = 0 AS fixed, b.k % 7 > 0 AS safe, round(0.4 * (a.kind = b.kind)::INT + 0.3 * (a.k % 2 = b.k % 2)::INT + 0.3 * greatest(0, 1 - abs(a.t - b.t) / 1800.0), 3) AS c FROM e a JOIN e b ON a.match = b.match AND a.idx < b.idx AND abs(a.t - b.t) <= 1800)
+    SELECT match, idx, other, c::DOUBLE AS confidence, CASE WHEN fixed THEN 'correction_or_duplicate' WHEN NOT safe THEN 'timing_not_safe_for_live_use' WHEN c >= 0.75 THEN 'high_confidence_event_alignment' WHEN c >= 0.5 THEN 'medium_confidence_event_alignment' WHEN c > 0 THEN 'low_confidence_event_alignment' ELSE 'unaligned' END AS class FROM j""")
 def jon15(spark, sf_dir):
     e = clocked(spark, sf_dir).select("match", "idx", "t", "kind", "k")
     other = e.select("match", *(F.col(c).alias(f"{c}_o") for c in ("idx", "t", "kind", "k")))
     j = J.band_pairs(e, other, ["match"], "t", "t_o", 1800).where("idx < idx_o")
-    return J.confidence(j, F.col("kind") == F.col("kind_o"), F.col("k") % 2 == F.col("k_o") % 2, F.abs(F.col("t") - F.col("t_o")), 1800).select("match", "idx", F.col("idx_o").alias("other"), "confidence", "class")
+    k = F.col("k_o")
+    j = J.confidence(j, F.col("kind") == F.col("kind_o"), F.col("k") % 2 == k % 2, F.abs(F.col("t") - F.col("t_o")), 1800, corrected=k % 10 == 0, live_safe=k % 7 > 0)
+    return j.select("match", "idx", F.col("idx_o").alias("other"), "confidence", "class")
 
 
 @query("jon16_components", """
-    WITH RECURSIVE p AS (SELECT DISTINCT c_custkey AS a, c_custkey - 1 - c_nationkey % 3 AS b FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey > 3), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    WITH RECURSIVE p AS (SELECT DISTINCT c_custkey AS a, c_custkey - c_custkey % 7 + (c_custkey + c_nationkey % 3) % 7 AS b FROM customer), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
     r AS (SELECT a, a AS c FROM e UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.a) SELECT a AS node, min(c) AS component FROM r GROUP BY a""")
 def jon16(spark, sf_dir):
     """Groups rebuilt from pairs of fixtures."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0 AND c_custkey > 3")
-    return J.components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") - 1 - F.col("c_nationkey") % 3).alias("b")))
+    a = F.col("c_custkey")
+    return J.components(table(spark, sf_dir, "customer").select(a.alias("a"), (a - a % 7 + (a + F.col("c_nationkey") % 3) % 7).alias("b")))
 
 
-@query("jon13_entity_resolution", """
-    WITH d AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT s_suppkey AS id, regexp_replace(p_name, 'e', 'a') AS raw FROM supplier JOIN part ON p_partkey = s_suppkey),
-    c AS (SELECT id, raw, name, 1 - levenshtein(raw, name) / greatest(length(raw), length(name)) AS conf FROM q JOIN d ON substr(raw, 1, 1) = substr(name, 1, 1)), b AS (SELECT id, raw, arg_max(name, (conf, name)) AS name, max(conf) AS conf FROM c GROUP BY ALL)
+@query("jon13_entity_resolution", r"""
+    WITH d AS (SELECT trim(regexp_replace(lower(p_name), '[^\p{L}\p{N} ]', '', 'g')) AS plain, max(p_name) AS name FROM part GROUP BY 1),
+    q AS (SELECT s_suppkey AS id, trim(regexp_replace(lower(CASE s_suppkey % 3 WHEN 0 THEN regexp_replace(p_name, 'e', 'a') WHEN 1 THEN '"X' || substr(p_name, 2) || '"' ELSE upper(p_name) END), '[^\p{L}\p{N} ]', '', 'g')) AS raw FROM supplier JOIN part ON p_partkey = s_suppkey),
+    c AS (SELECT id, name, 1 - levenshtein(raw, plain) / greatest(length(raw), length(plain)) AS conf FROM q JOIN d ON plain <> '' AND raw <> ''), b AS (SELECT id, arg_max(name, (conf, name)) AS name, max(conf) AS conf FROM c GROUP BY ALL)
     SELECT q.id, CASE WHEN b.conf >= 0.7 THEN b.name END AS entity FROM q LEFT JOIN b USING (id)""")
 def jon13(spark, sf_dir):
-    """Names resolved by edit distance within blocks of the first letter, null below the least confidence."""
-    part = table(spark, sf_dir, "part")
-    q = table(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.regexp_replace("p_name", "^([^e]*)e", "$1a").alias("raw"))
-    return J.resolve_entities(q, part.select(F.col("p_name").alias("name")).distinct(), "id", "raw", "name", 0.7)
+    """Names with an error, another first letter, quotes or another case, resolved by edit distance; null below the least confidence."""
+    part, k = table(spark, sf_dir, "part"), F.col("s_suppkey") % 3
+    name = F.col("p_name")
+    raw = F.when(k == 0, F.regexp_replace("p_name", "^([^e]*)e", "$1a")).when(k == 1, F.concat(F.lit('"X'), name.substr(F.lit(2), F.length(name)), F.lit('"'))).otherwise(F.upper(name))
+    q = table(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), raw.alias("raw"))
+    return J.resolve_entities(q, part.select(name.alias("name")).distinct(), "id", "raw", "name", 0.7)

@@ -15,11 +15,15 @@ from .registry import Registry
 query = Registry()
 
 
-@query("src3_src4_header_resolution", "SELECT 'intl_' || (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::VARCHAR AS match_id, o_custkey AS team_a, o_orderstatus AS result FROM orders WHERE o_orderkey < 2000")
+@query("src3_src4_header_resolution", "SELECT 'intl_' || (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::VARCHAR AS match_id, o_custkey AS team_a, o_orderstatus AS result FROM orders")
 def src3(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    """Ids in the order of the days: the rows of the days before, counted once a day, and the place within the day."""
+    o = table(spark, sf_dir, "orders")
     r = S.resolve_headers(o, {"kickoff": ["date", "o_orderdate"], "team_a": ["home", "o_custkey"], "result": ["o_orderstatus"], "id": ["o_orderkey"]})
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("kickoff", "id")) - 1
+    days = r.groupBy("kickoff").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("kickoff").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = r.join(days.select(F.col("kickoff").alias("_day"), before.alias("_before")), F.col("kickoff") == F.col("_day"))
+    n = F.col("_before") + F.row_number().over(Window.partitionBy("kickoff").orderBy("id")) - 1
     return r.select(F.concat(F.lit("intl_"), n.cast("string")).alias("match_id"), "team_a", "result")
 
 
@@ -107,10 +111,10 @@ def str3(spark, sf_dir):
     return m.select("match", "due", L.window_status(F.col("due"), seen, F.lit(1_705_500_300), 600).alias("status"))
 
 
-@query("str2_str7_scored_predictions", "SELECT o_orderkey, l_linenumber, l_quantity AS result FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY WHERE o_orderkey < 3000")
+@query("str2_str7_scored_predictions", "SELECT o_orderkey, l_linenumber, l_quantity AS result FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY")
 def str7(spark, sf_dir):
     """Predictions with results that come within sixty days of them."""
-    p = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("match"), "o_orderdate")
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("match"), "o_orderdate")
     r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match"), "l_shipdate", "l_linenumber", F.col("l_quantity").alias("result"))
     return L.scored(p, r, "match", "o_orderdate", "l_shipdate", "60 DAY").select(F.col("match").alias("o_orderkey"), "l_linenumber", "result")
 

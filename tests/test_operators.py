@@ -1,5 +1,9 @@
 """What SQL can't check: metamorphic, brute-force and replay tests."""
 
+import math
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +121,91 @@ def test_beta_interval_matches_samples(spark):
     rows = [r[0] for r in df.select(P.beta_interval(F.col("p"))).collect()]
     rng = np.random.default_rng(0)
     for p, r in zip((0.1, 0.5), rows):
-        want = np.quantile(rng.beta(p * 150, (1 - p) * 150, 400_000), [0.025, 0.975])
+        want = np.quantile(rng.beta(1 + p * 150, 1 + (1 - p) * 150, 400_000), [0.025, 0.975])
         assert np.allclose([r.low, r.high], want, atol=2e-3)
     assert rows[2].low is None or np.isnan(rows[2].low)
+
+
+def test_values_by_hand(spark):
+    """Equal ratings, risk bands, a bet, in-play rates and a score grid, computed by hand."""
+    from pitspark.functions import probs as P
+
+    one = spark.range(1)
+    lit = F.lit
+    assert np.allclose(one.select(*P.ternary_probs(lit(0.0))).first(), [0.35, 0.30, 0.35])
+    p = 1 / (1 + 10 ** (-200 / 400))
+    assert np.allclose(one.select(*P.ternary_probs(lit(150.0), home=50.0)).first(), [p * p + 0.4 * p * (1 - p), 1.2 * p * (1 - p), (1 - p) ** 2 + 0.4 * p * (1 - p)])
+    assert np.allclose(one.select(P.gaussian_draw(lit(0.0)), P.gaussian_draw(lit(240.0))).first(), [0.3, 0.3 * np.exp(-0.5)])
+    third = lit(1 / 3)
+    assert np.allclose(one.select(P.entropy(third, third, third), P.entropy(lit(1.0), lit(0.0), lit(0.0))).first(), [1, 0], atol=1e-9)
+    bands = [(0.68, 0.55, "low"), (0.67, 0.5, "medium"), (0.7, 0.6, "medium"), (0.55, 0.75, "medium"), (0.54, 0.5, "high"), (0.9, 0.76, "high")]
+    assert [one.select(P.risk_band(lit(t), lit(e))).first()[0] for t, e, _ in bands] == [b for *_, b in bands]
+    bet = P.bet_risk(lit(0.3), lit(4.0))
+    assert np.allclose(one.select(*bet.values()).first(), [0.2, 3.36, 3.36**0.5, 0.2 / 3.36**0.5])
+
+    none = lit(None).cast("double")
+    rates = lambda *a: one.select(*P.remaining_rates(*map(lit, a[:6]), *(none if x is None else lit(x) for x in a[6:]))).first()
+    assert np.allclose(rates(1.8, 0.9, 45.0, 0, 0, 0, None, None), [0.9, 0.45])
+    assert np.allclose(rates(1.8, 0.9, 45.0, -2, 1, 0, None, None), [0.9 * 1.28 * 0.7, 0.45 * 0.9 * 1.18])
+    assert np.allclose(rates(1.8, 0.9, 45.0, 0, 0, 0, 1.9, 0.1), [0.9 * np.exp(0.35 * 1.0 / 1.8), 0.45 * np.exp(0.35 * -0.35 / 0.9)])
+    assert np.allclose(rates(1.8, 0.9, 95.0, 0, 0, 0, None, None), [0.01, 0.01])
+
+    h, a = ([np.exp(-r) * r**k / math.factorial(k) for k in range(9)] for r in (3.0, 2.0))
+    grid = np.outer(h, a)
+    grid[8] += (1 - sum(h)) * np.array(a)
+    grid[:, 8] += (1 - sum(a)) * np.array(h)
+    for i, j, t in ((0, 0, 1 - 6 * 0.2), (0, 1, 1 + 3 * 0.2), (1, 0, 1 + 2 * 0.2), (1, 1, 0.8)):
+        grid[i, j] *= max(0.001, t)
+    grid[np.diag_indices(9)] *= 1.1
+    got = P.with_score_grid(one, lit(3.0), lit(2.0), rho=0.2, inflation=0.1).select("grid").first()[0]
+    assert np.allclose([c.p for c in got], (grid / grid.sum()).ravel())
+
+
+def test_every_decision_keeps_its_row(spark):
+    facts = spark.createDataFrame([(1, 50, "late"), (2, 5, "a"), (2, 9, "b"), (2, 11, "c")], "k long, t long, v string")
+    decisions = spark.createDataFrame([(1, 10), (2, 10), (3, 10)], "k long, d long")
+    got = {r.k: r.v for r in pit.latest_before(facts, decisions, "k", "t", "d", ["v"]).collect()}
+    assert got == {1: None, 2: "b", 3: None}
+
+
+def test_cascade_keeps_a_row_for_each_name(spark):
+    left = spark.createDataFrame([(1, "Ann"), (2, "BOB"), (3, "Cid"), (4, "dee")], "id long, name string")
+    right = spark.createDataFrame([(10, "Ann"), (11, "Ann"), (12, "Bob"), (13, "Dee"), (14, "DEE")], "rid long, rname string")
+    got = sorted((r.id, r.rid, r.how) for r in J.mapping_cascade(left, right, "id", "name", "rid", "rname").collect())
+    assert got == [(1, None, "ambiguous"), (2, 12, "normalised"), (3, None, "missing"), (4, None, "ambiguous")]
+
+
+def test_entities_match_brute_force(spark):
+    rng = random.Random(0)
+    name = lambda: "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))).strip()
+    known = sorted({n for n in (name() for _ in range(80)) if n})
+    raw = [(i, "".join(c for c in rng.choice(known) if rng.random() > 0.1) + rng.choice(["", "!", "x"])) for i in range(120)] + [(500, None), (501, "?!")]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    plain = lambda x: "".join(c for c in (x or "").lower() if c.isalnum() or c == " ").strip()
+    for least in (0.6, 0.75):
+        want = {}
+        for i, r in raw:
+            r = plain(r)
+            best = max(((1 - distance(r, plain(k)) / max(len(r), len(plain(k))), k) for k in known if r), default=(0, None))
+            want[i] = best[1] if best[0] >= least else None
+        df = J.resolve_entities(spark.createDataFrame(raw, "id long, raw string"), spark.createDataFrame([(k,) for k in known], "name string"), "id", "raw", "name", least)
+        assert {r.id: r.entity for r in df.collect()} == want
+
+
+def test_a_long_match_takes_no_quadratic_time(spark):
+    """One match of 200,000 events: running sums only."""
+    e = spark.range(200_000).select(F.lit(1).cast("long").alias("match"), F.col("id").alias("t"), F.when(F.col("id") % 1000 == 999, "goal").otherwise("pass").alias("kind"), F.lit(0.1).alias("x"))
+    began = time.time()
+    rows = pit.state_at(e, pit.snapshot_schedule(e, ["goal"], 100), ["goal"], [600, 50_000], "goal", [600]).cache()
+    assert rows.count() == 2000 + 200
+    r = rows.where("t = 100000").first()
+    assert (r.n_goal, r.n_last_600, r.n_last_50000, r.since_goal, r.next_goal, r.goal_in_600) == (100, 600, 50_000, 1, 999, 0)
+    assert time.time() - began < 60
