@@ -83,7 +83,7 @@ def states_at(events: DataFrame, matches: DataFrame, minutes: Sequence[int]) ->
     never does. Each event becomes one row of sums at the first decision that knows it, and the decisions' sums run on.
     """
     at = F.array(*map(F.lit, sorted(minutes)))
-    first = F.filter(at, lambda m: m >= F.col("minute"))[0]
+    first = F.get(F.filter(at, lambda m: m >= F.col("minute")), F.lit(0))
     sums = events.withColumn("minute", first).where("minute is not null").groupBy("match", "minute").agg(
         *(F.count_if((F.col("kind") == kind) & (F.col("side") == side)).alias(f"{name}_{side}") for kind, name in (("goal", "goals"), ("red", "reds")) for side in "ab"))
     grid = matches.withColumn("minute", F.explode(at))

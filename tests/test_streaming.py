@@ -1,8 +1,13 @@
+import datetime
+import math
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from pitspark.operators import inplay
 from pitspark.streaming import ledger as L
+from pitspark.streaming import live
 
 
 def test_ledger_keeps_the_first_write_and_is_idempotent(spark, tmp_path):
@@ -29,8 +34,74 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     q = once.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table(name).count() == events.count()
-    counts = L.event_counts(events, "ts", "event_type", "1 day", "1 hour")
-    assert counts.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_stream_windows_equal_batch_windows(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    plain = lambda df: sorted((r["window"].start, r.event_type, r.n) for r in df.collect())
+    q = L.event_counts(stream, "ts", "event_type", "1 day", "400 days").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert plain(spark.table("windows")) == plain(L.event_counts(events, "ts", "event_type", "1 day", "400 days"))
+
+
+def test_stream_scores_equal_batch_scores(spark, tmp_path):
+    when = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    made = spark.createDataFrame([(m, when(100 * m)) for m in range(20)], "match long, made timestamp")
+    came = spark.createDataFrame([(m, when(100 * m + d), d) for m in range(20) for d in (-50, 30, 500)], "match long, came timestamp, result long")
+    made.write.parquet(str(tmp_path / "p"))
+    came.write.parquet(str(tmp_path / "r"))
+    batch = sorted((r.match, r.result) for r in L.scored(made, came, "match", "made", "came", "60 SECONDS").collect())
+    p, r = (spark.readStream.schema(df.schema).parquet(str(tmp_path / n)).withWatermark(c, "0 seconds") for df, n, c in ((made, "p", "made"), (came, "r", "came")))
+    q = L.scored(p, r, "match", "made", "came", "60 SECONDS").writeStream.format("memory").queryName("scores").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.match, r.result) for r in spark.table("scores").collect())
+    assert batch == [(m, 30) for m in range(20)] and got == batch
+
+
+MATCH = [(1, 7, 3, "goal", "a"), (2, 7, 10, "red", "b"), (3, 7, 20, "goal", "b"), (2, 7, 10, "red", "b"), (4, 8, 15, "goal", "b"), (5, 7, 31, "goal", "a")]
+
+
+def test_live_records_on_a_stream_equal_a_replay(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    schema = "event_id long, match long, ts timestamp, minute int, kind string, side string"
+    rows = spark.createDataFrame([(i, m, start + datetime.timedelta(minutes=t), t, k, s) for i, m, t, k, s in MATCH], schema)
+    matches = spark.createDataFrame([(7, 120.0, start + datetime.timedelta(hours=2)), (8, -40.0, start + datetime.timedelta(hours=2))], "match long, delta double, decision_ts timestamp")
+    rows.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    columns = ["match", "minute", "goals_a", "goals_b", "reds_a", "reds_b", "p_a", "p_draw", "p_b"]
+    tidy = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(columns).collect())
+    q = live.live_records(stream, matches).writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    states = inplay.states_at(rows.dropDuplicates(["event_id"]).select("match", "minute", "kind", "side"), matches.select("match", "delta"), [15, 31])
+    known = states.where("match = 7 AND minute = 31 OR match = 8 AND minute = 15")
+    assert tidy(spark.table("live")) == tidy(inplay.replay(known))
+    early = matches.withColumn("decision_ts", F.lit(start + datetime.timedelta(minutes=12)))
+    with pytest.raises(Exception, match="later than its decision"):
+        live.live_records(rows, early).collect()
+
+
+def test_later_events_leave_a_replay_alone(spark):
+    e = spark.createDataFrame([(m, t, k, s) for _, m, t, k, s in MATCH], "match long, minute int, kind string, side string")
+    m = spark.createDataFrame([(7, 0.0), (8, 0.0), (9, 0.0)], "match long, delta double")
+    at = lambda df: {(r.match, r.minute): tuple(r) for r in inplay.replay(inplay.states_at(df, m, [5, 10, 45])).collect()}
+    more = e.union(spark.createDataFrame([(7, 11, "goal", "a"), (7, None, "goal", "a"), (9, 46, "goal", "b")], e.schema))
+    a, b = at(e), at(more)
+    assert all(a[k] == b[k] for k in a if k[1] <= 10 or k[0] > 7) and a[7, 45] != b[7, 45]
+    row = next(r for r in inplay.states_at(e, m, [5, 10, 45]).collect() if (r.match, r.minute) == (7, 45))
+    assert (row.goals_a, row.goals_b, row.reds_a, row.reds_b) == (2, 1, 0, 2)
+
+
+def test_market_share_stands_for_a_rating_difference(spark):
+    row = spark.range(1).select(inplay.market_delta(F.lit(0.5), F.lit(0.25), F.lit(7.0)), inplay.market_delta(F.lit(None).cast("double"), F.lit(0.25), F.lit(7.0))).first()
+    assert abs(row[0] - 400 * math.log10(2)) < 1e-9 and row[1] == 7.0
+
+
+def test_session_counts(spark):
+    log = spark.createDataFrame([("k1", "captured", 1), ("k1", "captured", 2), ("k2", "skipped", 3), ("k1", "captured", 4)], "event_key string, event string, at long")
+    expected = spark.createDataFrame([("k1",), ("k3",), ("k4",)], "event_key string")
+    assert {r.event: r.n for r in live.session_counts(log, expected).collect()} == {"captured": 1, "skipped": 1, "duplicate": 2, "missed": 2}
 
 
 def test_window_status(spark):
