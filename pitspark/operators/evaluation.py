@@ -7,7 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import probs as P
 from . import aggregates as A
+from .joins import band_pairs, written
+from .players import FIRST, rating_change
+from .selection import upsert
 
 #: Fixed weights of the composite score; every part is better when lower.
 WEIGHTS = {"rps": 0.40, "log_loss": 0.25, "draw_brier": 0.20, "draw_calibration_error": 0.15}
@@ -86,3 +90,54 @@ def walk_forward(df: DataFrame, is_test: Column, factory: Callable[[DataFrame],
     metrics = A.forecast_metrics(rows, ["model"])
     gap = F.col("pd") - F.col("p_market") if "p_market" in rows.columns else F.lit(None).cast("double")
     return metrics, rows, rows.withColumn("edge", gap).where(F.col("edge") >= edge)
+
+
+def temporal_folds(main: DataFrame, aux: DataFrame, fold: str, date: str) -> DataFrame:
+    """(held, cutoff, role, domain, and the rows' columns): for each fold of main, the rows of both domains strictly before its first date, and its own as test.
+
+    A fold without earlier rows of main is left out. Folds are few: their table is broadcast.
+    """
+    first = main.groupBy(F.col(fold).alias("held")).agg(F.min(date).alias("cutoff"))
+    start = main.agg(F.min(date).alias("_start"))
+    first = first.join(F.broadcast(start)).where("_start < cutoff").drop("_start")
+    train = [df.join(F.broadcast(first), F.col(date) < F.col("cutoff")).withColumns({"role": F.lit("train"), "domain": F.lit(d)}) for df, d in ((main, "main"), (aux, "aux"))]
+    test = main.join(F.broadcast(first), F.col(fold) == F.col("held")).withColumns({"role": F.lit("test"), "domain": F.lit("main")})
+    return train[0].unionByName(train[1], allowMissingColumns=True).unionByName(test, allowMissingColumns=True)
+
+
+def coverage_recovery(truth: DataFrame, emitted: DataFrame, keys: Sequence[str], cls: str, t_true: str, t_emit: str, width: int) -> DataFrame:
+    """A row for each class: true events, those that an emission of their class lies within ``width`` of, emissions and false ones, recall, burden, and the median and 90th percentile of the time between.
+
+    An emission speaks for the nearest true event of its keys and class, ties to the earlier; one time of a class is one event.
+    """
+    by = [*keys, cls]
+    events, said = truth.select(*by, t_true).distinct(), emitted.select(*by, t_emit).withColumn("_id", F.monotonically_increasing_id())
+    said = written(said)
+    near = band_pairs(said, events, by, t_emit, t_true, width).groupBy("_id", *by, t_emit)
+    near = near.agg(F.min(F.struct(F.abs(F.col(t_true) - F.col(t_emit)).alias("gap"), F.col(t_true).alias("at"))).alias("_n")).select(*by, "_n.gap", "_n.at")
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(cls).orderBy("gap"))).withColumn("_k", F.count("*").over(Window.partitionBy(cls)))
+    last = F.greatest(F.lit(1), F.floor(F.col("_k") * 0.9))
+    hits = ranked.groupBy(cls).agg(F.count("*").alias("hits"), F.percentile(F.col("gap").cast("double"), F.lit(0.5)).alias("timing_median"), F.max(F.when(F.col("_r") == last, F.col("gap"))).alias("timing_p90"))
+    recovered = near.select(*by, "at").distinct().groupBy(cls).agg(F.count("*").alias("recovered"))
+    out = truth.groupBy(cls).agg(F.count("*").alias("true_events")).join(said.groupBy(cls).agg(F.count("*").alias("emitted")), cls, "full_outer").join(hits, cls, "left").join(recovered, cls, "left")
+    out = out.na.fill(0, ["true_events", "emitted", "hits", "recovered"]).withColumn("false_ones", F.col("emitted") - F.col("hits"))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return out.drop("hits").withColumns({"recall": ratio("recovered", "true_events"), "burden": ratio("false_ones", "emitted")})
+
+
+def refresh(matches: DataFrame, results: DataFrame, ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches, ratings, predictions) after results (id, ga, gb) of matches (id, a, b, ga, gb) have come.
+
+    Results replace what was there; teams' ratings (team, rating) move by all new results at once, from the ratings before
+    them; matches that are still open are forecast from the new ratings. Teams without a rating start at the first one.
+    """
+    new = upsert(matches, matches.drop("ga", "gb").join(results, "id"), "id").select(*matches.columns)
+    played = matches.drop("ga", "gb").join(results, "id")
+    rating = lambda df, side: df.join(ratings.select(F.col("team").alias(side), F.col("rating").alias(f"r{side}")), side, "left").na.fill(FIRST, [f"r{side}"])
+    d = rating(rating(played, "a"), "b").withColumn("d", rating_change(F.col("ra"), F.col("rb")))
+    moved = d.select(F.col("a").alias("team"), "d").union(d.select("b", -F.col("d"))).groupBy("team").agg(F.sum("d").alias("d"))
+    after = ratings.join(moved, "team", "full_outer").select("team", (F.coalesce("rating", F.lit(FIRST)) + F.coalesce("d", F.lit(0.0))).alias("rating"))
+    side = lambda df, s: df.join(after.select(F.col("team").alias(s), F.col("rating").alias(f"r{s}")), s, "left").na.fill(FIRST, [f"r{s}"])
+    ahead = side(side(new.where("ga is null or gb is null"), "a"), "b")
+    p = P.ternary_probs(F.col("ra") - F.col("rb"))
+    return new, after, ahead.select("id", "a", "b", *(x.alias(n) for x, n in zip(p, ("pa", "pd", "pb"))))

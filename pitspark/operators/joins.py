@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -110,20 +111,22 @@ def resolve_entities(raw: DataFrame, known: DataFrame, id_col: str, raw_col: str
     return out.select(id_col, F.when(F.col("_best.c") >= least, F.col("_best.n")).alias("entity"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, cut off from its lineage by a table in the folder that all executors share; a local one only where the cluster names none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a local one only where the cluster names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/components-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, cut off from its lineage by a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def on_pitch(events: DataFrame, keys: Sequence[str], clock: str, on: Column, off
     return i.where("came IS NOT NULL").withColumn("went", F.when(F.col("went") > F.col("came"), F.col("went")))
 
 
-def _change(rating_a: Column, rating_b: Column) -> Column:
+def rating_change(rating_a: Column, rating_b: Column) -> Column:
     score = F.when(F.col("ga") > F.col("gb"), 1.0).when(F.col("ga") == F.col("gb"), 0.5).otherwise(0.0)
     return K * P.margin_multiplier(F.col("ga") - F.col("gb")) * (score - P.expected_score(rating_a + HOME - rating_b, SCALE))
 
@@ -74,7 +74,7 @@ def period_ratings(matches: DataFrame, periods: Sequence[int]) -> DataFrame:
     for period in periods:
         ra = ratings.select(F.col("team").alias("a"), F.col("rating").alias("ra"))
         rb = ratings.select(F.col("team").alias("b"), F.col("rating").alias("rb"))
-        m = matches.where(F.col("period") == period).join(ra, "a").join(rb, "b").withColumn("d", _change(F.col("ra"), F.col("rb")))
+        m = matches.where(F.col("period") == period).join(ra, "a").join(rb, "b").withColumn("d", rating_change(F.col("ra"), F.col("rb")))
         moved = m.select(F.col("a").alias("team"), "d").union(m.select("b", -F.col("d"))).groupBy("team").agg(F.sum("d").alias("d"))
         ratings = written(ratings.join(moved, "team", "left").select("team", (F.col("rating") + F.coalesce("d", F.lit(0.0))).alias("rating")))
     return ratings.withColumn("rating", F.round("rating", 4))

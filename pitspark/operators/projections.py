@@ -41,6 +41,23 @@ def low_block_risk(df: DataFrame) -> DataFrame:
     return df.withColumn("low_block_risk", low * gap * (0.5 + 0.5 * unit(get("mutual_draw_utility", 0.0))))
 
 
+def travel_fatigue(df: DataFrame) -> DataFrame:
+    """Each side's fatigue from short rest, miles of the last week, shifted time zones and heat, four parts of 0 to 1; their mean and difference.
+
+    Absent columns take defaults; fixed values: 4 days' rest over 3, 3,000 miles, 4 zones, heat of 80 to 105.
+    """
+
+    def get(name: str, default: float) -> Column:
+        return F.col(name) if name in df.columns else F.lit(default)
+
+    def unit(x: Column) -> Column:
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+
+    heat = unit((get("heat_index", 75.0) - 80) / 25)
+    each = {s: unit((4 - get(f"rest_days_{s}", 4.0)) / 3) + unit(get(f"travel_miles_last7_{s}", 0.0) / 3000) + unit(F.abs(get(f"timezone_shift_{s}", 0.0)) / 4) + heat for s in "ab"}
+    return df.withColumns({f"travel_fatigue_{s}": x for s, x in each.items()} | {"travel_fatigue": (each["a"] + each["b"]) / 4.0, "travel_fatigue_delta": each["a"] - each["b"]})
+
+
 def stage_filter(df: DataFrame, date: str, stage: str, word: str, first: int, last: int) -> DataFrame:
     return df.where(F.year(date).between(first, last) & F.contains(F.lower(stage), F.lit(word)))
 

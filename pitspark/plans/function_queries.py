@@ -169,10 +169,14 @@ def prj1(spark, sf_dir):
     return R.deltas(R.outcome(o), [("goals_a", "goals_b", "goal_delta"), ("elo_a", "elo_b", "elo_delta")]).drop("goals_a", "goals_b")
 
 
-@query("prj3_bounded_indices", "SELECT o_orderkey, least(1, greatest(0, (2.7 - (o_custkey % 30) / 10.0) / 1.2)) * least(1, greatest(0, (o_orderkey % 900) / 450.0)) * 0.5 AS low_block_risk FROM orders")
+@query("prj3_bounded_indices", """
+    WITH o AS (SELECT o_orderkey, (o_custkey % 30) / 10.0 AS total, o_orderkey % 900 AS gap, o_custkey % 7 AS ra, o_orderkey % 6 AS rb, (o_custkey * 13 % 5000)::DOUBLE AS ma, o_orderkey % 11 - 5 AS tz, 70 + o_custkey % 40 AS heat FROM orders),
+    u AS (SELECT *, least(1, greatest(0, (4 - ra) / 3.0)) + least(1, greatest(0, ma / 3000)) + least(1, greatest(0, abs(tz) / 4.0)) + least(1, greatest(0, (heat - 80) / 25.0)) AS fa, least(1, greatest(0, (4 - rb) / 3.0)) + least(1, greatest(0, (heat - 80) / 25.0)) AS fb FROM o)
+    SELECT o_orderkey, least(1, greatest(0, (2.7 - total) / 1.2)) * least(1, greatest(0, gap / 450.0)) * 0.5 AS low_block_risk, fa AS travel_fatigue_a, fb AS travel_fatigue_b, (fa + fb) / 4 AS travel_fatigue, fa - fb AS travel_fatigue_delta FROM u""")
 def prj3(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_custkey") % 30) / 10.0).alias("market_total_goals"), (F.col("o_orderkey") % 900).alias("abs_elo_delta"))
-    return R.low_block_risk(o).select("o_orderkey", "low_block_risk")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k, ((c % 30) / 10.0).alias("market_total_goals"), (k % 900).alias("abs_elo_delta"), (c % 7).alias("rest_days_a"), (k % 6).alias("rest_days_b"), (c * 13 % 5000).cast("double").alias("travel_miles_last7_a"), (k % 11 - 5).alias("timezone_shift_a"), (70 + c % 40).alias("heat_index"))
+    return R.travel_fatigue(R.low_block_risk(o)).select("o_orderkey", "low_block_risk", "travel_fatigue_a", "travel_fatigue_b", "travel_fatigue", "travel_fatigue_delta")
 
 
 @query("prj4_stage_filter", "SELECT o_orderkey, o_orderpriority FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND contains(lower(o_orderpriority), 'high')")
