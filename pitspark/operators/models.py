@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import probs as P
+from . import aggregates as A
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -24,11 +25,12 @@ def _assembled(df: DataFrame, columns: Sequence[str], out: str = "_x") -> DataFr
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
 
-def logistic(train: DataFrame, columns: Sequence[str], label: str, penalty: float = 0.01, name: str = "p") -> Predictor:
-    """Standardised logistic regression; the prediction is an array of class probabilities."""
+def logistic(train: DataFrame, columns: Sequence[str], label: str, penalty: float = 0.01, name: str = "p", weight: str | None = None) -> Predictor:
+    """Standardised logistic regression, rows weighted by a column if one is named; the prediction is an array of class probabilities."""
     rows = _assembled(train, columns)
     scale = StandardScaler(inputCol="_x", outputCol="_s", withMean=True).fit(rows)
-    model = LogisticRegression(featuresCol="_s", labelCol=label, regParam=penalty, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_l").fit(scale.transform(rows))
+    head = LogisticRegression(featuresCol="_s", labelCol=label, regParam=penalty, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_l")
+    model = (head.setWeightCol(weight) if weight else head).fit(scale.transform(rows))
     return lambda df: model.transform(scale.transform(_assembled(df, columns))).withColumn(name, vector_to_array("_p")).drop("_x", "_s", "_p", "_r", "_l")
 
 
@@ -217,3 +219,41 @@ def text_classifier(train: DataFrame, text: str, label: str, rule: Callable[[Col
         return out.select(*df.columns, p.alias("p"), F.when(F.col("_rule") > 0, alpha * p + (1 - alpha) * F.col("_rule")).otherwise(0.0).alias(name))
 
     return predict
+
+
+def transfer_ladder(main: DataFrame, aux: DataFrame, columns: Sequence[str], label: str, most_smd: float = 0.5, share: float = 0.25) -> dict[str, Predictor]:
+    """Ways to learn from another domain's rows, each a function that adds p (of label 1): on main rows only, all rows
+    alike, all rows on columns that both domains have alike (standardised mean difference up to ``most_smd``), all rows with
+    each domain's own deviations from a common line (partial pooling), the other domain's rows weighing ``share`` of the
+    main ones together, and that with the weight that the main rows' loss chooses, none included (selective).
+    """
+    rows = main.withColumn("_d", F.lit(False)).unionByName(aux.withColumn("_d", F.lit(True)), allowMissingColumns=True).na.fill(0.0, list(columns))
+    table = A.stable_features(A.drift(rows, columns, "_d"), most_smd=most_smd)
+    stable = [r["feature"] for r in table.where("verdict = 'keep'").select("feature").collect()] or list(columns)
+    n = {r["_d"]: r["count"] for r in rows.groupBy("_d").count().collect()}
+    pair = lambda df: df.withColumns({f"_own_{c}": F.when(F.col("_d"), 0.0).otherwise(F.col(c)) for c in columns} | {"_own": F.when(F.col("_d"), 0.0).otherwise(1.0)})
+
+    def of(head: Predictor, change: Callable[[DataFrame], DataFrame] = lambda df: df, drop: Sequence[str] = ()) -> Predictor:
+        return lambda df: head(change(df.withColumn("_d", F.lit(False)).na.fill(0.0, list(columns)))).withColumn("p", F.col("p")[1]).drop("_d", "_w", *drop)
+
+    def weighted(part: float) -> Predictor:
+        w = F.when(F.col("_d"), part * n[False] / max(n.get(True, 0), 1)).otherwise(1.0)
+        return of(logistic(rows.withColumn("_w", w), columns, label, weight="_w"))
+
+    own = [f"_own_{c}" for c in columns] + ["_own"]
+    ladder = {
+        "main_only": of(logistic(rows.where(~F.col("_d")), columns, label)), "naive_pool": of(logistic(rows, columns, label)), "shared_stable": of(logistic(rows, stable, label)),
+        "partial_pooling": of(logistic(pair(rows), [*columns, *own], label, penalty=0.05), pair, own), "domain_weighted": weighted(share),
+    }
+    # the choice is made on a half of the main rows that the candidates are not fitted on
+    half = F.pmod(F.xxhash64(*columns, label), F.lit(2)) == 0
+    held, losses = main.where(half), {}
+    for part in (0.0, share, 1.0):
+        w = F.when(F.col("_d"), part * n[False] / max(n.get(True, 0), 1)).otherwise(1.0)
+        kept = rows.where(F.col("_d") | ~half) if part else rows.where(~F.col("_d") & ~half)
+        p = P.clip(F.col("p"), 1e-9, 1 - 1e-9)
+        loss = -F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))
+        losses[part] = of(logistic(kept.withColumn("_w", w), columns, label, weight="_w"))(held).agg(F.avg(loss)).first()[0]
+    best = min(losses, key=lambda k: (losses[k], k))
+    ladder["selective"] = weighted(best) if best else ladder["main_only"]
+    return ladder

@@ -166,3 +166,17 @@ def src21(spark, sf_dir):
     """Report tables written as a bundle, with what each holds."""
     tables = {"orders": table(spark, sf_dir, "orders"), "teams": table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("balance"))}
     return X.write_bundle(tables, f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}").select("name", "rows")
+
+
+@query("mod19_transfer_ladder")
+def mod19(spark, sf_dir):
+    """Rungs of learning from another domain (lines of an odd ship line), by their loss on held-out main rows; the tests check them on made-up domains."""
+    train, test = _split(panel(spark, sf_dir))
+    other = F.col("l_linenumber") % 2 == 1
+    rungs = M.transfer_ladder(train.where(~other), train.where(other).withColumn("xg", F.col("xg") * 3), ["minute", "diff", "xg"], "follows")
+    scored = None
+    for name, predict in rungs.items():
+        p = P.clip(F.col("p"), 1e-9, 1 - 1e-9)
+        part = predict(test.where(~other)).select(F.lit(name).alias("model"), (-F.when(F.col("follows") == 1, F.log(p)).otherwise(F.log(1 - p))).alias("loss"))
+        scored = part if scored is None else scored.unionByName(part)
+    return scored.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 4).alias("log_loss"))

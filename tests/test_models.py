@@ -102,3 +102,21 @@ def test_texts_are_told_apart_where_the_rule_speaks(spark):
     out = M.text_classifier(df, "text", "y", lambda t: F.coalesce(F.contains(t, F.lit("goal")), F.lit(False)).cast("double"))(df).toPandas().set_index("id")
     assert all(out.confidence[i] > 0.5 for i in range(0, 400, 4)) and all(out.confidence[i] == 0 for i in range(2, 400, 4)) and out.confidence[900] == 0
     assert np.mean([out.p[i] < 0.5 for i in range(1, 400, 4)]) > 0.95
+
+
+def test_transfer_helps_where_domains_agree_and_is_declined_where_not(spark):
+    rng = np.random.default_rng(4)
+
+    def domain(n, slope, shift=0.0):
+        x = rng.normal(size=(n, 2)) + [0, shift]
+        y = rng.random(n) < 1 / (1 + np.exp(-slope * x[:, 0]))
+        return spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double")
+
+    main, test = domain(300, 2.0), domain(3000, 2.0)
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p")))
+    loss = lambda predict: predict(test).agg(F.avg(-F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
+    like, unlike = (M.transfer_ladder(main, domain(3000, k, 3.0), ["a", "b"], "y") for k in (2.0, -2.0))
+    assert list(like) == ["main_only", "naive_pool", "shared_stable", "partial_pooling", "domain_weighted", "selective"]
+    alone = loss(like["main_only"])
+    assert loss(unlike["naive_pool"]) > alone + 0.3 and abs(loss(unlike["selective"]) - alone) < 0.02 and loss(unlike["partial_pooling"]) < alone + 0.1
+    assert loss(like["naive_pool"]) < alone + 0.01 and loss(like["selective"]) < alone + 0.01 and loss(like["shared_stable"]) < alone + 0.02
