@@ -54,11 +54,11 @@ def seeded_sample(df: DataFrame, stratum: str, unit: str, n: int, seed: str) ->
 
 
 def even_allocation(df: DataFrame, group: str, league: str, order: Sequence[str], per_group: int, per_league: int, total: int) -> DataFrame:
-    """Rows taken in turn from each group, at most so many of a group and of a league, and in all."""
+    """Rows taken in turn from each group, at most so many of a group and of a league, and in all; ties by group, then order."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     capped = df.withColumn("_r", rank).where(F.col("_r") <= per_group)
-    capped = capped.withColumn("_l", F.row_number().over(Window.partitionBy(league).orderBy("_r", group))).where(F.col("_l") <= per_league)
-    return capped.orderBy("_r", group).limit(total).drop("_r", "_l")
+    capped = capped.withColumn("_l", F.row_number().over(Window.partitionBy(league).orderBy("_r", group, *order))).where(F.col("_l") <= per_league)
+    return capped.orderBy("_r", group, *order).limit(total).drop("_r", "_l")
 
 
 def widest_threshold(df: DataFrame, cls: str, score: str, hit: Column, precision: float, least: int) -> DataFrame:

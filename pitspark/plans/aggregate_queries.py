@@ -98,6 +98,14 @@ def agg9_paired(spark, sf_dir):
     return m.agg(F.avg("m").alias("mean"), F.count("*").alias("clusters"), F.avg((F.col("m") < 0).cast("double")).alias("better"))
 
 
+@query("agg9_paired_interval")
+def agg9_interval(spark, sf_dir):
+    """The same difference with its interval over resampled clusters; the tests check its width."""
+    u, y = F.lit(1 / 3), F.col("outcome")
+    f = forecasts(spark, sf_dir).withColumn("d", P.rps(F.col("pa"), F.col("pd"), F.col("pb"), y) - P.rps(u, u, u, y))
+    return A.cluster_bootstrap(f, "l_suppkey", "d")
+
+
 @query("agg19_completeness", "WITH x AS (SELECT nullif(o_custkey % 4, 0) AS a, nullif(o_orderkey % 10, 1) AS b, o_totalprice AS c FROM orders) SELECT unnest(['a', 'b', 'c']) AS \"column\", unnest([count(a) / count(*), count(b) / count(*), count(c) / count(*)]) AS present FROM x")
 def agg19(spark, sf_dir):
     x = table(spark, sf_dir, "orders").select(F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("a"), F.nullif(F.col("o_orderkey") % 10, F.lit(1)).alias("b"), F.col("o_totalprice").alias("c"))

@@ -77,10 +77,7 @@ def top5(spark, sf_dir):
     WITH a AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer), b AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY r, c_nationkey, c_custkey) AS l FROM a WHERE r <= 6)
     SELECT c_custkey, c_nationkey FROM b WHERE l <= 25 ORDER BY r, c_nationkey, c_custkey LIMIT 100""")
 def top6(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    a = c.withColumn("r", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("r <= 6")
-    b = a.withColumn("l", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("r", "c_nationkey", "c_custkey"))).where("l <= 25")
-    return b.orderBy("r", "c_nationkey", "c_custkey").limit(100).select("c_custkey", "c_nationkey")
+    return S.even_allocation(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", ["c_custkey"], 6, 25, 100).select("c_custkey", "c_nationkey")
 
 
 @query("top7_edge_scan", f"WITH {FORECAST_SQL} SELECT l_orderkey, l_linenumber, pd - 0.28 AS edge, pd - 0.28 >= 0.05 AS flag FROM p WHERE pd - 0.28 >= 0.03")
