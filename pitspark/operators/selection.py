@@ -102,6 +102,22 @@ def anchor_clusters(candidates: DataFrame, keys: Sequence[str], minute: str, ord
     return each.select(*keys, F.col("_row.m").alias(minute), F.col("_row.o").alias(order), F.array_position("_anchors", first).alias("cluster"))
 
 
+def reconcile_scores(events: DataFrame, reported: DataFrame) -> DataFrame:
+    """reported (match, home, away, pen_home, pen_away) with the score that events (match, side, kind, shootout) give.
+
+    Goals and scored penalties count for their side, own goals for the other one; shoot-outs are kept apart, and null where
+    neither side has a count. A match is ok if both scores agree, else an exception; without events it is nil-nil.
+    """
+    kind, side = F.col("kind"), F.col("side")
+    scored, own = kind.isin("goal", "penalty_scored") & ~F.col("shootout"), (kind == "own_goal") & ~F.col("shootout")
+    sums = events.groupBy("match").agg(*(F.count_if((scored & (side == s)) | (own & (side == o))).alias(f"derived_{s}") for s, o in (("home", "away"), ("away", "home"))))
+    out = reported.join(sums, "match", "left").na.fill(0, ["derived_home", "derived_away"])
+    exact = F.col("derived_home").eqNullSafe(F.coalesce("home", F.lit(0))) & F.col("derived_away").eqNullSafe(F.coalesce("away", F.lit(0)))
+    some = F.col("pen_home").isNotNull() | F.col("pen_away").isNotNull()
+    pens = {f"shootout_{s}": F.when(some, F.coalesce(f"pen_{s}", F.lit(0))) for s in ("home", "away")}
+    return out.withColumns({**pens, "exact": exact, "status": F.when(exact, "ok").otherwise("exception")}).drop("pen_home", "pen_away")
+
+
 def integrity(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> DataFrame:
     """(check, violations) of row checks, from one pass."""
     row = df.agg(*(F.count_if(~F.coalesce(ok, F.lit(False))).alias(n) for n, ok in checks))

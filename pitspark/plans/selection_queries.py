@@ -138,12 +138,20 @@ def set5(spark, sf_dir):
     return g.withColumn("status", F.when(F.col("a") != F.col("b"), "agreed").otherwise("single_source")).drop("a", "b")
 
 
-@query("set6_score_reconcile", f"WITH {CLOCKED_SQL}, d AS (SELECT match, count(*) FILTER (kind = 'purchase')::BIGINT AS derived FROM e GROUP BY match), o AS (SELECT user_id AS match, count(*) FILTER (event_type = 'purchase' AND user_id % 7 > 0) AS official FROM events GROUP BY 1) SELECT match, derived, official, CASE WHEN derived = official THEN 'exact' ELSE 'mismatch' END AS status FROM d JOIN o USING (match)")
+@query("set6_score_reconcile", """
+    WITH e AS (SELECT l_orderkey AS match, CASE WHEN l_suppkey % 2 = 0 THEN 'home' ELSE 'away' END AS side, CASE WHEN l_returnflag = 'A' THEN 'goal' WHEN l_returnflag = 'R' AND l_linenumber % 3 = 0 THEN 'own_goal' WHEN l_returnflag = 'R' AND l_linenumber % 3 = 1 THEN 'penalty_scored' ELSE 'other' END AS kind, l_linenumber >= 6 AS shootout FROM lineitem),
+    d AS (SELECT match, count(*) FILTER (NOT shootout AND (kind IN ('goal', 'penalty_scored') AND side = 'home' OR kind = 'own_goal' AND side = 'away')) AS h, count(*) FILTER (NOT shootout AND (kind IN ('goal', 'penalty_scored') AND side = 'away' OR kind = 'own_goal' AND side = 'home')) AS a FROM e GROUP BY match),
+    r AS (SELECT o_orderkey AS match, floor(o_totalprice)::BIGINT % 3 AS home, floor(o_totalprice)::BIGINT // 3 % 3 AS away, CASE WHEN o_custkey % 4 = 0 THEN 3::BIGINT END AS ph, CASE WHEN o_custkey % 8 = 0 THEN o_orderkey % 3 END AS pa FROM orders)
+    SELECT r.match, home, away, coalesce(h, 0) AS derived_home, coalesce(a, 0) AS derived_away, CASE WHEN ph IS NOT NULL OR pa IS NOT NULL THEN coalesce(ph, 0) END AS shootout_home, CASE WHEN ph IS NOT NULL OR pa IS NOT NULL THEN coalesce(pa, 0) END AS shootout_away,
+        coalesce(h, 0) = home AND coalesce(a, 0) = away AS exact, CASE WHEN coalesce(h, 0) = home AND coalesce(a, 0) = away THEN 'ok' ELSE 'exception' END AS status FROM r LEFT JOIN d ON d.match = r.match""")
 def set6(spark, sf_dir):
-    """PRJ13 and SET6: the score from events against the official one."""
-    e = clocked(spark, sf_dir)
-    g = e.groupBy("match").agg(F.count_if(F.col("kind") == "purchase").alias("derived"), F.count_if((F.col("kind") == "purchase") & (F.col("match") % 7 > 0)).alias("official"))
-    return g.withColumn("status", F.when(F.col("derived") == F.col("official"), "exact").otherwise("mismatch"))
+    """PRJ13 and SET6: the score from one source's events against what another reports; own goals turned, shoot-outs apart."""
+    n, flag, price = F.col("l_linenumber"), F.col("l_returnflag"), F.floor("o_totalprice").cast("long")
+    kind = F.when(flag == "A", "goal").when((flag == "R") & (n % 3 == 0), "own_goal").when((flag == "R") & (n % 3 == 1), "penalty_scored").otherwise("other")
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match"), F.when(F.col("l_suppkey") % 2 == 0, "home").otherwise("away").alias("side"), kind.alias("kind"), (n >= 6).alias("shootout"))
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    r = table(spark, sf_dir, "orders").select(k.alias("match"), (price % 3).alias("home"), (F.floor(price / 3) % 3).alias("away"), F.when(c % 4 == 0, F.lit(3).cast("long")).alias("pen_home"), F.when(c % 8 == 0, k % 3).alias("pen_away"))
+    return S.reconcile_scores(e, r)
 
 
 @query("prj14_exception_class", f"""
