@@ -64,6 +64,17 @@ def rating_change(rating_a: Column, rating_b: Column) -> Column:
     return K * P.margin_multiplier(F.col("ga") - F.col("gb")) * (score - P.expected_score(rating_a + HOME - rating_b, SCALE))
 
 
+def while_on(intervals: DataFrame, moments: DataFrame, match: str, player: str, clock: str) -> DataFrame:
+    """(match, player, n): how many moments of a match lie in a player's interval, came included, went not (null: to the end).
+
+    The running count at the interval's end less that at its start: one sort of a match, no pairs of players and moments.
+    """
+    marks = [intervals.select(match, player, at.alias("_t"), F.lit(sign).alias("_sign"), F.lit(0).alias("_one")) for at, sign in ((F.col("came"), -1), (F.coalesce("went", F.lit((1 << 62))), 1))]
+    rows = marks[0].unionByName(marks[1]).unionByName(moments.select(match, F.col(clock).alias("_t"), F.lit(1).alias("_one")), allowMissingColumns=True)
+    before = F.coalesce(F.sum("_one").over(Window.partitionBy(match).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_n", before).where("_one = 0").groupBy(match, player).agg(F.sum(F.col("_sign") * F.col("_n")).alias("n"))
+
+
 def period_ratings(matches: DataFrame, periods: Sequence[int]) -> DataFrame:
     """(team, rating) after all periods of matches (period, a, b, ga, gb): each period's matches use the ratings before it.
 

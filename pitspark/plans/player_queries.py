@@ -84,19 +84,17 @@ def win15(spark, sf_dir):
     """Goals while a player was on the pitch: first on to first off."""
     e = clocked(spark, sf_dir)
     i = L.on_pitch(e, ["match", "k"], "t", F.col("kind") == "signup", F.col("kind") == "error").withColumnRenamed("k", "player")
-    goals = e.where("kind = 'purchase'").select("match", F.col("t").alias("gt"))
-    on = F.col("gt").between(F.col("came"), F.coalesce("went", F.lit(1 << 40)) - 1)
-    return i.join(goals, "match", "left").groupBy("match", "player").agg(F.count_if(on).alias("goals_for"))
+    return L.while_on(i, e.where("kind = 'purchase'"), "match", "player", "t").withColumnRenamed("n", "goals_for")
 
 
 @query("win22_rest_travel", """
-    WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderkey % 25 * 3.0 - 30 AS lat, o_orderkey % 25 * 7.0 - 90 AS lon FROM orders), l AS (SELECT *, lag(o_orderdate) OVER w AS pd, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
-    SELECT o_orderkey, (epoch_us(o_orderdate) - epoch_us(pd)) / 86400000000.0 AS rest_days, 2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))) AS km FROM l""")
+    WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderkey % 25 * 3.0 - 30 AS lat, o_orderkey % 25 * 7.0 - 90 AS lon, o_orderkey % 9 * 250 AS alt FROM orders), l AS (SELECT *, alt - lag(alt) OVER w AS climb_m, lag(o_orderdate) OVER w AS pd, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+    SELECT o_orderkey, (epoch_us(o_orderdate) - epoch_us(pd)) / 86400000000.0 AS rest_days, climb_m, 2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))) AS km FROM l""")
 def win22(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", seconds(F.col("o_orderdate")).alias("t"), (F.col("o_orderkey") % 25 * 3.0 - 30).alias("lat"), (F.col("o_orderkey") % 25 * 7.0 - 90).alias("lon"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", seconds(F.col("o_orderdate")).alias("t"), (F.col("o_orderkey") % 25 * 3.0 - 30).alias("lat"), (F.col("o_orderkey") % 25 * 7.0 - 90).alias("lon"), (F.col("o_orderkey") % 9 * 250).alias("alt"))
     w = Window.partitionBy("o_custkey").orderBy("t", "o_orderkey")
     km = P.haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    return o.select("o_orderkey", ((F.col("t") - F.lag("t").over(w)) / 86_400.0).alias("rest_days"), km.alias("km"))
+    return o.select("o_orderkey", ((F.col("t") - F.lag("t").over(w)) / 86_400.0).alias("rest_days"), (F.col("alt") - F.lag("alt").over(w)).alias("climb_m"), km.alias("km"))
 
 
 @query("win23_rating_periods")
