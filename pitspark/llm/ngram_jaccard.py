@@ -5,10 +5,11 @@ Every text becomes the set of its word n-grams. Two texts link when
 
 1. Equal sets are one node (128-bit fingerprint), so copies cost one row each.
 2. Candidates: sets that link differ in at most D n-grams, D from their sizes.
-   Splitting the hash range into D + 1 parts, one part must be equal in both, so
-   only sets that share a part's signature can link. Of a set with D + 1 parts that
-   hold n-grams or more, the empty ones are no signatures. A passage, even one in most
-   texts, gives no candidates unless a whole part agrees.
+   Splitting the hash range into more than D parts, all but D must be equal in both, so
+   only sets that share parts' signatures can link, and a set that shares fewer than that
+   with all others together links with none. Empty parts are no signatures where
+   there are enough full ones. A passage, even one in most texts, gives no candidates
+   unless many whole parts agree.
 3. Sets are partitioned into groups of similar ones: each goes to the set among those
    with a signature of its own that shares most signatures with others, the hub of
    what they vary. Large groups are cut into blocks of bounded size, the hub in each.
@@ -109,6 +110,10 @@ class Levels:
                     return least
         return m
 
+    def apart(self, level: int, n: int) -> int:
+        """In how many n-grams a set of n differs at most from one that it links with at this level."""
+        return min(self.least(level) - 1, (self.den - self.num) * n // self.num)
+
     def of(self, n: int) -> list[int]:
         """Its own band, and the next if a set in there can link."""
         level = bisect_right(self.low, n) - 1
@@ -116,24 +121,25 @@ class Levels:
         return [level, level + 1] if self.den * n >= self.num * top else [level]
 
 
-def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
-    """One number for each part of a sorted set, at each of its levels; none if only equal sets link."""
+def signatures(tokens: np.ndarray, levels: Levels) -> list[tuple[np.ndarray, int]]:
+    """For each of a sorted set's levels a 48-bit number for each part, and how many of them a linked set must have; none if only equal sets link."""
+    out: list[tuple[np.ndarray, int]] = []
     if not len(tokens):
-        return np.zeros(0, np.uint64)
+        return out
     total = np.zeros(len(tokens) + 1, np.uint64)
     np.cumsum(mix(tokens, 11), out=total[1:])
-    out = []
     for level in levels.of(len(tokens)):
-        m = levels.parts(level)
+        m, least = levels.parts(level), levels.least(level)
         if m > 1:
             width = (1 << 64) // m
             at = np.searchsorted(tokens, np.arange(1, m, dtype=np.uint64) * np.uint64(width))
             at = np.concatenate([[0], at, [len(tokens)]])
-            sig = mix((total[at[1:]] - total[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64), 1000 + level))
+            sig = mix((total[at[1:]] - total[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64), 1000 + level)) >> np.uint64(16)
             full = at[1:] > at[:-1]
-            # with as many full parts as that, one that is full in both sets agrees
-            out.append(sig[full] if full.sum() >= levels.least(level) else sig)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            n_full = int(full.sum())
+            # of the full parts, no more differ than n-grams do; with least of them, one that is full in both sets agrees
+            out.append((sig[full] if n_full >= least else sig, max(1, n_full - levels.apart(level, len(tokens)))))
+    return out
 
 
 BASE = pa.schema([("id", pa.int64()), ("row", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("node", pa.int64())])
@@ -158,44 +164,57 @@ SEEN = 1 << 19
 
 
 def _signed(n: int, num: int, den: int):
-    """Texts to (signature, node), once for each node of a task, however many copies it holds."""
+    """Texts to (signature, node, need), once for each node of a task, however many copies it holds; need is twice what must agree, and one more at the upper level."""
 
     def run(batches):
         levels, seen = Levels(num, den), set()
         for batch in batches:
             for piece in pieces(batch):
                 tokens, bounds = token_sets(Words(piece.column("text"), lower=True), n)
-                node = np.frombuffer(b"".join(fingerprints(tokens, bounds)), np.int64)[::2].tolist()
-                sigs = {x: signatures(tokens[a:b], levels) for x, a, b in zip(node, bounds[:-1], bounds[1:]) if a < b and x not in seen}
+                nodes = np.frombuffer(b"".join(fingerprints(tokens, bounds)), np.int64)[::2].tolist()
+                sigs, node, need = [np.zeros(0, np.uint64)], [], []
+                for x, a, b in zip(nodes, bounds[:-1], bounds[1:]):
+                    if a < b and x not in seen:
+                        seen.add(x)
+                        for up, (sig, least) in enumerate(signatures(tokens[a:b], levels)):
+                            sigs.append(sig)
+                            node.append(x)
+                            need.append(2 * least + up)
                 if len(seen) > SEEN:
                     seen.clear()
-                seen.update(sigs)
-                sig = np.concatenate([np.zeros(0, np.uint64), *sigs.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.fromiter(sigs, np.int64, len(sigs)), np.array([len(x) for x in sigs.values()], np.int64)))], names=["sig", "node"])
+                size = np.array([len(x) for x in sigs[1:]], np.int64)
+                sig = np.concatenate(sigs).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(np.array(node, np.int64), size)), pa.array(np.repeat(np.array(need, np.int32), size))], names=["sig", "node", "need"])
 
     return run
 
 
 def _shared(batches):
-    """Rows (signature, node) come sorted: those whose signature has several nodes, once each. Only the last row is held."""
+    """Rows (signature, node, need) come sorted: those whose signature has several nodes, once each. Only the last row is held."""
     last = None  # and whether it went out
     for batch in batches:
-        sig, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(sig):
+        rows = [np.asarray(c) for c in batch.columns]
+        if not len(rows[0]):
             continue
         if last is not None:
-            sig, node = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], node])
-        out = last is not None and last[2]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[new], node[new]
+            rows = [np.concatenate([[x], c]) for x, c in zip(last[0], rows)]
+        out = last is not None and last[1]
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        sig, node, need = (c[new] for c in rows)
         same = sig[1:] == sig[:-1]
         keep = np.zeros(len(sig), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        last = sig[-1], node[-1], bool(keep[-1]) or (out and len(sig) == 1)
+        last = (sig[-1], node[-1], need[-1]), bool(keep[-1]) or (out and len(sig) == 1)
         keep[0] &= not out
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], names=["sig", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(need[keep].astype(np.int32))], names=["sig", "node", "need"])
+
+
+def _alive(shared: DataFrame) -> DataFrame:
+    """(signature, node) of the sets that share as many signatures of a level as a link takes."""
+    enough = shared.groupBy("node", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.floor(F.col("need") / 2)).select("node").distinct()
+    return cut(shared.join(small(cut(enough, "enough"), OPEN_ROWS), "node", "left_semi").select("sig", "node"), "alive")
 
 
 # ---------------------------------------------------------------- groups
@@ -459,8 +478,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = cut(base.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("node").alias("node")), "nodes")
 
     # made from the texts again: written down, they would be longer than these
-    rows = source.select("text").mapInArrow(_signed(n, num, den), "sig long, node long")
-    shared = cut(rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "shared")
+    rows = source.select("text").mapInArrow(_signed(n, num, den), "sig long, node long, need int")
+    rows = rows.repartition("sig").sortWithinPartitions("sig", "node")
+    shared = _alive(cut(rows.mapInArrow(_shared, "sig long, node long, need int"), "shared"))
     grouped = cut(_grouped(cut(_led(shared, nodes), "led")), "grouped")
     # a leader's own group may be another's: it joins each block of its own
     heads = grouped.select(F.col("leader").alias("node"), "gid").distinct().join(nodes.select("node", "fp", "key"), "node")

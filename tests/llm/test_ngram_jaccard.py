@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from pitspark.llm import ngram_jaccard as N
 
@@ -81,31 +83,47 @@ def test_other_thresholds(docs):
     assert run(docs(texts), num=70) == brute(list(enumerate(texts)), num=70)
 
 
-def test_linked_sets_share_a_signature():
-    rng = np.random.default_rng(0)
-    levels = N.Levels(90, 100)
-    for n in (10, 30, 100, 500, 3000):
-        for _ in range(20):
-            base = rng.integers(0, 2**63, n).astype(np.uint64)
-            keep = n - rng.integers(0, max(1, n // 19) + 1)
-            a, b = np.unique(base), np.unique(np.concatenate([base[:keep], rng.integers(0, 2**63, rng.integers(0, max(1, n // 25) + 1)).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 90 * (len(a) + len(b) - both) and len(a) != both:
-                assert set(N.signatures(a, levels).tolist()) & set(N.signatures(b, levels).tolist())
+def agree(a, b, levels):
+    """Whether b has as many of a's signatures, at one level, as a link takes."""
+    theirs = {int(x) for sig, _ in N.signatures(b, levels) for x in sig}
+    return any(sum(int(x) in theirs for x in sig) >= need for sig, need in N.signatures(a, levels))
 
 
-def test_empty_parts_make_no_candidates():
+def linked(a, b, levels):
+    both = len(np.intersect1d(a, b))
+    return len(a) != both and levels.den * both >= levels.num * (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("num", [70, 80, 90])
+def test_linked_sets_agree_in_enough_parts(num):
+    rng = np.random.default_rng(num)
+    levels, seen = N.Levels(num, 100), 0
+    for n in (10, 20, 30, 100, 500, 3000):
+        for _ in range(40):
+            base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            lost = rng.integers(0, max(1, n * (100 - num) // 100) + 1)
+            a, b = base, np.unique(np.concatenate([base[rng.permutation(n)[lost:]], rng.integers(0, 2**63, max(0, n * (100 - num) // 150 - lost)).astype(np.uint64)]))
+            if linked(a, b, levels):
+                seen += 1
+                assert agree(a, b, levels) and agree(b, a, levels)
+            # what differs lies all in one place
+            b = base[lost:]
+            if linked(a, b, levels):
+                assert agree(a, b, levels) and agree(b, a, levels)
+    assert seen > 50
+
+
+def test_a_passage_makes_no_candidates():
+    """Sets that have a third of their n-grams in common, as by a passage, agree in too few parts."""
     rng = np.random.default_rng(1)
     levels = N.Levels(80, 100)
     for n in (150, 500, 2000):
-        sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for _ in range(100)]
-        sigs = np.concatenate([np.unique(N.signatures(x, levels)) for x in sets])
-        assert len(sigs) - len(np.unique(sigs)) < 0.001 * len(sigs)
-        for x in sets[:20]:
-            cut = n // 9 - 1
-            for y in (x[np.sort(rng.permutation(len(x))[cut:])], np.unique(np.concatenate([x[cut:], rng.integers(0, 2**63, cut // 9).astype(np.uint64)]))):
-                both = len(np.intersect1d(x, y))
-                assert 100 * both >= 80 * (len(x) + len(y) - both) and set(N.signatures(x, levels).tolist()) & set(N.signatures(y, levels).tolist())
+        common = rng.integers(0, 2**63, n // 3).astype(np.uint64) * np.uint64(2)
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, n - n // 3).astype(np.uint64) * np.uint64(2)])) for _ in range(60)]
+        rows = [(i, need, int(x)) for i, s in enumerate(sets) for sig, need in N.signatures(s, levels) for x in sig]
+        often = Counter(x for _, _, x in rows)
+        share = Counter((i, need) for i, need, x in rows if often[x] > 1)
+        assert sum(k >= need for (_, need), k in share.items()) <= 3
 
 
 def test_components_of_a_long_chain(spark):
