@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, pieces
+from .common import WORD, cut, pieces, small_batches
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 #: Posterior probability from which a text is kept; rounds of estimation.
@@ -133,10 +133,14 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tup
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The measures of every row, base_failed, quality (posterior) and kept; with ``keep``, those columns of the row instead of the measures."""
-    measured = cut(measures(docs, id_col, text_col, keep), "measures")
+    measured = measures(docs, id_col, text_col, keep)
+    if not keep:
+        measured = cut(measured, "measures")
+    # with columns to keep, measuring twice is cheaper than writing the texts down
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     voted = measured.withColumns({"votes": F.concat(*(v.cast("string") for v in rules().values())), "base_failed": failed})
-    seen = voted.groupBy("votes").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()  # one row a combination
+    with small_batches(docs.sparkSession):
+        seen = voted.groupBy("votes").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()  # one row a combination
     votes = np.array([[int(c) for c in row["votes"]] for row in seen], int).reshape(-1, len(rules()))
     posterior, _, _ = estimate(votes, np.array([row["n"] for row in seen], float)) if seen else (np.zeros(0), 0, None)
     table = docs.sparkSession.createDataFrame([(row["votes"], float(p)) for row, p in zip(seen, posterior)], "votes string, quality double")
