@@ -53,7 +53,7 @@ PART = 2.0**-32
 BATCH, STEP = 4096, 0.05
 CHUNK = 1 << 15
 #: Tokens of a unit that is learnt from in a row; longer ones are cut at a text's end. Units that are averaged at once.
-UNIT_TOKENS, FAN = 1 << 20, 64
+UNIT_TOKENS, FAN = 1 << 21, 64
 PIECE = 4096  # weights in a row when they are averaged
 
 #: The last row of class and member is what they add to every position.
@@ -300,13 +300,17 @@ def learn(state: np.ndarray, ids: np.ndarray, bounds: np.ndarray, round_: int) -
 SUMS = "part int, unit long, n long, sum binary"
 
 
-def _add(rows):
-    """The sums of a part's weights over some units, in their order, and of their positions."""
-    rows = rows.sort_values("unit")
-    total = np.zeros(len(rows["sum"].iloc[0]) // 8)
-    for x in rows["sum"]:
-        total += np.frombuffer(x)
-    return rows.head(1).assign(unit=rows["unit"].iloc[0] // FAN, n=rows["n"].sum(), sum=[total.tobytes()])
+def _add(first: bool):
+    """The sums of a part's weights over some units, in their order, and of their positions; first: what comes is single precision, each unit's weights."""
+
+    def run(rows):
+        rows = rows.sort_values("unit")
+        total = np.zeros(len(rows["sum"].iloc[0]) // (4 if first else 8))
+        for x, n in zip(rows["sum"], rows["n"]):
+            total += np.frombuffer(x, np.float32) * float(n) if first else np.frombuffer(x)
+        return rows.head(1).assign(unit=rows["unit"].iloc[0] // FAN, n=rows["n"].sum(), sum=[total.tobytes()])
+
+    return run
 
 
 def train(corpus: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
@@ -324,13 +328,13 @@ def train(corpus: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
             for batch in batches:
                 for unit, ids, bounds in zip(*(c.to_pylist() for c in batch.columns)):
                     new, n = learn(shared.value, np.frombuffer(ids, np.uint16), np.frombuffer(bounds, np.int64), r)
-                    flat = new.ravel().astype(np.float64) * n
+                    flat = new.ravel()
                     parts = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
                     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([unit] * len(parts)), pa.array([n] * len(parts)), pa.array(parts, pa.binary())], names=["part", "unit", "n", "sum"])
 
-        sums, most = corpus.mapInArrow(run, SUMS), last
-        while most > 0:
-            sums, most = sums.groupBy("part", F.floor(F.col("unit") / FAN)).applyInPandas(_add, SUMS), most // FAN
+        sums, most, first = corpus.mapInArrow(run, SUMS), last, True
+        while first or most > 0:
+            sums, most, first = sums.groupBy("part", F.floor(F.col("unit") / FAN)).applyInPandas(_add(first), SUMS), most // FAN, False
         parts = sums.orderBy("part").collect()
         state = np.concatenate([np.frombuffer(p["sum"]) / max(p["n"], 1) for p in parts]).reshape(2, -1).astype(np.float32)
     return state[0]
