@@ -67,7 +67,8 @@ def confidence(pairs: DataFrame, same_type: Column, same_team: Column, gap: Colu
         return F.coalesce(x, F.lit(False)).cast("int")
 
     clock = F.coalesce(F.greatest(F.lit(0.0), 1 - gap / float(width)), F.lit(0.0))
-    pairs = pairs.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.4 * yes(same_type) + 0.3 * yes(same_team) + 0.3 * clock), 3))
+    total = F.least(F.lit(1.0), 0.4 * yes(same_type) + 0.3 * yes(same_team) + 0.3 * clock)
+    pairs = pairs.withColumn("confidence", F.floor(total * 1000 + 0.5) / 1000.0)  # three places
     c = F.col("confidence")
     flags = F.when(F.lit(False) if corrected is None else corrected, "correction_or_duplicate").when(F.lit(False) if live_safe is None else ~live_safe, "timing_not_safe_for_live_use")
     kind = flags.when(c >= 0.75, "high_confidence_event_alignment").when(c >= 0.5, "medium_confidence_event_alignment").when(c > 0, "low_confidence_event_alignment")

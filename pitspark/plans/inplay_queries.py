@@ -193,7 +193,7 @@ def mod2(spark, sf_dir):
 
 @query("mod5_nested_selection", f"""
     WITH {FORECAST_SQL}, m AS (SELECT l_suppkey % 8 AS held, m AS model, CASE m WHEN 'raw' THEN {_rps_sql('pa', 'pd')} WHEN 'blend' THEN {_rps_sql('(0.5 * pa + 0.5 / 3)', '(0.5 * pd + 0.5 / 3)')} ELSE {_rps_sql('1 / 3.0', '1 / 3.0')} END AS s FROM p, (SELECT unnest(['raw', 'blend', 'uniform']) AS m)),
-    f AS (SELECT held, model, sum(s) AS total, count(*) AS n FROM m GROUP BY ALL), i AS (SELECT *, (sum(total) OVER w - total) / (sum(n) OVER w - n) AS inner_score FROM f WINDOW w AS (PARTITION BY model)),
+    fs AS (SELECT held, model, sum(s) AS total, count(*) AS n FROM m GROUP BY ALL), i AS (SELECT *, (sum(total) OVER w - total) / (sum(n) OVER w - n) AS inner_score FROM fs WINDOW w AS (PARTITION BY model)),
     r AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY inner_score, model) AS k FROM i) SELECT held, model, inner_score AS "inner", total / n AS "outer" FROM r WHERE k = 1""")
 def mod5(spark, sf_dir):
     """The model that is best on the other folds, and what it scores on the held one."""

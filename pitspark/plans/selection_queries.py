@@ -295,7 +295,7 @@ def jon14(spark, sf_dir):
 
 
 @query("jon15_alignment_confidence", f"""
-    WITH {CLOCKED_SQL}, j AS (SELECT a.match, a.idx, b.idx AS other, b.k % 10 = 0 AS fixed, b.k % 7 > 0 AS safe, round(0.4 * (a.kind = b.kind)::INT + 0.3 * (a.k % 2 = b.k % 2)::INT + 0.3 * greatest(0, 1 - abs(a.t - b.t) / 1800.0), 3) AS c FROM e a JOIN e b ON a.match = b.match AND a.idx < b.idx AND abs(a.t - b.t) <= 1800)
+    WITH {CLOCKED_SQL}, j AS (SELECT a.match, a.idx, b.idx AS other, b.k % 10 = 0 AS fixed, b.k % 7 > 0 AS safe, floor(least(1::DOUBLE, 0.4::DOUBLE * (a.kind = b.kind)::INT + 0.3::DOUBLE * (a.k % 2 = b.k % 2)::INT + 0.3::DOUBLE * greatest(0::DOUBLE, 1 - abs(a.t - b.t) / 1800::DOUBLE)) * 1000 + 0.5) / 1000 AS c FROM e a JOIN e b ON a.match = b.match AND a.idx < b.idx AND abs(a.t - b.t) <= 1800)
     SELECT match, idx, other, c::DOUBLE AS confidence, CASE WHEN fixed THEN 'correction_or_duplicate' WHEN NOT safe THEN 'timing_not_safe_for_live_use' WHEN c >= 0.75 THEN 'high_confidence_event_alignment' WHEN c >= 0.5 THEN 'medium_confidence_event_alignment' WHEN c > 0 THEN 'low_confidence_event_alignment' ELSE 'unaligned' END AS class FROM j""")
 def jon15(spark, sf_dir):
     e = clocked(spark, sf_dir).select("match", "idx", "t", "kind", "k")
