@@ -13,10 +13,12 @@ from .lm_score import lm_score
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard
 from .quality_rules import quality_rules
+from .token_counts import token_counts
 from .topk import top_k
 from .url_filter import url_filter
+from .vector_codes import vector_codes
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -77,8 +87,31 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_top_k": op9_top_k,
     "op10_lm_score": op10_lm_score,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_counts": op13_token_counts,
 }
 
+
+def _code_rounds(rounds: int) -> str:
+    """The rounds of op12, one after the other: a{k} has each part's nearest entry, b{k} the codebooks."""
+    out = ""
+    for k in range(rounds + 1):
+        out += f"""
+        a{k} AS MATERIALIZED (
+            SELECT r, p, e, s FROM (SELECT r, p, e, sum((d.x - b.x) * (d.x - b.x))::BIGINT AS s FROM d JOIN b{k} b USING (p, c) GROUP BY r, p, e)
+            QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY s, e) = 1
+        ),"""
+        if k < rounds:
+            out += f"""
+        b{k + 1} AS MATERIALIZED (
+            SELECT b.p, b.e, b.c, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+                SELECT p, e, c, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM d JOIN a{k} USING (r, p) GROUP BY p, e, c
+            ) m USING (p, e, c)
+        ),"""
+    return out
+
+
+
 ORACLES = {
     "op1_ngram_jaccard_join": """
         WITH RECURSIVE w AS (
@@ -155,4 +188,19 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op12_vector_codes": f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), d AS MATERIALIZED (
+            SELECT r, i // (len // 8) AS p, i % (len // 8) AS c, x FROM (SELECT r, len(v) AS len, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM v)
+        ), b0 AS MATERIALIZED (
+            SELECT p, r - 1 AS e, c, x FROM d WHERE r <= 16
+        ),{_code_rounds(6)} t AS (
+            SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(s)::BIGINT AS error FROM a6 JOIN v USING (r) GROUP BY r, vec_id, label
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, c)) FROM b6) AS codebooks_sha256
+        FROM t
+    """,
 }
