@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, pii, toxicity
 from .common import table
+from .conversation_repair import conversation_repair, damage
 from .line_dedup import line_dedup
 from .lm_score import lm_score
 from .mixing import mix_sources
@@ -68,6 +69,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair(rows, damage(rows))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_top_k": op9_top_k,
     "op10_lm_score": op10_lm_score,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_vector_codes": op12_vector_codes,
     "op13_token_counts": op13_token_counts,
 }
@@ -188,6 +195,70 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE crc AS MATERIALIZED (
+            SELECT list(c ORDER BY i) AS tab FROM (
+                SELECT i, list_reduce([i::BIGINT] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(i)
+            )
+        ), k AS MATERIALIZED (
+            SELECT conv_id, row_number() OVER () AS k FROM (SELECT DISTINCT conv_id FROM conversations)
+        ), o AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+                [4294967295]::BIGINT[] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+                lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1]))) % 20 AS hit
+            FROM conversations, crc
+        ), h AS (
+            SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy,
+                CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM o WHERE hit <> 0
+        ), n AS (
+            SELECT k, turn, role, text, left(role, 1) AS c, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS t
+            FROM h JOIN k ON h.conv_id IS NOT DISTINCT FROM k.conv_id
+        ), r AS MATERIALIZED (
+            SELECT *, blank OR duplicate AS goes, CASE WHEN late THEN 3 ELSE 0 END AS z FROM (
+                SELECT *, t = '' AS blank, t <> '' AND row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS duplicate,
+                    t <> '' AND row_number() OVER (PARTITION BY k, role, text ORDER BY i) = 1 AND right(t, 1) NOT IN ('.', '!', '?') AS late,
+                    i > 1 AND coalesce(lag(c) OVER (PARTITION BY k ORDER BY i), '') || c NOT IN ('su', 'ua', 'au') AS illegal
+                FROM n
+            )
+        ), b AS (
+            SELECT k, max(i) + 1 AS i, 0 AS e, 6 AS s, 3 AS u, 0 AS a FROM r GROUP BY k
+            UNION ALL
+            SELECT k, i, least(re, 3 + ru, 6 + ra), least(rs, 3 + ru, 6 + ra), least(ru, 3 + ra), least(ra, 3 + ru) FROM (
+                SELECT r.k, r.i, b.i AS j,
+                    least(4 + e, CASE WHEN goes THEN 4 + e WHEN c = 's' THEN least(z + s, 3 + z + u) WHEN c = 'u' THEN z + u ELSE 3 + z + u END) AS re,
+                    least(4 + s, CASE WHEN goes THEN 4 + s WHEN c = 'u' THEN z + u ELSE 3 + z + u END) AS rs,
+                    least(4 + u, CASE WHEN goes THEN 4 + u WHEN c = 'a' THEN z + a ELSE 3 + z + a END) AS ru,
+                    least(4 + a, CASE WHEN goes THEN 4 + a WHEN c = 'u' THEN z + u ELSE 3 + z + u END) AS ra
+                FROM b JOIN r ON r.k = b.k AND r.i = b.i - 1
+            )
+        ), w AS MATERIALIZED (
+            -- costs before (b) and after (n) each row, and the row; the last has no row
+            SELECT b.k, b.i, [b.e, b.s, b.u, b.a] AS b, [n.e, n.s, n.u, n.a] AS n, r.goes, r.z, r.c, r.role, r.text FROM b LEFT JOIN b n ON n.k = b.k AND n.i = b.i + 1 LEFT JOIN r ON r.k = b.k AND r.i = b.i
+        ), t AS (
+            SELECT k, 1::BIGINT AS i, 1 AS state, '' AS audit, []::VARCHAR[] AS lines FROM k
+            UNION ALL
+            SELECT k, CASE WHEN x = 'I' THEN i ELSE i + 1 END, CASE x WHEN 'D' THEN state WHEN 'K' THEN keeps ELSE next END, audit || x,
+                CASE x WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, name || ':') WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, name || ':' || text) END
+            FROM (
+                SELECT *, CASE WHEN 4 + n[state] = b[state] THEN 'D' WHEN 3 + b[next] = b[state] THEN 'I' WHEN n[state] IS NULL THEN NULL
+                    WHEN keeps > 0 AND z + n[keeps] = b[state] THEN 'K' ELSE 'R' END AS x
+                FROM (
+                    SELECT t.*, w.b, w.n, w.z, w.role, w.text, CASE WHEN state = 3 THEN 4 ELSE 3 END AS next, CASE WHEN state = 3 THEN 'assistant' ELSE 'user' END AS name,
+                        CASE WHEN c = 's' AND state = 1 THEN 2 WHEN c = 'u' AND state <> 3 THEN 3 WHEN c = 'a' AND state = 3 THEN 4 ELSE 0 END AS keeps
+                    FROM t JOIN w ON w.k = t.k AND w.i = t.i
+                )
+            ) WHERE x IS NOT NULL
+        ), done AS (
+            SELECT k, arg_max(audit, len(audit)) AS audit, sha256(array_to_string(arg_max(lines, len(audit)), chr(10))) AS repaired_sha256 FROM t GROUP BY k
+        ), f AS (
+            SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+                count(*) FILTER (late) AS truncated, count(*) FILTER (illegal) AS illegal FROM r GROUP BY k
+        )
+        SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+            coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.b[1], 0)::BIGINT AS cost, audit, repaired_sha256
+        FROM k LEFT JOIN f USING (k) LEFT JOIN done USING (k) LEFT JOIN w ON w.k = k.k AND w.i = 1
+    """,
     "op12_vector_codes": f"""
         WITH v AS MATERIALIZED (
             SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
