@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import fits
 from ..operators import models as M
 from ..sources.tables import table
+from .function_queries import FORECAST_SQL, forecasts
 from .registry import Registry
 
 query = Registry()
@@ -46,8 +48,66 @@ def mod13(spark, sf_dir):
 
 @query("mod16_boosted_rates")
 def mod16(spark, sf_dir):
+    """Counts by boosted trees with a log link."""
     train, test = _split(panel(spark, sf_dir))
-    return M.boosted(train, ["minute", "diff", "xg"], "goals")(test).select("l_orderkey", "l_linenumber", F.round("rate", 3).alias("rate"))
+    return fits.boosted_rates(train, ["minute", "diff", "xg"], "goals", rounds=8).predict(test).select("l_orderkey", "l_linenumber", F.round("rate", 3).alias("rate"))
+
+
+def fixtures(spark, sf_dir):
+    """A match of each order: a rating difference, and goals that lean on it."""
+    o = table(spark, sf_dir, "orders")
+    key, delta = F.col("o_orderkey"), (F.col("o_custkey") % 61 - 30) * 15.0
+    goals = lambda sign, n: F.floor(F.pmod(F.xxhash64(key, F.lit(n)), F.lit(1000)) / 1000.0 * (2.9 + sign * delta / 300))
+    return o.select(key.alias("match"), delta.alias("delta"), goals(1, 1).alias("goals_a"), goals(-1, 2).alias("goals_b"))
+
+
+@query("mod10_scoreline_fit")
+def mod10_scoreline(spark, sf_dir):
+    """Base rate, slope and low-score correction fitted on four fifths of the matches, forecasts of the others."""
+    m = fixtures(spark, sf_dir)
+    fit = fits.scoreline_fit(m.where("match % 5 > 0"), "delta", "goals_a", "goals_b")
+    out = fit.predict(m.where("match % 5 = 0"), "delta")
+    return out.select("match", *(F.round(c, 5).alias(c) for c in ("rate_a", "rate_b", "p_a", "p_draw", "p_b", "p_00", "p_under_25", "draw_low", "draw_high")))
+
+
+def _choice(spark, losses, best):
+    return spark.createDataFrame([(str(n), round(float(x), 6), n == best) for n, x in losses.items()], "candidate string, loss double, chosen boolean")
+
+
+@query("mod12_cross_fit_ridge")
+def mod12(spark, sf_dir):
+    """The penalty of a weighted ridge of many columns, chosen by folds of whole orders from one pass."""
+    rows = panel(spark, sf_dir).withColumns({"late": F.col("minute") * F.col("diff") / 90, "late_xg": F.col("minute") * F.col("xg") / 90, "w": 1 + F.col("tilt"), "left": F.col("goals") - 0.2 * F.col("diff")})
+    fit = fits.cross_fit_ridge(rows, ["minute", "diff", "xg", "tilt", "late", "late_xg"], "left", "l_orderkey", weight="w")
+    return _choice(spark, fit.losses, fit.penalty)
+
+
+@query("mod9_chosen_penalty")
+def mod9_chosen(spark, sf_dir):
+    """Penalties of a logistic model by their loss on left-out orders."""
+    choice = fits.chosen_logistic(panel(spark, sf_dir), ["minute", "diff", "xg"], "follows", "l_orderkey", penalties=(0.001, 0.1), k=2)
+    return _choice(spark, choice.losses, choice.best)
+
+
+@query("mod14_ensemble")
+def mod14(spark, sf_dir):
+    """Two models, their average and its recalibration, by out-of-fold loss."""
+    heads = {"score": lambda df: M.logistic(df, ["minute", "diff"], "follows"), "chance": lambda df: M.logistic(df, ["xg", "tilt"], "follows")}
+    choice = fits.ensemble(panel(spark, sf_dir), heads, "follows", "l_orderkey", k=2)
+    return _choice(spark, choice.losses, choice.best)
+
+
+@query("mod14_fold_temperatures", f"""
+    WITH {FORECAST_SQL}, g AS (SELECT i, 0.5::DOUBLE + 0.05::DOUBLE * i AS t FROM range(51) r(i)),
+    z AS (SELECT l_orderkey % 5 AS fold, ln(greatest(pa, 1e-9)) AS a, ln(greatest(pd, 1e-9)) AS d, ln(greatest(pb, 1e-9)) AS b, CASE outcome WHEN 'A' THEN ln(greatest(pa, 1e-9)) WHEN 'D' THEN ln(greatest(pd, 1e-9)) ELSE ln(greatest(pb, 1e-9)) END AS y FROM p),
+    s AS (SELECT fold, i, t, sum(ln(exp(a / t) + exp(d / t) + exp(b / t)) - y / t) AS s, count(*) AS n FROM z, g GROUP BY ALL),
+    o AS (SELECT *, round(sum(s) OVER (PARTITION BY i) - s, 9) AS others FROM s),
+    c AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY others, i) AS r FROM o)
+    SELECT fold::INT AS fold, t AS temperature, s / n AS loss FROM c WHERE r = 1""")
+def mod14_temperatures(spark, sf_dir):
+    """For each fifth of the orders the temperature that the others choose, and its loss there: sums of a fold and temperature, from one pass."""
+    f = forecasts(spark, sf_dir).withColumns({"fold": (F.col("l_orderkey") % 5).cast("int"), "y": F.when(F.col("outcome") == "A", 0).when(F.col("outcome") == "D", 1).otherwise(2)})
+    return fits.fold_temperatures(f, F.array("pa", "pd", "pb"), "y", "fold")
 
 
 @query("mod21_mod23_family_ladder")
