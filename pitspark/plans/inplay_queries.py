@@ -12,6 +12,7 @@ from ..operators import pit
 from ..operators.aggregates import forecast_metrics
 from ..operators.process import with_possession
 from ..sources.tables import CLOCKED_SQL, clocked, table
+from ..streaming import ledger as L
 from ..streaming import live
 from .function_queries import FORECAST_SQL, GRID, forecasts
 from .pit_queries import SNAPSHOTS_SQL
@@ -85,7 +86,8 @@ def mod27(spark, sf_dir):
     return I.predictions(states).select("match", "minute", "model", "p_a", "p_draw", "p_b")
 
 
-LIVE_SQL = f"""{MATCHES_SQL}, once AS (SELECT l_orderkey * 10 + l_linenumber AS event_id, l_orderkey AS match, min(l_shipdate) AS ts, any_value(CASE WHEN l_partkey % 50 > 0 THEN l_partkey % 100 END) AS minute, any_value(CASE WHEN l_returnflag = 'A' THEN 'goal' WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN 'red' ELSE 'other' END) AS kind, any_value(CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'b' END) AS side FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1),
+LIVE_SQL = f"""{MATCHES_SQL}, all_e AS (SELECT l_orderkey * 10 + l_linenumber AS event_id, l_orderkey AS match, l_shipdate AS ts, CASE WHEN l_partkey % 50 > 0 THEN l_partkey % 100 END AS minute, CASE WHEN l_returnflag = 'A' THEN 'goal' WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN 'red' ELSE 'other' END AS kind, CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS side FROM lineitem),
+    once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts NULLS FIRST, minute NULLS FIRST, kind, side, match) AS rn FROM all_e) WHERE rn = 1),
     st AS (SELECT once.match, any_value(delta) AS delta, max(minute) AS minute, {', '.join(f"count(*) FILTER (kind = '{k}' AND side = '{s}')::INT AS {n}_{s}" for k, n in (('goal', 'goals'), ('red', 'reds')) for s in 'ab')} FROM once JOIN mt ON mt.match = once.match GROUP BY once.match HAVING max(minute) IS NOT NULL)"""
 
 
@@ -93,16 +95,39 @@ LIVE_SQL = f"""{MATCHES_SQL}, once AS (SELECT l_orderkey * 10 + l_linenumber AS
     WITH {LIVE_SQL}, r AS ({_rates_sql('st', 'delta')}), v AS ({_wdl_sql('r', 'match, minute')})
     SELECT v.match, v.minute::INT AS minute, goals_a, goals_b, reds_a, reds_b, 1.0::DOUBLE AS completeness, {NORMAL_SQL.format('w')} AS p_a, {NORMAL_SQL.format('d')} AS p_draw, {NORMAL_SQL.format('l')} AS p_b FROM v JOIN r ON r.match = v.match""")
 def str6(spark, sf_dir):
-    """Records from live states: here all events have come; the tests run it on a stream. Line keys that repeat are left to the tests."""
+    """Records from live states: here all events have come, some of them repeatedly; the tests run it on a stream."""
     lines = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "goal").when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") % 2 == 0), "red").otherwise("other")
     e = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), F.col("l_orderkey").alias("match"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.when(F.col("l_partkey") % 50 > 0, F.col("l_partkey") % 100).cast("int").alias("minute"), kind.alias("kind"), F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b").alias("side"))
-    single = e.groupBy("event_id").agg(F.count("*").alias("times")).where("times = 1").select("event_id")
     m = matches(spark, sf_dir).select("match", "delta", F.lit("2100-01-01").cast("timestamp").alias("decision_ts"))
-    out = live.live_records(e.join(single, "event_id", "left_semi"), m).where("minute is not null")
+    out = live.live_records(e, m).where("minute is not null")
     return out.select("match", "minute", "goals_a", "goals_b", "reds_a", "reds_b", "completeness", "p_a", "p_draw", "p_b")
 
 
+RESULT_SQL = """pr AS (SELECT o_orderkey AS match, 0.2 + (o_custkey % 5) * 0.1 AS pa, 0.1 + (o_orderkey % 3) * 0.05 AS pd, o_custkey % 11 > 0 AS early, o_orderkey % 13 > 0 AS known FROM orders),
+    rs AS (SELECT o_orderkey AS match, v, CASE (o_orderkey + v * (o_orderkey % 17 = 0)::INT) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'B' END AS outcome, o_orderkey % 7 > 0 AS final FROM orders, (VALUES (0), (1)) t(v))"""
+
+
+@query("str2_rescored_ledger", f"""
+    WITH {RESULT_SQL}, s AS (SELECT DISTINCT pr.match, outcome, pa, pd, 1 - pa - pd AS pb FROM pr JOIN rs ON rs.match = pr.match WHERE final AND early AND known)
+    SELECT match, outcome, 'v1' AS scorer, (pow(pa - (outcome = 'A')::INT, 2) + pow(pa + pd - (outcome IN ('A', 'D'))::INT, 2)) / 2 AS rps,
+        -ln(greatest(CASE outcome WHEN 'A' THEN pa WHEN 'D' THEN pd ELSE pb END, 1e-12)) AS log_loss FROM s""")
+def str2(spark, sf_dir):
+    """Scores of a first delivery of results, then of one that repeats all and corrects some: a correction adds a row, a repeat none."""
+    o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    kickoff = F.col("o_orderdate").cast("timestamp")
+    made = F.when(c % 11 > 0, kickoff - F.expr("INTERVAL 1 HOUR")).otherwise(kickoff)
+    a, d = 0.2 + (c % 5) * 0.1, 0.1 + (k % 3) * 0.05
+    source = F.when(k % 13 > 0, made).otherwise(made + F.expr("INTERVAL 6 SECONDS"))
+    predictions = o.select(k.alias("match"), F.lit("m").alias("model"), made.alias("made"), source.alias("source"), kickoff.alias("kickoff"), a.alias("p_a"), d.alias("p_draw"), (1 - a - d).alias("p_b"))
+    of = lambda v: F.element_at(F.array(*map(F.lit, "ADB")), ((k + F.when(k % 17 == 0, v).otherwise(0)) % 3 + 1).cast("int"))
+    results = lambda v: o.select(k.alias("match"), F.when(k % 7 > 0, L.FINAL).otherwise("open").alias("status"), of(v).alias("outcome"), F.lit(None).cast("int").alias("goals_a"), F.lit(None).cast("int").alias("goals_b"))
+    first = L.first_writes(L.score_rows(predictions, results(0), "v1").where("score_key is not null"), None, "score_key", "score_key")
+    both = results(0).unionByName(results(1)).distinct()
+    again = L.first_writes(L.score_rows(predictions, both, "v1").where("score_key is not null"), first.select("score_key"), "score_key", "score_key")
+    return first.unionByName(again).select("match", "outcome", "scorer", "rps", "log_loss")
+
+
 @query("str5_session_counts", f"""
     WITH {CLOCKED_SQL}, g AS (SELECT match * 1000 + k AS key, count(*) AS times, arg_min(kind, idx) AS event FROM e GROUP BY 1), x AS (SELECT DISTINCT match * 1000 + u.k AS key FROM e, (SELECT unnest(range(0, 100)) AS k) u)
     SELECT event, sum(n)::BIGINT AS n FROM (SELECT event, 1 AS n FROM g UNION ALL SELECT 'duplicate', times - 1 FROM g WHERE times > 1 UNION ALL SELECT 'missed', 1 FROM x WHERE key NOT IN (SELECT key FROM g)) GROUP BY event""")
