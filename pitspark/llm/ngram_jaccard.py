@@ -30,8 +30,9 @@ or a group's askers whole: they come in sorted runs, and askers are dealt in chu
 
 Nulls, texts without words and blank texts have an empty set: n_shingles 0, no
 links, their own component. Rows with the same id keep a row each; ids may be null
-(a component's id is its smallest non-null one). N-grams are told apart by 64-bit
-hashes, texts as long as they are.
+(a component's id is its smallest non-null one). Columns of any other name don't matter.
+Any ratio from 0 (exclusive) to 1 is exact; the lower it is, the more sets share parts and
+are compared. N-grams are told apart by 64-bit hashes, texts as long as they are.
 """
 
 from __future__ import annotations
@@ -115,10 +116,12 @@ class Levels:
         return min(self.least(level) - 1, (self.den - self.num) * n // self.num)
 
     def of(self, n: int) -> list[int]:
-        """Its own band, and the next if a set in there can link."""
+        """Its own band, and each above it in which a set can link: one more at most from 2/3 on, several below."""
         level = bisect_right(self.low, n) - 1
-        top = self.low[level + 1]
-        return [level, level + 1] if self.den * n >= self.num * top else [level]
+        top = level + 1
+        while top < len(self.low) - 1 and self.den * n >= self.num * self.low[top]:
+            top += 1
+        return list(range(level, top))
 
 
 def signatures(tokens: np.ndarray, levels: Levels) -> list[tuple[np.ndarray, int]]:
@@ -159,12 +162,14 @@ def _describe(n: int):
 
 # ---------------------------------------------------------------- candidates
 
-#: Nodes that a task remembers, so that copies give their signatures once.
+#: Nodes that a task remembers, so that copies give their signatures once, and wanted sets, so that copies are read once.
 SEEN = 1 << 19
+#: More than the bands that a set can sign: they grow by half, and there are 70 or so.
+LEVELS = 128
 
 
 def _signed(n: int, num: int, den: int):
-    """Texts to (signature, node, need), once for each node of a task, however many copies it holds; need is twice what must agree, and one more at the upper level."""
+    """Texts to (signature, node, need), once for each node of a task, however many copies it holds; need is ``LEVELS`` times what must agree, plus the number of the level."""
 
     def run(batches):
         levels, seen = Levels(num, den), set()
@@ -179,12 +184,12 @@ def _signed(n: int, num: int, den: int):
                         for up, (sig, least) in enumerate(signatures(tokens[a:b], levels)):
                             sigs.append(sig)
                             node.append(x)
-                            need.append(2 * least + up)
+                            need.append(LEVELS * least + up)
                 if len(seen) > SEEN:
                     seen.clear()
                 size = np.array([len(x) for x in sigs[1:]], np.int64)
                 sig = np.concatenate(sigs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(np.array(node, np.int64), size)), pa.array(np.repeat(np.array(need, np.int32), size))], names=["sig", "node", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(np.array(node, np.int64), size)), pa.array(np.repeat(np.array(need, np.int64), size))], names=["sig", "node", "need"])
 
     return run
 
@@ -208,12 +213,12 @@ def _shared(batches):
         keep[:-1] |= same
         last = (sig[-1], node[-1], need[-1]), bool(keep[-1]) or (out and len(sig) == 1)
         keep[0] &= not out
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(need[keep].astype(np.int32))], names=["sig", "node", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(need[keep])], names=["sig", "node", "need"])
 
 
 def _alive(shared: DataFrame) -> DataFrame:
     """(signature, node) of the sets that share as many signatures of a level as a link takes."""
-    enough = shared.groupBy("node", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.floor(F.col("need") / 2)).select("node").distinct()
+    enough = shared.groupBy("node", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.floor(F.col("need") / LEVELS)).select("node").distinct()
     return cut(shared.join(small(cut(enough, "enough"), OPEN_ROWS), "node", "left_semi").select("sig", "node"), "alive")
 
 
@@ -231,14 +236,27 @@ def _read(n: int, keys: list[str], limit: np.uint64 | None = None):
     """
 
     def run(batches):
+        done: set = set()
         for batch in batches:
             for piece in pieces(batch):
-                fps = piece.column("fp").to_pylist()
+                # rows with one key may be copies of one text: a task gives a wanted set once
+                wanted = list(zip(*(piece.column(c).to_pylist() for c in [*keys, "fp"])))
+                left = [i for i, x in enumerate(wanted) if x not in done]
+                if len(left) < len(wanted):
+                    piece, wanted = piece.take(pa.array(left, pa.int64())), [wanted[i] for i in left]
+                fps = [x[-1] for x in wanted]
                 text = piece.column("text").to_pylist()
                 new = np.array([i == 0 or fps[i] != fps[i - 1] or text[i] != text[i - 1] for i in range(len(fps))], bool)
                 tokens, bounds = token_sets(Words(piece.column("text").filter(pa.array(new)), lower=True), n)
                 made, of = fingerprints(tokens, bounds), np.cumsum(new) - 1
-                keep = pa.array([i for i, fp in enumerate(fps) if made[of[i]] == fp], pa.int64())
+                fits = []
+                for i, fp in enumerate(fps):
+                    if made[of[i]] == fp and wanted[i] not in done:
+                        fits.append(i)
+                        done.add(wanted[i])
+                if len(done) > SEEN:
+                    done.clear()
+                keep = pa.array(fits, pa.int64())
                 sets = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
                 if limit is not None:
                     sets = [x[: np.searchsorted(x, limit)] for x in sets]
@@ -471,6 +489,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``row``: a binary key of a row, carried along as column ``row``, with ``first``, true on one row of each component
     (of the smallest id, nulls last, then of the smallest key) and on every row without words; equal keys are one row.
     """
+    if not 0 < num <= den:
+        raise ValueError("num / den must be above 0 and 1 at most")
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
     own = F.lit(None).cast("binary") if row is None else row
     source = docs.select(F.col(id_col).cast("long").alias("id"), own.alias("row"), key.alias("key"), F.col(text_col).alias("text"))
@@ -478,9 +498,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = cut(base.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("node").alias("node")), "nodes")
 
     # made from the texts again: written down, they would be longer than these
-    rows = source.select("text").mapInArrow(_signed(n, num, den), "sig long, node long, need int")
+    rows = source.select("text").mapInArrow(_signed(n, num, den), "sig long, node long, need long")
     rows = rows.repartition("sig").sortWithinPartitions("sig", "node")
-    shared = _alive(cut(rows.mapInArrow(_shared, "sig long, node long, need int"), "shared"))
+    shared = _alive(cut(rows.mapInArrow(_shared, "sig long, node long, need long"), "shared"))
     grouped = cut(_grouped(cut(_led(shared, nodes), "led")), "grouped")
     # a leader's own group may be another's: it joins each block of its own
     heads = grouped.select(F.col("leader").alias("node"), "gid").distinct().join(nodes.select("node", "fp", "key"), "node")

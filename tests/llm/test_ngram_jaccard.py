@@ -94,7 +94,7 @@ def linked(a, b, levels):
     return len(a) != both and levels.den * both >= levels.num * (len(a) + len(b) - both)
 
 
-@pytest.mark.parametrize("num", [70, 80, 90])
+@pytest.mark.parametrize("num", [30, 50, 60, 66, 70, 80, 90])
 def test_linked_sets_agree_in_enough_parts(num):
     rng = np.random.default_rng(num)
     levels, seen = N.Levels(num, 100), 0
@@ -130,3 +130,45 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (502, 500)], "a long, b long")
     roots = {r.node: r.root for r in N.components(edges).collect()}
     assert roots == {i: 0 for i in range(1, 201)} | {501: 500, 502: 500}
+
+
+@pytest.mark.parametrize("num", [30, 50, 60, 66])
+def test_links_below_two_thirds_are_all_found(docs, num):
+    rng = random.Random(num)
+    words = [f"w{i}" for i in range(60)]
+    texts = ["a b", "a b c d", "a b c d e f g h"]
+    for _ in range(160):
+        base = rng.sample(words, rng.randint(2, 40))
+        texts += [" ".join(base), " ".join(base[: max(1, int(len(base) * rng.uniform(0.3, 1)))])]
+    assert run(docs(texts), n=1, num=num) == brute_one(texts, num)
+
+
+def brute_one(texts, num):
+    sets = [frozenset(t.split()) for t in texts]
+    root = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= num * len(x | y) and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    return [(i, len(x), root[i]) for i, x in enumerate(sets)]
+
+
+def test_copies_without_an_id_are_read_once_a_task(spark):
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(40))
+    tokens, bounds = N.token_sets(N.Words(pa.array([text]), lower=True), 3)
+    fp = N.fingerprints(tokens, bounds)[0]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 500), pa.array([fp] * 500, pa.binary()), pa.array([text] * 499 + ["other"])], names=["gid", "fp", "text"])
+    out = list(N._read(3, ["gid"])(iter([batch, batch])))
+    assert sum(b.num_rows for b in out) == 1
+    rows = [(None, text)] * 3000 + [(4, text + " more"), (9, "some other words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in N.ngram_jaccard(df).collect()}
+    assert got == {(None, 4), (4, 4), (9, 9)}
+    with pytest.raises(ValueError):
+        N.ngram_jaccard(df, num=0)
