@@ -150,3 +150,42 @@ def test_estimation_finds_the_good_class():
     posterior, share, _ = Q.estimate(rows, counts)
     verdict = {tuple(r): p >= 0.5 for r, p in zip(rows.tolist(), posterior)}
     assert np.mean([verdict[tuple(v)] == g for v, g in zip(votes.tolist(), good)]) > 0.95 and 0.75 < share < 0.95
+
+
+def test_long_texts_are_judged_like_their_parts():
+    import random
+
+    rng = random.Random(11)
+    part = [f"w{rng.randrange(1500)}" for _ in range(1000)]
+    short, long = Q.measure(" ".join(part)), Q.measure(" ".join(" ".join(rng.sample(part, 1000)) for _ in range(40)))
+    share = short[6] / short[0]
+    assert long[0] == 40_000 and abs(long[6] / long[0] - share) < 1e-9
+    poor = Q.measure("some words again and ".strip() + " once more" * 10_000)
+    assert poor[0] >= 20_000 and poor[6] / poor[0] < 0.01
+
+
+def test_repeated_windows_by_numbers_match_a_list_of_windows(monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    for n in (0, 5, 8, 9, 30, 400):
+        for _ in range(20):
+            words = [rng.choice("abcd") if n < 100 else rng.choice("abcdefghijklmnop") for _ in range(n)]
+            often = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+            want = {i + k for i, w in enumerate(often) if often.count(w) > 1 for k in range(8)}
+            assert Q.repeated(Q.word_ids(" ".join(words))[0]) == len(want)
+    text = "One two. THREE # four\n\none two\n" * 9
+    whole = Q.measure(text)
+    monkeypatch.setattr(Q, "LONG", 5)
+    assert Q.measure(text) == whole
+
+
+def test_a_text_of_millions_of_words_within_bounds():
+    import tracemalloc
+
+    text = " ".join(f"w{i % 50_000}" for i in range(3_000_000))
+    tracemalloc.start()
+    got = Q.measure(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == got[4] == 3_000_000 and peak < 250 * 3_000_000
