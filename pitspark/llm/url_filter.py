@@ -11,8 +11,9 @@ or toxic), an item for that. FP-growth finds token combinations that go with it;
 those with enough support, confidence and lift, and that hold no shorter such one, block
 a url that holds them all. They are matched by an inverted index: a rule stands under
 its rarest token, so a token of most urls has few rules or none, and fires if the url has all
-its tokens. Mining thresholds bound the number of rules: each holds for ``least_pages``
-labelled pages at least and ``min_support`` of them.
+its tokens. Each rule holds for ``least_pages`` labelled pages at least and ``min_support`` of them.
+Tokens of exactly the same labelled pages are one while mining, so a long url that many
+pages share has few combinations, not two to the number of its tokens.
 
 Null urls have empty host and path and are allowed, urls and page ids may repeat or be
 null (a row each), labels may be missing or repeat (a page is bad if any of its labels
@@ -30,6 +31,8 @@ from .common import cut, small
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, LEAST_PAGES = 0.001, 0.5, 1.5, 20
 BAD = "label=bad"
+#: Summed bytes of urls up to which those that rules fire on are broadcast.
+URL_BYTES = 4 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -63,16 +66,33 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     """(rule_id, tokens, confidence, lift, support) of the combinations that go with bad pages."""
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     known = pages.join(bad, pages["page_id"] == bad["doc_id"])
-    baskets = known.select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array())).alias("items"))
-    baskets = cut(baskets.where(F.size("items") > 0), "baskets")
+    baskets = known.select(tokens_of(F.col("url")).alias("tokens"), (F.col("bad") == 1).alias("bad")).where("bad or size(tokens) > 0")
+    baskets = cut(baskets.withColumn("basket", F.monotonically_increasing_id()), "baskets")
     n = baskets.count()
-    empty = "rule_id long, tokens array<string>, confidence double, lift double, support double"
+    empty = "rule_id long, tokens array<string>, confidence double, lift double, support double, needs array<array<string>>"
     if n == 0:
         return pages.sparkSession.createDataFrame([], empty)
     support = max(min_support, min(1.0, least_pages / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    classes = cut(token_classes(baskets, -int(-support * n // 1)), "classes")
+    stands = small(classes.select("token", F.explode("members").alias("member")))
+    merged = baskets.select("basket", F.explode("tokens").alias("member")).join(stands, "member").groupBy("basket").agg(F.collect_set("token").alias("items"))
+    items = F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array()))
+    rows = cut(baskets.select("basket", "bad").join(merged, "basket", "left").select(items.alias("items")), "items")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
     rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
-    return pruned(cut(rules.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", "lift", "support"), "rules"))
+    rules = pruned(cut(rules.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", "lift", "support"), "rules"))
+    needs = rules.select("rule_id", F.explode("tokens").alias("token")).join(small(classes), "token").groupBy("rule_id").agg(F.collect_list("members").alias("needs"))
+    return rules.join(needs, "rule_id")
+
+
+def token_classes(baskets: DataFrame, least: int) -> DataFrame:
+    """(token, members): tokens of ``least`` baskets at least, those that are in exactly the same baskets as one.
+
+    Without it, a url of 30 tokens that many pages share would have 2 ** 30 combinations of equal support; any of the members says what all say.
+    """
+    own = F.xxhash64("basket").cast("decimal(38,0)")
+    each = baskets.select(F.explode("tokens").alias("token"), own.alias("h")).groupBy("token").agg(F.count("*").alias("n"), F.sum("h").alias("where")).where(F.col("n") >= least)
+    return each.groupBy("n", "where").agg(F.min("token").alias("token"), F.sort_array(F.collect_set("token")).alias("members")).select("token", "members")
 
 
 def pruned(rules: DataFrame) -> DataFrame:
@@ -86,12 +106,16 @@ def pruned(rules: DataFrame) -> DataFrame:
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct urls on which a mined rule fires, by an inverted index of each rule's rarest token."""
     urls = pages.where("url is not null").select("url").distinct().withColumn("tokens", tokens_of(F.col("url")))
-    listed = rules.select("rule_id", F.col("tokens").alias("needs"), F.explode("tokens").alias("token"))
-    often = urls.select(F.explode("tokens").alias("token")).join(small(cut(listed.select("token").distinct(), "tokens")), "token", "left_semi").groupBy("token").count()
-    rarest = listed.join(often, "token").groupBy("rule_id").agg(F.min(F.struct("count", "token")).alias("key"), F.first("needs").alias("needs"))
-    index = small(cut(rarest.select(F.col("key.token").alias("token"), "needs"), "index"))
+    if "needs" not in rules.columns:
+        rules = rules.withColumn("needs", F.transform("tokens", lambda t: F.array(t)))
+    # what a rule needs: one of the members of each of its classes
+    listed = cut(rules.select("rule_id", F.posexplode("needs").alias("at", "one")).select("rule_id", "at", F.explode("one").alias("token")), "listed")
+    often = urls.select(F.explode("tokens").alias("token")).join(small(listed.select("token").distinct()), "token", "left_semi").groupBy("token").count()
+    counts = listed.join(often, "token", "left").groupBy("rule_id", "at").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"), F.collect_list("token").alias("members"))
+    rarest = counts.groupBy("rule_id").agg(F.min_by("members", F.struct("count", "at")).alias("keys"), F.collect_list("members").alias("needs"))
+    index = small(cut(rarest.select(F.explode("keys").alias("token"), "needs"), "index"))
     hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return hits.where(F.size(F.array_except("needs", "tokens")) == 0).select("url").distinct()
+    return hits.where(F.forall("needs", lambda one: F.arrays_overlap(one, F.col("tokens")))).select("url").distinct()
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, **thresholds) -> DataFrame:
@@ -100,5 +124,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, **thresholds) -
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     judged = judged.withColumn("given", given_rule(F.col("host"), F.col("path"), rules))
     fired = cut(matched(judged.where("given is null"), mine(pages, labels, **thresholds)), "fired").withColumn("fires", F.lit("block"))
-    out = judged.join(small(fired, 10_000).withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left")
+    # urls have any length: broadcast by their bytes
+    short = (fired.agg(F.sum(F.octet_length("url"))).first()[0] or 0) <= URL_BYTES
+    out = judged.join((F.broadcast(fired) if short else fired).withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left")
     return out.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.coalesce("given.verdict", "fires", F.lit("allow")).alias("verdict"))

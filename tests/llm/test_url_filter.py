@@ -76,3 +76,15 @@ def test_repeated_and_null_rows(spark):
 
 def test_empty_tables(spark):
     assert judge(spark, []) == {}
+
+
+def test_a_long_url_that_many_pages_share(spark):
+    """Forty pages of one url with thirty tokens: one class, and each of its tokens blocks as before."""
+    long = "http://bad.example.com/" + "/".join(f"part{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(28))
+    urls = [long] * 40 + [f"http://good.example.com/p{chr(97 + i % 26)}/{i}" for i in range(80)] + ["http://other.example.com/parta/z", "http://other.example.com/z"]
+    labels = [(i, int(i >= 40), 0) for i in range(120)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    mined = U.mine(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(mined) == 1 and len(mined[0].needs[0]) == 29  # all but example and com
+    out = judge(spark, urls, labels)
+    assert [i for i in range(len(urls)) if out[i].verdict == "block"] == [*range(40), 120]
