@@ -189,10 +189,16 @@ def selective_gate(train: DataFrame, known: str, base: Sequence[str], corrected:
     return train.sparkSession.createDataFrame([(*best, base_loss)], "t_low double, t_full double, alpha_low double, alpha_full double, loss double, base_loss double")
 
 
-def text_classifier(train: DataFrame, text: str, label: str, rule: Callable[[Column], Column], alpha: float = 0.5, least_texts: int = 5, words: int = 30_000, chars: int = 20_000, penalty: float = 0.0025, name: str = "confidence") -> Predictor:
+#: Fixed value: positive texts below which a class stays silent.
+LEAST_POSITIVES = 10
+
+
+def text_classifier(train: DataFrame, text: str, label: str, rule: Callable[[Column], Column], alpha: float = 0.5, least_texts: int = 5, words: int = 30_000, chars: int = 20_000, strength: float = 4.0, name: str = "confidence") -> Predictor:
     """Logistic regression on TF-IDF of words, word pairs and 3 to 5 letters within words, both classes weighing the same, blended with a rule's score (0 to 1) and silent where the rule is.
 
-    All of a text counts; the vocabularies hold the most frequent terms of ``least_texts`` texts at least.
+    Words and letters have a norm of one each, and the ridge penalty is 1 / (strength * texts). Terms count as often as they
+    occur: a logarithm would make dense vectors of the sparse ones. All of a text counts; the vocabularies hold the most frequent terms of ``least_texts`` texts at least. With one class, or
+    fewer than ``LEAST_POSITIVES`` texts of it, the model is silent: p is null and the confidence 0.
     """
 
     def terms(df: DataFrame) -> DataFrame:
@@ -203,15 +209,20 @@ def text_classifier(train: DataFrame, text: str, label: str, rule: Callable[[Col
         grams = [F.flatten(F.transform(padded, lambda x, k=k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - k + 1, F.lit(1))), lambda i: F.substring(x, i, k)))) for k in (3, 4, 5)]
         return df.withColumns({"_words": F.concat("_w", F.when(F.size("_w") > 1, pairs).otherwise(F.array().cast("array<string>"))), "_chars": F.concat(*grams)})
 
-    rows = terms(train)
-    share = train.agg(F.avg(F.col(label).cast("double")).alias("m")).first()["m"]
-    stages = []
-    for c, size in (("_words", words), ("_chars", chars)):
-        stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_n", minDF=least_texts, vocabSize=size), IDF(inputCol=f"{c}_n", outputCol=f"{c}_v")]
-    stages += [VectorAssembler(inputCols=["_words_v", "_chars_v"], outputCol="_all"), Normalizer(inputCol="_all", outputCol="_x")]
-    stages += [LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", regParam=penalty, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_l")]
     y = F.col(label).cast("double")
-    model = Pipeline(stages=stages).fit(rows.withColumns({"_y": y, "_weight": F.when(y == 1, 0.5 / share).otherwise(0.5 / (1 - share))}))
+    sizes = train.where(y.isNotNull()).agg(F.count_if(y == 1).alias("yes"), F.count("*").alias("n")).first()
+    yes, n = sizes["yes"], sizes["n"]
+    if yes < LEAST_POSITIVES or yes == n:
+        # one class, or too few texts of it: there is nothing to tell apart, and the model says nothing
+        return lambda df: df.withColumns({"p": F.lit(None).cast("double"), name: F.lit(0.0)})
+    stages, share = [], yes / n
+    for c, size in (("_words", words), ("_chars", chars)):
+        count = CountVectorizer(inputCol=c, outputCol=f"{c}_n", minDF=least_texts, vocabSize=size)
+        stages += [count, IDF(inputCol=f"{c}_n", outputCol=f"{c}_v"), Normalizer(inputCol=f"{c}_v", outputCol=f"{c}_u")]
+    stages += [VectorAssembler(inputCols=["_words_u", "_chars_u"], outputCol="_x")]
+    stages += [LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", regParam=1 / (strength * n), probabilityCol="_p", rawPredictionCol="_r", predictionCol="_l", standardization=False)]
+    rows = terms(train).withColumns({"_y": y, "_weight": F.when(y == 1, 0.5 / share).otherwise(0.5 / (1 - share))}).where("_y is not null")
+    model = Pipeline(stages=stages).fit(rows)
 
     def predict(df: DataFrame) -> DataFrame:
         out = model.transform(terms(df)).withColumn("_rule", rule(F.col(text)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reconcile import anchors
+
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column, n: int = 1) -> DataFrame:
     """The first n rows of each key."""
@@ -84,22 +86,11 @@ def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 
 
 def anchor_clusters(candidates: DataFrame, keys: Sequence[str], minute: str, order: str, tolerance: int) -> DataFrame:
-    """Adds ``cluster``: in order, a row joins the first cluster whose anchor (its first row's minute) is within tolerance, else starts one.
-
-    A group is the rows of one match, type and team: a short list, folded in the row.
-    """
-    rows = F.sort_array(F.collect_list(F.struct(F.col(minute).alias("m"), F.col(order).alias("o"))))
-    grouped = candidates.groupBy(*keys).agg(rows.alias("_rows"))
-    start = F.array().cast("array<int>")
-
-    def step(anchors: Column, row: Column) -> Column:
-        known = F.exists(anchors, lambda a: F.abs(a - row["m"]) <= tolerance)
-        return F.when(known, anchors).otherwise(F.concat(anchors, F.array(row["m"].cast("int"))))
-
-    grouped = grouped.withColumn("_anchors", F.aggregate("_rows", start, step))
-    each = grouped.select(*keys, "_anchors", F.explode("_rows").alias("_row"))
-    first = F.filter("_anchors", lambda a: F.abs(a - F.col("_row.m")) <= tolerance)[0]
-    return each.select(*keys, F.col("_row.m").alias(minute), F.col("_row.o").alias(order), F.array_position("_anchors", first).alias("cluster"))
+    """(keys, minute, order, cluster): in order, a row joins the first cluster whose anchor (its first row's minute) is within tolerance, else starts one; clusters are numbered from 1."""
+    found = anchors(candidates.select(*keys, minute), keys, minute, tolerance)
+    numbers = found.select(*keys, "anchor").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy(*keys).orderBy("anchor")))
+    at = candidates.select(*keys, F.col(minute).cast("long").alias(minute), order).join(found, [*keys, minute])
+    return at.join(numbers, [*keys, "anchor"]).select(*keys, minute, order, "cluster")
 
 
 def reconcile_scores(events: DataFrame, reported: DataFrame) -> DataFrame:

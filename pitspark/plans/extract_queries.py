@@ -33,10 +33,10 @@ def src17(spark, sf_dir):
     name = F.when(F.lit(False), "")
     for ours, theirs in KINDS.items():
         name = name.when(kind == ours, theirs)
-    shot = F.when(kind == "click", F.struct(F.when(k % 3 > 0, F.col("x") / 100).alias("xg"), F.struct(F.when(k % 7 == 0, "Goal").otherwise("Saved").alias("name")).alias("outcome")))
+    shot = F.when(kind == "click", F.struct(F.when(k % 3 > 0, F.col("x") / 100).alias("statsbomb_xg"), F.struct(F.when(k % 7 == 0, "Goal").otherwise("Saved").alias("name")).alias("outcome")))
     foul = F.when((kind == "error") & (k % 2 == 0), F.struct(F.struct(F.when(k % 4 == 0, "Red Card").otherwise("Yellow Card").alias("name")).alias("card")))
     payload = F.to_json(F.struct(F.struct(name.alias("name")).alias("type"), F.struct(F.concat(F.lit("t"), (k % 2).cast("string")).alias("name")).alias("team"), F.when(k % 20 > 0, k).alias("minute"), shot.alias("shot"), foul.alias("foul_committed")))
-    return X.extract_events(clocked(spark, sf_dir).select("match", payload.alias("payload")), "match", F.col("payload"))
+    return X.extract_events(clocked(spark, sf_dir).select("match", payload.alias("payload")), "match", F.col("payload")).drop("xg_known")
 
 
 @query("src18_commentary_segments", """
@@ -105,8 +105,8 @@ def mod18(spark, sf_dir):
 
 
 @query("mod26_refresh", """
-    WITH m AS (SELECT o_orderkey AS id, o_custkey % 200 AS a, o_custkey % 190 + 200 AS b, CASE WHEN o_orderkey % 5 > 0 THEN floor(o_totalprice)::BIGINT % 4 END AS ga, CASE WHEN o_orderkey % 5 > 0 THEN floor(o_totalprice)::BIGINT // 4 % 4 END AS gb FROM orders), n AS (SELECT o_orderkey AS id, 3 AS ga, o_orderkey % 4 AS gb FROM orders WHERE o_orderkey % 50 = 0),
-    t AS (SELECT c_custkey AS team, 1500 + c_acctbal / 20 AS rating FROM customer WHERE c_custkey < 300), pl AS (SELECT m.a, m.b, n.ga, n.gb, coalesce(x.rating, 1500) AS ra, coalesce(y.rating, 1500) AS rb FROM m JOIN n ON n.id = m.id LEFT JOIN t x ON x.team = m.a LEFT JOIN t y ON y.team = m.b),
+    WITH m AS (SELECT o_orderkey AS id, o_custkey AS a, o_orderkey % 1000 + 1 AS b, CASE WHEN o_orderkey % 5 > 0 THEN floor(o_totalprice)::BIGINT % 4 END AS ga, CASE WHEN o_orderkey % 5 > 0 THEN floor(o_totalprice)::BIGINT // 4 % 4 END AS gb FROM orders), n AS (SELECT o_orderkey AS id, 3 AS ga, o_orderkey % 4 AS gb FROM orders WHERE o_orderkey % 50 = 0),
+    t AS (SELECT c_custkey AS team, 1500 + c_acctbal / 20 AS rating FROM customer), pl AS (SELECT m.a, m.b, n.ga, n.gb, coalesce(x.rating, 1500) AS ra, coalesce(y.rating, 1500) AS rb FROM m JOIN n ON n.id = m.id LEFT JOIN t x ON x.team = m.a LEFT JOIN t y ON y.team = m.b),
     d AS (SELECT a, b, {k} * CASE WHEN abs(ga - gb) <= 1 THEN 1 WHEN abs(ga - gb) = 2 THEN 1.5 ELSE (11 + abs(ga - gb)) / 8.0 END * (CASE WHEN ga > gb THEN 1 WHEN ga = gb THEN 0.5 ELSE 0 END - 1 / (1 + pow(10, -(ra + {home} - rb) / 400))) AS d FROM pl),
     mv AS (SELECT team, sum(d) AS d FROM (SELECT a AS team, d FROM d UNION ALL SELECT b, -d FROM d) GROUP BY team), af AS (SELECT coalesce(t.team, mv.team) AS team, coalesce(rating, 1500) + coalesce(d, 0) AS rating FROM t FULL JOIN mv ON t.team = mv.team),
     o AS (SELECT id, a, b FROM m WHERE ga IS NULL AND id NOT IN (SELECT id FROM n)), q AS (SELECT o.*, 1 / (1 + pow(10, -(coalesce(x.rating, 1500) - coalesce(y.rating, 1500)) / 400)) AS p FROM o LEFT JOIN af x ON x.team = a LEFT JOIN af y ON y.team = b)
@@ -115,9 +115,9 @@ def mod26(spark, sf_dir):
     """Results come in, ratings move, and what is still open is forecast anew."""
     k, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
     o = table(spark, sf_dir, "orders")
-    m = o.select(k.alias("id"), (F.col("o_custkey") % 200).alias("a"), (F.col("o_custkey") % 190 + 200).alias("b"), F.when(k % 5 > 0, price % 4).alias("ga"), F.when(k % 5 > 0, F.floor(price / 4) % 4).alias("gb"))
+    m = o.select(k.alias("id"), F.col("o_custkey").alias("a"), (k % 1000 + 1).alias("b"), F.when(k % 5 > 0, price % 4).alias("ga"), F.when(k % 5 > 0, F.floor(price / 4) % 4).alias("gb"))
     results = o.where("o_orderkey % 50 = 0").select(k.alias("id"), F.lit(3).cast("long").alias("ga"), (k % 4).alias("gb"))
-    ratings = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("team"), (1500 + F.col("c_acctbal") / 20).alias("rating"))
+    ratings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("team"), (1500 + F.col("c_acctbal") / 20).alias("rating"))
     return E.refresh(m, results, ratings)[2]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probs as P
 from ..operators import joins as J
+from ..operators import reconcile as R
 from ..operators import selection as S
 from ..sources.tables import CLOCKED_SQL, clocked, seconds, table
 from .function_queries import FORECAST_SQL, forecasts
@@ -129,15 +130,45 @@ def set4(spark, sf_dir):
     return S.upsert(base, updates, "c_custkey")
 
 
-@query("set5_anchor_clusters")
+@query("set5_anchor_clusters", f"""
+    WITH RECURSIVE {CLOCKED_SQL}, g AS (SELECT match, idx, t // 60 AS minute FROM e WHERE kind = 'purchase'),
+    a AS (SELECT match, min(minute) AS anchor FROM g GROUP BY match UNION ALL SELECT match, n FROM (SELECT a.match, a.anchor, min(g.minute) AS n FROM a JOIN g ON g.match = a.match AND g.minute > a.anchor + 1440 GROUP BY a.match, a.anchor)),
+    c AS (SELECT g.*, max(a.anchor) AS anchor FROM g JOIN a ON a.match = g.match AND a.anchor <= g.minute GROUP BY ALL)
+    SELECT match, (row_number() OVER (PARTITION BY match ORDER BY anchor))::INT AS cluster, count(*) AS n, anchor::BIGINT AS anchor, CASE WHEN min(idx % 2) <> max(idx % 2) THEN 'agreed' ELSE 'single_source' END AS status FROM c GROUP BY match, anchor""")
 def set5(spark, sf_dir):
-    """Events of two sources within half an hour of a cluster's first one are the same; the tests fold small cases by hand."""
-    e = clocked(spark, sf_dir).where("kind = 'purchase'").withColumn("minute", F.floor(F.col("t") / 60).cast("int"))
+    """Events of two sources within a day of a cluster's first one are the same."""
+    e = clocked(spark, sf_dir).where("kind = 'purchase'").withColumn("minute", F.floor(F.col("t") / 60))
     c = S.anchor_clusters(e, ["match"], "minute", "idx", 1440)
     g = c.groupBy("match", "cluster").agg(F.count("*").alias("n"), F.min("minute").alias("anchor"), F.max(F.col("idx") % 2).alias("b"), F.min(F.col("idx") % 2).alias("a"))
     return g.withColumn("status", F.when(F.col("a") != F.col("b"), "agreed").otherwise("single_source")).drop("a", "b")
 
 
+@query("set5_reconciled_events", f"""
+    WITH RECURSIVE {CLOCKED_SQL}, r AS (SELECT match, CASE kind WHEN 'purchase' THEN 'goal' WHEN 'error' THEN 'red_card' WHEN 'signup' THEN 'substitution' ELSE 'corner' END AS kind, k % 2 AS team, t // 60 AS minute, idx,
+        CASE idx % 3 WHEN 0 THEN 'official_feed' WHEN 1 THEN 'api_football' ELSE 'blog' END AS source, CASE idx % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 9 END AS rk, CASE WHEN idx % 10 = 0 THEN idx // 40 END AS pid, CASE WHEN idx % 4 > 0 THEN k % 3 END AS player FROM e),
+    f AS (SELECT *, CASE WHEN pid IS NULL THEN minute ELSE min(minute) OVER (PARTITION BY match, kind, team, pid) END AS pos FROM r), g AS (SELECT DISTINCT match, kind, team, pos FROM f),
+    a AS (SELECT match, kind, team, min(pos) AS anchor FROM g GROUP BY ALL UNION ALL SELECT match, kind, team, n FROM (SELECT a.match, a.kind, a.team, a.anchor, min(g.pos) AS n FROM a JOIN g ON g.match = a.match AND g.kind = a.kind AND g.team = a.team AND g.pos > a.anchor + 600 GROUP BY ALL)),
+    d AS (SELECT g.match, g.kind, g.team, g.pos, max(a.anchor) AS anchor FROM g JOIN a ON a.match = g.match AND a.kind = g.kind AND a.team = g.team AND a.anchor <= g.pos GROUP BY ALL),
+    c AS (SELECT match, kind, team, anchor, count(*) AS versions, count(DISTINCT source) AS sources, min(rk) AS rk, arg_min(source, (rk, source)) AS best, count(DISTINCT minute) AS minutes, count(DISTINCT player) AS players FROM f JOIN d USING (match, kind, team, pos) GROUP BY ALL)
+    SELECT match, kind AS event_type, team, anchor, versions, sources, best AS canonical_source, CASE WHEN bad THEN 'unresolved' WHEN sources >= 2 THEN 'reconciled' ELSE 'single_source' END AS status,
+        CASE WHEN bad THEN 'low' WHEN sources >= 2 THEN 'high' WHEN rk <= 2 THEN 'medium' ELSE 'low' END AS confidence, (minutes > 1)::INT + bad::INT AS disagreements, NOT (kind <> 'corner' AND bad) AS eligible
+    FROM (SELECT *, kind IN ('goal', 'red_card') AND players > 1 AS bad FROM c)""")
+def set5_reconciled(spark, sf_dir):
+    """Candidates of three sources as canonical events, with what they disagree on; provider ids that come back join their first event."""
+    i, k = F.col("idx"), F.col("k")
+    kind = F.when(F.col("kind") == "purchase", "goal").when(F.col("kind") == "error", "red_card").when(F.col("kind") == "signup", "substitution").otherwise("corner")
+    source = F.when(i % 3 == 0, "official_feed").when(i % 3 == 1, "api_football").otherwise("blog")
+    c = clocked(spark, sf_dir).select(
+        F.col("match").alias("match_id"), kind.alias("event_type"), (k % 2).alias("team_id"), F.floor(F.col("t") / 60).alias("minute"), source.alias("source_name"), F.when(i % 10 == 0, F.floor(i / 40)).alias("provider_event_id"),
+        F.when(i % 4 > 0, k % 3).alias("player_id"), F.lit(None).cast("map<string,string>").alias("attrs"))
+    clusters, raw = R.reconcile_events(c, tolerance=600)
+    n = raw.groupBy(*R.GROUP, "anchor").agg(F.count("*").alias("versions"))
+    out = clusters.join(n, [*R.GROUP, "anchor"])
+    return out.select(
+        F.col("match_id").alias("match"), "event_type", F.col("team_id").alias("team"), "anchor", "versions", F.size("contributing_sources").cast("long").alias("sources"), "canonical_source", F.col("reconciliation_status").alias("status"),
+        F.col("source_confidence").alias("confidence"), F.size("provider_disagreement").alias("disagreements"), F.col("approved_feature_eligible").alias("eligible"))
+
+
 @query("set6_score_reconcile", """
     WITH e AS (SELECT l_orderkey AS match, CASE WHEN l_suppkey % 2 = 0 THEN 'home' ELSE 'away' END AS side, CASE WHEN l_returnflag = 'A' THEN 'goal' WHEN l_returnflag = 'R' AND l_linenumber % 3 = 0 THEN 'own_goal' WHEN l_returnflag = 'R' AND l_linenumber % 3 = 1 THEN 'penalty_scored' ELSE 'other' END AS kind, l_linenumber >= 6 AS shootout FROM lineitem),
     d AS (SELECT match, count(*) FILTER (NOT shootout AND (kind IN ('goal', 'penalty_scored') AND side = 'home' OR kind = 'own_goal' AND side = 'away')) AS h, count(*) FILTER (NOT shootout AND (kind IN ('goal', 'penalty_scored') AND side = 'away' OR kind = 'own_goal' AND side = 'home')) AS a FROM e GROUP BY match),

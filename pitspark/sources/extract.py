@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EVENT = """struct<type: struct<name: string>, team: struct<name: string>, minute: int, shot: struct<xg: double, outcome: struct<name: string>>,
+EVENT = """struct<type: struct<name: string>, team: struct<name: string>, minute: int, shot: struct<statsbomb_xg: double, outcome: struct<name: string>>,
     foul_committed: struct<card: struct<name: string>>, bad_behaviour: struct<card: struct<name: string>>>"""
 XI = "array<struct<team_name: string, lineup: array<struct<player_id: bigint, positions: array<struct<`from`: string, start_reason: string>>>>>>"
 
@@ -19,9 +19,9 @@ LABELS = {
 
 
 def extract_events(df: DataFrame, key: str, payload: Column) -> DataFrame:
-    """(key, minute, team, kind, detail, xg): a row for each goal, card, substitution and shot of a nested event; others and those without a minute are left out.
+    """(key, minute, team, kind, detail, xg, xg_known): a row for each goal, card, substitution and shot of a nested event; others and those without a minute are left out.
 
-    A shot that scores is a shot and a goal; an own goal counts for the side it helps; a card's detail is its name.
+    A shot that scores is a shot and a goal; an own goal counts for the side it helps; a card's detail is its name. A shot without a quality has xg 0.0 and ``xg_known`` false.
     """
     e = df.select(key, F.from_json(payload, EVENT).alias("e")).where("e.minute is not null")
     kind, card = F.col("e.type.name"), F.coalesce("e.foul_committed.card.name", "e.bad_behaviour.card.name")
@@ -32,19 +32,28 @@ def extract_events(df: DataFrame, key: str, payload: Column) -> DataFrame:
         return F.when(test, F.struct(F.lit(name).alias("kind"), text.alias("detail"), number.alias("xg")))
 
     rows = F.array(
-        one(kind == "Shot", "shot", xg=F.coalesce("e.shot.xg", F.lit(0.0))), one(((kind == "Shot") & scored) | (kind == "Own Goal For"), "goal"),
+        one(kind == "Shot", "shot", xg=F.col("e.shot.statsbomb_xg")), one(((kind == "Shot") & scored) | (kind == "Own Goal For"), "goal"),
         one(kind.isin("Foul Committed", "Bad Behaviour") & card.isNotNull(), "card", card), one(kind == "Substitution", "sub"))
     out = e.select(key, F.col("e.minute").alias("minute"), F.col("e.team.name").alias("team"), F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
-    return out.select(key, "minute", "team", "r.*")
+    shot = F.col("r.kind") == "shot"
+    return out.select(key, "minute", "team", "r.kind", "r.detail", F.when(shot, F.coalesce("r.xg", F.lit(0.0))).alias("xg"), F.when(shot, F.col("r.xg").isNotNull()).alias("xg_known"))
 
 
 def starting_xi(df: DataFrame, key: str, payload: Column) -> DataFrame:
-    """(key, team, player) of those with a position from the first minute on, or that are said to start."""
+    """(key, team, player) of those who are on the pitch when a match begins.
+
+    A player's positions are spells with a clock mm:ss. Who has none does not play. The earliest spell decides: it starts the
+    match if its clock reads no time played, or, without a clock, if the provider gives starting as its reason.
+    """
     p = df.select(key, F.explode(F.from_json(payload, XI)).alias("t")).select(key, F.col("t.team_name").alias("team"), F.explode("t.lineup").alias("p"))
-    first = F.get("p.positions", F.lit(0))
-    likely = first["start_reason"].isNull() | (first["start_reason"] == "Starting XI") | first["from"].isNull() | (first["from"] == "00:00")
-    sure = F.exists("p.positions", lambda x: x["from"].eqNullSafe(F.lit("00:00"))) | first["start_reason"].eqNullSafe(F.lit("Starting XI"))
-    return p.where(F.size("p.positions") > 0).where(likely & sure).select(key, "team", F.col("p.player_id").alias("player"))
+
+    def played(spell: Column) -> Column:
+        clock = F.split(spell["from"], ":")
+        return 60 * F.try_to_number(F.get(clock, F.lit(0)), F.lit("9999")) + F.try_to_number(F.get(clock, F.lit(1)), F.lit("99"))
+
+    spells = F.transform("p.positions", lambda x: F.struct(F.coalesce(played(x), F.when(x["start_reason"] == "Starting XI", 0)).alias("at")))
+    begins = F.array_min(F.transform(spells, lambda x: x["at"]))
+    return p.where(F.coalesce(begins == 0, F.lit(False))).select(key, "team", F.col("p.player_id").alias("player"))
 
 
 def game_of(path: Column) -> tuple[Column, Column]:

@@ -1,5 +1,7 @@
 """Provider extraction, fold evaluation and refreshes on small cases worked out by hand."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,23 +9,28 @@ from pitspark.operators import evaluation as E
 from pitspark.sources import extract as X
 
 
-def test_starting_xi(spark):
-    payload = """[{"team_name": "A", "lineup": [
-        {"player_id": 1, "positions": [{"from": "00:00", "start_reason": "Starting XI"}]}, {"player_id": 2, "positions": [{"from": "60:10", "start_reason": "Substitution - On"}]},
-        {"player_id": 3, "positions": []}, {"player_id": 4, "positions": [{"from": "00:00"}]}]}, {"team_name": "B", "lineup": []}]"""
-    df = spark.createDataFrame([(7, payload), (8, None), (9, "no json")], "m long, p string")
-    assert sorted(tuple(r) for r in X.starting_xi(df, "m", F.col("p")).collect()) == [(7, "A", 1), (7, "A", 4)]
+def test_who_begins_a_match(spark):
+    spell = lambda at, why=None: {k: v for k, v in (("from", at), ("start_reason", why)) if v is not None}
+    squad = {
+        10: [spell("00:00")], 11: [spell("00:00", "Tactical Shift"), spell("46:02")], 12: [spell(None, "Starting XI")], 13: [spell("30:00", "Tactical Shift"), spell("00:00", "Starting XI")],
+        20: [], 21: [spell("00:01", "Substitution - On (Injury)")], 22: [spell(None)], 23: [spell("71:30")], 24: [spell("late")], 25: [spell(None, "Substitution - On (Tactical)")],
+    }
+    lineup = [{"player_id": i, "positions": p} for i, p in squad.items()] + [{"player_id": 26}]
+    payload = json.dumps([{"team_name": "home", "lineup": lineup}, {"team_name": "away", "lineup": [{"player_id": 30, "positions": [spell("0:00")]}]}, {"team_name": "none"}])
+    df = spark.createDataFrame([(1, payload), (2, "[]"), (3, None), (4, "{")], "m long, p string")
+    assert sorted(tuple(r) for r in X.starting_xi(df, "m", F.col("p")).collect()) == [(1, "away", 30)] + [(1, "home", i) for i in (10, 11, 12, 13)]
 
 
-def test_events_of_a_provider(spark):
+def test_events_of_a_provider_in_its_real_form(spark):
+    shot = {"id": "a1", "index": 5, "period": 1, "minute": 3, "second": 12, "type": {"id": 16, "name": "Shot"}, "team": {"id": 1, "name": "A"}, "location": [109.1, 38.0], "shot": {"statsbomb_xg": 0.4, "outcome": {"id": 97, "name": "Goal"}, "end_location": [120.0, 40.0, 1.0]}}
     rows = [
-        '{"type": {"name": "Shot"}, "team": {"name": "A"}, "minute": 3, "shot": {"xg": 0.2, "outcome": {"name": "Goal"}}}', '{"type": {"name": "Shot"}, "team": {"name": "A"}, "minute": 5, "shot": {}}',
-        '{"type": {"name": "Own Goal For"}, "team": {"name": "B"}, "minute": 9}', '{"type": {"name": "Bad Behaviour"}, "team": {"name": "B"}, "minute": 9, "bad_behaviour": {"card": {"name": "Red Card"}}}',
-        '{"type": {"name": "Foul Committed"}, "team": {"name": "B"}, "minute": 9}', '{"type": {"name": "Substitution"}, "team": {"name": "A"}}', '{"type": {"name": "Pass"}, "minute": 1}',
+        shot, {**shot, "minute": 5, "shot": {"outcome": {"id": 100, "name": "Saved"}}}, {**shot, "minute": 6, "shot": {"xg": 0.9}},
+        {"minute": 9, "type": {"name": "Own Goal For"}, "team": {"name": "B"}}, {"minute": 9, "type": {"name": "Bad Behaviour"}, "team": {"name": "B"}, "bad_behaviour": {"card": {"id": 5, "name": "Red Card"}}},
+        {"minute": 9, "type": {"name": "Foul Committed"}, "team": {"name": "B"}}, {"type": {"name": "Substitution"}, "team": {"name": "A"}}, {"minute": 1, "type": {"name": "Pass"}},
     ]
-    df = spark.createDataFrame([(1, r) for r in rows], "m long, p string")
-    got = sorted((r.minute, r.team, r.kind, r.detail or "", r.xg) for r in X.extract_events(df, "m", F.col("p")).collect())
-    assert got == [(3, "A", "goal", "", None), (3, "A", "shot", "", 0.2), (5, "A", "shot", "", 0.0), (9, "B", "card", "Red Card", None), (9, "B", "goal", "", None)]
+    df = spark.createDataFrame([(1, json.dumps(r)) for r in rows], "m long, p string")
+    got = sorted((r.minute, r.team, r.kind, r.detail or "", r.xg, r.xg_known) for r in X.extract_events(df, "m", F.col("p")).collect())
+    assert got == [(3, "A", "goal", "", None, None), (3, "A", "shot", "", 0.4, True), (5, "A", "shot", "", 0.0, False), (6, "A", "shot", "", 0.0, False), (9, "B", "card", "Red Card", None, None), (9, "B", "goal", "", None, None)]
 
 
 def test_paths_ids_and_unknown_kinds(spark):

@@ -120,3 +120,15 @@ def test_transfer_helps_where_domains_agree_and_is_declined_where_not(spark):
     alone = loss(like["main_only"])
     assert loss(unlike["naive_pool"]) > alone + 0.3 and abs(loss(unlike["selective"]) - alone) < 0.02 and loss(unlike["partial_pooling"]) < alone + 0.1
     assert loss(like["naive_pool"]) < alone + 0.01 and loss(like["selective"]) < alone + 0.01 and loss(like["shared_stable"]) < alone + 0.02
+
+
+def test_text_classifier_is_silent_on_one_class_and_on_few_texts(spark):
+    rule = lambda t: F.lit(1.0)
+    texts = [(i, f"some text of number {i}", i < 9) for i in range(60)]
+    for rows in (texts, [(i, t, False) for i, t, _ in texts], [(i, t, True) for i, t, _ in texts], []):
+        df = spark.createDataFrame(rows, "id long, text string, y boolean")
+        out = M.text_classifier(df, "text", "y", rule)(df).collect()
+        assert len(out) == len(rows) and all(r.p is None and r.confidence == 0 for r in out)
+    more = spark.createDataFrame([(i, "a goal scored by him" if i % 2 else "a calm spell of passes", bool(i % 2)) for i in range(60)] + [(60, None, None)], "id long, text string, y boolean")
+    out = {r.id: r.p for r in M.text_classifier(more, "text", "y", rule)(more).collect()}
+    assert min(out[i] for i in range(1, 60, 2)) > 0.8 and max(out[i] for i in range(0, 60, 2)) < 0.2
