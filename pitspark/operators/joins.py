@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -80,34 +81,82 @@ def plain_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N} ]", ""))
 
 
+def _edits(length: Column, least: float) -> Column:
+    """The edits that two names, the longer one of this length, have at most if they are similar enough."""
+    return F.floor((1 - least) * length + 1e-9).cast("int")
+
+
+def _shared_least(most: int, q: int, least: float) -> int:
+    """How many grams two similar names share at least, the longer one having ``most`` letters: an edit takes q of them."""
+    return most - q + 1 - q * math.floor((1 - least) * most + 1e-9)
+
+
+def _prefixes(least: float, longest: int) -> list[tuple[int, int, int, int]]:
+    """(q, length, lowest length of a pair's longer name, grams shared at least): which names go into which index.
+
+    Pairs whose longer name has enough letters that two of them must stand together somewhere are found by pairs of
+    letters, the others by single ones, of which similar names always share some.
+    """
+    low = next((m for m in range(2, longest + 1) if all(_shared_least(x, 2, least) > 0 for x in range(m, longest + 1))), longest + 1)
+    out = []
+    for length in range(1, longest + 1):
+        top = min(longest, math.floor(length / least + 1e-9))
+        if length < low:
+            out.append((1, length, 1, min(_shared_least(m, 1, least) for m in range(length, min(top, low - 1) + 1))))
+        if top >= low and length >= 2:
+            out.append((2, length, low, min(_shared_least(m, 2, least) for m in range(max(length, low), top + 1))))
+    return out
+
+
+def name_candidates(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(_r, _k) of distinct plain names that may be as similar as ``least``: none that is, is missing.
+
+    Each name is listed under its rarest grams only, so many that two names which share as many grams as similar ones must have one of
+    these in common (a prefix of the grams by rarity). Of the pairs found there, lengths must fit, the gram must stand within as
+    many places as there may be edits, and the grams shared in all must be enough.
+    """
+    longest = max((df.agg(F.max(F.length(c))).first()[0] or 0 for df, c in ((asked, "_r"), (known, "_k"))), default=0)
+    plan = asked.sparkSession.createDataFrame(_prefixes(least, longest), "_q int, _len int, _from int, _c int")  # two rows a length
+    plan = F.broadcast(plan)
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(name, F.length(name).alias("_len")).join(plan, "_len")
+        every = F.transform(F.sequence(F.lit(1), F.col("_len") - F.col("_q") + 1), lambda i: F.struct(F.substring(F.col(name), i, F.col("_q")).alias("g"), i.alias("i")))
+        return rows.select(name, "_len", "_q", "_c", every.alias("_all"))
+
+    k, r = grams(known, "_k"), grams(asked, "_r")
+    often = written(k.select("_q", F.explode("_all").alias("x")).groupBy("_q", F.col("x.g").alias("g")).agg(F.count("*").alias("n")))
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        """Names by their rarest grams; a gram that no known name has is rarest of all."""
+        each = df.select(name, "_len", "_q", "_c", F.size("_all").alias("_n"), F.explode("_all").alias("x")).select(name, "_len", "_q", "_c", "_n", "x.*").join(often, ["_q", "g"], "left")
+        order = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g", "i")))
+        short = each.groupBy(name, "_len", "_q", "_c", "_n").agg(order.alias("_o")).withColumn("_o", F.slice("_o", F.lit(1), F.greatest(F.lit(0), F.col("_n") - F.col("_c") + 1)))
+        return short.select(name, F.col("_len").alias(f"{name}_len"), "_q", F.explode("_o").alias("x")).select(name, f"{name}_len", "_q", "x.g", F.col("x.i").alias(f"{name}_i"))
+
+    most = F.greatest("_r_len", "_k_len")
+    near = (F.abs(F.col("_r_i") - F.col("_k_i")) <= _edits(most, least)) & (F.abs(F.col("_r_len") - F.col("_k_len")) <= _edits(most, least))
+    pairs = listed(r, "_r").join(listed(k, "_k"), ["_q", "g"]).where(near).select("_q", "_r", "_k").distinct()
+    # the count filter, with each occurrence of a gram once
+    numbered = lambda x: F.transform(x, lambda e: F.concat(e["g"], F.size(F.filter(x, lambda o: (o["g"] == e["g"]) & (o["i"] < e["i"]))).cast("string")))
+    own = lambda df, name: df.select("_q", name, numbered(F.col("_all")).alias(f"{name}_g"))
+    both = pairs.join(own(r, "_r"), ["_q", "_r"]).join(own(k, "_k"), ["_q", "_k"])
+    longer = F.greatest(F.length("_r"), F.length("_k"))
+    enough = F.size(F.array_intersect("_r_g", "_k_g")) >= longer - F.col("_q") + 1 - F.col("_q") * _edits(longer, least)
+    return both.where(enough).select("_r", "_k").distinct()
+
+
 def resolve_entities(raw: DataFrame, known: DataFrame, id_col: str, raw_col: str, name: str, least: float) -> DataFrame:
-    """(id, entity): the known name whose plain form is nearest by edit distance, if similar enough; ties to the greatest name.
+    """(id, entity): the known name whose plain form is nearest by edit distance, if similar enough (``least``, above 0); ties to the greatest name.
 
-    Two names of lengths up to n with a similarity of ``least`` differ in at most d = (1 - least) n places. Cut into
-    d + 1 parts of even length, one part of the shorter-or-equal known name is found in the raw one, moved by d at most:
-    an exact filter, so only known names with a part in common are compared. Equal plain names are one.
+    Only candidates of the gram index are compared (``name_candidates``). Equal plain names are one.
     """
     known = known.select(F.col(name).alias("_name"), plain_name(F.col(name)).alias("_k")).groupBy("_k").agg(F.max("_name").alias("_name")).where("_k <> ''")
     left = raw.select(id_col, plain_name(F.col(raw_col)).alias("_r"))
-    asked = left.select("_r").distinct().where("_r <> ''")
-
-    def most(length: Column) -> Column:
-        """The edits that a match with the longest name that fits can have."""
-        return F.floor((1 - least) * F.floor(length / least + 1e-9) + 1e-9).cast("int")
-
-    # the parts of a known name, by their number, place and how many there are
-    k = known.withColumn("_d", F.least(most(F.length("_k")) + 1, F.length("_k")))
-    start = lambda i: F.floor(i * F.length("_k") / F.col("_d")).cast("int")
-    whole = lambda i: F.col("_k").substr(start(i) + 1, start(i + 1) - start(i))
-    parts = k.select("_k", "_name", F.explode(F.transform(F.sequence(F.lit(0), F.col("_d") - 1), whole)).alias("_part"))
-    parts = parts.withColumn("_n", F.length("_part")).where("_n > 0")
-    sizes = [r["_n"] for r in parts.select("_n").distinct().collect()]  # as many as parts have lengths
-    grams = asked.select("_r", F.explode(F.array(*(F.lit(x) for x in sizes)) if sizes else F.array().cast("array<int>")).alias("_n"))
-    spans = F.sequence(F.lit(1), F.length("_r") - F.col("_n") + 1)
-    grams = grams.where(F.length("_r") >= F.col("_n")).select("_r", "_n", F.explode(F.array_distinct(F.transform(spans, lambda i: F.col("_r").substr(i, F.col("_n"))))).alias("_part"))
-    pairs = grams.join(parts, ["_n", "_part"]).select("_r", "_k", "_name").distinct()
-    conf = 1 - F.levenshtein("_r", "_k") / F.greatest(F.length("_r"), F.length("_k"))
-    best = pairs.groupBy("_r").agg(F.max(F.struct(conf.alias("c"), F.col("_name").alias("n"))).alias("_best"))
+    pairs = name_candidates(left.select("_r").distinct().where("_r <> ''"), known.select("_k"), least).join(known, "_k")
+    longer = F.greatest(F.length("_r"), F.length("_k"))
+    apart = F.levenshtein("_r", "_k")
+    best = pairs.groupBy("_r").agg(F.max(F.struct((1 - apart / longer).alias("c"), F.col("_name").alias("n"))).alias("_best"))
     out = left.join(best.withColumnRenamed("_r", "_q"), F.col("_r") == F.col("_q"), "left")
     return out.select(id_col, F.when(F.col("_best.c") >= least, F.col("_best.n")).alias("entity"))
 
