@@ -108,16 +108,19 @@ def temporal_folds(main: DataFrame, aux: DataFrame, fold: str, date: str) -> Dat
 def coverage_recovery(truth: DataFrame, emitted: DataFrame, keys: Sequence[str], cls: str, t_true: str, t_emit: str, width: int) -> DataFrame:
     """A row for each class: true events, those that an emission of their class lies within ``width`` of, emissions and false ones, recall, burden, and the median and 90th percentile of the time between.
 
-    An emission speaks for the nearest true event of its keys and class, ties to the earlier; one time of a class is one event.
+    An emission speaks for the nearest true event of its keys and class, ties to the earlier. ``true_events`` counts rows of truth, repeats included; recall and matching go by distinct times.
     """
     by = [*keys, cls]
     events, said = truth.select(*by, t_true).distinct(), emitted.select(*by, t_emit).withColumn("_id", F.monotonically_increasing_id())
     said = written(said)
     near = band_pairs(said, events, by, t_emit, t_true, width).groupBy("_id", *by, t_emit)
     near = near.agg(F.min(F.struct(F.abs(F.col(t_true) - F.col(t_emit)).alias("gap"), F.col(t_true).alias("at"))).alias("_n")).select(*by, "_n.gap", "_n.at")
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(cls).orderBy("gap"))).withColumn("_k", F.count("*").over(Window.partitionBy(cls)))
-    last = F.greatest(F.lit(1), F.floor(F.col("_k") * 0.9))
-    hits = ranked.groupBy(cls).agg(F.count("*").alias("hits"), F.percentile(F.col("gap").cast("double"), F.lit(0.5)).alias("timing_median"), F.max(F.when(F.col("_r") == last, F.col("gap"))).alias("timing_p90"))
+    # distinct gaps, of which there are width + 1 at most, say where a share of the hits ends
+    counted = near.groupBy(cls, "gap").agg(F.count("*").alias("_c"))
+    total = counted.groupBy(cls).agg(F.sum("_c").alias("hits"))
+    upto = counted.withColumn("_to", F.sum("_c").over(Window.partitionBy(cls).orderBy("gap"))).join(total, cls)
+    at = lambda place: F.min(F.when(F.col("_to") >= place, F.col("gap")))
+    hits = upto.groupBy(cls).agg(F.first("hits").alias("hits"), ((at(F.floor((F.col("hits") + 1) / 2)) + at(F.floor(F.col("hits") / 2) + 1)) / 2.0).alias("timing_median"), at(F.greatest(F.lit(1), F.floor(F.col("hits") * 0.9))).alias("timing_p90"))
     recovered = near.select(*by, "at").distinct().groupBy(cls).agg(F.count("*").alias("recovered"))
     out = truth.groupBy(cls).agg(F.count("*").alias("true_events")).join(said.groupBy(cls).agg(F.count("*").alias("emitted")), cls, "full_outer").join(hits, cls, "left").join(recovered, cls, "left")
     out = out.na.fill(0, ["true_events", "emitted", "hits", "recovered"]).withColumn("false_ones", F.col("emitted") - F.col("hits"))
@@ -141,3 +144,43 @@ def refresh(matches: DataFrame, results: DataFrame, ratings: DataFrame) -> tuple
     ahead = side(side(new.where("ga is null or gb is null"), "a"), "b")
     p = P.ternary_probs(F.col("ra") - F.col("rb"))
     return new, after, ahead.select("id", "a", "b", *(x.alias(n) for x, n in zip(p, ("pa", "pd", "pb"))))
+
+
+#: Fixed values of the promotion rules: matches, rows and folds below which nothing is said, folds and their share that must favour, and how much worse the draw's calibration may be.
+LEAST_MATCHES, LEAST_ROWS, LEAST_FOLDS, FAVOURING, FAVOURING_SHARE, CALIBRATION = 30, 200, 2, 4, 0.75, 0.02
+
+
+def promotion(scored: DataFrame, fold: str, match: str, candidate: str, reference: str, allowed: Column | None = None, resamples: int = 2000) -> DataFrame:
+    """One row of evidence and a verdict on a candidate, from scored rows (fold, match, model, outcome, pa, pd, pb) of both models.
+
+    Rules: ``improves``, the mean over folds of the ranked probability score is lower; ``steady``, so it is in four folds or three quarters;
+    ``favours``, the interval of the matches' paired differences lies below 0; ``calibrated``, the draw's calibration error, averaged over folds, is not worse by more than
+    ``CALIBRATION``; ``not_one_fold``, the mean difference stays below 0 without the fold that favours most (all sums less one); ``allowed``, no row that may not be judged;
+    ``enough``, matches, rows and folds. data_insufficient without enough; rejected if calibration or ``allowed`` fails; promote if all hold; else keep_reference.
+    """
+    rows = scored.where(F.col("model").isin(candidate, reference)).withColumn("_s", P.rps(F.col("pa"), F.col("pd"), F.col("pb"), F.col("outcome")))
+    rows = written(rows.withColumn("_ok", F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))))
+    mean = lambda model: F.avg(F.when(F.col("model") == model, F.col("_s")))
+    tests = F.count_if(F.col("model") == candidate)
+    by_fold = rows.groupBy(fold).agg(mean(candidate).alias("c"), mean(reference).alias("r"), tests.alias("n"), F.count_if(~F.col("_ok")).alias("bad"))
+    errors = A.ece(A.reliability(rows, "pd", F.col("outcome") == "D", 10, rule="left", by=[fold, "model"]), [fold, "model"])
+    errors = errors.groupBy(fold).agg(*(F.max(F.when(F.col("model") == m, F.col("ece"))).alias(n) for m, n in ((candidate, "ec"), (reference, "er"))))
+    d = F.col("c") - F.col("r")
+    sums = by_fold.join(errors, fold, "left").agg(
+        F.count("*").alias("folds"), F.sum("n").alias("rows"), F.sum("bad").alias("bad"), F.avg("c").alias("candidate_rps"), F.avg("r").alias("reference_rps"), F.count_if(d < 0).alias("favouring"), F.count(d).alias("both"),
+        F.sum(d).alias("_d"), F.min(d).alias("best_fold_difference"), F.avg("ec").alias("candidate_ece"), F.avg("er").alias("reference_ece"))
+    each = rows.groupBy(match).agg((mean(candidate) - mean(reference)).alias("difference")).where("difference is not null")
+    interval = A.cluster_bootstrap(each, match, "difference", resamples).select(F.col("low").alias("difference_low"), F.col("high").alias("difference_high"), F.col("clusters").alias("matches"))
+    out = sums.join(interval)  # one row each
+    out = out.withColumn("difference_without_best", F.try_divide(F.col("_d") - F.col("best_fold_difference"), F.col("both") - 1))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rules = {
+        "enough": yes((F.col("matches") >= LEAST_MATCHES) & (F.col("rows") >= LEAST_ROWS) & (F.col("folds") >= LEAST_FOLDS) & (F.col("both") > 0)),
+        "improves": yes(F.col("candidate_rps") < F.col("reference_rps")), "steady": yes((F.col("favouring") >= FAVOURING) | (F.try_divide("favouring", "both") >= FAVOURING_SHARE)),
+        "favours": yes(F.col("difference_high") < 0), "calibrated": F.coalesce(F.col("candidate_ece") <= F.col("reference_ece") + CALIBRATION, F.lit(True)),
+        "not_one_fold": yes(F.col("difference_without_best") < 0), "allowed": F.col("bad") == 0,
+    }
+    out = out.withColumns(rules)
+    strong = F.col("improves") & F.col("steady") & F.col("favours") & F.col("not_one_fold")
+    verdict = F.when(~F.col("enough"), "data_insufficient").when(~F.col("calibrated") | ~F.col("allowed"), "rejected").when(strong, "promote").otherwise("keep_reference")
+    return out.select(F.lit(candidate).alias("candidate"), F.lit(reference).alias("reference"), verdict.alias("verdict"), *rules, "matches", "rows", "folds", "favouring", "candidate_rps", "reference_rps", "difference_low", "difference_high", "difference_without_best", "candidate_ece", "reference_ece")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import fits
+from ..operators import audit, families, fits
+from ..operators import evaluation as E
 from ..operators import models as M
+from ..operators.joins import written
 from ..sources.tables import table
 from .function_queries import FORECAST_SQL, forecasts
 from .registry import Registry
@@ -115,3 +118,51 @@ def mod21(spark, sf_dir):
     """Families fitted on the same rows and compared on held-out ones: an ablation by column set."""
     train, test = _split(panel(spark, sf_dir))
     return M.ladder(train, test, "follows", ["base", "time_score", "chance", "full"])
+
+
+def family_panel(spark, sf_dir):
+    """The panel with both sides' chances, ground, cards and prices, and the four targets of the families."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")
+    p = panel(spark, sf_dir).join(li.withColumnsRenamed({"l_orderkey": "_o", "l_linenumber": "_l"}).dropDuplicates(["_o", "_l"]), (F.col("l_orderkey") == F.col("_o")) & (F.col("l_linenumber") == F.col("_l")))
+    reds = (F.col("l_suppkey") % 3 - 1).cast("double")
+    return p.select(
+        "l_orderkey", "l_linenumber", "minute", "diff", F.when(F.col("l_partkey") % 10 > 0, F.col("xg")).alias("xg"), (F.col("xg") - 0.7).alias("xg_diff"), "tilt", (F.col("l_partkey") % 20 / 20).alias("box"), reds.alias("reds_diff"),
+        (0.3 + F.col("l_partkey") % 4 * 0.1).alias("market_a"), (0.2 + F.col("l_suppkey") % 3 * 0.1).alias("market_b"), F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("wdl"),
+        F.col("follows").cast("int").alias("next_goal"), (F.col("goals") > 1).cast("int").alias("goal_soon"), ((F.col("l_partkey") + F.col("l_suppkey")) % 40 == 0).cast("int").alias("sendoff_after"))
+
+
+@query("mod21_families")
+def mod21_families(spark, sf_dir):
+    """Every rung of three families (W/D/L, next goal and send-offs), fitted on four fifths of the orders and compared on the rest."""
+    train, test = _split(family_panel(spark, sf_dir))
+    out = families.compared(train, test, ["r", "q", "y"])
+    return out.select("family", "model", "label", "n", F.round("log_loss", 4).alias("log_loss"), F.round("base_loss", 4).alias("base_loss"), "gated")
+
+
+@query("mod22_promotion_evidence")
+def mod22_evidence(spark, sf_dir):
+    """A blend with the base rates against the raw forecast, by folds of return flag and status, orders as matches."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_shipdate").substr(1, 4).alias("fold")).dropDuplicates(["l_orderkey", "l_linenumber"])
+    f = forecasts(spark, sf_dir).join(li, ["l_orderkey", "l_linenumber"]).withColumnRenamed("l_orderkey", "match")
+    raw = f.select("fold", "match", "outcome", "pa", "pd", "pb", F.lit("raw").alias("model"))
+    blend = f.select("fold", "match", "outcome", *((0.5 * F.col(c) + 0.5 / 3).alias(c) for c in ("pa", "pd", "pb")), F.lit("blend").alias("model"))
+    out = E.promotion(raw.unionByName(blend), "fold", "match", "blend", "raw")
+    return out.select("candidate", "reference", "verdict", "enough", "improves", "steady", "favours", "calibrated", "not_one_fold", "allowed", "matches", "rows", "folds", "favouring", *(F.round(c, 5).alias(c) for c in ("candidate_rps", "reference_rps", "difference_without_best", "candidate_ece", "reference_ece")))
+
+
+@query("set9_audit_suite", f"""
+    WITH {FORECAST_SQL}, au AS (SELECT pa, pd, pb, l_orderkey % 97 AS minute, CASE WHEN l_suppkey % 4 > 0 THEN pd END AS xg, outcome FROM p)
+    SELECT 'simplex' AS "check", count(*) AS rows, count(*) FILTER (NOT coalesce(abs(pa + pd + pb - 1) <= 1e-6, false)) AS violations, count(*) FILTER (NOT coalesce(abs(pa + pd + pb - 1) <= 1e-6, false)) = 0 AS ok FROM au
+    UNION ALL SELECT 'regulation', count(*), count(*) FILTER (minute > 90), count(*) FILTER (minute > 90) = 0 FROM au
+    UNION ALL SELECT 'columns', 8, 1, false UNION ALL SELECT 'known:chances', count(*), count(*) - count(xg), true FROM au
+    UNION ALL SELECT 'target_leak', count(*) FILTER (outcome = 'A'), 1, false FROM au""")
+def set9_suite(spark, sf_dir):
+    """A feature table audited: probabilities, clocks, forbidden columns, what is known, and features that depend on the outcome (one, planted)."""
+    keys = ["l_orderkey", "l_linenumber"]
+    f = forecasts(spark, sf_dir).select(*keys, "pa", "pd", "pb", (F.col("l_orderkey") % 97).alias("minute"), F.when(F.col("l_suppkey") % 4 > 0, F.col("pd")).alias("xg"), "outcome")
+    # lines of one order and number get a number of their own, as keys must be unique
+    own = f.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy("pa", "pd", "pb", "outcome")))
+    make = lambda df: df.select(*keys, "row", (F.col("pa") - F.col("pb")).alias("tilt"), F.coalesce(F.col("outcome") == "A", F.lit(False)).alias("innocent"))
+    leaks = audit.leaked_targets(make, own, ["outcome"], [*keys, "row"])
+    checks = [("simplex", audit.simplex(["pa", "pd", "pb"])), ("regulation", audit.regulation(minute="minute"))]
+    return audit.suite(written(f), checks, {"chances": ["xg"]}, leaks, ["outcome", "final_score"])
