@@ -16,7 +16,7 @@ from .ngram_jaccard import ngram_jaccard
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .topk import top_k
-from .url_filter import url_filter
+from .url_filter import host_of, url_filter
 from .vector_codes import vector_codes
 
 VOCABULARY, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -45,6 +45,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are the hosts of pages' urls, lines what stands between their tags."""
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    kept = line_dedup(pages, "host")
+    return kept.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -88,6 +95,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op5_pages_by_host": op5_pages_by_host,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
@@ -183,6 +191,18 @@ ORACLES = {
         SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_dropped, 0)::BIGINT AS n_dropped, length(k.text)::BIGINT AS n_chars_kept, sha256(k.text) AS text_sha256
         FROM documents d LEFT JOIN k USING (doc_id)
     """,
+    "op5_pages_by_host": r"""
+        WITH p AS (
+            SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text FROM pages
+        ), l AS (
+            SELECT r, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p WHERE text IS NOT NULL
+        ), b AS (
+            SELECT host, line FROM (SELECT host, line, count(DISTINCT r) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY host, line) JOIN (SELECT host, count(*) AS pages FROM p GROUP BY host) USING (host) WHERE n >= 5 AND n > 0.06 * pages
+        ), k AS (
+            SELECT l.r, count(*) AS n_lines, count(*) FILTER (b.line IS NOT NULL) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (b.line IS NULL), '') AS text FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY l.r
+        )
+        SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, length(k.text)::BIGINT AS n_chars_kept, sha256(k.text) AS text_sha256 FROM p LEFT JOIN k USING (r)
+    """,
     "op9_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
