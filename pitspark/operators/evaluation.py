@@ -184,3 +184,12 @@ def promotion(scored: DataFrame, fold: str, match: str, candidate: str, referenc
     strong = F.col("improves") & F.col("steady") & F.col("favours") & F.col("not_one_fold")
     verdict = F.when(~F.col("enough"), "data_insufficient").when(~F.col("calibrated") | ~F.col("allowed"), "rejected").when(strong, "promote").otherwise("keep_reference")
     return out.select(F.lit(candidate).alias("candidate"), F.lit(reference).alias("reference"), verdict.alias("verdict"), *rules, "matches", "rows", "folds", "favouring", "candidate_rps", "reference_rps", "difference_low", "difference_high", "difference_without_best", "candidate_ece", "reference_ece")
+
+
+def chronological_split(df: DataFrame, date: str, start: Column) -> tuple[DataFrame, DataFrame]:
+    """(train, test) before and from a date; an empty side is refused, rows without a date are in neither."""
+    train, test = df.where(F.col(date) < start), df.where(F.col(date) >= start)
+    for side, name in ((train, "training"), (test, "test")):
+        if side.isEmpty():
+            raise ValueError(f"no {name} rows")
+    return train, test

@@ -110,6 +110,30 @@ def replay(states: DataFrame) -> DataFrame:
     return df.withColumn("band", F.when(F.col("entropy") < 0.55, "low").when(F.col("entropy") < 0.85, "medium").otherwise("high"))
 
 
+HORIZONS = (1, 3, 5, 10)
+
+
+def goal_dynamics(rate_a: Column, rate_b: Column, left: Column) -> dict[str, Column]:
+    """Goals to come as columns, from both sides' rates for the ``left`` minutes: expected ones, who scores next, and one within 1, 3, 5 and 10 minutes."""
+    total, left = F.greatest(F.lit(1e-9), rate_a + rate_b), F.greatest(F.lit(1e-9), left.cast("double"))
+
+    def none(minutes: int) -> Column:
+        return F.exp(-total * F.least(F.lit(float(minutes)), left) / left)
+
+    out = {"remaining_a": rate_a, "remaining_b": rate_b, "next_goal_a": rate_a / total, "next_goal_b": rate_b / total, "no_goal_5": none(5)}
+    return out | {f"goal_in_{h}": 1 - none(h) for h in HORIZONS}
+
+
+def envelope(states: DataFrame, model: str = "M2_remaining_poisson") -> DataFrame:
+    """The states with all that a model's record holds: its forecast, the goal dynamics of the ratings' rates, uncertainty and entropy."""
+    rated = remaining_poisson(states)
+    rates = goal_dynamics(F.col("rate_a"), F.col("rate_b"), F.greatest(F.lit(0.0), 90.0 - F.col("minute")))
+    df = MODELS[model](rated.withColumns(rates))
+    p = [F.col(c) for c in ("p_a", "p_draw", "p_b")]
+    spread = F.sqrt(sum((c * (1 - c) for c in p[1:]), p[0] * (1 - p[0])))
+    return df.withColumns({"uncertainty": spread, "entropy": P.entropy(*p), "model": F.lit(model)}).drop("rate_a", "rate_b")
+
+
 def prediction_records(states: DataFrame, source_ts: Column, decision_ts: Column) -> DataFrame:
     """Replayed states with completeness, the share of FIELDS that are known; a source later than its decision fails the job."""
     have = [F.col(f).isNotNull().cast("double") for f in FIELDS]

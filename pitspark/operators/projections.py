@@ -141,6 +141,43 @@ def card_class(cards: DataFrame, player: Sequence[str], order: str) -> DataFrame
     return cards.withColumn("card", F.when(nth == 1, "yellow").when(nth == 2, "second_yellow").otherwise("after"))
 
 
+def card_kinds(cards: DataFrame, player: Sequence[str], order: Sequence[str], detail: str) -> DataFrame:
+    """cards with card: yellow, second_yellow, second_yellow_red (a red one after a booking), direct_red or other.
+
+    detail names the card, in any case; a booking counts from its own row on.
+    """
+    name = F.lower(F.coalesce(detail, F.lit("")))
+    yellow = name.contains("yellow")
+    so_far = F.count_if(yellow).over(Window.partitionBy(*player).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    booked = F.when(so_far >= 2, "second_yellow").otherwise("yellow")
+    return cards.withColumn("card", F.when(yellow, booked).when(name.contains("red"), F.when(so_far >= 1, "second_yellow_red").otherwise("direct_red")).otherwise("other"))
+
+
+def canonical_results(fixtures: DataFrame, goals: DataFrame) -> DataFrame:
+    """fixtures (match, ft_home, ft_away, et_home, pen_home) with the events' goals by period, result_type and status.
+
+    goals: (match, side home or away, minute, detail); missed and cancelled ones are none, and one without a minute is in
+    no period. Regulation is (0, 90], extra time (90, 120]. status: exact if the events give the official regulation score.
+    """
+    name = F.lower(F.coalesce("detail", F.lit("")))
+    counted = goals.where(~name.contains("missed") & ~name.contains("cancel"))
+    m = F.col("minute")
+    spans = {"reg": (m > 0) & (m <= 90), "et": (m > 90) & (m <= 120)}
+    sums = counted.groupBy("match").agg(*(F.count_if(test & (F.col("side") == s)).alias(f"{span}_events_{s}") for span, test in spans.items() for s in ("home", "away")))
+    names = [f"{span}_events_{s}" for span in spans for s in ("home", "away")]
+    out = fixtures.join(sums, "match", "left").na.fill(0, names)
+    kind = F.when(F.col("pen_home").isNotNull(), "penalty_shootout").when(F.col("et_home").isNotNull(), "after_extra_time").otherwise("regulation")
+    same = (F.col("ft_home") == F.col("reg_events_home")) & (F.col("ft_away") == F.col("reg_events_away"))
+    return out.withColumns({"result_type": kind, "status": F.when(same, "exact").otherwise("mismatch")})
+
+
+def schema_errors(schema: str, key: Sequence[str], contract: dict[str, dict]) -> Column:
+    """What a row of a schema breaks: parts of its primary key that are not there, then contract_errors, each with the schema's name before it."""
+    lost = [F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), f"missing primary-key field {c}") for c in key]
+    every = F.concat(F.array_compact(F.array(*lost)), contract_errors(contract))
+    return F.transform(every, lambda e: F.concat(F.lit(f"{schema}: "), e))
+
+
 def permitted(df: DataFrame, rights: DataFrame, source: str, right: str) -> DataFrame:
     """Rows whose source grants a right; the rights table has a row for each source."""
     return df.join(rights.where(F.col("right") == right).select(source), source, "left_semi")

@@ -86,6 +86,21 @@ def label_events(df: DataFrame, clock: str = "game_time", position: str = "posit
     return df.withColumns({"half": F.coalesce(half, F.lit(0)), "t_s": t_s, "canonical": canonical_label(F.col(label))})
 
 
+def plain_text(text: Column) -> Column:
+    """Runs of whitespace as one space, none at the ends; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+def segment_records(df: DataFrame, text: Column, start: Column) -> DataFrame:
+    """Commentary segments with norm, content_hash (of the text as it is, null as empty), quality, clock_s (whole seconds) and causal use.
+
+    A segment's time is the broadcast's and not its publication's, so it may never be used as known at a decision.
+    """
+    norm = plain_text(text)
+    quality = F.when(norm == "", "empty").when(F.length(norm) < 3, "too_short").otherwise("ok")
+    return df.withColumns({"norm": norm, "content_hash": F.sha2(F.coalesce(text, F.lit("")), 256), "quality": quality, "clock_s": start.cast("int"), "eligibility": F.lit("historical_weak_supervision_only")})
+
+
 def match_key(competition: Column, season: Column, home: Column, away: Column, date: Column) -> Column:
     """A provider-neutral match id from the parts as they are."""
     parts = [F.lower(F.trim(competition)), *(F.trim(x.cast("string")) for x in (season, date, home, away))]

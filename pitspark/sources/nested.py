@@ -22,3 +22,29 @@ def lineup_players(df: DataFrame, key: str, payload: Column) -> DataFrame:
     rows = df.select(key, F.from_json(payload, LINEUP).alias("_l"))
     each = [rows.select(key, F.col("_l.team").alias("team"), F.explode(f"_l.{part}").alias("_p"), F.lit(starts).alias("starts")) for part, starts in (("startXI", True), ("substitutes", False))]
     return each[0].unionByName(each[1]).select(key, "team", F.col("_p.id").alias("player"), F.col("_p.pos").alias("pos"), "starts")
+
+
+EVENTS = "array<struct<type: string, detail: string, time: struct<elapsed: int>, team: struct<id: bigint>, player: struct<id: bigint>, assist: struct<id: bigint>>>"
+PLAYERS = "array<struct<team: struct<id: bigint>, players: array<struct<player: struct<id: bigint>, statistics: array<struct<games: struct<minutes: double, rating: string, substitute: boolean>>>>>>>"
+TOTALS = "array<struct<team: struct<id: bigint>, statistics: array<struct<type: string, value: string>>>>"
+
+
+def substitutions(df: DataFrame, key: str, payload: Column) -> DataFrame:
+    """(key, minute, team, player_in, player_out) of the substitutions among a match's events: who comes on is the player, who goes off the assist."""
+    e = df.select(key, F.explode(F.from_json(payload, EVENTS)).alias("e"))
+    return e.where(F.lower("e.type") == "subst").select(key, F.col("e.time.elapsed").alias("minute"), F.col("e.team.id").alias("team"), F.col("e.player.id").alias("player_in"), F.col("e.assist.id").alias("player_out"))
+
+
+def player_matches(df: DataFrame, key: str, payload: Column) -> DataFrame:
+    """(key, team, player, minutes, rating, started): the first statistics of each player; unknown minutes are 0, a rating that is no number is null, unknown substitutes did not start."""
+    t = df.select(key, F.explode(F.from_json(payload, PLAYERS)).alias("t"))
+    p = t.select(key, F.col("t.team.id").alias("team"), F.explode("t.players").alias("p"))
+    games = F.get("p.statistics", F.lit(0))["games"]
+    return p.select(key, "team", F.col("p.player.id").alias("player"), F.coalesce(games["minutes"], F.lit(0.0)).alias("minutes"), games["rating"].try_cast("double").alias("rating"), F.coalesce(~games["substitute"], F.lit(False)).alias("started"))
+
+
+def team_totals(df: DataFrame, key: str, payload: Column, kind: str = "expected_goals") -> DataFrame:
+    """(key, team, total) of one statistic; a side without it, or with an empty one, has null."""
+    t = df.select(key, F.explode(F.from_json(payload, TOTALS)).alias("t"))
+    ours = F.filter("t.statistics", lambda x: (F.lower(x["type"]) == kind) & (x["value"] != ""))
+    return t.select(key, F.col("t.team.id").alias("team"), F.try_element_at(ours, F.lit(-1))["value"].try_cast("double").alias("total"))
