@@ -111,20 +111,26 @@ def _ranked(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         minutes: dict[int, float] = {}
         first: dict[int, int] = {}
+        top: set[int] = set()
+        ranked_at = None
+        lineups: dict[int, tuple[set[int], set[int]]] = {}  # a match to its players and the ranked ones
         out = []
-        for _, rows in pdf.sort_values(["day", "tag"], kind="stable").groupby("day", sort=True):
-            asked, played = rows[rows["tag"] == 1], rows[rows["tag"] != 1]
-            before = rows[rows["tag"] == 0]
-            for r in before.itertuples():
-                minutes[r.player], first[r.player] = r.minutes, r.first
-            if len(asked):
-                best = heapq.nsmallest(k, ((-m, first[p], p) for p, m in minutes.items() if m > 0))
-                top = {p for _, _, p in best}
-                for match, xi in asked.groupby("match"):
-                    out.append((pdf["team"].iloc[0], match, len(top & set(xi["player"])) / len(top) if top else None, len(top) / k))
-            for r in played[played["tag"] == 2].itertuples():
-                minutes[r.player] = minutes.get(r.player, 0.0) + r.minutes
-                first.setdefault(r.player, r.day)
+        rows = pdf.sort_values(["day", "tag"], kind="stable")
+        for day, tag, match, player, known, played, since in zip(*(rows[c].tolist() for c in ("day", "tag", "match", "player", "known", "minutes", "first"))):
+            if tag == 0:
+                minutes[player], first[player] = played, since
+            elif tag == 1:
+                if day != ranked_at:
+                    ranked_at = day
+                    top = {p for _, _, p in heapq.nsmallest(k, ((-m, first[p], p) for p, m in minutes.items() if m > 0))}
+                lineup = lineups.setdefault(match, (set(), top))[0]
+                if known:
+                    lineup.add(player)
+            else:
+                minutes[player] = minutes.get(player, 0.0) + played
+                first.setdefault(player, day)
+        for match, (lineup, best) in lineups.items():
+            out.append((rows["team"].iloc[0], match, len(best & lineup) / len(best) if best else None, len(best) / k))
         return pd.DataFrame(out, columns=["team", "match", "availability", "coverage"])
 
     return fold
@@ -134,12 +140,13 @@ def key_players(xi: DataFrame, played: DataFrame, day: str, k: int = 6, days: in
     """(team, match, availability, coverage): how many of a side's k players with most minutes before the day are in the lineup.
 
     xi: (team, match, player, day); played: (team, player, day, minutes). Ties go to who played first, then to the smaller
-    player; a side without minutes before has a null availability. A side is cut into stretches of ``days``: each starts
+    player; a side without minutes before has a null availability. A match has one day; a null player is in no ranking. A side is cut into stretches of ``days``: each starts
     from its players' minutes before, a row a player, so a task holds a stretch of a side and not its whole history.
     """
     at = lambda c: F.floor(F.col(c) / days)
-    played = played.groupBy("team", "player", F.col(day).alias("day")).agg(F.sum(F.coalesce(F.col("minutes").cast("double"), F.lit(0.0))).alias("minutes"))
-    asked = xi.select("team", "match", "player", F.col(day).alias("day"), F.lit(1).alias("tag")).where("day is not null")
+    played = played.where("player is not null").groupBy("team", "player", F.col(day).alias("day")).agg(F.sum(F.coalesce(F.col("minutes").cast("double"), F.lit(0.0))).alias("minutes"))
+    known = F.col("player").isNotNull()
+    asked = xi.select("team", "match", F.coalesce("player", F.lit(0)).alias("player"), F.col(day).alias("day"), F.lit(1).alias("tag"), known.alias("known")).where("day is not null and match is not null")
     sums = played.groupBy("team", "player", at("day").alias("part")).agg(F.sum("minutes").alias("m"), F.min("day").alias("first"))
     parts = asked.select("team", at("day").alias("part")).distinct()
     since = sums.groupBy("team", "player").agg(F.min("part").alias("_from"), F.min("first").alias("first"))
@@ -148,6 +155,8 @@ def key_players(xi: DataFrame, played: DataFrame, day: str, k: int = 6, days: in
     before = F.sum("m").over(Window.partitionBy("team", "player").orderBy("part").rangeBetween(Window.unboundedPreceding, -1))
     start = marks.withColumn("minutes", before).where("ask = 1").select("team", "player", "part", "first", "minutes", (F.col("part") * days).alias("day"), F.lit(0).alias("tag"))
     rows = start.unionByName(asked.withColumn("part", at("day")), allowMissingColumns=True).unionByName(played.select("*", at("day").alias("part"), F.lit(2).alias("tag")), allowMissingColumns=True)
+    # whole numbers stay whole in pandas only without nulls
+    rows = rows.na.fill(0, ["match", "first"]).na.fill(0.0, ["minutes"]).na.fill(True, ["known"])
     return rows.groupBy("team", "part").applyInPandas(_ranked(k), "team long, match long, availability double, coverage double")
 
 

@@ -128,7 +128,8 @@ def envelope(states: DataFrame, model: str = "M2_remaining_poisson") -> DataFram
     """The states with all that a model's record holds: its forecast, the goal dynamics of the ratings' rates, uncertainty and entropy."""
     rated = remaining_poisson(states)
     rates = goal_dynamics(F.col("rate_a"), F.col("rate_b"), F.greatest(F.lit(0.0), 90.0 - F.col("minute")))
-    df = MODELS[model](rated.withColumns(rates))
+    rated = rated.withColumns(rates)
+    df = rated if MODELS[model] is remaining_poisson else MODELS[model](rated)
     p = [F.col(c) for c in ("p_a", "p_draw", "p_b")]
     spread = F.sqrt(sum((c * (1 - c) for c in p[1:]), p[0] * (1 - p[0])))
     return df.withColumns({"uncertainty": spread, "entropy": P.entropy(*p), "model": F.lit(model)}).drop("rate_a", "rate_b")

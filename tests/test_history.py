@@ -77,6 +77,8 @@ def test_key_players_are_the_same_however_days_are_cut(spark):
     for days in (1, 7, 1000):
         got = {(r[0], r[1], None if r[2] is None or r[2] != r[2] else round(r[2], 9), r[3]) for r in H.key_players(a, b, "day", 4, days).collect()}
         assert got == want
+    lost = H.key_players(spark.createDataFrame([(0, 1, None, 300), (0, 2, None, -9)], "team long, match long, player long, day long"), b, "day", 4)
+    assert sorted((r[1], r[2] if r[2] == r[2] else None, r[3]) for r in lost.collect()) == [(1, 0.0, 1.0), (2, None, 0.0)]
 
 
 def test_windows_hold_both_of_their_ends(spark):
