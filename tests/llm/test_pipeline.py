@@ -110,12 +110,11 @@ def test_run_matches_brute_force(spark, tmp_path):
     assert drop
     cut = ["\n".join(x for x in r[1].split("\n") if (r[3], x) not in drop) for r in docs]
     docs = list({(r[0], t, r[2], r[3], len(t)) for r, t in zip(docs, cut)})
-    group = list(range(len(docs)))
+    group, words = list(range(len(docs))), [r[1].lower() for r in docs]
+    links = [(a, b) for a in range(len(docs)) for b in range(a) if jaccard(words[a], words[b], 5) >= 0.8]
     for _ in docs:
-        for a in range(len(docs)):
-            for b in range(a):
-                if jaccard(docs[a][1].lower(), docs[b][1].lower(), 5) >= 0.8:
-                    group[a] = group[b] = min(group[a], group[b])
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
     first = {}
     for r, g in zip(docs, group):
         first[g] = min(first.get(g, r), r, key=lambda x: (x[0] is None, x[0] or 0))
