@@ -171,27 +171,33 @@ def rolling_sides(events: DataFrame, snapshots: DataFrame, measures: dict[str, C
     <m>_<lo>_to_<hi>_<side>. <m>_half_<side>: since the half of t began; half maps a clock to its half. An event enters a
     span by a row lo seconds later and leaves it by one hi seconds later, after a snapshot of that clock: running sums do all.
     """
-    own = {f"{m}_{s}": F.coalesce(F.when(F.col("side") == s, v.cast("double")), F.lit(0.0)) for m, v in measures.items() for s in pit.SIDES}
-    e = events.select("match", "t", *(c.alias(n) for n, c in own.items()))
-    named = {f"{m}_{span_name(*span)}_{s}": (f"{m}_{s}", span) for m in measures for span in spans for s in pit.SIDES}
-    rows = e.withColumn("tag", F.lit(1)).unionByName(snapshots.select("match", "t", F.lit(2).alias("tag")).distinct(), allowMissingColumns=True)
-    for lo, hi in spans:
-        mine = {n: o for n, (o, span) in named.items() if span == (lo, hi)}
-        rows = rows.unionByName(e.select("match", (F.col("t") + lo).alias("t"), F.lit(1).alias("tag"), *(F.col(o).alias(n) for n, o in mine.items())), allowMissingColumns=True)
-        rows = rows.unionByName(e.select("match", (F.col("t") + hi).alias("t"), F.lit(3).alias("tag"), *(F.negative(o).alias(n) for n, o in mine.items())), allowMissingColumns=True)
-    rows = rows.withColumns({"c": F.col("t") * 4 + F.col("tag"), "_half": half(F.col("t"))})
-    past = Window.partitionBy("match").orderBy("c").rangeBetween(Window.unboundedPreceding, 0)
+    e = events.select("match", "t", F.col("side").alias("_side"), *(v.cast("double").alias(m) for m, v in measures.items()))
+    e = e.where(F.col("_side").isin(*pit.SIDES) & F.coalesce(*measures).isNotNull())
+    enter, leave = sorted({0, *(lo for lo, _ in spans)}), sorted({hi for _, hi in spans})
+    moved = F.explode(F.array(*(F.struct(F.lit(tag).alias("tag"), F.lit(w).alias("_by")) for tag, by in ((1, enter), (3, leave)) for w in by)))
+    moves = e.withColumn("_m", moved).select("match", (F.col("t") + F.col("_m._by")).alias("t"), F.col("_m.tag").alias("tag"), F.col("_m._by").alias("_by"), "_side", *measures)
+    asked = snapshots.select("match", "t", F.lit(2).alias("tag")).distinct()
+    rows = moves.unionByName(asked, allowMissingColumns=True).select("match", (F.col("t") * 4 + F.col("tag")).alias("c"), half(F.col("t")).alias("_half"), "_by", "_side", *measures)
+    rows = pit.dealt(rows, "match", [events, snapshots])
+    tag = F.col("c") % 4
     now = Window.partitionBy("match", "_half").orderBy("c").rangeBetween(Window.unboundedPreceding, 0)
-    sums = {n: F.coalesce(F.sum(n).over(past), F.lit(0.0)) for n in named}
-    sums |= {f"{m}_half_{s}": F.coalesce(F.sum(f"{m}_{s}").over(now), F.lit(0.0)) for m in measures for s in pit.SIDES}
-    return rows.select("match", "t", "tag", *(c.alias(n) for n, c in sums.items())).where("tag = 2").drop("tag")
+    past = Window.partitionBy("match").orderBy("c").rangeBetween(Window.unboundedPreceding, 0)
+    halves = {f"{m}_half_{s}": F.coalesce(F.sum(F.when((tag == 1) & (F.col("_by") == 0) & (F.col("_side") == s), F.col(m))).over(now), F.lit(0.0)) for m in measures for s in pit.SIDES}
+    rows = rows.withColumns(halves)
+    sums = {}
+    for m in measures:
+        for lo, hi in spans:
+            value = F.when((tag == 1) & (F.col("_by") == lo), F.col(m)).when((tag == 3) & (F.col("_by") == hi), -F.col(m))
+            sums |= {f"{m}_{span_name(lo, hi)}_{s}": F.coalesce(F.sum(F.when(F.col("_side") == s, value)).over(past), F.lit(0.0)) for s in pit.SIDES}
+    out = rows.select("match", F.floor(F.col("c") / 4).cast("long").alias("t"), tag.alias("tag"), *(x.alias(n) for n, x in sums.items()), *halves)
+    return out.where("tag = 2").drop("tag")
 
 
 def pace(panel: DataFrame, measure: str, short: int, long: int) -> DataFrame:
     """panel of rolling_sides, with spans (0, short), (0, long) and (short, long), with <m>_momentum, the sides' difference a minute over ``long``, and <m>_acceleration, that over ``short`` less that of the time before."""
     gap = lambda *span: F.col(f"{measure}_{span_name(*span)}_home") - F.col(f"{measure}_{span_name(*span)}_away")
-    new, old = gap(0, short) * 60.0 / short, gap(short, long) * 60.0 / (long - short)
-    return panel.withColumns({f"{measure}_momentum": gap(0, long) * 60.0 / long, f"{measure}_acceleration": new - old})
+    new, old = gap(0, short) / (short / 60.0), gap(short, long) / ((long - short) / 60.0)
+    return panel.withColumns({f"{measure}_momentum": gap(0, long) / (long / 60.0), f"{measure}_acceleration": new - old})
 
 
 def sendoff_after(panel: DataFrame, counts: Sequence[str]) -> DataFrame:

@@ -120,8 +120,9 @@ def win8(spark, sf_dir):
     e = clocked(spark, sf_dir)
     sided = e.withColumn("side", F.when(F.col("k") % 2 == 0, "home").when(F.col("k") % 2 == 1, "away"))
     out = H.rolling_sides(sided, pit.snapshot_schedule(e, ["purchase"], 21_600), {m: F.expr(v) for m, v in CHANCES.items()}, SPANS, lambda t: (t >= HALF).cast("int"))
-    out = H.pace(out, "xg", 43_200, 86_400)
-    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("match", "t")})
+    # as in the SQL, how the difference moves comes from the rounded sums; F.round would take a double's decimals for it, so that a tie goes another way
+    out = out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("match", "t")})
+    return H.pace(out, "xg", 43_200, 86_400).withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in ("xg_momentum", "xg_acceleration")})
 
 
 @query("lab5_sendoff_after", f"""
