@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 REFERENCE_RATE = 1.35  # goals per side and 90 minutes
 
@@ -125,52 +128,112 @@ def poisson_vector(rate: Column, most: int) -> Column:
     return F.concat(body, F.array(1 - F.aggregate(body, F.lit(0.0), lambda a, x: a + x)))
 
 
+def _pmf(rate: np.ndarray, most: int) -> np.ndarray:
+    """A row of probabilities of 0 .. most goals for each rate; what lies beyond is left out."""
+    out = np.empty((len(rate), most + 1))
+    out[:, 0] = np.exp(-rate)
+    for k in range(1, most + 1):
+        out[:, k] = out[:, k - 1] * rate / k
+    return out
+
+
+def _doubles(x: pa.Array) -> np.ndarray:
+    """Doubles with NaN for null."""
+    return pc.fill_null(x.cast(pa.float64()), math.nan).to_numpy(zero_copy_only=False)
+
+
+def _struct(values: np.ndarray, names: Sequence[str], unknown: np.ndarray) -> pa.StructArray:
+    """A struct a row of values; its fields are null where something was unknown."""
+    return pa.StructArray.from_arrays([pa.array(v, pa.float64(), mask=unknown) for v in values.T], names=list(names))
+
+
+#: Rows that are computed at once inside a batch, so that the arrays of all scores stay small.
+CHUNK = 4096
+
+
+def _chunked(run: Callable[[slice], np.ndarray], n: int, wide: int) -> np.ndarray:
+    out = np.empty((n, wide))
+    for at in range(0, n, CHUNK):
+        out[at : at + CHUNK] = run(slice(at, at + CHUNK))
+    return out
+
+
 def with_wdl(df: DataFrame, home: Column, away: Column, diff: Column | None = None, most: int = 8, names: tuple[str, str, str] = ("win", "draw", "loss")) -> DataFrame:
     """df with win, draw, loss when home and away goals still to come (0 .. most) are Poisson and the score differs by diff.
 
-    With the running sums of the away side's probabilities, each outcome is a sum over the home side's goals.
+    With the running sums of the away side's probabilities, each outcome is a sum over the home side's goals; whole Arrow
+    batches at once. Null where a rate or the difference is.
     """
-    now = diff if diff is not None else F.lit(0)
-    df = df.withColumns({"_h": poisson_array(home, most), "_a": poisson_array(away, most), "_d": now.cast("int")})
-    below = [F.lit(0.0)]  # fewer than k away goals
-    for k in range(most + 1):
-        below.append(below[-1] + F.col("_a")[k])
-    df = df.withColumn("_below", F.array(*below))
+    kind = "struct<" + ", ".join(f"`{n}`: double" for n in names) + ">"
 
-    def at(i: int) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(most + 1), F.col("_d") + i))
+    @arrow_udf(kind)
+    def wdl(h: pa.Array, a: pa.Array, d: pa.Array) -> pa.Array:
+        rates, now = [_doubles(h), _doubles(a)], np.asarray(pc.fill_null(d.cast(pa.int64()), 0), np.int64)
 
-    goals = range(most + 1)
-    win = sum((F.col("_h")[i] * F.get("_below", at(i)) for i in goals[1:]), F.col("_h")[0] * F.get("_below", at(0)))
-    draw = sum((F.col("_h")[i] * (F.get("_below", at(i + 1)) - F.get("_below", at(i))) for i in goals[1:]), F.col("_h")[0] * (F.get("_below", at(1)) - F.get("_below", at(0))))
-    total = sum((F.col("_h")[i] for i in goals[1:]), F.col("_h")[0]) * F.col("_below")[most + 1]
-    df = df.withColumns({"_w": win, "_x": draw, "_t": total})
-    out = {names[0]: F.col("_w") / F.col("_t"), names[1]: F.col("_x") / F.col("_t"), names[2]: 1 - (F.col("_w") + F.col("_x")) / F.col("_t")}
-    return df.withColumns(out).drop("_h", "_a", "_d", "_below", "_w", "_x", "_t")
+        def run(part: slice) -> np.ndarray:
+            p, q = (_pmf(r[part], most) for r in rates)
+            below = np.zeros((len(p), most + 2))  # fewer than k away goals
+            np.cumsum(q, axis=1, out=below[:, 1:])
+            at = np.clip(now[part, None] + np.arange(most + 2), 0, most + 1)
+            reached = np.take_along_axis(below, at, 1)
+            total = p.sum(1) * below[:, -1]
+            win, draw = (p * reached[:, :-1]).sum(1) / total, (p * np.diff(reached, axis=1)).sum(1) / total
+            return np.stack([win, draw, 1 - (win + draw)], 1)
 
+        unknown = np.asarray(pc.or_(pc.or_(pc.is_null(h), pc.is_null(a)), pc.is_null(d)))
+        return _struct(_chunked(run, len(now), 3), names, unknown)
 
-def score_grid(home: Column, away: Column, rho: float = 0.0, inflation: float = 0.0, most: int = 8) -> Column:
-    """Scores (i, j, p) of 0 .. most goals each: what lies beyond goes to the last row and column, the four lowest scores are corrected (by no less than 0.001) and draws weigh 1 + inflation."""
-
-    def cell(i, j) -> Column:
-        h, a = F.get("_h", i), F.get("_a", j)
-        last_h, last_a = F.when(i == most, F.col("_th")).otherwise(0.0), F.when(j == most, F.col("_ta")).otherwise(0.0)
-        tau = F.greatest(F.lit(0.001), dixon_coles(i, j, home, away, rho)) if rho else F.lit(1.0)
-        return (h * a + last_h * a + last_a * h) * tau * F.when(i == j, 1 + inflation).otherwise(1.0)
-
-    goals = F.sequence(F.lit(0), F.lit(most))
-    return F.flatten(F.transform(goals, lambda i: F.transform(goals, lambda j: F.struct(i.alias("i"), j.alias("j"), cell(i, j).alias("p")))))
+    now = diff if diff is not None else F.lit(0)
+    out = df.withColumn("_wdl", wdl(home.cast("double"), away.cast("double"), now.cast("int")))
+    return out.withColumns({n: F.col("_wdl").getField(n) for n in names}).drop("_wdl")
+
+
+def _scores(h: np.ndarray, a: np.ndarray, rho: float, inflation: float, most: int) -> np.ndarray:
+    """Rows of the normalised probabilities of all scores, home goals first: what lies beyond ``most`` goes to the last row
+    and column, the four lowest scores are corrected (by no less than 0.001) and draws weigh 1 + inflation."""
+    p, q = _pmf(h, most), _pmf(a, most)
+    grid = p[:, :, None] * q[:, None, :]
+    grid[:, most, :] += np.maximum(0.0, 1 - p.sum(1))[:, None] * q
+    grid[:, :, most] += np.maximum(0.0, 1 - q.sum(1))[:, None] * p
+    if rho:
+        for i, j, tau in ((0, 0, 1 - h * a * rho), (0, 1, 1 + h * rho), (1, 0, 1 + a * rho), (1, 1, np.full(len(h), 1 - rho))):
+            grid[:, i, j] *= np.maximum(0.001, tau)
+    goals = np.arange(most + 1)
+    grid[:, goals, goals] *= 1 + inflation
+    grid = grid.reshape(len(h), -1)
+    return grid / grid.sum(1, keepdims=True)
 
 
 def with_score_grid(df: DataFrame, home: Column, away: Column, rho: float = 0.0, inflation: float = 0.0, most: int = 8, name: str = "grid") -> DataFrame:
-    """df with the normalised score grid, an array of (i, j, p)."""
-    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    df = df.withColumns({"_h": poisson_array(home, most), "_a": poisson_array(away, most)})
-    df = df.withColumns({"_th": F.greatest(F.lit(0.0), 1 - add(F.col("_h"))), "_ta": F.greatest(F.lit(0.0), 1 - add(F.col("_a")))})
-    df = df.withColumn("_g", score_grid(home, away, rho, inflation, most))
-    df = df.withColumn("_t", F.aggregate("_g", F.lit(0.0), lambda s, c: s + c["p"]))
-    out = F.transform("_g", lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (c["p"] / F.col("_t")).alias("p")))
-    return df.withColumn(name, out).drop("_h", "_a", "_th", "_ta", "_g", "_t")
+    """df with the normalised score grid, an array of (i, j, p): null where a rate is. Whole Arrow batches at once."""
+    wide = (most + 1) ** 2
+
+    @arrow_udf("array<struct<i: int, j: int, p: double>>")
+    def grid(h: pa.Array, a: pa.Array) -> pa.Array:
+        rates = [_doubles(h), _doubles(a)]
+        p = _chunked(lambda part: _scores(rates[0][part], rates[1][part], rho, inflation, most), len(h), wide)
+        i, j = (np.tile(x, len(h)).astype(np.int32) for x in np.divmod(np.arange(wide), most + 1))
+        cells = pa.StructArray.from_arrays([pa.array(i), pa.array(j), pa.array(p.ravel())], names=["i", "j", "p"])
+        known = np.asarray(pc.and_(pc.is_valid(h), pc.is_valid(a)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * wide), cells, mask=pa.array(~known))
+
+    return df.withColumn(name, grid(home.cast("double"), away.cast("double")))
+
+
+def with_grid_masses(df: DataFrame, home: Column, away: Column, tests: dict[str, Callable], rho: float = 0.0, inflation: float = 0.0, most: int = 8) -> DataFrame:
+    """df with the probability of the scores that pass each test, a function of home and away goals: sums of the score grid, which no row has to carry."""
+    i, j = np.divmod(np.arange((most + 1) ** 2), most + 1)
+    passed = np.stack([np.asarray(test(i, j), float) for test in tests.values()], 1)
+    kind = "struct<" + ", ".join(f"`{n}`: double" for n in tests) + ">"
+
+    @arrow_udf(kind)
+    def masses(h: pa.Array, a: pa.Array) -> pa.Array:
+        rates = [_doubles(h), _doubles(a)]
+        got = _chunked(lambda part: _scores(rates[0][part], rates[1][part], rho, inflation, most) @ passed, len(h), passed.shape[1])
+        return _struct(got, list(tests), np.asarray(pc.or_(pc.is_null(h), pc.is_null(a))))
+
+    out = df.withColumn("_masses", masses(home.cast("double"), away.cast("double")))
+    return out.withColumns({n: F.col("_masses").getField(n) for n in tests}).drop("_masses")
 
 
 def grid_mass(grid: str, test) -> Column:

@@ -107,9 +107,8 @@ GRID = "SELECT i, j FROM range(9) a(i), range(9) b(j)"
 def fun10(spark, sf_dir):
     """1X2 and a cluster from the score grid: tails in the last row and column, low scores corrected, draws inflated."""
     r = table(spark, sf_dir, "customer").select("c_custkey", (0.5 + (F.col("c_acctbal") + 1000) / 2500).alias("h"), (1.0 + F.col("c_nationkey") / 12.0).alias("a"))
-    r = P.with_score_grid(r, F.col("h"), F.col("a"), rho=0.25, inflation=0.05)
     tests = {"win": lambda i, j: i > j, "draw": lambda i, j: i == j, "under": lambda i, j: i + j <= 2}
-    return r.select("c_custkey", *(P.grid_mass("grid", t).alias(n) for n, t in tests.items()))
+    return P.with_grid_masses(r, F.col("h"), F.col("a"), tests, rho=0.25, inflation=0.05).select("c_custkey", *tests)
 
 
 @query("fun11_remaining_wdl", f"""
