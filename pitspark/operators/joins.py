@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 
 def bridge(a: DataFrame, b: DataFrame, keys: Sequence[str], id_col: str, score: str) -> DataFrame:
     """(a, b, status) for every row of a: matched one to one with equal score, else why not."""
+    keys = list(keys)
     left = a.select(*keys, F.col(id_col).alias("a"), F.col(score).alias("_sa"))
     right = b.select(*keys, F.col(id_col).alias("b"), F.col(score).alias("_sb"))
-    j = left.join(right, list(keys), "left")
-    j = j.withColumns({"_na": F.count("*").over(Window.partitionBy("a")), "_nb": F.count("*").over(Window.partitionBy("b"))})
-    status = F.when(F.col("b").isNull(), "no_partner").when((F.col("_na") > 1) | (F.col("_nb") > 1), "ambiguous").when(F.col("_sa") != F.col("_sb"), "score_differs").otherwise("matched")
-    return j.withColumn("_s", status).groupBy("a").agg(F.min("b").alias("b"), F.min("_s").alias("status"))
+    # a row a key: no pair of a's and b's rows is made, as a key may have many of either
+    theirs = right.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("b").alias("b"), F.min("_sb").alias("_sb"))
+    ours = left.groupBy(*keys).agg(F.count("*").alias("_m"))
+    # the only one of its key on both sides may still be listed elsewhere: its partners are counted over all its keys
+    met = right.join(ours, keys).select("b", "_m", *keys)
+    alone = theirs.join(ours, keys).where("_n = 1 and _m = 1").select("b").distinct()
+    taken = met.join(alone, "b", "left_semi").groupBy("b").agg(F.sum("_m").alias("_t")).where("_t > 1").select(F.col("b").alias("_b"), F.lit(True).alias("_taken"))
+    theirs = theirs.join(ours, keys, "left").join(taken, F.col("b") == F.col("_b"), "left").drop("_b")
+    theirs = theirs.select(*keys, "_n", "b", "_sb", ((F.col("_n") > 1) | (F.col("_m") > 1) | F.coalesce("_taken", F.lit(False))).alias("_many"))
+    rows = left.join(theirs, keys, "left")
+    g = rows.groupBy("a").agg(F.sum(F.greatest(F.coalesce("_n", F.lit(1)), F.lit(1))).alias("_na"), F.min("b").alias("b"), F.bool_or("_many").alias("_many"), F.bool_or(F.col("_sa") != F.col("_sb")).alias("_differs"))
+    status = F.when(F.col("b").isNull(), "no_partner").when((F.col("_na") > 1) | F.col("_many"), "ambiguous").when(F.col("_differs"), "score_differs").otherwise("matched")
+    return g.select("a", "b", status.alias("status"))
 
 
 def mapping_cascade(left: DataFrame, right: DataFrame, id_col: str, name: str, other_id: str, other_name: str) -> DataFrame:
