@@ -112,6 +112,9 @@ def _ranked(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         minutes: dict[int, float] = {}
         first: dict[int, int] = {}
         top: set[int] = set()
+        # minutes only grow but for negative ones: the next best are among the best and those who have played since
+        moved: set[int] = set()
+        fell = False
         ranked_at = None
         lineups: dict[int, tuple[set[int], set[int]]] = {}  # a match to its players and the ranked ones
         out = []
@@ -119,15 +122,21 @@ def _ranked(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         for day, tag, match, player, known, played, since in zip(*(rows[c].tolist() for c in ("day", "tag", "match", "player", "known", "minutes", "first"))):
             if tag == 0:
                 minutes[player], first[player] = played, since
+                moved.add(player)
             elif tag == 1:
                 if day != ranked_at:
                     ranked_at = day
-                    top = {p for _, _, p in heapq.nsmallest(k, ((-m, first[p], p) for p, m in minutes.items() if m > 0))}
+                    if moved:
+                        pool = minutes if fell else top | moved
+                        top = {p for _, _, p in heapq.nsmallest(k, ((-minutes[p], first[p], p) for p in pool if minutes[p] > 0))}
+                        moved, fell = set(), False
                 lineup = lineups.setdefault(match, (set(), top))[0]
                 if known:
                     lineup.add(player)
             else:
                 minutes[player] = minutes.get(player, 0.0) + played
+                moved.add(player)
+                fell = fell or not played >= 0
                 first.setdefault(player, day)
         for match, (lineup, best) in lineups.items():
             out.append((rows["team"].iloc[0], match, len(best & lineup) / len(best) if best else None, len(best) / k))
