@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import pit
 from ..sources import nested as N
 from ..sources import readers as S
 from ..sources.tables import CLOCKED_SQL, clocked, table
@@ -144,7 +145,9 @@ def src13(spark, sf_dir):
 @query("src15_src16_lineups", "SELECT l_orderkey, o_custkey AS team, l_suppkey AS player, l_returnflag AS pos, l_linenumber <= 3 AS starts FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def src15(spark, sf_dir):
     """Lineup payloads, made from orders, flattened to starters and bench."""
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    j = pit.dealt(lines, "l_orderkey", [lines]).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     one = F.struct(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("pos"))
     starts = F.col("l_linenumber") <= 3
     p = j.groupBy("l_orderkey", "o_custkey").agg(F.collect_list(F.when(starts, one)).alias("startXI"), F.collect_list(F.when(~starts, one)).alias("substitutes"))

@@ -20,8 +20,13 @@ def flatten_odds(df: DataFrame, key: str, payload: Column, market: str, names: t
 def lineup_players(df: DataFrame, key: str, payload: Column) -> DataFrame:
     """(key, team, player, pos, starts) of starters and bench."""
     rows = df.select(key, F.from_json(payload, LINEUP).alias("_l"))
-    each = [rows.select(key, F.col("_l.team").alias("team"), F.explode(f"_l.{part}").alias("_p"), F.lit(starts).alias("starts")) for part, starts in (("startXI", True), ("substitutes", False))]
-    return each[0].unionByName(each[1]).select(key, "team", F.col("_p.id").alias("player"), F.col("_p.pos").alias("pos"), "starts")
+    # both parts in one explode: a payload is read once
+    def of(part: str, starts: bool) -> Column:
+        return F.transform(F.col(f"_l.{part}"), lambda p: F.struct(p["id"].alias("player"), p["pos"].alias("pos"), F.lit(starts).alias("starts")))
+
+    each = [of("startXI", True), of("substitutes", False)]
+    every = F.concat(*(F.coalesce(x, F.array().cast("array<struct<player: bigint, pos: string, starts: boolean>>")) for x in each))
+    return rows.select(key, F.col("_l.team").alias("team"), F.explode(every).alias("_p")).select(key, "team", "_p.*")
 
 
 EVENTS = "array<struct<type: string, detail: string, time: struct<elapsed: int>, team: struct<id: bigint>, player: struct<id: bigint>, assist: struct<id: bigint>>>"
