@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fits import class_loss
+from .joins import written
 
 
 @dataclass(frozen=True)
@@ -161,6 +162,8 @@ class FamilyEstimator(Estimator, _RungParams, DefaultParamsReadable, DefaultPara
 
 def compared(train: DataFrame, test: DataFrame, families: Sequence[str] = tuple(FAMILIES)) -> DataFrame:
     """(family, model, label, n, log_loss, base_loss, gated) of every rung of the families, fitted on train, on test rows with a known target."""
+    # written once: each rung reads its rows several times
+    train, test = written(train), written(test)
     out = None
     for family in families:
         for name, rung in FAMILIES[family].items():
