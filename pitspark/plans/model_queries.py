@@ -143,7 +143,7 @@ def mod21_families(spark, sf_dir):
 def mod22_evidence(spark, sf_dir):
     """A blend with the base rates against the raw forecast, by folds of return flag and status, orders as matches."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_shipdate").substr(1, 4).alias("fold")).dropDuplicates(["l_orderkey", "l_linenumber"])
-    f = forecasts(spark, sf_dir).join(li, ["l_orderkey", "l_linenumber"]).withColumnRenamed("l_orderkey", "match")
+    f = written(forecasts(spark, sf_dir).join(li, ["l_orderkey", "l_linenumber"]).select(F.col("l_orderkey").alias("match"), "fold", "outcome", "pa", "pd", "pb"))
     raw = f.select("fold", "match", "outcome", "pa", "pd", "pb", F.lit("raw").alias("model"))
     blend = f.select("fold", "match", "outcome", *((0.5 * F.col(c) + 0.5 / 3).alias(c) for c in ("pa", "pd", "pb")), F.lit("blend").alias("model"))
     out = E.promotion(raw.unionByName(blend), "fold", "match", "blend", "raw")
