@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probs as P
 from . import aggregates as A
+from .joins import written
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -121,6 +122,7 @@ def intensity_wdl(train: DataFrame, columns: Sequence[str], left_a: str, left_b:
 
     A head fitted on another domain's rows and handed in as a column of ``columns`` is a frozen representation.
     """
+    train = written(train)
     heads = [ridge(train.withColumn("_y", F.log1p(F.col(g).cast("double"))), columns, "_y", name=f"_log_{s}") for g, s in ((left_a, "a"), (left_b, "b"))]
 
     def raw(df: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def intensity_wdl(train: DataFrame, columns: Sequence[str], left_a: str, left_b:
         rates = [F.greatest(F.lit(0.0), F.expm1(f"_log_{s}")) for s in "ab"]
         return _goals_to_wdl(df, *rates, diff).drop("_log_a", "_log_b")
 
-    calibrate = calibrated_wdl(raw(train), outcome)
+    calibrate = calibrated_wdl(written(raw(train)), outcome)
     return lambda df: calibrate(raw(df))
 
 
@@ -138,6 +140,7 @@ def competing_risk_wdl(train: DataFrame, columns: Sequence[str], next_a: str, ne
 
     A side whose label is one-sided in training falls back to the base rate for the rest of the match.
     """
+    train = written(train)
     n = train.agg(*(F.count_distinct(F.col(c).cast("int")).alias(c) for c in (next_a, next_b))).first()
     heads = {s: logistic(train.where(F.col(c).isNotNull()).withColumn("_y", F.col(c).cast("double")), columns, "_y", name=f"_h_{s}") if n[c] > 1 else None for c, s in ((next_a, "a"), (next_b, "b"))}
 
@@ -152,7 +155,7 @@ def competing_risk_wdl(train: DataFrame, columns: Sequence[str], next_a: str, ne
                 rates[s] = P.remaining_rate(left, base_rate)
         return _goals_to_wdl(df, rates["a"], rates["b"], diff).drop("_h_a", "_h_b")
 
-    calibrate = calibrated_wdl(raw(train), outcome)
+    calibrate = calibrated_wdl(written(raw(train)), outcome)
     return lambda df: calibrate(raw(df))
 
 
@@ -215,14 +218,17 @@ def text_classifier(train: DataFrame, text: str, label: str, rule: Callable[[Col
     if yes < LEAST_POSITIVES or yes == n:
         # one class, or too few texts of it: there is nothing to tell apart, and the model says nothing
         return lambda df: df.withColumns({"p": F.lit(None).cast("double"), name: F.lit(0.0)})
-    stages, share = [], yes / n
+    stages, counts, share = [], [], yes / n
+    rows = terms(train).withColumns({"_y": y, "_weight": F.when(y == 1, 0.5 / share).otherwise(0.5 / (1 - share))}).where("_y is not null")
     for c, size in (("_words", words), ("_chars", chars)):
         count = CountVectorizer(inputCol=c, outputCol=f"{c}_n", minDF=least_texts, vocabSize=size)
-        stages += [count, IDF(inputCol=f"{c}_n", outputCol=f"{c}_v"), Normalizer(inputCol=f"{c}_v", outputCol=f"{c}_u")]
+        counts.append(count.fit(rows))
+        stages += [IDF(inputCol=f"{c}_n", outputCol=f"{c}_v"), Normalizer(inputCol=f"{c}_v", outputCol=f"{c}_u")]
     stages += [VectorAssembler(inputCols=["_words_u", "_chars_u"], outputCol="_x")]
     stages += [LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", regParam=1 / (strength * n), probabilityCol="_p", rawPredictionCol="_r", predictionCol="_l", standardization=False)]
-    rows = terms(train).withColumns({"_y": y, "_weight": F.when(y == 1, 0.5 / share).otherwise(0.5 / (1 - share))}).where("_y is not null")
-    model = Pipeline(stages=stages).fit(rows)
+    # what is counted is written: the terms themselves, many times a text, are made for the two vocabularies and once more
+    counted = written(PipelineModel(counts).transform(rows).select("_words_n", "_chars_n", "_y", "_weight"))
+    model = PipelineModel([*counts, *Pipeline(stages=stages).fit(counted).stages])
 
     def predict(df: DataFrame) -> DataFrame:
         out = model.transform(terms(df)).withColumn("_rule", rule(F.col(text)))
@@ -239,6 +245,7 @@ def transfer_ladder(main: DataFrame, aux: DataFrame, columns: Sequence[str], lab
     main ones together, and that with the weight that the main rows' loss chooses, none included (selective).
     """
     rows = main.withColumn("_d", F.lit(False)).unionByName(aux.withColumn("_d", F.lit(True)), allowMissingColumns=True).na.fill(0.0, list(columns))
+    rows = written(rows.select(*columns, label, "_d"))
     table = A.stable_features(A.drift(rows, columns, "_d"), most_smd=most_smd)
     stable = [r["feature"] for r in table.where("verdict = 'keep'").select("feature").collect()] or list(columns)
     n = {r["_d"]: r["count"] for r in rows.groupBy("_d").count().collect()}
@@ -266,5 +273,5 @@ def transfer_ladder(main: DataFrame, aux: DataFrame, columns: Sequence[str], lab
         loss = -F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))
         losses[part] = of(logistic(kept.withColumn("_w", w), columns, label, weight="_w"))(held).agg(F.avg(loss)).first()[0]
     best = min(losses, key=lambda k: (losses[k], k))
-    ladder["selective"] = weighted(best) if best else ladder["main_only"]
+    ladder["selective"] = ladder["main_only"] if not best else ladder["domain_weighted"] if best == share else weighted(best)
     return ladder
