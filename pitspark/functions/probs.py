@@ -220,6 +220,13 @@ def with_score_grid(df: DataFrame, home: Column, away: Column, rho: float = 0.0,
     return df.withColumn(name, grid(home.cast("double"), away.cast("double")))
 
 
+def _masses(h: np.ndarray, a: np.ndarray, passed: np.ndarray, rho: float, inflation: float, most: int) -> np.ndarray:
+    """For rows of rates the sums of their score grids over the columns of ``passed``; rows with the same two rates share one grid."""
+    pairs, row = np.unique(np.stack([h, a], 1).view(complex).ravel(), return_inverse=True)
+    got = _chunked(lambda part: _scores(pairs[part].real, pairs[part].imag, rho, inflation, most) @ passed, len(pairs), passed.shape[1])
+    return got[row]
+
+
 def with_grid_masses(df: DataFrame, home: Column, away: Column, tests: dict[str, Callable], rho: float = 0.0, inflation: float = 0.0, most: int = 8) -> DataFrame:
     """df with the probability of the scores that pass each test, a function of home and away goals: sums of the score grid, which no row has to carry."""
     i, j = np.divmod(np.arange((most + 1) ** 2), most + 1)
@@ -228,9 +235,7 @@ def with_grid_masses(df: DataFrame, home: Column, away: Column, tests: dict[str,
 
     @arrow_udf(kind)
     def masses(h: pa.Array, a: pa.Array) -> pa.Array:
-        rates = [_doubles(h), _doubles(a)]
-        got = _chunked(lambda part: _scores(rates[0][part], rates[1][part], rho, inflation, most) @ passed, len(h), passed.shape[1])
-        return _struct(got, list(tests), np.asarray(pc.or_(pc.is_null(h), pc.is_null(a))))
+        return _struct(_masses(_doubles(h), _doubles(a), passed, rho, inflation, most), list(tests), np.asarray(pc.or_(pc.is_null(h), pc.is_null(a))))
 
     out = df.withColumn("_masses", masses(home.cast("double"), away.cast("double")))
     return out.withColumns({n: F.col("_masses").getField(n) for n in tests}).drop("_masses")
@@ -269,6 +274,27 @@ def dixon_coles(i: Column, j: Column, home: Column, away: Column, rho: float) ->
     )
 
 
+def scoreline_likelihood(d: np.ndarray, a: np.ndarray, b: np.ndarray, x: Sequence[float], correct: bool, least: float) -> np.ndarray:
+    """For rows of goals (a, b) with log rates mu +- beta * d, and x = (mu, beta, rho): the negative log likelihood, its gradient and the
+    upper half of its second derivatives, a row of the result each. A correction's factor counts as at least ``least``."""
+    mu, beta, rho = x
+    with np.errstate(all="ignore"):
+        la, lb, zero = np.exp(mu + beta * d), np.exp(mu - beta * d), np.zeros(len(d))
+        out = [la + lb - a * (mu + beta * d) - b * (mu - beta * d), la + lb - a - b, d * (la - lb - a + b), zero]
+        out += [la + lb, d * (la - lb), zero, d * d * (la + lb), zero, zero]
+        if correct:
+            # the factor is 1 + rho g, with g = sign * exp(m mu + s beta d)
+            low = [(a == i) & (b == j) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1))]
+            g, m, s = (np.select(low, v, 0.0) for v in ((-la * lb, la, lb, zero - 1), (zero + 2, zero + 1, zero + 1, zero), (zero, d, -d, zero)))
+            factor = 1 + rho * g
+            first = [rho * g * m / factor, rho * g * s / factor, g / factor]
+            both = [rho * g * m * m, rho * g * m * s, g * m, rho * g * s * s, g * s, zero]
+            second = [y / factor - first[i] * first[j] for y, (i, j) in zip(both, ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))]
+            held = factor <= least
+            out = [out[0] - np.log(np.maximum(factor, least)), *(x - np.where(held, 0.0, y) for x, y in zip(out[1:], (*first, *second)))]
+    return np.stack(out)
+
+
 def remaining_rate(minutes: Column, rate: float = REFERENCE_RATE) -> Column:
     return rate * F.greatest(F.lit(0.0), minutes) / 90.0
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +40,15 @@ def test_masses_are_the_grids_sums(spark):
         else:
             assert len(r.grid) == 81 and r.home == pytest.approx(sum(c.p for c in r.grid if c.i > c.j), abs=1e-12)
             assert r.silent == pytest.approx(sum(c.p for c in r.grid if c.i == 0 or c.j == 0), abs=1e-12) and sum(c.p for c in r.grid) == pytest.approx(1)
+
+
+def test_rows_with_the_same_rates_share_a_grid(monkeypatch):
+    scores, seen = P._scores, []
+    monkeypatch.setattr(P, "_scores", lambda h, a, *rest: seen.append(len(h)) or scores(h, a, *rest))
+    h, a = np.tile([1.5, 0.3, math.nan], 3000), np.tile([1.5, 2.0, 1.0], 3000)
+    i, j = np.divmod(np.arange(121), 11)
+    got = P._masses(h, a, np.stack([i > j, i == j], 1).astype(float), -0.1, 0.0, 10)
+    assert sum(seen) == 3 and got.shape == (9000, 2) and np.isnan(got[2::3]).all()
+    for at in (0, 1):
+        grid = scores(h[at : at + 1], a[at : at + 1], -0.1, 0.0, 10)[0]
+        assert got[at::3] == pytest.approx(np.tile([grid[i > j].sum(), grid[i == j].sum()], (3000, 1)), abs=1e-15)
