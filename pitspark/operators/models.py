@@ -19,10 +19,14 @@ from .joins import written
 Predictor = Callable[[DataFrame], DataFrame]
 
 
-def _assembled(df: DataFrame, columns: Sequence[str], out: str = "_x") -> DataFrame:
+def check_there(df: DataFrame, columns: Sequence[str]) -> None:
     missing = set(columns) - set(df.columns)
     if missing:
         raise ValueError(f"columns not there: {sorted(missing)}")
+
+
+def _assembled(df: DataFrame, columns: Sequence[str], out: str = "_x") -> DataFrame:
+    check_there(df, columns)
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
 
